@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, packing, topk
+from . import bitpack, chat, decontam, langid, packing, topk
 from .common import new_path
 
 
@@ -20,6 +20,23 @@ def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op3_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "doc_start", "n_words", "n_matched")
+
+
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return langid.identify(docs, langid.train(docs, "lang"), "doc_id", **langid.document_parts())
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages: markup, address suffix and host beside the text, models from ``documents``."""
+    model = langid.train(_table(spark, sf_dir, "documents"), "lang")
+    pages = _table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " "))
+    return langid.identify(pages, model, "page_id", "plain", **langid.page_parts(F.col("url"), F.col("html")))
+
+
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -48,6 +65,9 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitsliced_topk": op2_bitsliced_topk,
+    "op3_spaced_seed_decontam": op3_spaced_seed_decontam,
+    "op4_language_fusion": op4_language_fusion,
+    "pages_language": pages_language,
     "op5_bestfit_packing": op5_bestfit_packing,
     "op6_token_bitpack": op6_token_bitpack,
     "op8_chat_trees": op8_chat_trees,
@@ -63,6 +83,32 @@ WITH v AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_spaced_seed_decontam": """
+WITH b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), bp AS (SELECT item_id, w, unnest(range(0, len(w) - 9)) AS p FROM b WHERE len(w) >= 10
+), dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 9, 4)) AS p FROM d WHERE len(w) >= 10
+), m AS (SELECT * FROM (VALUES (0), (1), (2)) t(r)
+), bk AS (
+  SELECT item_id, p, r, list_aggregate(list_transform(list_filter(range(10), lambda i: i % 3 <> r), lambda i: w[p + i + 1]), 'string_agg', ' ') AS k FROM bp, m
+), dk AS (
+  SELECT doc_id, p, r, list_aggregate(list_transform(list_filter(range(10), lambda i: i % 3 <> r), lambda i: w[p + i + 1]), 'string_agg', ' ') AS k FROM dp, m
+), h AS (
+  SELECT DISTINCT doc_id, item_id, dk.p - bk.p AS shift FROM dk JOIN bk USING (r, k)
+), a AS (
+  SELECT doc_id, item_id, shift, greatest(0, -shift) AS f, len(b.w) AS n,
+    list_transform(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift)), lambda j: CASE WHEN b.w[j + 1] = d.w[j + shift + 1] THEN 1 ELSE 0 END) AS same
+  FROM h JOIN b USING (item_id) JOIN d USING (doc_id)
+), g AS (
+  SELECT *, least(13, n) AS size FROM a WHERE len(same) >= least(13, n)
+), v AS (
+  SELECT *, list_sum(same) AS matched, list_max(list_transform(range(0, len(same) - size + 1), lambda s: list_sum(same[s + 1 : s + size]))) AS best FROM g
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS k FROM v WHERE best >= size - floor(size * 2 / 13)
+)
+SELECT doc_id, item_id, CAST(shift + f AS BIGINT) AS doc_start, CAST(len(same) AS BIGINT) AS n_words, CAST(matched AS BIGINT) AS n_matched FROM r WHERE k = 1""",
     "op8_chat_trees": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
