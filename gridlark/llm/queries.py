@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontam, langid, packing, topk
+from . import bitpack, chat, decontam, jaccard, langid, linededup, packing, topk
 from .common import new_path
 
 
@@ -48,6 +48,14 @@ def op6_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_minhash_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(_table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
+
+
+def op10_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.decisions(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -70,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_language": pages_language,
     "op5_bestfit_packing": op5_bestfit_packing,
     "op6_token_bitpack": op6_token_bitpack,
+    "op7_minhash_jaccard": op7_minhash_jaccard,
     "op8_chat_trees": op8_chat_trees,
+    "op10_line_edit_dedup": op10_line_edit_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +132,30 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op7_minhash_jaccard": """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM t WHERE len(w) > 0))
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE common >= 0.8 * (x.n + y.n - common)
+), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT t.doc_id, coalesce(least(t.doc_id, m.b), t.doc_id) AS class_id, coalesce(k.n, 0) AS n_links
+FROM t LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = t.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) k ON k.a = t.doc_id""",
+    "op10_line_edit_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+), d AS (
+  SELECT line, strlen(line) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE NOT regexp_full_match(line, '[ \\t\\r]*') GROUP BY line
+), p AS (
+  SELECT a.line AS line, min(b.first) AS near_first FROM d a JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM d WHERE n >= 40) b ON a.n = b.m AND a.line <> b.line
+  WHERE a.n >= 40 AND b.first < a.first AND levenshtein(a.line, b.line) <= 2 GROUP BY a.line
+), j AS (
+  SELECT l.doc_id, l.line_no, d.line IS NOT NULL AND (p.line IS NOT NULL OR d.first <> {'d': l.doc_id, 'l': l.line_no}) AS gone
+  FROM l LEFT JOIN d USING (line) LEFT JOIN p USING (line)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone), '') AS removed_lines FROM j GROUP BY doc_id""",
 }
