@@ -195,7 +195,7 @@ def linked_pairs(docs: DataFrame, classes: DataFrame, n: int, threshold: float,
 
 
 def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """doc_id, class_id, n_links for every document (one row an input row)."""
+    """doc_id, class_id, n_links (and text_key, has_words) for every document, one row an input row."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(signatures(docs, n, bands, rows), "signatures")
@@ -211,12 +211,19 @@ def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     class_ids = joined.groupBy("component").agg(F.min("least_id").alias("class_id"))
     known = staged(joined.join(class_ids, "component").join(more, F.col("set_key") == F.col("v"), "left").select("set_key", "class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "class-ids")
     out = signed.join(known.withColumnRenamed("set_key", "k"), (F.col("n_grams") > 0) & (F.col("set_key") == F.col("k")), "left")
-    return out.select("doc_id", F.when(F.col("n_grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key")
+    return out.select("doc_id", F.when(F.col("n_grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", (F.col("n_grams") > 0).alias("has_words"))
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """All columns of one document of each class: the one whose doc_id is the class id."""
-    found = join_documents(docs, **options)
-    drop = staged(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct(), "near-copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
-    return docs.join(drop, same, "left_anti")
+    """All columns of one document of each class: the one whose doc_id is the class id (of several such rows, one)."""
+    found = staged(join_documents(docs, **options), "classes-of-documents")
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids that repeat: one row for each text, and one text for each class
+        docs = docs.dropDuplicates(["doc_id", "text"])
+        least = found.where("doc_id <=> class_id").groupBy("class_id", "has_words").agg(F.min("text_key").alias("least_key"))
+        found = found.join(least.withColumnsRenamed({"class_id": "c", "has_words": "hw"}), F.col("class_id").eqNullSafe(F.col("c")) & (F.col("has_words") == F.col("hw")), "left")
+        gone = ~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("has_words") & (F.col("text_key") != F.col("least_key")))
+    else:
+        gone = ~F.col("doc_id").eqNullSafe(F.col("class_id"))
+    drop = staged(found.where(gone).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct(), "near-copies")
+    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key == F.col("_t")), "left_anti")

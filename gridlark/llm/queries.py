@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontam, jaccard, langid, linededup, packing, topk
+from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, suffix, topk
 from .common import new_path
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.score(docs, lmscore.train(docs))
+
+
 def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.search_vectors(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
@@ -52,6 +57,10 @@ def op7_minhash_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(_table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
+def op9_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op10_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.decisions(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
 
@@ -72,6 +81,7 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op2_bitsliced_topk": op2_bitsliced_topk,
     "op3_spaced_seed_decontam": op3_spaced_seed_decontam,
     "op4_language_fusion": op4_language_fusion,
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_bitpack": op6_token_bitpack,
     "op7_minhash_jaccard": op7_minhash_jaccard,
     "op8_chat_trees": op8_chat_trees,
+    "op9_suffix_doubling": op9_suffix_doubling,
     "op10_line_edit_dedup": op10_line_edit_dedup,
 }
 
