@@ -1,0 +1,2 @@
+"""Nothing here: the work that this library covers has no streams.  Row-wise operators (filters, geometry, validation of
+single rows) take streaming DataFrames as they are."""
