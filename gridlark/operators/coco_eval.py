@@ -63,8 +63,8 @@ def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float,
                     else:
                         ignored[i] = bool(far[i])
                 out.append(pd.DataFrame({"det_id": det["id"].to_numpy(), "score": det["score"].to_numpy(), "place": det["place"].to_numpy(), "area": name, "threshold": t, "tp": tp, "ignored": ignored}))
-        first = g.iloc[0]
-        return pd.concat(out).assign(image_id=first["image_id"], category_id=first["category_id"])[names]
+        first, rows = g.iloc[0], pd.concat(out)
+        return rows.assign(image_id=first["image_id"], category_id=first["category_id"], area=rows["area"].astype(object))[names]
 
     return gt.unionByName(dt).groupBy("image_id", "category_id").applyInPandas(kernel, MATCHES)
 

@@ -48,7 +48,7 @@ def per_image(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], sch
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = kernel(group)
-        return out.assign(image_id=group["image_id"].iloc[0])[names] if len(out) else pd.DataFrame({n: [] for n in names})
+        return out.assign(image_id=group["image_id"].iloc[0], source=out["source"].astype(object))[names] if len(out) else pd.DataFrame({n: [] for n in names})
 
     return df.groupBy("image_id").applyInPandas(run, schema)
 
