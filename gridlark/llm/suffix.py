@@ -3,8 +3,8 @@
 A byte is removed if it lies in a ``LENGTH``-byte string that also starts earlier (smaller doc_id, or earlier in the
 same document).  Strings are told apart by 64- and 128-bit hashes; documents are whole UTF-8 texts.
 
-Ranks of prefixes grow by doubling.  Inside a task, prefix hashes double from 1 to 16 and 20 bytes; each
-``LENGTH``-byte string is represented by the position (anchor) of its least 20-byte prefix hash, so equal strings have
+Ranks of prefixes grow by doubling.  Inside a task, prefix hashes double from 1 to 32 and 36 bytes; each
+``LENGTH``-byte string is represented by the position (anchor) of its least 36-byte prefix hash, so equal strings have
 equal anchors, and a string whose anchor content occurs once is unique and leaves at once.  All neighbouring strings
 with one anchor go on as a single row, with a hash of the whole stretch they cover.  Spark sorts those rows by (rank of
 the anchor's prefix, rank of the stretch): equal stretches are settled there, first occurrence against the rest.  What
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import partition_id, splitmix, staged, text_chunks, utf8_buffer
 from .linededup import Substrings, _BASE, _BYTE
 
-ANCHOR = 20
+ANCHOR = 36
 
 
 def _prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -44,7 +44,8 @@ def _prefix_hashes(data: np.ndarray) -> np.ndarray:
     four = two[:-2] * power(2) + two[2:]
     eight = four[:-4] * power(4) + four[4:]
     sixteen = eight[:-8] * power(8) + eight[8:]
-    return splitmix(sixteen[:-4] * power(4) + four[16:])
+    thirty_two = sixteen[:-16] * power(16) + sixteen[16:]
+    return splitmix(thirty_two[:-4] * power(4) + four[32:])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +164,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     settled = staged(settled_stretches(docs, length), "stretches")
     whole = settled.where("repeats").select("doc", F.shiftright("place", 16).alias("lo"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("hi"))
     single = repeated_positions(docs, settled.where("not repeats").select("doc", "place"), length)
+    single = staged(single, "repeats")
     both = whole.unionByName(single.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi")))
     return both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
