@@ -103,8 +103,9 @@ def _price(size: np.ndarray, worth: np.ndarray, units: int) -> dict[int, int]:
     return dict(out)
 
 
-def solve_lp(count: np.ndarray, capacity: int, n_classes: int = 96, unit: int = 4, step: float = 0.08, eta: float = 4.0) -> tuple[np.ndarray, list[tuple[dict[int, int], float]]]:
+def solve_lp(count: np.ndarray, capacity: int, n_classes: int = 256, unit: int | None = None, step: float = 0.08, eta: float = 4.0) -> tuple[np.ndarray, list[tuple[dict[int, int], float]]]:
     """Fractional cover of the histogram by configurations.  Returns the upper ends of the length classes and (configuration, amount) pairs."""
+    unit = unit or max(1, capacity // 512)
     ends, need = _classes(count, capacity, n_classes)
     size = -(-ends // unit)
     units = capacity // unit
