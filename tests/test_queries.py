@@ -32,7 +32,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, duck, name):
     if name in LOOSE:
-        pytest.skip("compared by value in test_kernels")
+        pytest.skip("compared by value below")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).fetchdf())
 
 
