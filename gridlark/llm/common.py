@@ -70,7 +70,12 @@ def texts_of(col: pa.Array, at: int, to: int) -> list[str]:
 
 def utf8_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty) and its ``len + 1`` offsets, without a copy per row."""
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    return bytes_buffer(pc.fill_null(col.cast(pa.large_string()), ""))
+
+
+def bytes_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a string or binary column without nulls."""
+    col = col.cast(pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

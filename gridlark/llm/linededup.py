@@ -5,8 +5,9 @@ or, for lines of ``near_bytes`` or more, within ``threshold`` edits of UTF-8 byt
 
 Distinct lines are split into ``threshold + 1`` segments; a line within the threshold shares one of them.  Each line is
 an index row for each of its segments and probes, for every shorter or equal length in reach, the few substrings that
-the position filter leaves (multi-match-aware selection).  Both meet in an equi-join on (length, segment number,
-substring hash); the pairs are verified by bit-parallel edit distance inside the band of ``threshold`` diagonals.
+the position filter leaves (multi-match-aware selection).  Both meet on (length, segment number, substring hash); lines of
+crowded hashes meet by their content (see ``near_lines``).  The pairs are verified by bit-parallel edit distance
+inside the band of ``threshold`` diagonals.
 
 Edge cases: null texts have no lines; null doc_ids sort first; repeated rows with the same doc_id and text share one
 decision (the first row's lines and the others' are equally early, so they all stay or all go); an empty table gives no
@@ -16,18 +17,23 @@ rows; other columns pass through ``deduplicated`` unharmed, whatever their names
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, staged, text_chunks, utf8_buffer
+from .common import bytes_buffer, splitmix, staged, text_chunks, utf8_buffer
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = splitmix(np.arange(1, 257, dtype=np.uint64))
 BROADCAST_ROWS = 400_000
+#: A segment hash is crowded beyond so many pairs of rows.
+CROWDED = 64
+ODD = ("odd0", "odd1", "odd2", "odd3")
 
 
 def doc_key() -> Column:
@@ -111,33 +117,93 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - (parts - extra)), size + (i >= parts - extra)
 
 
-def segment_keys(docs: DataFrame, threshold: int, near_bytes: int, probes: bool) -> DataFrame:
-    """key, line_key: what a line offers (its segments) or looks for (substrings), once for each distinct line of a batch."""
+def _near_candidates(batch: pa.RecordBatch, near_bytes: int) -> Iterator[tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]]:
+    """Substring hashes, keys, starts and lengths of the distinct long lines of a batch of texts, chunk by chunk."""
+    for at, to in text_chunks(batch.column(0), 1 << 22):
+        data, offsets = utf8_buffer(batch.column(0).slice(at, to - at))
+        _, _, start, stop = _lines(data, offsets)
+        ok = stop - start >= near_bytes
+        start, stop = start[ok], stop[ok]
+        if len(start):
+            sub = Substrings(data)
+            key, one = np.unique(sub.hash(start, stop), return_index=True)
+            yield sub, key, start[one], (stop - start)[one]
+
+
+def segment_keys(docs: DataFrame, threshold: int, near_bytes: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, line_key, probe: what a line offers (its segments) and looks for (substrings), once for each distinct line of
+    a batch.  ``wanted`` (sorted) leaves other keys out."""
     parts = threshold + 1
-    wanted = probe_plan(threshold) if probes else [(0, i, 0) for i in range(parts)]
+    plan = [(False, 0, i, 0) for i in range(parts)] + [(True, *x) for x in probe_plan(threshold)]
+    known = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(0), 1 << 22):
-                data, offsets = utf8_buffer(batch.column(0).slice(at, to - at))
-                _, _, start, stop = _lines(data, offsets)
-                ok = stop - start >= near_bytes
-                start, stop = start[ok], stop[ok]
-                if not len(start):
-                    continue
-                sub = Substrings(data)
-                key, one = np.unique(sub.hash(start, stop), return_index=True)
-                start, length = start[one], (stop - start)[one]
-                for gap, i, shift in wanted:
+            for sub, key, start, length in _near_candidates(batch, near_bytes):
+                for probe, gap, i, shift in plan:
                     other = length - gap
                     p, size = segment(other, i, parts)
                     p = p + shift
                     ok = (other >= near_bytes) & (p >= 0) & (p + size <= length)
                     h = sub.hash((start + p)[ok], (start + p + size)[ok])
-                    h = splitmix(h + (other[ok] * parts + i).astype(np.uint64) * np.uint64(_BASE))
-                    yield pa.RecordBatch.from_pydict({"key": h.view(np.int64), "line_key": key[ok].view(np.int64)})
+                    h = splitmix(h + (other[ok] * parts + i).astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+                    line = key[ok].view(np.int64)
+                    if known is not None:
+                        among = known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h
+                        h, line = h[among], line[among]
+                    if len(h):
+                        yield pa.RecordBatch.from_pydict({"key": h, "line_key": line, "probe": np.full(len(h), probe)})
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(cut, "key long, line_key long, probe boolean")
+
+
+def content_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """key, line_key, n_bytes, odd0 .. odd3: what a line (line_key, line) holds, blind to places.
+
+    An edit takes away or adds four byte pairs at most.  Byte pairs are dealt to ``4 * threshold + 1`` classes, so two
+    lines within the threshold have the same pairs in one class at least: ``key``, a hash for each class.  The 256 bits
+    of ``odd`` tell which of as many buckets hold an odd number of byte pairs; such lines differ in ``4 * threshold``."""
+    classes = 4 * threshold + 1
+    value = splitmix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+    class_of = (splitmix(value + np.uint64(_BASE)) % np.uint64(classes)).astype(np.int16)
+    salt = [np.uint64((c + 1) * _BASE & 0xFFFFFFFFFFFFFFFF) for c in range(classes)]
+    bit = np.uint64(1) << (value & np.uint64(63))
+    word_of = (value >> np.uint64(6)) & np.uint64(3)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(cut, "key long, line_key long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in text_chunks(batch.column(1), 1 << 22):
+                data, offsets = bytes_buffer(batch.column(1).slice(at, to - at))
+                start, stop = offsets[:-1], offsets[1:]
+                pair = data[:-1].astype(np.int64) * 256 + data[1:]
+                worth, kind, last = value[pair], class_of[pair], np.maximum(stop - 1, start)
+                odd = []
+                for w in range(4):
+                    total = np.zeros(len(data) + 1, np.uint64)
+                    np.bitwise_xor.accumulate(np.where(word_of[pair] == w, bit[pair], np.uint64(0)), out=total[1 : len(pair) + 1])
+                    odd.append(pa.array((total[last] ^ total[start]).view(np.int64)))
+                for c in range(classes):
+                    total = np.zeros(len(data) + 1, np.uint64)
+                    np.cumsum(np.where(kind == c, worth, np.uint64(0)), out=total[1 : len(pair) + 1])
+                    h = splitmix(total[last] - total[start] + salt[c])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).slice(at, to - at), pa.array(stop - start, pa.int64()), *odd], names=["key", "line_key", "n_bytes", *ODD])
+
+    return lines.select("line_key", F.col("line").cast("binary").alias("line")).mapInArrow(cut, "key long, line_key long, n_bytes long, odd0 long, odd1 long, odd2 long, odd3 long")
+
+
+def _crowded_pairs(lines: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of lines of like length that hold the same byte pairs of some class, and almost the same of all."""
+    rows = content_keys(lines, threshold)
+    left, right = rows.alias("l"), rows.alias("r")
+    apart = reduce(add, (F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in ODD))
+    like = (F.col("l.line_key") < F.col("r.line_key")) & (F.abs(F.col("l.n_bytes") - F.col("r.n_bytes")) <= threshold) & (apart <= 4 * threshold)
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & like).select(F.col("l.line_key").alias("a"), F.col("r.line_key").alias("b"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of lines of which one offers what the other looks for."""
+    offer, probe = rows.where("not probe").select("key", F.col("line_key").alias("s")), rows.where("probe").select("key", F.col("line_key").alias("r"))
+    return offer.join(probe, "key").where("s <> r").select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"))
 
 
 def within(pairs: list[tuple[bytes, bytes]], k: int) -> np.ndarray:
@@ -188,13 +254,32 @@ def _distance(a: bytes, b: bytes) -> int:
 
 
 def near_lines(docs: DataFrame, threshold: int, near_bytes: int) -> DataFrame:
-    """Pairs (a, b) of line keys of distinct lines within the threshold."""
-    index = segment_keys(docs, threshold, near_bytes, probes=False).withColumnRenamed("line_key", "s")
-    probe = segment_keys(docs, threshold, near_bytes, probes=True).withColumnRenamed("line_key", "r")
-    met = index.join(probe, "key").where("s <> r").select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
-    met = staged(met, "line-pairs")
-    used = staged(met.select(F.col("a").alias("line_key")).unionByName(met.select(F.col("b").alias("line_key"))).distinct(), "line-keys")
+    """Pairs (a, b) of line keys of distinct lines within the threshold.
+
+    Segment hashes are counted before any pair is made.  A hash that one line offers and one other looks for gives their
+    pair; a hash of a few lines gives theirs by a join.  Lines that meet in a crowded hash (near copies by the thousand,
+    whose edits lie elsewhere) meet again by what they hold instead (``content_keys``)."""
+    rows = segment_keys(docs, threshold, near_bytes)
+    offered, asked = F.when(~F.col("probe"), F.col("line_key")), F.when(F.col("probe"), F.col("line_key"))
+    found = rows.groupBy("key").agg(F.min(offered).alias("s"), F.max(offered).alias("s2"), F.min(asked).alias("r"), F.max(asked).alias("r2"), F.count(offered).alias("n_s"), F.count(asked).alias("n_r"))
+    found = staged(found.where("s is not null and r is not null and (s <> r or s <> s2 or r <> r2)"), "shared-keys")
+    alone = F.expr("s = s2 and r = r2")
+    single = found.where(alone).select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"))
+    multi = found.where(~alone).select("key", (F.col("n_s") * F.col("n_r") > CROWDED).alias("crowded"))
+    n = multi.count()
+    if n <= BROADCAST_ROWS:
+        wanted = np.sort(np.array([r[0] for r in multi.select("key").collect()], np.int64))
+        shared = segment_keys(docs, threshold, near_bytes, wanted) if n else rows.limit(0)
+    else:
+        shared = rows
+    shared = staged(shared.join(multi, "key").distinct(), "shared-segments")
+    crowd = shared.where("crowded").select("line_key").distinct()
+    plain = single.unionByName(_met(shared.where("not crowded"))).distinct()
+    plain = staged(plain, "plain-pairs")
+    ends = plain.select(F.col("a").alias("line_key")).unionByName(plain.select(F.col("b").alias("line_key")))
+    used = staged(ends.unionByName(crowd).distinct(), "line-keys")
     texts = staged(_texts_of(docs, used, near_bytes), "line-texts")
+    met = staged(plain.unionByName(_crowded_pairs(texts.join(crowd, "line_key"), threshold)).distinct(), "line-pairs")
     both = met.join(texts.select(F.col("line_key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_key").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
