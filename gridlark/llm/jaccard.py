@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import splitmix, staged, text_chunks, texts_of
 from .graph import components
 
+#: 512 bits: which buckets hold an odd number of a set's grams.
+ODD = tuple(f"odd{i}" for i in range(8))
+_ODD_TYPES = ", ".join(f"{c} long" for c in ODD)
 _WORD = re.compile(r"\w+")
 
 
@@ -86,8 +91,16 @@ def _minhash(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
+def _odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, word]: 512 bits of each set."""
+    bits = np.zeros((len(sets), 64 * len(ODD)), bool)
+    for row, s in zip(bits, sets, strict=True):
+        row[:] = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * len(ODD)) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text, by which it is found again), set_key, n_grams and MinHash values of every document."""
+    """doc_id, text_key (xxhash64 of the text, by which it is found again), set_key, n_grams, MinHash values and odd sketch of every document."""
     rng = np.random.default_rng(20240917)
     a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -102,12 +115,13 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sig: list[bytes | None] = [None] * len(sets)
                 for i, row in zip(full, low, strict=True):
                     sig[i] = row.tobytes()
+                odd = _odd_sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, to - at) for i in (0, 1)), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())],
-                    names=["doc_id", "text_key", "set_key", "n_grams", "signature"],
+                    [*(batch.column(i).slice(at, to - at) for i in (0, 1)), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in odd.T)],
+                    names=["doc_id", "text_key", "set_key", "n_grams", "signature", *ODD],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key long, set_key long, n_grams long, signature binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key long, set_key long, n_grams long, signature binary, " + _ODD_TYPES)
 
 
 def _banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -129,18 +143,23 @@ def _banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                         "hash": h.view(np.int64).reshape(-1),
                         "v": np.repeat(np.asarray(part.column("set_key")), bands),
                         "before": pa.array(before, pa.binary()),
+                        **{c: np.repeat(np.asarray(part.column(c)), bands) for c in ("n_grams", *ODD)},
                     }
                 )
 
-    return classes.select("set_key", "signature").mapInArrow(split, "band int, hash long, v long, before binary")
+    return classes.select("set_key", "signature", "n_grams", *ODD).mapInArrow(split, "band int, hash long, v long, before binary, n_grams long, " + _ODD_TYPES)
 
 
-def candidates(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Pairs a < b of classes that agree in a band, once each."""
-    rows_ = _banded(classes, bands, rows)
-    left = rows_.select("band", "hash", F.col("v").alias("a"), F.col("before").alias("x"))
-    right = rows_.select("band", "hash", F.col("v").alias("b"), F.col("before").alias("y"))
-    return left.join(right, ["band", "hash"]).where((F.col("a") < F.col("b")) & F.expr("length(x) = 0 or not exists(sequence(1, length(x), 4), i -> substring(x, i, 4) = substring(y, i, 4))")).select("a", "b")
+def candidates(classes: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Pairs a < b of classes that agree in a band, once each, and whose sizes and odd sketches allow the threshold."""
+    found = _banded(classes, bands, rows)
+    left, right = found.alias("l"), found.alias("r")
+    apart = reduce(add, (F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in ODD))
+    # similarity t: the grams of one set alone are (1 - t) / (1 + t) of both sizes together
+    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("l.n_grams") + F.col("r.n_grams")) + F.lit(1e-6)
+    first = F.expr("length(l.before) = 0 or not exists(sequence(1, length(l.before), 4), i -> substring(l.before, i, 4) = substring(r.before, i, 4))")
+    met = (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash")) & (F.col("l.v") < F.col("r.v"))
+    return left.join(right, met & (apart <= most) & first).select(F.col("l.v").alias("a"), F.col("r.v").alias("b"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -175,7 +194,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def linked_pairs(docs: DataFrame, classes: DataFrame, n: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """Verified pairs of classes (a, b, similarity)."""
-    pairs = staged(_plausible(staged(candidates(classes, bands, rows), "candidates"), classes, threshold, bands * rows), "plausible")
+    pairs = staged(_plausible(staged(candidates(classes, bands, rows, threshold), "candidates"), classes, threshold, bands * rows), "plausible")
     used = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
     sets = staged(_sets_of(docs, classes.join(used, "set_key").select("set_key", F.col("text_key").alias("_t")), n), "gram-sets")
     both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("grams").alias("y")), "b")
@@ -201,7 +220,7 @@ def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     signed = staged(signatures(docs, n, bands, rows), "signatures")
     grouped = signed.where("n_grams > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("size"), F.min("text_key").alias("text_key"), F.max("n_grams").alias("n_grams"))
     # equal sets have equal signatures: any one will do
-    one = signed.where("n_grams > 0").select("set_key", "text_key", "signature").dropDuplicates(["set_key", "text_key"])
+    one = signed.where("n_grams > 0").select("set_key", "text_key", "signature", *ODD).dropDuplicates(["set_key", "text_key"])
     classes = staged(grouped.join(one, ["set_key", "text_key"]), "classes")
     links = staged(linked_pairs(docs, classes, n, threshold, bands, rows), "links")
     ends = links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w")))
