@@ -176,6 +176,42 @@ def test_line_dedup(spark, docs):
     assert linededup.decisions(df.limit(0)).count() == 0 and linededup.decisions(docs).count() == 10
 
 
+@pytest.mark.parametrize("crowded", [-1, 64])
+def test_near_lines_of_crowded_hashes(spark, monkeypatch, crowded):
+    """Versions of one line by the dozen: the pairs within two edits, and no others, whatever counts as crowded."""
+    monkeypatch.setattr(linededup, "CROWDED", crowded)
+    r = random.Random(6)
+    line, rows = prose(12, 25), []
+    for i in range(60):
+        t = list(line if i % 2 else rows[r.randrange(len(rows))] if rows else line)
+        for _ in range(r.randrange(1, 4 if i % 2 else 8)):
+            at = r.randrange(len(t))
+            t[at : at + r.randrange(2)] = r.choice(["q", "", "é"])
+        rows.append("".join(t))
+    rows += [prose(i, 7)[:42] for i in range(20)] + ["a" * 40, "a" * 41, "a" * 43]
+    lines = sorted(set(rows))
+    key = {x: int(linededup.Substrings(np.frombuffer(x.encode(), np.uint8)).hash(np.array([0]), np.array([len(x.encode())])).view(np.int64)[0]) for x in lines if len(x.encode()) >= 40}
+    want = {tuple(sorted((key[x], key[y]))) for x in key for y in key if x < y and linededup._distance(x.encode(), y.encode()) <= 2}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = [tuple(sorted(p)) for p in linededup.near_lines(df, 2, 40).collect()]
+    assert len(want) > 20 and set(got) == want and len(got) == len(want)
+
+
+def test_jaccard_of_a_large_group_of_versions(spark):
+    """Versions of one text at similarities around the threshold: exact links."""
+    r = random.Random(8)
+    base, rows = prose(13, 120).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        rows.append((i, " ".join(w)))
+    sets = [grams(t) for _, t in rows]
+    want = {i: sum(1 for j in range(120) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(120)}
+    got = {x.doc_id: x.n_links for x in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 0 < sum(want.values()) < 120 * 119
+
+
 def test_substrings(spark, docs):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(docs, 100).collect())
     seen, want = set(), []
