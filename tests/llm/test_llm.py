@@ -197,7 +197,8 @@ def test_near_lines_of_crowded_hashes(spark, monkeypatch, crowded):
     assert len(want) > 20 and set(got) == want and len(got) == len(want)
 
 
-def test_jaccard_of_a_large_group_of_versions(spark):
+@pytest.mark.parametrize("block", [16, 256])
+def test_jaccard_of_a_large_group_of_versions(spark, block):
     """Versions of one text at similarities around the threshold: exact links."""
     r = random.Random(8)
     base, rows = prose(13, 120).split(), []
@@ -208,7 +209,7 @@ def test_jaccard_of_a_large_group_of_versions(spark):
         rows.append((i, " ".join(w)))
     sets = [grams(t) for _, t in rows]
     want = {i: sum(1 for j in range(120) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(120)}
-    got = {x.doc_id: x.n_links for x in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.n_links for x in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert got == want and 0 < sum(want.values()) < 120 * 119
 
 
