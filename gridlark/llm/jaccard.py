@@ -34,6 +34,8 @@ from .graph import components
 
 #: Classes that meet in one task at most twice over, and pairs compared at a time.
 BLOCK, PAIRS = 256, 1 << 14
+#: Rows of three numbers that may be broadcast (24 MB) to find their texts; more are joined by shuffle.
+WANTED = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -259,7 +261,9 @@ def link_counts(docs: DataFrame, classes: DataFrame, n: int, threshold: float, b
     verts, places = placed(classes, bands, rows, block)
     pairs = staged(candidates(verts, places, bands, rows, threshold), "candidates")
     used = staged(pairs.select("p", "q", F.explode(F.array_distinct(F.concat("a", "b"))).alias("v")).distinct(), "used-classes")
-    members = verts.join(used.select("v").distinct(), "v").select("v", "size", F.col("text_key").alias("_t"))
+    members = staged(verts.join(used.select("v").distinct(), "v").select("v", "size", F.col("text_key").alias("_t")), "members")
+    if members.count() <= WANTED:
+        members = F.broadcast(members)
     sets = staged(_sets_of(docs, members, n), "gram-sets")
     brought = used.join(sets, "v").select("p", "q", F.lit(0).alias("kind"), "v", "size", "grams", F.lit(None).cast("array<long>").alias("a"), F.lit(None).cast("array<long>").alias("b"))
     asked = pairs.select("p", "q", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("grams"), "a", "b")
