@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType
 
-from .common import splitmix, text_chunks, texts_of
+from .common import bytes_buffer, splitmix, staged, text_chunks, texts_of
 
 CLASSES, MEMBERS, RARE = 64, 64, 64
 SIDE, WIDTH = 2, 16
@@ -34,12 +35,17 @@ _SHAPES = {"embed": (2 * SIDE, CLASSES * MEMBERS, WIDTH), "hidden": (WIDTH,), "c
 
 
 class Vocabulary(dict):
-    """word -> id; rare words get one of the last ``RARE`` ids and are not kept."""
+    """word -> id; rare words get one of the last ``RARE`` ids, and up to ``KEPT`` of them are kept."""
+
+    KEPT = 400_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        return CLASSES * MEMBERS - 1 - xxhash.xxh32_intdigest(word) % RARE
+        h = CLASSES * MEMBERS - 1 - xxhash.xxh32_intdigest(word) % RARE
+        if len(self) < self.KEPT:
+            self[word] = h
+        return h
 
 
 def count_words(docs: DataFrame, text: str = "text") -> tuple[dict[str, int], np.ndarray]:
@@ -82,40 +88,71 @@ def unflatten(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def tokens(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each with ``SIDE`` padding ids before and after, and the number of tokens of each."""
-    pad = [PAD] * SIDE
-    parts, n = [np.array(pad, np.int64)], np.zeros(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        w = t.lower().split()
-        n[k] = len(w)
-        parts += [np.fromiter(map(vocab.__getitem__, w), np.int64, len(w)), np.array(pad, np.int64)]
-    return np.concatenate(parts), n
+def token_ids(docs: DataFrame, ids: dict[str, int], id_col: str, text: str = "text") -> DataFrame:
+    """``id_col`` and the token ids of each text, two bytes each."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)  # bounded by the vocabulary
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = Vocabulary(shared.value)
+        for b in batches:
+            for at, to in text_chunks(b.column(1)):
+                words = (t.lower().split() for t in texts_of(b.column(1), at, to))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array([np.fromiter(map(vocab.__getitem__, w), np.uint16, len(w)).tobytes() for w in words], pa.binary())], names=[id_col, "ids"])
+
+    rows = docs.select(id_col, F.col(text).cast("string"))
+    return rows.mapInArrow(encode, rows.select(id_col).schema.add("ids", BinaryType()))
+
 
+def streams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges, their ids with ``SIDE`` padding ids before and after each text, and the number of tokens of each."""
+    for at, to in text_chunks(col):
+        data, offsets = bytes_buffer(col.slice(at, to - at))
+        n = np.diff(offsets) // 2
+        out = np.full(int(n.sum()) + SIDE * (len(n) + 1), PAD, np.int64)
+        out[_places(n)] = np.ascontiguousarray(data).view(np.uint16)
+        yield at, to, out, n
 
-def _forward(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    places = [j for j in range(-SIDE, SIDE + 1) if j]
-    h = w["hidden"] + sum(w["embed"][k][ids[at + j]] for k, j in enumerate(places))
-    return np.tanh(h), np.stack([ids[at + j] for j in places])
 
+def _hidden(w: dict[str, np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+    h = w["embed"][0][context[0]]
+    for k in range(1, 2 * SIDE):
+        h += w["embed"][k][context[k]]
+    h += w["hidden"]
+    return np.tanh(h, out=h)
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+
+def _context(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [ids[at + j] for j in range(-SIDE, SIDE + 1) if j]
+
+
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - row maximum), in place of z, and its row sums."""
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def _log_share(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    e, total = _softmax(z)
+    return np.log(np.maximum(e[np.arange(len(e)), column], np.float32(1e-30)) / total)
+
+
+def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Classes that occur, and the rows of each."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(bounds)):
+        yield int(c), order[bounds[c] : bounds[c + 1]]
 
 
 def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of the token at each place, from both sides."""
-    h, _ = _forward(w, ids, at)
+    h = _hidden(w, _context(ids, at))
     target = ids[at]
     cls, member = target // MEMBERS, target % MEMBERS
-    out = _log_softmax(h @ w["class_w"] + w["class_b"])[np.arange(len(at)), cls]
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ w["token_w"][c] + w["token_b"][c])[np.arange(len(rows)), member[rows]]
+    out = _log_share(h @ w["class_w"] + w["class_b"], cls)
+    for c, rows in _by_class(cls):
+        out[rows] += _log_share(h[rows] @ w["token_w"][c] + w["token_b"][c], member[rows])
     return out
 
 
@@ -135,62 +172,63 @@ class Trainer:
         n = len(at)
         if not n:
             return
-        w = self.w
-        h, context = _forward(w, ids, at)
+        w, context = self.w, _context(ids, at)
+        h = _hidden(w, context)
         target = ids[at]
         cls, member = target // MEMBERS, target % MEMBERS
-        d = np.exp(_log_softmax(h @ w["class_w"] + w["class_b"]))
+        d, total = _softmax(h @ w["class_w"] + w["class_b"])
+        d /= total[:, None]
         d[np.arange(n), cls] -= 1
         d /= n
         dh = d @ w["class_w"].T
         class_w, class_b = h.T @ d, d.sum(axis=0)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                e = np.exp(_log_softmax(h[rows] @ w["token_w"][c] + w["token_b"][c]))
-                e[np.arange(len(rows)), member[rows]] -= 1
-                e /= n
-                dh[rows] += e @ w["token_w"][c].T
-                self._step("token_w", h[rows].T @ e, c)
-                self._step("token_b", e.sum(axis=0), c)
+        for c, rows in _by_class(cls):
+            own = h[rows]
+            e, total = _softmax(own @ w["token_w"][c] + w["token_b"][c])
+            e /= total[:, None]
+            e[np.arange(len(rows)), member[rows]] -= 1
+            e /= n
+            dh[rows] += e @ w["token_w"][c].T
+            self._step("token_w", own.T @ e, c)
+            self._step("token_b", e.sum(axis=0), c)
         self._step("class_w", class_w)
         self._step("class_b", class_b)
         dz = (dh * (1 - h * h)).astype(np.float32)
         self._step("hidden", dz.sum(axis=0))
         for k in range(2 * SIDE):
-            order = np.argsort(context[k], kind="stable")
+            order = np.argsort(context[k].astype(np.uint16), kind="stable")
             seen = context[k][order]
             first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
             self._step("embed", np.add.reduceat(dz[order], first, axis=0), (k, seen[first]))
         self.n += n
 
 
+def _places(n: np.ndarray) -> np.ndarray:
+    """Places of tokens in a padded stream of texts with ``n`` tokens each."""
+    return np.arange(n.sum()) + SIDE * (1 + np.repeat(np.arange(len(n)), n))
+
+
 def _masked(n: np.ndarray, share: float, salt: int, seen: int) -> np.ndarray:
-    """Places of tokens in the padded stream and, of those, the masked ones."""
-    starts = SIDE + np.cumsum(n + SIDE) - (n + SIDE)
-    place = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    """The masked places of a stream."""
+    place = _places(n)
     draw = splitmix(place.astype(np.uint64) + np.uint64(seen) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
     return place[(draw >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))]
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 2, share: float = 0.15, rate: float = 0.1, batch: int = 4096) -> tuple[dict[str, int], np.ndarray]:
-    """Vocabulary and weights.  What reaches the driver is the vocabulary and one set of weights a round."""
-    spark = docs.sparkSession
-    ids, counts = count_words(docs, text)
+def train(encoded: DataFrame, counts: np.ndarray, rounds: int = 2, share: float = 0.15, rate: float = 0.1, batch: int = 4096) -> np.ndarray:
+    """Weights, from the token ids of all documents.  What reaches the driver is one set of weights a round."""
+    spark = encoded.sparkSession
     weights = flatten(initial(counts))
     size = -(-len(weights) // BLOCK)
-    rows = docs.select(F.col(text).cast("string"))
+    rows = encoded.select("ids")
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((ids, weights))  # bounded by the vocabulary
+        shared = spark.sparkContext.broadcast(weights)  # bounded by the vocabulary
 
         def local(batches: Iterator[pa.RecordBatch], salt: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            vocab, start = Vocabulary(shared.value[0]), shared.value[1]
+            start = shared.value
             trainer, seen = Trainer(unflatten(start), rate), 0
             for b in batches:
-                for at, to in text_chunks(b.column(0)):
-                    stream, n = tokens(texts_of(b.column(0), at, to), vocab)
+                for _, _, stream, n in streams(b.column(0)):
                     chosen = _masked(n, share, salt, seen)
                     for k in range(0, len(chosen), batch):
                         trainer.learn(stream, chosen[k : k + batch])
@@ -218,25 +256,30 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 2, share: float = 0
         for k, _, c in mean.collect():
             step[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(c, np.float32)
         weights = (weights + step[: len(weights)]).astype(np.float32)
-    return ids, weights
+    return weights
 
 
-def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, log_likelihood (sum over all tokens) and its mean a token."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(encoded: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The first column of ``encoded``, n_tokens, log_likelihood (sum over all tokens) and its mean a token."""
+    id_col = encoded.columns[0]
+    shared = encoded.sparkSession.sparkContext.broadcast(weights)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, w = Vocabulary(shared.value[0]), unflatten(shared.value[1])
+        w = unflatten(shared.value)
         for b in batches:
-            for at, to in text_chunks(b.column(1)):
-                stream, n = tokens(texts_of(b.column(1), at, to), vocab)
-                place = _masked(n, 1.0, 0, 0)
-                lp = np.concatenate([log_probs(w, stream, place[k : k + 8192]) for k in range(0, len(place), 8192)] or [np.zeros(0)]).astype(np.float64)
+            for at, to, stream, n in streams(b.column(1)):
+                place = _places(n)
+                lp = np.concatenate([log_probs(w, stream, place[k : k + 4096]) for k in range(0, len(place), 4096)] or [np.zeros(0)]).astype(np.float64)
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])])
                 mean = pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n), pa.array(np.round(sums, 4)), mean], names=[id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    rows = docs.select(id_col, F.col(text).cast("string"))
-    from pyspark.sql.types import DoubleType, LongType
-
+    rows = encoded.select(id_col, "ids")
     return rows.mapInArrow(run, rows.select(id_col).schema.add("n_tokens", LongType()).add("log_likelihood", DoubleType()).add("mean_log_likelihood", DoubleType()))
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Scores of all documents by a network that is trained on them; texts are read as tokens once."""
+    ids, counts = count_words(docs, text)
+    encoded = staged(token_ids(docs, ids, id_col, text), "token-ids")
+    return score(encoded, train(encoded, counts, **options))

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lmscore.score(docs, lmscore.train(docs))
+    return lmscore.score_corpus(docs)
 
 
 def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,9 +239,11 @@ def test_lm_scores(spark, docs):
         return " ".join(out)
 
     df = spark.createDataFrame([(i, chain(150)) for i in range(300)], "doc_id long, text string")
-    model = lmscore.train(df, share=0.5, rounds=3)
+    ids, counts = lmscore.count_words(df)
+    weights = lmscore.train(lmscore.token_ids(df, ids, "doc_id"), counts, share=0.5, rounds=3)
     held = [(1, chain(200)), (2, " ".join(r.choice(WORDS) for _ in range(200))), (3, None), (4, "")]
-    got = {x.doc_id: x for x in lmscore.score(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    got = {x.doc_id: x for x in lmscore.score(lmscore.token_ids(spark.createDataFrame(held, "doc_id long, text string"), ids, "doc_id"), weights).collect()}
     assert got[1].mean_log_likelihood > got[2].mean_log_likelihood + 0.2
     assert (got[3].n_tokens, got[3].log_likelihood, got[3].mean_log_likelihood) == (0, 0.0, None) and got[4].n_tokens == 0
-    assert lmscore.score(empty(spark), lmscore.train(empty(spark))).count() == 0
+    assert lmscore.score_corpus(docs).count() == docs.count()
+    assert lmscore.score_corpus(empty(spark)).count() == 0
