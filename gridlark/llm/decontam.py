@@ -1,12 +1,12 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Texts are lower-cased words.  A seed looks at ``span`` consecutive words through a fixed mask: mask r ignores the
-positions p with p mod 3 = r.  Seeds of all positions of the benchmark items are joined with seeds at every ``step``-th
-position of the documents, so a shared passage of ``span + step - 1`` words is met at some position, and a substituted
-word (or several in one residue class) leaves one of the masks unharmed.  Each hit fixes item, document and offset;
-there the words are compared one by one, and the overlap counts if some ``window`` words have at most ``max_subs``
-substitutions.  Items shorter than ``span`` but of ``min_item`` words or more are sought whole and exactly; still
-shorter ones take no part.
+Texts are lower-cased words.  Document and item overlap if, laid side by side at some offset, a run of ``window`` words
+(the whole item if it is shorter) has at most its share of ``max_subs`` substitutions: ``size * max_subs // window``.
+Seeds find every such run: with at most k substitutions among ``size`` words, two of the k + 2 residue classes of
+positions modulo k + 2 are free of them, and for each distance of two classes a mask looks at just these (for 13 words
+and two substitutions ``##--##--##`` and ``#-#-#-#-#``).  Masks are short enough to be met whichever classes are free.
+Seeds of all positions of the items are joined with seeds at all positions of the documents.  Each hit fixes item,
+document and offset; there the words are compared one by one.  Items under ``min_item`` words take no part.
 
 Edge cases: null or empty texts overlap nothing; null ids are carried along; repeated rows give one result row for
 each distinct (doc_id, text) and item; empty tables give no rows; other columns are ignored.
@@ -14,6 +14,8 @@ each distinct (doc_id, text) and item; empty tables give no rows; other columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +28,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def masks(span: int) -> list[list[int]]:
-    return [[p for p in range(span) if p % 3 != r] for r in range(3)]
-
-
-def _keys(w: Column, at: Column, span: int) -> Column:
-    """The seed of each mask at position ``at`` (from 0) of the hashed words."""
-    return F.array(*[F.xxhash64(F.lit(r), *[F.get(w, at + p) for p in m]) for r, m in enumerate(masks(span))])
-
-
-def _seeds(rows: DataFrame, id_cols: list[str], span: int, step: int) -> DataFrame:
-    last = F.size("w") - span
-    each = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.struct(i.alias("pos"), _keys(F.col("w"), i, span).alias("keys")))
-    at = rows.where(last >= 0).select(*id_cols, F.inline(each))
-    return at.select(*id_cols, "pos", F.explode("keys").alias("key"))
+def masks(size: int, subs: int) -> list[list[int]]:
+    """Word positions to look at, from 0.  Whichever ``subs`` of ``size`` words are substituted, some mask fits in somewhere without meeting them."""
+    if subs == 0:
+        return [list(range(size))]
+    m = subs + 2
+    if size < 2 * m:  # one free class of subs + 1
+        return [[p * (subs + 1) for p in range(size // (subs + 1))]]
+    return [[p for p in range(size - m + 1) if p % m in (0, d)] for d in range(1, m // 2 + 1)]
 
 
-def _whole(rows: DataFrame, id_cols: list[str], length: int) -> DataFrame:
-    """Every run of ``length`` words as one key."""
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-length), *[F.get(F.col("w"), i + p) for p in range(length)]).alias("key")))
-    return rows.where(F.size("w") >= length).select(*id_cols, F.inline(runs))
+def _seeds(rows: DataFrame, id_cols: list[str], mask: list[int]) -> DataFrame:
+    """The words under ``mask`` at every position (from 0) of the hashed words, as one key."""
+    last = F.size("w") - mask[-1] - 1
+    name = F.lit(",".join(map(str, mask)))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(name, *[F.get("w", i + p) for p in mask]).alias("key")))
+    return rows.where(last >= 0).select(*id_cols, F.inline(each))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -53,19 +51,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 10, step: int = 4, window: int = 13, max_subs: int = 2, min_item: int = 5) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_subs: int = 2, min_item: int = 5) -> DataFrame:
     """doc_id, doc_key, item_id, doc_start (word), n_words, n_matched for each document and item that overlap."""
     doc_key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
     items = staged(benchmark.select("item_id", F.xxhash64("item_id", F.coalesce("text", F.lit(""))).alias("item_key"), hashed.alias("w")).where(F.size("w") >= min_item).dropDuplicates(["item_key"]), "items")
-    short = [r[0] for r in items.where(F.size("w") < span).select(F.size("w")).distinct().collect()]  # fewer than span values
+    # each length under the window has masks of its own: fewer than ``window`` values
+    sizes = [r[0] for r in items.select(F.least(F.lit(window), F.size("w")).alias("n")).distinct().orderBy("n").collect()] or [window]
     # hashed once: as a written column the words are not worked out again wherever an expression names them
     texts = staged(docs.select("doc_id", doc_key.alias("doc_key"), hashed.alias("w")), "words")
-    seeds = _seeds(items, ["item_key"], span, 1)
-    found = _seeds(texts, ["doc_key"], span, step)
-    for n in short:
-        seeds = seeds.unionByName(_whole(items.where(F.size("w") == n), ["item_key"], n))
-        found = found.unionByName(_whole(texts, ["doc_key"], n))
+    seeds = [(items.where(F.least(F.lit(window), F.size("w")) == n), mask) for n in sizes for mask in masks(n, n * max_subs // window)]
+    found = reduce(DataFrame.unionByName, [_seeds(texts, ["doc_key"], mask) for _, mask in {str(m): (0, m) for _, m in seeds}.values()])
+    seeds = reduce(DataFrame.unionByName, [_seeds(rows, ["item_key"], mask) for rows, mask in seeds])
     seeds = staged(seeds.withColumnRenamed("pos", "item_pos"), "seeds")
     hits = found.join(_small(seeds), "key").select("doc_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = staged(hits, "hits")

@@ -1,6 +1,7 @@
 """Each operator on small tables: brute force, round trips, nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -128,6 +129,43 @@ def test_decontamination(spark, docs):
     assert decontam.overlaps(df.limit(0), bench).count() == 0 and decontam.overlaps(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", range(1, 20))
+def test_decontamination_masks_leave_nothing_out(size):
+    for subs in range(min(size, 4)):
+        for gone in itertools.combinations(range(size), subs):
+            assert any(all(at + p not in gone for p in m) for m in decontam.masks(size, subs) for at in range(size - m[-1]))
+
+
+def test_decontamination_is_the_overlap_rule(spark):
+    """Items of all lengths and passages with substitutions at all alignments, against the rule itself."""
+    r = random.Random(3)
+    items = {n: prose(100 + n, n).split() for n in [*range(5, 17), 30]}
+    rows = []
+    for n, w in items.items():
+        for lead in range(4):
+            rows.append(prose(r.random(), 20 + lead).split() + w + prose(r.random(), 9).split())
+            for subs in (1, 2, 3):
+                x = list(w)
+                for at in r.sample(range(n), subs):
+                    x[at] = "other"
+                rows.append(prose(r.random(), 20 + lead).split() + x + prose(r.random(), 9).split())
+    for lead in range(4):  # each 5th word replaced
+        rows.append(prose(r.random(), 20 + lead).split() + ["other" if i % 5 == 4 else x for i, x in enumerate(items[30])])
+
+    def overlap(d, w):
+        size = min(13, len(w))
+        for shift in range(-len(w), len(d)):
+            same = [d[j + shift] == w[j] for j in range(max(0, -shift), min(len(w), len(d) - shift))]
+            if any(sum(same[s : s + size]) >= size - size * 2 // 13 for s in range(len(same) - size + 1)):
+                return True
+        return False
+
+    want = {(i, n) for i, d in enumerate(rows) for n, w in items.items() if overlap(d, w)}
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.overlaps(df, bench).collect()} == want and len(want) > 100
+
+
 def test_language(spark):
     r = random.Random(4)
     syl = {"aa": ["ba", "be", "bo"], "bb": ["xi", "xu", "zy"]}
