@@ -30,6 +30,7 @@ from .common import staged, text_chunks, utf8_buffer
 
 BUCKETS = 1 << 14
 BLOCK = 1 << 10
+HELD = 128  # languages counted at once in a task: 16 MB, and as much for a chunk of texts
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -52,10 +53,9 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return bucket[inside[:-2]], np.concatenate([[0], np.cumsum(size)])
 
 
-def languages(docs: DataFrame, label: str, least_share: float = 0.001, most: int = 200) -> list[str]:
-    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(most).collect()
-    total = sum(r[1] for r in counts)
-    return sorted(r[0] for r in counts if r[1] >= least_share * total)
+def languages(docs: DataFrame, label: str) -> list[str]:
+    """Every label, however rare."""
+    return sorted(r[0] for r in docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string")).distinct().collect())
 
 
 def train(docs: DataFrame, label: str, text: str = "text", alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
@@ -64,16 +64,23 @@ def train(docs: DataFrame, label: str, text: str = "text", alpha: float = 0.5) -
     index = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             labels = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()])
             for at, to in text_chunks(batch.column(0), 1 << 22):
                 bucket, offsets = _trigrams(*utf8_buffer(batch.column(0).slice(at, to - at)))
-                rows = np.repeat(labels[at:to], np.diff(offsets))
-                ok = rows >= 0
-                total += np.bincount(rows[ok] * BUCKETS + bucket[ok], minlength=total.size).reshape(total.shape)
-        if total.any():
-            yield _blocks(total)
+                here, row = np.unique(labels[at:to], return_inverse=True)
+                rows = np.repeat(row, np.diff(offsets))
+                for g in range(0, len(here), HELD):
+                    some = here[g : g + HELD]
+                    ok = (rows >= g) & (rows < g + HELD)
+                    counted = np.bincount((rows[ok] - g) * BUCKETS + bucket[ok], minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+                    if len(sums) + len(some) > HELD:
+                        yield _blocks(sums)
+                        sums = {}
+                    sums.update((k, sums.get(k, 0) + n) for k, n in zip(some.tolist(), counted, strict=True) if k >= 0)
+        if sums:
+            yield _blocks(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -93,9 +100,11 @@ def train(docs: DataFrame, label: str, text: str = "text", alpha: float = 0.5) -
     return names, np.vstack([known, np.full((1, BUCKETS), -np.log(BUCKETS))])
 
 
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    parts = total.reshape(-1, BLOCK)
-    return pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(parts))), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+def _blocks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """The blocks that have counts; block numbers go through the languages in order."""
+    each = BUCKETS // BLOCK
+    parts = [(k * each + i, part) for k, v in sums.items() for i, part in enumerate(v.astype(np.int64).reshape(each, BLOCK)) if part.any()]
+    return pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in parts], pa.int64()), "counts": pa.array([p.tobytes() for _, p in parts], pa.binary())})
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], strength: int) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,23 @@ def test_language(spark):
     assert parts.asDict() == {"declared": "de", "suffix": "de", "host": "m.site.example.de", "domain": "example.de"}
 
 
+def test_language_models_of_all_labels(spark):
+    """More labels than 200, each with less than a thousandth of the rows, beside one large language."""
+    r = random.Random(5)
+    syl = {f"l{k:03}": ["".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(3)) for _ in range(3)] for k in range(220)} | {"big": ["oa", "ea", "ui"]}
+    rows = [(k, "".join(r.choice(" a") + r.choice(syl[k]) for _ in range(60))) for k in [*syl, *["big"] * 1100]]
+    df = spark.createDataFrame([(i, t, k, None) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    model = langid.train(df, "lang")
+    assert model[0] == sorted(syl)
+    texts = {k: [t for x, t in rows if x == k] for k in syl}
+    for i, k in enumerate(model[0]):
+        bucket, _ = langid._trigrams(*langid.utf8_buffer(pa.array(texts[k])))
+        n = np.bincount(bucket, minlength=langid.BUCKETS) + 0.5
+        assert np.allclose(model[1][i], np.log(n / n.sum()))
+    got = {x.doc_id: x for x in langid.identify(df, model, "doc_id", **langid.document_parts()).collect()}
+    assert len(got) == len(rows) and all(got[i].language == k and got[i].accepted for i, (k, _) in enumerate(rows))
+
+
 def grams(t, n=5):
     import re
 
