@@ -5,11 +5,13 @@ block, then the blocks.  A block holds ``BLOCK`` ids (a multiple of 64, so each
 ``width`` bits each, lowest bits first.  Any id range is read by unpacking only the blocks that it touches.
 
 ``write_shards`` stores shards as rows of a Parquet table (``part``, ``seq``, ``first_id``, ``n_docs``, ``n_ids``,
-``shard``): Spark's commit protocol then covers the files, and any store that Spark reaches will do.  Documents are in
-ascending ``doc_id`` order over (part, seq).
+``low_doc``, ``high_doc``, ``shard``): Spark's commit protocol then covers the files, and any store that Spark reaches will
+do.  Documents are in ascending ``doc_id`` order over (part, seq).  ``read_documents`` reads all of them, ``lookup`` some,
+from the shards whose range of ids holds them and of these only the blocks.
 
 Edge cases: a null or empty text has only the end id; null ``doc_id`` sorts first and is kept as null; repeated ids and
-rows are kept, each with its own ids (ties in order of the text); an empty table gives no shard; other columns are ignored.
+rows are kept, each with its own ids (ties in order of a hash of the text, then the text, so that one id may fill many
+partitions); an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partition_id, text_chunks, texts_of
+from .common import lean, partition_id, text_chunks, texts_of
 
 MAGIC = b"GLTK"
 HEADER = struct.Struct("<4sHHQQQ")  # magic, version, width, documents, ids, ids a block
 BLOCK = 1 << 16
 SHARD_IDS = 1 << 21
 SHARD_DOCS = 1 << 16
-SHARD_SCHEMA = "part int, seq int, first_id long, n_docs long, n_ids long, shard binary"
+SHARD_SCHEMA = "part int, seq int, first_id long, n_docs long, n_ids long, low_doc long, high_doc long, shard binary"
 
 
 def min_bits(vocab_size: int) -> int:
@@ -126,8 +128,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         def flush() -> pa.RecordBatch:
             data = build_shard(doc_ids, np.concatenate(ends), np.concatenate(held), width)
+            some = [d for d in doc_ids if d is not None]
+            low, high = (pa.array([f(some) if some else None], pa.int64()) for f in (min, max))
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_id": [first], "n_docs": [len(doc_ids)], "n_ids": [n], "shard": pa.array([data], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_id": [first], "n_docs": [len(doc_ids)], "n_ids": [n], "low_doc": low, "high_doc": high, "shard": pa.array([data], pa.binary())}
             )
 
         for batch in batches:
@@ -145,15 +149,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()) if _has_ties(rows) else rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
-
-
-def _has_ties(rows: DataFrame) -> bool:
-    """Whether one doc_id holds enough rows to fill a partition of its own."""
-    most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0]
-    return (most or 0) > 10_000
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text").asc_nulls_first()]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
+    rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(lean(encode), SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -193,4 +191,20 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, shard.n_ids).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return shards.select("part", "first_id", "shard").mapInArrow(decode, schema)
+    return shards.select("part", "first_id", "shard").mapInArrow(lean(decode), schema)
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the given documents (one row for each that holds the id), unpacked from their blocks alone."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+    low, high = (int(wanted[0]), int(wanted[-1])) if len(wanted) else (0, -1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                shard = Shard(data.as_buffer().to_pybytes())
+                rows = np.flatnonzero(shard.present & np.isin(shard.doc_ids, wanted)).tolist()
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids[rows].astype(np.int64)), "ids": pa.array([shard.doc(k).astype(np.int32) for k in rows], pa.list_(pa.int32()))})
+
+    near = read_shards(spark, path).where((F.col("low_doc") <= high) & (F.col("high_doc") >= low)).select("shard")
+    return near.mapInArrow(find, "doc_id long, ids array<int>")

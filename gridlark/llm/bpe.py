@@ -1,8 +1,10 @@
 """Byte-level BPE with a cache of words.
 
 A byte-level BPE tokenizer splits a text into pretokens and never merges across them.  A space that stands before a
-non-space always begins a pretoken, so a text can be cut there and each piece encoded alone; natural text repeats its
-words, so pieces are encoded once per worker and looked up afterwards.  The ids are those of ``Tokenizer.encode``.
+non-space always begins a pretoken, and so does ASCII punctuation after a Latin letter, so a text can be cut there and
+each piece encoded alone.  Natural text repeats its words, and words with different punctuation repeat their stems, so
+pieces are encoded once per worker and looked up afterwards.  The ids are those of ``Tokenizer.encode``; texts that hold
+a control string (an added token such as ``<|endoftext|>``) are left to it whole.
 """
 
 from __future__ import annotations
@@ -12,43 +14,56 @@ import re
 
 import numpy as np
 
-_UNEVEN = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r" (?=\S)")
+#: Latin letters before a cut, or else whatever stands before the next space that begins a word.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[!-/:-@\[-`{-~]| \S|$)|[\s\S][^ ]*(?: (?!\S)[^ ]*)*")
 
 
-class _Rows(dict):
-    """word -> row; new words are noted for the next bulk call."""
+class _Numbered(dict):
+    """text -> number from 0; texts met for the first time are numbered on and noted."""
 
-    def __init__(self, owner: WordEncoder, prefix: str):
+    def __init__(self):
         super().__init__()
-        self.owner, self.prefix = owner, prefix
+        self.new: list[str] = []
+        self.chars = self.new_chars = 0
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.new.append(text)
+        self.new_chars += len(text)
+        return n
+
+    def settle(self, keep: bool) -> None:
+        """The new texts stay or are forgotten."""
+        if keep:
+            self.chars += self.new_chars
+        else:
+            for text in self.new:
+                del self[text]
+        self.new, self.new_chars = [], 0
+
 
-    def __missing__(self, word: str) -> int:
-        pending = self.owner.pending
-        self[word] = row = self.owner.n_rows + len(pending)
-        pending.append((self, word))
-        return row
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 class WordEncoder:
-    """Words beyond ``max_rows`` are encoded anew in each call, so memory stays bounded."""
+    """At most ``max_rows`` pieces and ``max_chars`` characters of them are kept; others are encoded anew in each call."""
 
-    def __init__(self, path: str, max_rows: int = 500_000):
+    def __init__(self, path: str, max_rows: int = 500_000, max_chars: int = 8_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.spaced = np.zeros(self.vocab_size, bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = token.startswith("\u0120")
-        self.max_rows = max_rows
-        self.first, self.later = _Rows(self, ""), _Rows(self, " ")
-        self.pending: list[tuple[_Rows, str]] = []
-        self.n_rows = self.n_ids = 0
+            self.spaced[i] = token.startswith("Ġ")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("|".join(map(re.escape, added))) if added else None
+        self.max_rows, self.max_chars = max_rows, max_chars
+        self.pieces = _Numbered()
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
+        self.flat, self.n_ids = np.zeros(4096, np.uint32), 0
 
     def _bulk(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and how many each has."""
@@ -62,47 +77,41 @@ class WordEncoder:
         return np.fromiter((i for x in each for i in x), np.uint32, int(size.sum())), size
 
     def _fill(self) -> None:
-        order = sorted(range(len(self.pending)), key=lambda k: (p := self.pending[k])[0] is self.first or " " in p[1])
-        need = self.n_rows + len(order)
-        while len(self.start) < need:
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        plain = sum(1 for d, w in self.pending if d is self.later and " " not in w)
-        for lo, hi in [(k, min(k + 2048, end)) for begin, end in ((0, plain), (plain, len(order))) for k in range(begin, end, 2048)]:
-            ids, size = self._bulk([d.prefix + w for d, w in (self.pending[k] for k in order[lo:hi])])
-            while len(self.flat) < self.n_ids + len(ids):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.n_ids : self.n_ids + len(ids)] = ids
-            rows = self.n_rows + np.array(order[lo:hi])
-            self.length[rows] = size
-            self.start[rows] = self.n_ids + np.cumsum(size) - size
-            self.n_ids += len(ids)
+        """Ids of the new pieces."""
+        n, new = len(self.pieces), self.pieces.new
+        self.start, self.length = _grown(self.start, n), _grown(self.length, n)
+        plain = [k for k, p in enumerate(new) if p[:1] == " " and p.count(" ") == 1]
+        odd = sorted(set(range(len(new))).difference(plain))
+        for group in (plain, odd):
+            for k in range(0, len(group), 2048):
+                some = group[k : k + 2048]
+                ids, size = self._bulk([new[i] for i in some])
+                self.flat = _grown(self.flat, self.n_ids + len(ids))
+                self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+                rows = n - len(new) + np.array(some)
+                self.length[rows] = size
+                self.start[rows] = self.n_ids + np.cumsum(size) - size
+                self.n_ids += len(ids)
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in order (each text followed by ``end_id``, if given) and ``len(texts) + 1`` offsets."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         rows: list[np.ndarray] = []
-        n_words, known_ids = np.zeros(len(texts), np.int64), self.n_ids
-        for k, t in enumerate(texts):
-            words = _CUT.split(t) if _UNEVEN.search(t) else t.split(" ")
-            n_words[k] = len(words)
-            r = np.empty(len(words), np.int64)
-            r[0] = self.first[words[0]]
-            r[1:] = np.fromiter(map(self.later.__getitem__, words[1:]), np.int64, len(words) - 1)
-            rows.append(r)
+        known_ids, look = self.n_ids, self.pieces.__getitem__
+        for t in texts:
+            pieces = [t] if self.control and self.control.search(t) else _PIECE.findall(t)
+            rows.append(np.fromiter(map(look, pieces), np.int64, len(pieces)))
         self._fill()
         at = np.concatenate(rows)
         length = self.length[at]
-        ends = np.cumsum(length)
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
-        ids = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(int(ends[-1]))]
-        if self.n_rows + len(self.pending) <= self.max_rows:
-            self.n_rows += len(self.pending)
-        else:
+        ends = np.concatenate([[0], np.cumsum(length)])
+        offsets = ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], length) + np.arange(int(ends[-1]))]
+        keep = len(self.pieces) <= self.max_rows and self.pieces.chars + self.pieces.new_chars <= self.max_chars
+        self.pieces.settle(keep)
+        if not keep:
             self.n_ids = known_ids
-            for d, w in self.pending:
-                del d[w]
-        self.pending = []
         if end_id is not None:
             ids = np.insert(ids, offsets[1:], np.uint32(end_id))
             offsets = offsets + np.arange(len(texts) + 1)

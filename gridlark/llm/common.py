@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
+CHUNK = 1 << 18
+BROADCAST_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of this process where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all runs in one process (tests), a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="spark-")
@@ -42,14 +51,67 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those written by the function that this yields."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        path = paths.pop()
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(prefix: str, *taken: list[str]) -> str:
+    """A column name that none of the lists holds, whatever the case of their letters."""
+    used = {c.lower() for names in taken for c in names}
+    return next(n for n in (f"{prefix}{i or ''}" for i in range(len(used) + 1)) if n.lower() not in used)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """A broadcast hint for a written table whose rows, of so many bytes each, are known to be few; otherwise Spark shuffles both sides."""
+    total = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function that at its end hands freed memory back, as the worker lives on and the next stage has other needs."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def text_chunks(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about ``limit`` bytes each (one row at least)."""
     n = len(col)
     if n == 0:

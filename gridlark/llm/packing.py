@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partition_id, staged, text_chunks, texts_of
+from .common import lean, partition_id, staged, text_chunks, texts_of
 
 PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, rank_in_part long"
 
@@ -68,7 +68,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | Non
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def _classes(count: np.ndarray, capacity: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, **options) -> DataFrame
 
     schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
     ranked = pieces.join(bases, ["part", "length"]).select(*names, (F.col("rank_base") + F.col("rank_in_part")).alias("rank"))
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -48,40 +48,68 @@ def test_pack_round_trip(width):
     assert (shard.ids(0, 1000) == ids).all() and (shard.ids(63, 130) == ids[63:130]).all() and (shard.doc(1) == ids[400:]).all()
 
 
-def test_words_encode_like_the_library():
-    e = bpe.WordEncoder(bpe.default_path(), max_rows=50)
-    texts = ["", " lead", "a  b", "tab\t x\n\n y ", "it's <|endoftext|> ok", prose(1, 200), "café   x"]
+def fresh():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+ODD = ["", " lead", "a  b", "tab\t x\n\n y ", "it's <|endoftext|> ok", "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>x", prose(1, 200), "café   x", "word,next.one: 'tis x'll (é) ½ a1,b", "trail  ", "\n \n", "x\u00a0y, z\u3000 w"]
+
+
+@pytest.mark.parametrize("rows, chars", [(50, 10**6), (10**6, 300), (10**6, 10**6)])
+def test_words_encode_like_the_library(rows, chars):
+    e, tok = bpe.WordEncoder(bpe.default_path(), max_rows=rows, max_chars=chars), fresh()
+    r = random.Random(9)
+    parts = ["a", "Bé", " ", "  ", "\n", "'s", "'", "<|endoftext|>", "<|endo", "$", "1", "²", "中", "_", "-", ".", "İ", "🙂", "\u00a0"]
+    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(300)]
     for _ in range(2):
         ids, at = e.encode(texts, 9)
         for k, t in enumerate(texts):
-            assert ids[at[k] : at[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [9]
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids + [9]
+
+
+def with_odd(spark, docs):
+    return docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
 
 
 def test_shards(spark, docs):
+    docs = with_odd(spark, docs)
     path = new_path(spark, "t")
     bitpack.write_shards(docs, path)
     got = bitpack.read_documents(spark, path, with_ids=True).orderBy("start").collect()
-    tok = bpe.encoder().tokenizer
+    tok = fresh()
     want = [(i, tok.encode(t, add_special_tokens=False).ids + [2]) for i, t in sorted(raw(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
     assert [(r.doc_id, r.ids, r.n_tokens) for r in got] == [(i, x, len(x)) for i, x in want]
     assert [r.start for r in got] == list(np.cumsum([0] + [len(x) for _, x in want])[:-1])
-    assert got[0].ids_crc32 == zlib.crc32(np.array(got[0].ids, "<u4").tobytes())
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got]
+    some = sorted((r.doc_id, r.ids) for r in bitpack.lookup(spark, path, [7, 2, 105, 999]).collect())
+    assert some == sorted((i, x) for i, x in want if i in (7, 2, 105)) and len(some) == 4
+    assert bitpack.lookup(spark, path, []).count() == 0
     none = new_path(spark, "t")
     bitpack.write_shards(empty(spark), none)
     assert bitpack.read_documents(spark, none).count() == 0
 
 
 def test_packing(spark, docs):
+    """All columns of the contract against the library's own tokens, cut here."""
+    docs = with_odd(spark, docs)
     got = packing.pack_documents(docs, capacity=256, with_ids=True).collect()
-    tok = bpe.encoder().tokenizer
-    assert sum(r.length for r in got) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in raw(docs))
+    tok, want = fresh(), []
+    for i, t in raw(docs):
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        head = len(ids) - (-(-len(ids) // 256) - 1) * 256
+        cuts = [0, *range(head, len(ids) + 1, 256)]
+        want += [(i or -1, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
+    assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
     seqs = {}
     for r in got:
-        assert len(r.ids) == r.length <= 256
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for s in seqs.values():
         s.sort()
         assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s])[:-1]) and sum(n for _, n in s) <= 256
+    assert len(seqs) <= -(-sum(r.length for r in got) // 256) + 1
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
