@@ -19,9 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
-BROADCAST_ROWS = 400_000  # of two or three longs each: under 20 MB
+from .common import broadcast_if_small, free_name, staged
 
 
 def words(text: Column) -> Column:
@@ -46,11 +44,6 @@ def _seeds(rows: DataFrame, id_cols: list[str], mask: list[int]) -> DataFrame:
     return rows.where(last >= 0).select(*id_cols, F.inline(each))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint only if the table is known to be small; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_subs: int = 2, min_item: int = 5) -> DataFrame:
     """doc_id, doc_key, item_id, doc_start (word), n_words, n_matched for each document and item that overlap."""
     doc_key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
@@ -64,11 +57,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_subs:
     found = reduce(DataFrame.unionByName, [_seeds(texts, ["doc_key"], mask) for _, mask in {str(m): (0, m) for _, m in seeds}.values()])
     seeds = reduce(DataFrame.unionByName, [_seeds(rows, ["item_key"], mask) for rows, mask in seeds])
     seeds = staged(seeds.withColumnRenamed("pos", "item_pos"), "seeds")
-    hits = found.join(_small(seeds), "key").select("doc_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = found.join(broadcast_if_small(seeds, 24), "key").select("doc_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = staged(hits, "hits")
 
     # the words of the documents that were hit, beside those of the item
-    which = _small(hits.join(F.broadcast(items) if items.count() <= 10_000 else items, "item_key").select("doc_key", "item_key", "item_id", "shift", F.col("w").alias("item_w")))
+    with_words = F.size("w") * 8 + 32
+    which = hits.join(broadcast_if_small(items, with_words), "item_key").select("doc_key", "item_key", "item_id", "shift", F.col("w").alias("item_w"))
+    which = broadcast_if_small(staged(which, "items-hit"), F.size("item_w") * 8 + 32)
     near = texts.join(which, "doc_key")
     first, stop = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item_w"), F.size("w") - F.col("shift"))
     aligned = near.where(stop > first).withColumn("first", first).withColumn(
@@ -88,6 +83,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_subs:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that overlap no benchmark item."""
-    bad = staged(overlaps(docs, benchmark, **options).select("doc_key").distinct(), "leaks")
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    return docs.join(_small(bad.withColumnRenamed("doc_key", "_leak")), key == F.col("_leak"), "left_anti")
+    key = free_name("_key", docs.columns)
+    bad = staged(overlaps(docs, benchmark, **options).select(F.col("doc_key").alias(key)).distinct(), "leaks")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return keyed.join(broadcast_if_small(bad, 16), key, "left_anti").drop(key)

@@ -29,13 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, staged, text_chunks, texts_of
+from .common import broadcast_if_small, free_name, lean, splitmix, staged, text_chunks, texts_of
 from .graph import components
 
 #: Classes that meet in one task at most twice over, and pairs compared at a time.
 BLOCK, PAIRS = 256, 1 << 14
-#: Rows of three numbers that may be broadcast (24 MB) to find their texts; more are joined by shuffle.
-WANTED = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -54,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -125,7 +123,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "text_key", "set_key", "n_grams", "signature", "odd"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key long, set_key long, n_grams long, signature binary, odd binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(sign), "doc_id long, text_key long, set_key long, n_grams long, signature binary, odd binary")
 
 
 def placed(classes: DataFrame, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +235,7 @@ def candidates(verts: DataFrame, places: DataFrame, bands: int, rows: int, thres
         if size:
             yield listed(found)
 
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "p long, q long, a array<long>, b array<long>")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(meet), "p long, q long, a array<long>, b array<long>")
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -245,12 +243,13 @@ def _sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.unique(np.asarray(batch.column(0)), return_index=True)[1]))  # copies have one set
             for at, to in text_chunks(batch.column(2)):
                 sets = gram_sets(texts_of(batch.column(2), at, to), n)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "size", "grams"])
 
     texts = docs.select(F.xxhash64("text").alias("_t"), F.col("text").cast("string").alias("text")).join(members, "_t")
-    return texts.select("v", "size", "text").mapInArrow(grams, "v long, size long, grams binary").dropDuplicates(["v"])
+    return texts.select("v", "size", "text").mapInArrow(lean(grams), "v long, size long, grams binary").dropDuplicates(["v"])
 
 
 def link_counts(docs: DataFrame, classes: DataFrame, n: int, threshold: float, bands: int, rows: int, block: int) -> DataFrame:
@@ -262,9 +261,7 @@ def link_counts(docs: DataFrame, classes: DataFrame, n: int, threshold: float, b
     pairs = staged(candidates(verts, places, bands, rows, threshold), "candidates")
     used = staged(pairs.select("p", "q", F.explode(F.array_distinct(F.concat("a", "b"))).alias("v")).distinct(), "used-classes")
     members = staged(verts.join(used.select("v").distinct(), "v").select("v", "size", F.col("text_key").alias("_t")), "members")
-    if members.count() <= WANTED:
-        members = F.broadcast(members)
-    sets = staged(_sets_of(docs, members, n), "gram-sets")
+    sets = staged(_sets_of(docs, broadcast_if_small(members, 16), n), "gram-sets")
     brought = used.join(sets, "v").select("p", "q", F.lit(0).alias("kind"), "v", "size", "grams", F.lit(None).cast("array<long>").alias("a"), F.lit(None).cast("array<long>").alias("b"))
     asked = pairs.select("p", "q", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("grams"), "a", "b")
 
@@ -308,7 +305,7 @@ def link_counts(docs: DataFrame, classes: DataFrame, n: int, threshold: float, b
             yield ended()
 
     together = brought.unionByName(asked).repartition("p", "q").sortWithinPartitions("p", "q", "kind")
-    return together.mapInArrow(verify, "v long, near long, root long")
+    return together.mapInArrow(lean(verify), "v long, near long, root long")
 
 
 def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
@@ -333,7 +330,6 @@ def join_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """All columns of one document of each class: the one whose doc_id is the class id (of several such rows, one)."""
     found = staged(join_documents(docs, **options), "classes-of-documents")
-    text_key = F.xxhash64(F.col("text").cast("string"))
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids that repeat: one row for each text, and one text for each class
         docs = docs.dropDuplicates(["doc_id", "text"])
         least = found.where("doc_id <=> class_id").groupBy("class_id", "has_words").agg(F.min("text_key").alias("least_key"))
@@ -341,5 +337,7 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
         gone = ~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("has_words") & (F.col("text_key") != F.col("least_key")))
     else:
         gone = ~F.col("doc_id").eqNullSafe(F.col("class_id"))
-    drop = staged(found.where(gone).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct(), "near-copies")
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key == F.col("_t")), "left_anti")
+    key = free_name("_key", docs.columns)
+    drop = staged(found.where(gone).select(F.xxhash64("doc_id", "text_key").alias(key)).distinct(), "near-copies")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return keyed.join(drop, key, "left_anti").drop(key)

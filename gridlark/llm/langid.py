@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import staged, text_chunks, utf8_buffer
+from .common import free_name, lean, staged, text_chunks, utf8_buffer
 
 BUCKETS = 1 << 14
 BLOCK = 1 << 10
-HELD = 128  # languages counted at once in a task: 16 MB, and as much for a chunk of texts
+HELD = 128  # languages counted at once in a task: 16 MB
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -67,7 +67,7 @@ def train(docs: DataFrame, label: str, text: str = "text", alpha: float = 0.5) -
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             labels = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()])
-            for at, to in text_chunks(batch.column(0), 1 << 22):
+            for at, to in text_chunks(batch.column(0)):
                 bucket, offsets = _trigrams(*utf8_buffer(batch.column(0).slice(at, to - at)))
                 here, row = np.unique(labels[at:to], return_inverse=True)
                 rows = np.repeat(row, np.diff(offsets))
@@ -91,7 +91,7 @@ def train(docs: DataFrame, label: str, text: str = "text", alpha: float = 0.5) -
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
     schema = "block long, counts binary"
-    counts = docs.select(F.col(text).cast("string"), F.col(label).cast("string")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    counts = docs.select(F.col(text).cast("string"), F.col(label).cast("string")).mapInArrow(lean(count), schema).repartition("block").mapInArrow(lean(add), schema)
     total = np.zeros(len(names) * BUCKETS, np.int64)
     for k, data in counts.collect():
         total[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(data, np.int64)
@@ -116,7 +116,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], strength
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(len(keep))
-            for at, to in text_chunks(text, 1 << 20):
+            for at, to in text_chunks(text):
                 bucket, offsets = _trigrams(*utf8_buffer(text.slice(at, to - at)))
                 n = np.diff(offsets)
                 out = np.zeros((to - at, table.shape[1]))
@@ -129,7 +129,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], strength
                 cols = [batch.column(i).slice(at, to - at) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n), evidence], names=[*keep, "n_trigrams", "evidence"])
 
-    return rows.mapInArrow(score, rows.select(*keep).schema.add("n_trigrams", "long").add("evidence", ArrayType(DoubleType())))
+    return rows.mapInArrow(lean(score), rows.select(*keep).schema.add("n_trigrams", "long").add("evidence", ArrayType(DoubleType())))
 
 
 def _argmax(a: Column) -> Column:
@@ -191,6 +191,11 @@ def _mix(counts: Column, towards: Column, strength: float) -> Column:
     return F.zip_with(counts, towards, lambda n, p: (n + p * strength) / (total + strength))
 
 
+def plain_text(html: Column) -> Column:
+    """What a web page says, without scripts, styles and tags."""
+    return F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+
+
 def page_parts(url: Column, html: Column) -> dict[str, Column]:
     """Declared language, address suffix, host and domain of a web page."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -210,8 +215,8 @@ def document_parts() -> dict[str, Column]:
 
 def accepted_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_row", key)
-    judged = identify(keyed, train(docs, "lang"), "_row", **document_parts(), **options)
-    rejected = judged.where(~F.col("accepted")).select("_row").distinct()
-    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
+    row = free_name("_row", docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "lang", "source"))
+    judged = identify(keyed, train(docs, "lang"), row, **document_parts(), **options)
+    rejected = judged.where(~F.col("accepted")).select(row).distinct()
+    return keyed.join(rejected, row, "left_anti").drop(row)

@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
 A line is dropped if the input has an earlier line (smaller doc_id, or earlier in the same document) that is equal to it
-or, for lines of ``near_bytes`` or more, within ``threshold`` edits of UTF-8 bytes.  Blank lines always stay.
+or near it: at most one edit of UTF-8 bytes apart for each ``bytes_per_edit`` bytes of the shorter one, and never more than
+``threshold``.  With the usual 20 bytes and two edits, a line of 20 to 39 bytes can have one edit, a longer one two; under
+20 bytes lines must be equal, since two edits make another word of a short one.  Blank lines always stay.
 
 Distinct lines are split into ``threshold + 1`` segments; a line within the threshold shares one of them.  Each line is
 an index row for each of its segments and probes, for every shorter or equal length in reach, the few substrings that
@@ -10,7 +12,8 @@ crowded hashes meet by their content (see ``near_lines``).  The pairs are verifi
 inside the band of ``threshold`` diagonals.
 
 Edge cases: null texts have no lines; null doc_ids sort first; repeated rows with the same doc_id and text share one
-decision (the first row's lines and the others' are equally early, so they all stay or all go); an empty table gives no
+decision (the first row's lines and the others' are equally early, so they all stay or all go); of rows with one doc_id
+and different texts the order is that of a hash of the text; very long lines are compared whole; an empty table gives no
 rows; other columns pass through ``deduplicated`` unharmed, whatever their names.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_buffer, splitmix, staged, text_chunks, utf8_buffer
+from .common import bytes_buffer, free_name, lean, splitmix, staged, text_chunks, utf8_buffer
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -86,7 +89,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             present = batch.filter(batch.column(2).is_valid())
-            for at, to in text_chunks(present.column(2), 1 << 22):
+            for at, to in text_chunks(present.column(2)):
                 data, offsets = utf8_buffer(present.column(2).slice(at, to - at))
                 doc, number, start, stop = _lines(data, offsets)
                 dark = np.concatenate([[0], np.cumsum((data != 32) & (data != 9) & (data != 13))])
@@ -97,7 +100,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                     [present.column(0).take(row), present.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(key.view(np.int64), mask=blank)], names=["doc_id", "doc_key", "line_no", "line_key"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("k"), F.col("text").cast("string")).mapInArrow(split, "doc_id long, doc_key long, line_no int, line_key long")
+    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("k"), F.col("text").cast("string")).mapInArrow(lean(split), "doc_id long, doc_key long, line_no int, line_key long")
 
 
 def probe_plan(threshold: int) -> list[tuple[int, int, int]]:
@@ -117,12 +120,12 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - (parts - extra)), size + (i >= parts - extra)
 
 
-def _near_candidates(batch: pa.RecordBatch, near_bytes: int) -> Iterator[tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]]:
+def _near_candidates(batch: pa.RecordBatch, bytes_per_edit: int) -> Iterator[tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]]:
     """Substring hashes, keys, starts and lengths of the distinct long lines of a batch of texts, chunk by chunk."""
-    for at, to in text_chunks(batch.column(0), 1 << 22):
+    for at, to in text_chunks(batch.column(0)):
         data, offsets = utf8_buffer(batch.column(0).slice(at, to - at))
         _, _, start, stop = _lines(data, offsets)
-        ok = stop - start >= near_bytes
+        ok = stop - start >= bytes_per_edit
         start, stop = start[ok], stop[ok]
         if len(start):
             sub = Substrings(data)
@@ -130,7 +133,7 @@ def _near_candidates(batch: pa.RecordBatch, near_bytes: int) -> Iterator[tuple[S
             yield sub, key, start[one], (stop - start)[one]
 
 
-def segment_keys(docs: DataFrame, threshold: int, near_bytes: int, wanted: np.ndarray | None = None) -> DataFrame:
+def segment_keys(docs: DataFrame, threshold: int, bytes_per_edit: int, wanted: np.ndarray | None = None) -> DataFrame:
     """key, line_key, probe: what a line offers (its segments) and looks for (substrings), once for each distinct line of
     a batch.  ``wanted`` (sorted) leaves other keys out."""
     parts = threshold + 1
@@ -139,12 +142,12 @@ def segment_keys(docs: DataFrame, threshold: int, near_bytes: int, wanted: np.nd
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub, key, start, length in _near_candidates(batch, near_bytes):
+            for sub, key, start, length in _near_candidates(batch, bytes_per_edit):
                 for probe, gap, i, shift in plan:
                     other = length - gap
                     p, size = segment(other, i, parts)
                     p = p + shift
-                    ok = (other >= near_bytes) & (p >= 0) & (p + size <= length)
+                    ok = (other >= bytes_per_edit) & (p >= 0) & (p + size <= length)
                     h = sub.hash((start + p)[ok], (start + p + size)[ok])
                     h = splitmix(h + (other[ok] * parts + i).astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
                     line = key[ok].view(np.int64)
@@ -154,7 +157,7 @@ def segment_keys(docs: DataFrame, threshold: int, near_bytes: int, wanted: np.nd
                     if len(h):
                         yield pa.RecordBatch.from_pydict({"key": h, "line_key": line, "probe": np.full(len(h), probe)})
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(cut, "key long, line_key long, probe boolean")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(cut), "key long, line_key long, probe boolean")
 
 
 def content_keys(lines: DataFrame, threshold: int) -> DataFrame:
@@ -172,7 +175,7 @@ def content_keys(lines: DataFrame, threshold: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 22):
+            for at, to in text_chunks(batch.column(1)):
                 data, offsets = bytes_buffer(batch.column(1).slice(at, to - at))
                 start, stop = offsets[:-1], offsets[1:]
                 pair = data[:-1].astype(np.int64) * 256 + data[1:]
@@ -188,7 +191,7 @@ def content_keys(lines: DataFrame, threshold: int) -> DataFrame:
                     h = splitmix(total[last] - total[start] + salt[c])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).slice(at, to - at), pa.array(stop - start, pa.int64()), *odd], names=["key", "line_key", "n_bytes", *ODD])
 
-    return lines.select("line_key", F.col("line").cast("binary").alias("line")).mapInArrow(cut, "key long, line_key long, n_bytes long, odd0 long, odd1 long, odd2 long, odd3 long")
+    return lines.select("line_key", F.col("line").cast("binary").alias("line")).mapInArrow(lean(cut), "key long, line_key long, n_bytes long, odd0 long, odd1 long, odd2 long, odd3 long")
 
 
 def _crowded_pairs(lines: DataFrame, threshold: int) -> DataFrame:
@@ -253,13 +256,13 @@ def _distance(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-def near_lines(docs: DataFrame, threshold: int, near_bytes: int) -> DataFrame:
-    """Pairs (a, b) of line keys of distinct lines within the threshold.
+def near_lines(docs: DataFrame, threshold: int, bytes_per_edit: int) -> DataFrame:
+    """Pairs (a, b) of line keys of distinct lines within their allowed edits.
 
     Segment hashes are counted before any pair is made.  A hash that one line offers and one other looks for gives their
     pair; a hash of a few lines gives theirs by a join.  Lines that meet in a crowded hash (near copies by the thousand,
     whose edits lie elsewhere) meet again by what they hold instead (``content_keys``)."""
-    rows = segment_keys(docs, threshold, near_bytes)
+    rows = segment_keys(docs, threshold, bytes_per_edit)
     offered, asked = F.when(~F.col("probe"), F.col("line_key")), F.when(F.col("probe"), F.col("line_key"))
     found = rows.groupBy("key").agg(F.min(offered).alias("s"), F.max(offered).alias("s2"), F.min(asked).alias("r"), F.max(asked).alias("r2"), F.count(offered).alias("n_s"), F.count(asked).alias("n_r"))
     found = staged(found.where("s is not null and r is not null and (s <> r or s <> s2 or r <> r2)"), "shared-keys")
@@ -269,7 +272,7 @@ def near_lines(docs: DataFrame, threshold: int, near_bytes: int) -> DataFrame:
     n = multi.count()
     if n <= BROADCAST_ROWS:
         wanted = np.sort(np.array([r[0] for r in multi.select("key").collect()], np.int64))
-        shared = segment_keys(docs, threshold, near_bytes, wanted) if n else rows.limit(0)
+        shared = segment_keys(docs, threshold, bytes_per_edit, wanted) if n else rows.limit(0)
     else:
         shared = rows
     shared = staged(shared.join(multi, "key").distinct(), "shared-segments")
@@ -278,7 +281,7 @@ def near_lines(docs: DataFrame, threshold: int, near_bytes: int) -> DataFrame:
     plain = staged(plain, "plain-pairs")
     ends = plain.select(F.col("a").alias("line_key")).unionByName(plain.select(F.col("b").alias("line_key")))
     used = staged(ends.unionByName(crowd).distinct(), "line-keys")
-    texts = staged(_texts_of(docs, used, near_bytes), "line-texts")
+    texts = staged(_texts_of(docs, used, bytes_per_edit), "line-texts")
     met = staged(plain.unionByName(_crowded_pairs(texts.join(crowd, "line_key"), threshold)).distinct(), "line-pairs")
     both = met.join(texts.select(F.col("line_key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_key").alias("b"), F.col("line").alias("y")), "b")
 
@@ -290,22 +293,27 @@ def near_lines(docs: DataFrame, threshold: int, near_bytes: int) -> DataFrame:
             at = 0
             while at < len(order):  # pairs of like length together, in bounded memory
                 to = min(at + max(1, (8 << 20) // (len(x[order[min(at + 2000, len(order) - 1)]]) + 64)), at + 2000, len(order))
-                ok[order[at:to]] = within([(x[i], y[i]) for i in order[at:to]], threshold)
+                some = order[at:to]
+                shorter = np.array([min(len(x[i]), len(y[i])) for i in some])
+                edits = np.minimum(shorter // bytes_per_edit, threshold)
+                for k in np.unique(edits):
+                    rows = np.array(some)[edits == k]
+                    ok[rows] = within([(x[i], y[i]) for i in rows], int(k))
                 at = to
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
 
-def _texts_of(docs: DataFrame, used: DataFrame, near_bytes: int) -> DataFrame:
+def _texts_of(docs: DataFrame, used: DataFrame, bytes_per_edit: int) -> DataFrame:
     """The bytes of the lines with the given keys, once each.  A small set of keys goes to all tasks, a large one is joined."""
 
     def every(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(0), 1 << 22):
+            for at, to in text_chunks(batch.column(0)):
                 data, offsets = utf8_buffer(batch.column(0).slice(at, to - at))
                 _, _, start, stop = _lines(data, offsets)
-                ok = stop - start >= near_bytes
+                ok = stop - start >= bytes_per_edit
                 start, stop = start[ok], stop[ok]
                 if not len(start):
                     continue
@@ -324,18 +332,18 @@ def _texts_of(docs: DataFrame, used: DataFrame, near_bytes: int) -> DataFrame:
         return docs.sparkSession.createDataFrame([], schema)
     if n <= BROADCAST_ROWS:
         small = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in used.collect()], np.int64)))
-        found = text.mapInArrow(lambda it: every(it, small.value), schema)
+        found = text.mapInArrow(lean(lambda it: every(it, small.value)), schema)
     else:
-        found = text.mapInArrow(lambda it: every(it, None), schema).join(used, "line_key", "left_semi")
+        found = text.mapInArrow(lean(lambda it: every(it, None)), schema).join(used, "line_key", "left_semi")
     return found.dropDuplicates(["line_key"])
 
 
-def decisions(docs: DataFrame, threshold: int = 2, near_bytes: int = 40) -> DataFrame:
+def decisions(docs: DataFrame, threshold: int = 2, bytes_per_edit: int = 20) -> DataFrame:
     """doc_id, doc_key, n_lines, n_removed, removed_lines (numbers from 0) for every document that has a text."""
     keys = staged(line_keys(docs), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("doc_key").alias("k"), F.col("line_no").alias("l"))
     distinct = staged(keys.where("line_key is not null").groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    pairs = staged(near_lines(docs, threshold, near_bytes), "near-lines")
+    pairs = staged(near_lines(docs, threshold, bytes_per_edit), "near-lines")
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
     earliest = ends.join(distinct.select(F.col("line_key").alias("w"), "first"), "w").groupBy("v").agg(F.min("first").alias("near_first"))
     known = distinct.join(earliest, F.col("line_key") == F.col("v"), "left").where("n > 1 or near_first < first")
@@ -350,9 +358,10 @@ def decisions(docs: DataFrame, threshold: int = 2, near_bytes: int = 40) -> Data
 
 def deduplicated(docs: DataFrame, drop_emptied: bool = True, **options) -> DataFrame:
     """All columns of the documents, their dropped lines cut from the text; documents left without any line go too."""
-    cut = decisions(docs, **options).where("n_removed > 0").select(F.col("doc_key").alias("_k"), "removed_lines").dropDuplicates(["_k"])
-    cut = staged(cut, "line-cuts")
     names = docs.columns
+    key, gone = free_name("_key", names), free_name("_gone", names)
+    cut = decisions(docs, **options).where("n_removed > 0").select(F.col("doc_key").alias(key), F.col("removed_lines").alias(gone)).dropDuplicates([key])
+    cut = staged(cut, "line-cuts")
     at = names.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,12 +370,13 @@ def deduplicated(docs: DataFrame, drop_emptied: bool = True, **options) -> DataF
             texts, keep = [], np.ones(batch.num_rows, bool)
             for i, t in enumerate(batch.column(at).to_pylist()):
                 if removed[i]:
-                    gone = set(removed[i])
-                    left = [x for j, x in enumerate(t.split("\n")) if j not in gone]
+                    lost = set(removed[i])
+                    left = [x for j, x in enumerate(t.split("\n")) if j not in lost]
                     t = "\n".join(left)
-                    keep[i] = not drop_emptied or any(x.strip() for x in left)
+                    keep[i] = not drop_emptied or any(x.strip(" \t\r") for x in left)
                 texts.append(t)
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
-    return docs.join(cut, doc_key() == F.col("_k"), "left").select(*names, "removed_lines").mapInArrow(rewrite, docs.schema)
+    keyed = docs.withColumn(key, doc_key())
+    return keyed.join(cut, key, "left").select(*(F.col(f"`{n}`") for n in names), gone).mapInArrow(lean(rewrite), docs.schema)

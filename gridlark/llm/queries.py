@@ -31,15 +31,22 @@ def op3_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by text, declared language and source; web pages by text, markup, address suffix and host.  One of doc_id and page_id is null."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return langid.identify(docs, langid.train(docs, "lang"), "doc_id", **langid.document_parts())
+    model = langid.train(docs, "lang")
+    of_docs = langid.identify(docs, model, "doc_id", **langid.document_parts())
+    none = F.lit(None).cast("long")
+    return of_docs.withColumn("page_id", none).unionByName(_pages_language(spark, sf_dir, model).withColumn("doc_id", none))
+
+
+def _pages_language(spark: SparkSession, sf_dir: str, model: tuple) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return langid.identify(pages.withColumn("plain", langid.plain_text(F.col("html"))), model, "page_id", "plain", **langid.page_parts(F.col("url"), F.col("html")))
 
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator over web pages: markup, address suffix and host beside the text, models from ``documents``."""
-    model = langid.train(_table(spark, sf_dir, "documents"), "lang")
-    pages = _table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " "))
-    return langid.identify(pages, model, "page_id", "plain", **langid.page_parts(F.col("url"), F.col("html")))
+    """The pages alone, models from ``documents``."""
+    return _pages_language(spark, sf_dir, langid.train(_table(spark, sf_dir, "documents"), "lang"))
 
 
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,15 +116,11 @@ WITH b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ), d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
-), bp AS (SELECT item_id, w, unnest(range(0, len(w) - 9)) AS p FROM b WHERE len(w) >= 10
-), dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 9, 4)) AS p FROM d WHERE len(w) >= 10
-), m AS (SELECT * FROM (VALUES (0), (1), (2)) t(r)
-), bk AS (
-  SELECT item_id, p, r, list_aggregate(list_transform(list_filter(range(10), lambda i: i % 3 <> r), lambda i: w[p + i + 1]), 'string_agg', ' ') AS k FROM bp, m
-), dk AS (
-  SELECT doc_id, p, r, list_aggregate(list_transform(list_filter(range(10), lambda i: i % 3 <> r), lambda i: w[p + i + 1]), 'string_agg', ' ') AS k FROM dp, m
+), bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS p FROM b WHERE len(w) >= 5
+), dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d
 ), h AS (
-  SELECT DISTINCT doc_id, item_id, dk.p - bk.p AS shift FROM dk JOIN bk USING (r, k)
+  SELECT doc_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (word)
+  GROUP BY ALL HAVING count(*) >= min(least(13, n) - floor(least(13, n) * 2 / 13))
 ), a AS (
   SELECT doc_id, item_id, shift, greatest(0, -shift) AS f, len(b.w) AS n,
     list_transform(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift)), lambda j: CASE WHEN b.w[j + 1] = d.w[j + shift + 1] THEN 1 ELSE 0 END) AS same
@@ -162,8 +165,8 @@ WITH l AS (
 ), d AS (
   SELECT line, strlen(line) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE NOT regexp_full_match(line, '[ \\t\\r]*') GROUP BY line
 ), p AS (
-  SELECT a.line AS line, min(b.first) AS near_first FROM d a JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM d WHERE n >= 40) b ON a.n = b.m AND a.line <> b.line
-  WHERE a.n >= 40 AND b.first < a.first AND levenshtein(a.line, b.line) <= 2 GROUP BY a.line
+  SELECT a.line AS line, min(b.first) AS near_first FROM d a JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM d WHERE n >= 20) b ON a.n = b.m AND a.line <> b.line
+  WHERE a.n >= 20 AND b.first < a.first AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 20) GROUP BY a.line
 ), j AS (
   SELECT l.doc_id, l.line_no, d.line IS NOT NULL AND (p.line IS NOT NULL OR d.first <> {'d': l.doc_id, 'l': l.line_no}) AS gone
   FROM l LEFT JOIN d USING (line) LEFT JOIN p USING (line)
