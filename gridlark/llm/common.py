@@ -20,7 +20,8 @@ _OWN: dict[str, str] = {}
 _SCRATCH: list[list[str]] = []
 CHUNK = 1 << 18
 BROADCAST_BYTES = 16 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Holds while tables are staged: shuffle files go when they are spent, and few whole texts are in a Python worker at once.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +46,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.  The shuffle
     files of the write are not needed again, so Spark drops them when it ends."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    kept = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    kept = {k: spark.conf.get(k) for k in _WRITES}
+    for k, v in _WRITES.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,13 +7,16 @@ coefficient adds the complemented slices instead, so all sums are of non-negativ
 selected from the most significant slice of the sum downward; the rows still tied when all slices are used are the
 boundary, resolved exactly by the smaller id.
 
-Query blocks meet index blocks by an equi-join on the block number, so every pair of blocks is one row and one task
-never holds more than two blocks.
+Query blocks meet index blocks in one sort: the rows of an index block and of a group of query blocks go to one place, the
+index block first, so every (block, group) is a piece of work of its own and a task holds one index block and one query block.
 
-Edge cases: vectors that are null, hold null or non-finite components, differ in length from most vectors, or have a
-null id take no part; with fewer than k candidates all are returned; equal rows tie by id; rows that repeat a query's
-id are not its candidates, and a repeated query row is answered once per row (``query_row`` tells them apart); an empty
-table gives no rows; other columns are ignored.
+Sums have as many slices as they need, so selection is exact for all components whose quantised value is under 2^62.
+
+Edge cases: vectors that are null, empty, hold null or non-finite components or have a null id take no part, and neither
+do those whose length is not the commonest of the whole table (of equally common ones the shortest), as they have no inner
+product with the others; a larger component or a score beyond 64 bits is an error that says so; with fewer than k candidates
+all are returned; equal rows tie by id; rows that repeat a query's id are not its candidates, and a repeated query row is
+answered once per row (``query_row`` tells them apart); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +28,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partition_id, staged
+from .common import lean, partition_id, staged
 
 INDEX = "block long, ids binary, low binary, bits int, slices binary"
 QUERIES = "query_block long, ids binary, coefficients binary"
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
-    """``id`` and ``q``, each component as floor(scale * x); only rows that take part."""
+LARGEST = float(1 << 62)
+
+
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0, query_filter: Column | None = None) -> DataFrame:
+    """``id``, ``q`` (each component as floor(scale * x)) and ``asks`` of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
-    usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(1 << 40))))
-    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("q"))
-    width = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite
+    too_large = F.raise_error(F.lit(f"a component times {scale:g} is beyond 2^62"))
+    q = F.transform(v, lambda x: F.when(F.abs(x * scale) < LARGEST, F.floor(x * scale)).otherwise(too_large.cast("bigint")))
+    asks = F.coalesce(query_filter, F.lit(False)) if query_filter is not None else F.lit(False)
+    rows = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), q.alias("q"), asks.alias("asks"))
+    width = vectors.where(usable).groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("q") == (width[0][0] if width else 0))
 
 
@@ -57,7 +67,7 @@ def build_index(rows: DataFrame, block_rows: int = 32768) -> DataFrame:
             batch = table.to_batches()[0]
             v, ids = _matrix(batch.column("q")), np.asarray(batch.column("id"), dtype=np.int64)
             low = v.min(axis=0)
-            z = (v - low).astype(np.uint64)
+            z = v.astype(np.uint64) - low.astype(np.uint64)
             bits = max(1, int(z.max()).bit_length())
             words = -(-len(ids) // 64)
             slices = np.zeros((v.shape[1], bits, words), "<u8")
@@ -81,7 +91,7 @@ def build_index(rows: DataFrame, block_rows: int = 32768) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("id", "q").mapInArrow(slice_up, INDEX)
+    return rows.select("id", "q").mapInArrow(lean(slice_up), INDEX)
 
 
 def query_blocks(rows: DataFrame, block_rows: int = 256) -> DataFrame:
@@ -93,7 +103,7 @@ def query_blocks(rows: DataFrame, block_rows: int = 256) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"query_block": [(part << 32) + n], "ids": [np.asarray(b.column("id"), dtype=np.int64).tobytes()], "coefficients": [_matrix(b.column("q")).tobytes()]})
                 n += 1
 
-    return rows.select("id", "q").mapInArrow(group, QUERIES)
+    return rows.select("id", "q").mapInArrow(lean(group), QUERIES)
 
 
 def weighted_sum(slices: np.ndarray, coefficients: np.ndarray) -> list[np.ndarray]:
@@ -147,60 +157,73 @@ def select_top(total: list[np.ndarray], valid: np.ndarray, ids: np.ndarray, k: i
     return rows
 
 
-def _search(index: dict, ids: np.ndarray, coefficients: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    rows = np.frombuffer(index["ids"], np.int64)
-    low = np.frombuffer(index["low"], np.int64)
-    words = -(-len(rows) // 64)
-    slices = np.frombuffer(index["slices"], "<u8").reshape(len(low), index["bits"], words)
-    order = np.argsort(rows, kind="stable")
-    by_id = rows[order]
-    everyone = np.zeros(words * 64, np.uint8)
-    everyone[: len(rows)] = 1
-    top = (1 << index["bits"]) - 1
-    for r, (own, c) in enumerate(zip(ids, coefficients, strict=True)):
-        valid = everyone.copy()
-        valid[order[np.searchsorted(by_id, own) : np.searchsorted(by_id, own, side="right")]] = 0
-        total = weighted_sum(slices, c)
-        found = select_top(total, np.packbits(valid, bitorder="little").view("<u8"), rows, k)
-        score = np.zeros(len(found), np.int64)
-        for b, s in enumerate(total):
-            score += ((s[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
-        yield r, rows[found], score + int((c * low).sum()) + int(top * c[c < 0].sum())
+class Block:
+    """One index block, ready to answer queries."""
+
+    def __init__(self, ids: bytes, low: bytes, bits: int, slices: bytes):
+        self.rows, self.low, self.bits = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64), bits
+        words = -(-len(self.rows) // 64)
+        self.slices = np.frombuffer(slices, "<u8").reshape(len(self.low), bits, words)
+        self.order = np.argsort(self.rows, kind="stable")
+        self.by_id = self.rows[self.order]
+        self.everyone = np.zeros(words * 64, np.uint8)
+        self.everyone[: len(self.rows)] = 1
+
+    def search(self, own: int, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best rows for the coefficients of one query."""
+        valid = self.everyone.copy()
+        valid[self.order[np.searchsorted(self.by_id, own) : np.searchsorted(self.by_id, own, side="right")]] = 0
+        total = weighted_sum(self.slices, c)
+        found = select_top(total, np.packbits(valid, bitorder="little").view("<u8"), self.rows, k)
+        each = [int(x) for x in c.tolist()]
+        base = sum(x * y for x, y in zip(each, self.low.tolist(), strict=True)) + ((1 << self.bits) - 1) * sum(x for x in each if x < 0)
+        bit = np.array([(s[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1) for s in total], np.uint64).reshape(len(total), len(found))
+        scores = [base + sum(1 << b for b in np.flatnonzero(column).tolist()) for column in bit.T]
+        if any(abs(x) >= 1 << 63 for x in scores):
+            raise OverflowError("a score does not fit 64 bits")
+        return self.rows[found], np.array(scores, np.int64)
+
+
+GROUP = 64  # query blocks
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, query_row, rank, id, score for every query row; ``index`` and ``queries`` are written tables."""
-    spark = index.sparkSession
+    group = F.shiftright("query_block", GROUP.bit_length() - 1)
     blocks = [r[0] for r in index.select("block").collect()]  # one number per 32,768 rows
-    # each query block once for every index block
-    asked = queries.withColumn("block", F.explode(F.lit(blocks).cast("array<long>")))
-    pairs = asked.select("block", "query_block", F.col("ids").alias("query_ids"), "coefficients").join(index, "block")
+    groups = [r[0] for r in queries.select(group).distinct().collect()]  # one per 16,384 queries of a partition
+    asked = queries.select(F.explode(F.lit(blocks).cast("array<long>")).alias("block"), group.alias("group"), F.lit(1).alias("kind"), "query_block", "ids", F.col("coefficients").alias("numbers"), F.lit(None).cast("int").alias("bits"), F.lit(None).cast("binary").alias("slices"))
+    offered = index.select("block", F.explode(F.lit(groups).cast("array<long>")).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_block"), "ids", F.col("low").alias("numbers"), "bits", "slices")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                ids = np.frombuffer(row["query_ids"], np.int64)
-                c = np.frombuffer(row["coefficients"], np.int64).reshape(len(ids), -1)
-                got = list(_search(row, ids, c, k))
-                n = [len(g[1]) for g in got]
+            for kind, query_block, ids, numbers, bits, slices in zip(*(batch.column(c) for c in ("kind", "query_block", "ids", "numbers", "bits", "slices")), strict=True):
+                if kind.as_py() == 0:
+                    block = Block(ids.as_py(), numbers.as_py(), bits.as_py(), slices.as_py())
+                    continue
+                own = np.frombuffer(ids.as_py(), np.int64)
+                c = np.frombuffer(numbers.as_py(), np.int64).reshape(len(own), -1)
+                got = [block.search(i, x, k) for i, x in zip(own.tolist(), c, strict=True)]
+                n = [len(g[0]) for g in got]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "query_id": np.repeat(ids, n),
-                        "query_row": np.repeat((row["query_block"] << 12) + np.arange(len(ids)), n),
-                        "id": np.concatenate([g[1] for g in got]),
-                        "score": np.concatenate([g[2] for g in got]),
+                        "query_id": np.repeat(own, n),
+                        "query_row": np.repeat((query_block.as_py() << 12) + np.arange(len(own)), n),
+                        "id": np.concatenate([g[0] for g in got]),
+                        "score": np.concatenate([g[1] for g in got]),
                     }
                 )
 
-    found = pairs.mapInArrow(search, "query_id long, query_row long, id long, score long")
+    together = offered.unionByName(asked).repartition("block", "group").sortWithinPartitions("block", "group", "kind")
+    found = together.mapInArrow(lean(search), "query_id long, query_row long, id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "id", "score")
 
 
 def search_vectors(vectors: DataFrame, query_filter: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
     """Rows for which ``query_filter`` holds, as queries against all other rows."""
-    rows = quantised(vectors, id_col, vector_col, scale)
+    rows = quantised(vectors, id_col, vector_col, scale, query_filter)
     index = staged(build_index(rows), "slices")
-    queries = staged(query_blocks(quantised(vectors.where(query_filter), id_col, vector_col, scale)), "queries")
+    queries = staged(query_blocks(rows.where("asks")), "queries")
     return top_k(index, queries, k)

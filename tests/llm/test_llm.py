@@ -136,6 +136,26 @@ def test_top_k(spark):
     assert topk.search_vectors(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_other_lengths(spark):
+    """Components far apart, and queries whose commonest length is not that of the table."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-20, 20, (80, 3)).astype(float)
+    v[5, 0], v[9, 1], v[41, 2] = 2.0**41, -(2.0**42), 3.0**26
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000 + 20 * i, [1.0, 2.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [[int(x * 256) for x in r] for r in v.tolist()]
+    got = {}
+    for r in topk.search_vectors(df, F.col("vec_id").isin(0, 20, 60, 1000, 1020, 1040, 1060), k=4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.id))
+    want = {}
+    for i in (0, 20, 60):
+        s = [sum(a * b for a, b in zip(x, q[i], strict=True)) for x in q]
+        want[i] = [(s[j], j) for j in sorted((j for j in range(80) if j != i), key=lambda j: (-s[j], j))[:4]]
+    assert got == want
+    with pytest.raises(Exception, match="beyond 2\\^62"):
+        topk.search_vectors(spark.createDataFrame([(0, [1e60]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_chat_trees(spark):
     rows = [("t", 1, None, "system", "a & <|im_end|>\n", 1.0), ("t", 2, 1, "user", None, 0.0), ("t", 3, 1, "user", "best", 1.0), ("t", 4, 3, "assistant", "<|im_start|>x&lt;|", 1.0), ("t", 4, 3, "assistant", "zz", 1.0)]
     rows += [("c", 1, 2, "user", "loop", 0.0), ("c", 2, 1, "user", "loop", 0.0), ("c", 3, 1, "user", "leaf under a loop", 0.0), (None, 1, None, None, "alone", None), ("t", None, 1, "user", "no node", 0.0)]
