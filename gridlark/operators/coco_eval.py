@@ -7,10 +7,11 @@ totals are carried over, so no task ever sorts all detections of a class.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .fusion import SIDES, iou_matrix
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -25,48 +26,67 @@ def cap_detections(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _assigned(near: np.ndarray, crowd: np.ndarray, skip: np.ndarray, far: np.ndarray, thresholds: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """[detection, area, threshold]: true positive, ignored.  Detections choose in order of their place, all areas and thresholds at once:
+    the box of largest overlap, later of equals, among countable ones, or else among those that are skipped."""
+    n_det, n_truth = near.shape
+    shape = (n_det, len(skip), len(thresholds))
+    tp, ignored = np.zeros(shape, bool), np.broadcast_to(far.T[:, :, None], shape).copy()
+    if not n_truth:
+        return tp, ignored
+    least = np.minimum(np.array(thresholds), 1 - 1e-10)
+    free = np.ones((len(skip), len(thresholds), n_truth), bool)
+    area, level = np.meshgrid(np.arange(shape[1]), np.arange(shape[2]), indexing="ij")
+    for i in np.flatnonzero((near >= least.min()).any(axis=1)):
+        ok = (near[i] >= least[:, None])[None] & (free | crowd)
+        real = ok & ~skip[:, None, :]
+        pool = np.where(real.any(axis=2, keepdims=True), real, ok)
+        k = n_truth - 1 - np.where(pool, near[i], -1.0)[:, :, ::-1].argmax(axis=2)
+        met = pool.any(axis=2)
+        free[area[met], level[met], k[met]] = False
+        out = skip[area, k]
+        tp[i], ignored[i] = met & ~out, np.where(met, out, ignored[i])
+    return tp, ignored
+
+
 def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, areas: tuple[str, ...] = tuple(AREAS), max_det: int = 100) -> DataFrame:
     """One row a detection, threshold and area range.  ``truth`` may have ``iscrowd``."""
     crowd = F.col("iscrowd") if "iscrowd" in truth.columns else F.lit(0)
+    capped = cap_detections(detections, max_det)
     gt = truth.select("image_id", "category_id", F.col("ann_id").alias("id"), F.lit(-1.0).alias("score"), *SIDES, crowd.cast("int").alias("crowd"), F.lit(0).alias("place"))
-    dt = cap_detections(detections, max_det).select("image_id", "category_id", F.col("det_id").alias("id"), "score", *SIDES, F.lit(-1).alias("crowd"), "place")
-    names = [c.split()[0] for c in MATCHES.split(", ")]
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        is_gt = (g["crowd"] >= 0).to_numpy()
-        truth_, det = g[is_gt].sort_values("id"), g[~is_gt].sort_values("place")
-        if not len(det):
-            return pd.DataFrame({n: [] for n in names})
-        tb, db, crowd_ = truth_[SIDES].to_numpy(), det[SIDES].to_numpy(), truth_["crowd"].to_numpy() == 1
+    dt = capped.select("image_id", "category_id", F.col("det_id").alias("id"), "score", *SIDES, F.lit(-1).alias("crowd"), "place")
+    low, high = (np.array([AREAS[a][i] for a in areas])[:, None] for i in (0, 1))
+    size_of = len(areas) * len(thresholds)
+
+    def kernel(g: pa.Table) -> pa.Table:
+        column = {c: g.column(c).to_numpy() for c in ("id", "score", "crowd", "place")}
+        box = np.stack([g.column(c).to_numpy() for c in SIDES], axis=1)
+        truth_ = np.flatnonzero(column["crowd"] >= 0)
+        truth_ = truth_[np.argsort(column["id"][truth_], kind="stable")]
+        det = np.flatnonzero(column["crowd"] < 0)
+        det = det[np.argsort(column["place"][det], kind="stable")]
+        tb, db, crowd_ = box[truth_], box[det], column["crowd"][truth_] == 1
         size, dsize = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (tb, db))
         near = iou_matrix(db, tb)
         if crowd_.any():  # a crowd covers a detection by its share of the detection alone
             part = np.clip(np.minimum(db[:, None, 2:], tb[None, crowd_, 2:]) - np.maximum(db[:, None, :2], tb[None, crowd_, :2]), 0, None).prod(axis=2)
             near[:, crowd_] = part / np.maximum(dsize, 1e-300)[:, None]
-        out = []
-        for name in areas:
-            low, high = AREAS[name]
-            skip = crowd_ | (size < low) | (size > high)
-            far = (dsize < low) | (dsize > high)
-            for t in thresholds:
-                least = min(t, 1 - 1e-10)
-                free = np.ones(len(tb), bool)
-                tp, ignored = np.zeros(len(db), int), np.zeros(len(db), bool)
-                for i in range(len(db)):
-                    ok = (near[i] >= least) & (free | crowd_)
-                    pool = ok & ~skip if (ok & ~skip).any() else ok & skip
-                    if pool.any():
-                        value = np.where(pool, near[i], -1.0)
-                        k = len(value) - 1 - int(value[::-1].argmax())  # the later of equals
-                        free[k] = False
-                        tp[i], ignored[i] = int(not skip[k]), bool(skip[k])
-                    else:
-                        ignored[i] = bool(far[i])
-                out.append(pd.DataFrame({"det_id": det["id"].to_numpy(), "score": det["score"].to_numpy(), "place": det["place"].to_numpy(), "area": name, "threshold": t, "tp": tp, "ignored": ignored}))
-        first, rows = g.iloc[0], pd.concat(out)
-        return rows.assign(image_id=first["image_id"], category_id=first["category_id"], area=rows["area"].astype(object))[names]
-
-    return gt.unionByName(dt).groupBy("image_id", "category_id").applyInPandas(kernel, MATCHES)
+        tp, ignored = _assigned(near, crowd_, crowd_ | (size < low) | (size > high), (dsize < low) | (dsize > high), thresholds)
+        n = len(det)
+        one = lambda c, kind: pa.array(np.full(n * size_of, g.column(c)[0].as_py() if n else 0), kind)
+        each = lambda x: np.repeat(x, size_of)
+        return pa.table(
+            {
+                "image_id": one("image_id", pa.int64()), "category_id": one("category_id", pa.int32()), "det_id": pa.array(each(column["id"][det]), pa.int64()), "score": each(column["score"][det]),
+                "place": pa.array(each(column["place"][det]), pa.int32()), "area": pa.array(np.tile(np.repeat(np.array(areas, object), len(thresholds)), n), pa.string()),
+                "threshold": np.tile(np.array(thresholds, float), n * len(areas)), "tp": pa.array(tp.reshape(-1).astype(np.int32)), "ignored": pa.array(ignored.reshape(-1)),
+            }
+        )
+
+    # truth boxes of groups without detections match nothing
+    keys = ["image_id", "category_id"]
+    met = gt.join(capped.select(*keys).distinct(), keys, "left_semi")
+    return met.unionByName(dt).groupBy(*keys).applyInArrow(kernel, MATCHES)
 
 
 def positives(truth: DataFrame, keys: list[str], areas: tuple[str, ...] = ("all",)) -> DataFrame:
@@ -104,18 +124,17 @@ def average_precision(matches: DataFrame, npos: DataFrame, keys: list[str]) -> D
     return npos.where("npos > 0").join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
-def evaluated(truth: DataFrame, matches: DataFrame, keys: list[str], areas: tuple[str, ...]) -> DataFrame:
-    """AP and recall by keys, class, area and threshold, from ``match_coco`` rows."""
+def evaluated(truth: DataFrame, matches: DataFrame, keys: list[str], areas: tuple[str, ...], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """AP and recall by keys, class, area and threshold, from ``match_coco`` rows of these thresholds."""
     rows = matches.where("not ignored").withColumn("weight", F.lit(1))
     npos = positives(truth, [*keys, "category_id"], areas)
-    levels = F.array(*[F.lit(t) for t in THRESHOLDS])
-    npos = npos.withColumn("threshold", F.explode(levels)).join(F.broadcast(matches.select("threshold").distinct()), "threshold", "left_semi")
+    npos = npos.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     return average_precision(rows, npos, [*keys, "category_id", "area", "threshold"])
 
 
 def ap_metrics(truth: DataFrame, detections: DataFrame, max_det: int = 300) -> DataFrame:
     """One row of COCO metrics.  AP uses the cap of 100 detections; AP50, AP75 and the sizes use ``max_det``."""
-    wide = match_coco(truth, detections, max_det=max_det).persist()
+    wide = written(match_coco(truth, detections, max_det=max_det), "matches")
     all_ = evaluated(truth, wide, [], tuple(AREAS))
     hundred = evaluated(truth, wide.where("place <= 100 and area = 'all'"), [], ("all",))
     one = evaluated(truth, wide.where("place <= 1 and area = 'all'"), [], ("all",))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget, written
+
 
 def dhash64(values: Column) -> Column:
     """Bit i is set where the next value (wrapping) is larger."""
@@ -55,21 +57,18 @@ def star_edges(df: DataFrame, key: str, group: str) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """key, component (smallest key).  Least label of the neighbours, then of that label, until nothing changes; each round is checkpointed."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")).checkpoint()
+    """key, component (smallest key).  Least label of the neighbours, then of that label, until nothing changes; each round is written and the one before deleted."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        low = label.join(near, F.col("v") == F.col("a")).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")).checkpoint()
+        low = written(label.join(near, F.col("v") == F.col("a")).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")), "labels")
         up = low.select(F.col("v").alias("v2"), F.col("c").alias("c2"))
-        label2 = low.join(up, F.col("c") == F.col("v2"), "left").select("v", "old", F.least("c", F.coalesce("c2", "c")).alias("c")).checkpoint()
-        label = label2.select("v", "c")
-        if label2.where("c <> old").isEmpty():
+        both_labels = written(low.join(up, F.col("c") == F.col("v2"), "left").select("v", "old", F.least("c", F.coalesce("c2", "c")).alias("c")), "labels")
+        forget(label)
+        forget(low)
+        label = both_labels.select("v", "c")
+        if both_labels.where("c <> old").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
@@ -77,8 +76,8 @@ def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50
 
 
 def component_id(members: DataFrame, component: str, sha: str) -> DataFrame:
-    """SHA-256 of the sorted member hashes."""
-    return members.groupBy(component).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), ""), 256).alias("component_sha"), F.count("*").alias("size"))
+    """SHA-256 of the sorted member hashes, joined by ``|``."""
+    return members.groupBy(component).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), "|"), 256).alias("component_sha"), F.count("*").alias("size"))
 
 
 def partition_components(sizes: DataFrame, target: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SIDES = ["x1", "y1", "x2", "y2"]
 FUSED = "image_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double, source string"
 RESCUE_IOU = 0.70
+PANDAS = {"long": "int64", "int": "int32", "double": "float64", "string": "object", "boolean": "bool"}
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,11 +45,13 @@ def suppressed(boxes: np.ndarray, cls: np.ndarray, threshold: float, inclusive:
 
 
 def per_image(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str = FUSED) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = dict(c.split() for c in schema.split(", "))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = kernel(group)
-        return out.assign(image_id=group["image_id"].iloc[0], source=out["source"].astype(object))[names] if len(out) else pd.DataFrame({n: [] for n in names})
+        if not len(out):
+            return pd.DataFrame({n: pd.Series(dtype=PANDAS[k]) for n, k in kinds.items()})
+        return out.assign(image_id=group["image_id"].iloc[0], source=out["source"].astype(object))[list(kinds)]
 
     return df.groupBy("image_id").applyInPandas(run, schema)
 
@@ -206,14 +209,14 @@ def anchored_wbf(boxes: DataFrame, threshold: float, anchor_iou: float, q_min: f
             box = np.array([a.x1, a.y1, a.x2, a.y2])
             m = np.flatnonzero(free & near[i] & (lc == a.category_id) & (ls >= publish))
             if not len(m):
-                out.append((a.category_id, a.score, *box, "anchored_base"))
+                out.append((a.category_id, a.score, *box, "anchored_wbf_base"))
                 continue
             free[m] = False
             c = Cluster(a.category_id)
             c.add(box, a.score, base_weight)
             for k in m:
                 c.add(lb[k], ls[k], float(local_weight(lq[k], low, high)))
-            out.append((a.category_id, max(a.score, ls[m].max()), *c.box, "anchored_match"))
+            out.append((a.category_id, max(a.score, ls[m].max()), *c.box, "anchored_wbf_match"))
         room = max_det - len(out)
         for k in np.lexsort((lb[:, 3], lb[:, 2], lb[:, 1], lb[:, 0], lc, -ls)) if len(local) else []:
             if room <= 0:
@@ -223,7 +226,7 @@ def anchored_wbf(boxes: DataFrame, threshold: float, anchor_iou: float, q_min: f
             same = np.array([o[2:6] for o in out if o[0] == lc[k]]).reshape(-1, 4)
             if len(same) and (iou_matrix(same, lb[k : k + 1]) >= threshold).any():
                 continue
-            out.append((lc[k], ls[k], *lb[k], "anchored_rescue"))
+            out.append((lc[k], ls[k], *lb[k], "anchored_wbf_rescue"))
             room -= 1
         return ordered(pd.DataFrame(out, columns=["category_id", "score", *SIDES, "source"]))
 
@@ -256,7 +259,7 @@ def consensus_anchor(boxes: DataFrame, publish: float, rescue: float, consensus_
             taken = np.array([f[2:6] for f in found if f[0] == c.category_id]).reshape(-1, 4)
             if len(taken) and (iou_matrix(taken, box) > RESCUE_IOU).any():
                 continue
-            found.append((c.category_id, min(c.score, scores[best]), c.x1, c.y1, c.x2, c.y2, "consensus_rescue"))
+            found.append((c.category_id, min(c.score, scores[best]), c.x1, c.y1, c.x2, c.y2, "guard_consensus_rescue"))
         rescues = ordered(pd.DataFrame(found, columns=["category_id", "score", *SIDES, "source"])).head(max(0, max_det - len(anchors)))
         return pd.concat([anchors, rescues], ignore_index=True) if len(rescues) and len(anchors) else (rescues if len(rescues) else anchors)
 

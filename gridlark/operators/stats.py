@@ -110,7 +110,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     from .windows import avg_rank
 
     ranked = df.withColumn("_rx", avg_rank(x, keys)).withColumn("_ry", avg_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry")).alias("spearman"))
+    return ranked.groupBy(*keys).agg(F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry") + 0.0).alias("spearman"))
 
 
 def multiplicity_table(df: DataFrame, family: list[str], p: str, tie: str, level: float = 0.05) -> DataFrame:

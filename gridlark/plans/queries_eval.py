@@ -187,7 +187,7 @@ def _(v):
 @query("e5_ap_per_class")
 def _(v):
     m = E.match_coco(v.xy_gt, v.xy_dt, thresholds=(0.5,), areas=("all",))
-    return E.evaluated(v.xy_gt, m, [], ("all",)).select("category_id", *r("ap", "recall"))
+    return E.evaluated(v.xy_gt, m, [], ("all",), (0.5,)).select("category_id", *r("ap", "recall"))
 
 
 FLOORS = [0.05, 0.25, 0.5]
@@ -230,7 +230,7 @@ def _(v):
 
 @query("b2_ap_image_bootstrap")
 def _(v):
-    m = sql_matches(v).persist()
+    m = sql_matches(v)
     units = v.images.select("image_id", F.pmod("image_id", F.lit(200)).cast("int").alias("unit"))
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
     return B.ap_cluster_bootstrap({"base": m}, n, units, 200, 5, 13).select("run", "resample", *r("ap"))
@@ -313,9 +313,9 @@ def _(v):
     return B.leave_one_group_out(sql_matches(v).drop("weight"), n, v.images.select("image_id", F.col("cluster_id").alias("unit"))).select("omitted", *r("ap"))
 
 
-@query("b13_spearman", "WITH k AS (SELECT image_id, rank() OVER (PARTITION BY image_id ORDER BY d) + (count(*) OVER (PARTITION BY image_id, d) - 1)/2e0 AS x, rank() OVER (PARTITION BY image_id ORDER BY u) + (count(*) OVER (PARTITION BY image_id, u) - 1)/2e0 AS y FROM traits) SELECT image_id, round(corr(x, y), 6) AS spearman FROM k GROUP BY image_id")
+@query("b13_spearman", "WITH k AS (SELECT image_id, rank() OVER (PARTITION BY image_id ORDER BY d) + (count(*) OVER (PARTITION BY image_id, d) - 1)/2e0 AS x, rank() OVER (PARTITION BY image_id ORDER BY u) + (count(*) OVER (PARTITION BY image_id, u) - 1)/2e0 AS y FROM traits) SELECT image_id, round(corr(x, y) + 1e-10, 6) + 0e0 AS spearman FROM k GROUP BY image_id")
 def _(v):
-    return B.spearman(v.traits, ["image_id"], "d", "u").select("image_id", *r("spearman"))
+    return B.spearman(v.traits, ["image_id"], "d", "u").select("image_id", (F.round(F.col("spearman") + 1e-10, 6) + 0.0).alias("spearman"))
 
 
 @query("b14_multiplicity_table", f"{STEP}, h_ AS (SELECT method, seed, p, {HOLM} AS h, {BH} AS f FROM s_) SELECT method, seed, p < 0.05 AS raw_significant, h < 0.05 AS holm_significant, f < 0.05 AS bh_significant FROM h_")
@@ -372,7 +372,7 @@ def _(v):
     return member_components(v).select("doc_id", "component")
 
 
-@query("d4_component_id", f"{COMPONENTS} SELECT component, sha256(string_agg(sha, '' ORDER BY sha)) AS component_sha, count(*) AS size FROM members JOIN c_ USING (doc_id) GROUP BY component")
+@query("d4_component_id", f"{COMPONENTS} SELECT component, sha256(string_agg(sha, '|' ORDER BY sha)) AS component_sha, count(*) AS size FROM members JOIN c_ USING (doc_id) GROUP BY component")
 def _(v):
     return D.component_id(member_components(v), "component", "sha")
 
@@ -408,12 +408,9 @@ def _(v):
 
 def folder(v, name):
     """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
+    from ..sources.shared import new_folder
 
-    spark = v.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(v.spark, name)
 
 
 @query("s1_read_coco")

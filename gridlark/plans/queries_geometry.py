@@ -168,7 +168,14 @@ def _(v):
     return v.images.select("image_id", H.stable_hash(F.concat_ws("|", F.lit("42"), F.col("image_id").cast("string"), F.lit("fog"), F.lit("1"))).alias("h"))
 
 
-@query("g19_table_fingerprint", "WITH r AS (SELECT {H:concat(image_id, '|', cluster_id, '|', source_key)} AS h FROM images) SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum_hash FROM r")
+def _row_sql(*columns):
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+PARTS = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(4))
+
+
+@query("g19_table_fingerprint", f"WITH r AS (SELECT sha256({_row_sql('image_id', 'cluster_id', 'source_key')}) AS h FROM images), s AS (SELECT count(*) AS n_rows, {PARTS} FROM r) SELECT n_rows, sha256(concat_ws('|', n_rows, s0, s1, s2, s3)) AS fingerprint FROM s")
 def _(v):
     return H.fingerprint(v.images, ["image_id", "cluster_id", "source_key"])
 

@@ -195,23 +195,27 @@ def _(v):
     return A.dataset_stats(v.images, v.gt)
 
 
+#: Means of exact halves of the last digit depend on the order of a sum in their last bit; this much settles them upward in both engines.
+NUDGE = 1e-10
+
+
 def _stats_sql(expr, name):
-    q = "".join(f", round(coalesce(quantile_cont({expr}, {p}), 0), 6) AS {name}_{n}" for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.9, "q90")))
-    return f"round(coalesce(avg({expr}), 0), 6) AS {name}_mean, round(coalesce(stddev_pop({expr}), 0), 6) AS {name}_std, round(coalesce(min({expr}), 0), 6) AS {name}_min{q}, round(coalesce(max({expr}), 0), 6) AS {name}_max"
+    q = "".join(f", round(coalesce(quantile_cont({expr}, {p}), 0) + {NUDGE}, 6) AS {name}_{n}" for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.9, "q90")))
+    return f"round(coalesce(avg({expr}), 0) + {NUDGE}, 6) AS {name}_mean, round(coalesce(stddev_pop({expr}), 0) + {NUDGE}, 6) AS {name}_std, round(coalesce(min({expr}), 0) + {NUDGE}, 6) AS {name}_min{q}, round(coalesce(max({expr}), 0) + {NUDGE}, 6) AS {name}_max"
 
 
 def _features_sql():
-    out = ["image_id", "CAST(count(score) AS DOUBLE) AS count", "round(ln(1+count(score)), 6) AS log_count", "round(count(score)/2.0736e0, 6) AS count_per_megapixel", _stats_sql("score", "score")]
+    out = ["image_id", "CAST(count(score) AS DOUBLE) AS count", f"round(ln(1+count(score)) + {NUDGE}, 6) AS log_count", f"round(count(score)/2.0736e0 + {NUDGE}, 6) AS count_per_megapixel", _stats_sql("score", "score")]
     for t in A.SCORE_LEVELS:
-        out += [f"CAST(count(*) FILTER (score >= {t}e0) AS DOUBLE) AS count_ge_{round(t * 100)}", f"round(count(*) FILTER (score >= {t}e0)/greatest(count(score),1), 6) AS fraction_ge_{round(t * 100)}"]
+        out += [f"CAST(count(*) FILTER (score >= {t}e0) AS DOUBLE) AS count_ge_{round(t * 100)}", f"round(count(*) FILTER (score >= {t}e0)/greatest(count(score),1) + {NUDGE}, 6) AS fraction_ge_{round(t * 100)}"]
     for k in CATEGORIES:
-        out += [f"CAST(count(*) FILTER (category_id = {k}) AS DOUBLE) AS class_{k}_count", f"round(count(*) FILTER (category_id = {k})/greatest(count(score),1), 6) AS class_{k}_fraction"]
+        out += [f"CAST(count(*) FILTER (category_id = {k}) AS DOUBLE) AS class_{k}_count", f"round(count(*) FILTER (category_id = {k})/greatest(count(score),1) + {NUDGE}, 6) AS class_{k}_fraction"]
     for name, e in (("area", "((x2-x1)/1920)*((y2-y1)/1080)"), ("width", "(x2-x1)/1920"), ("height", "(y2-y1)/1080"), ("center_x", "cx"), ("center_y", "cy")):
         out.append(_stats_sql(e, f"box_{name}"))
     out += [
-        "round(count(*) FILTER (cx < 0.1e0 OR cx > 0.9e0 OR cy < 0.1e0 OR cy > 0.9e0)/greatest(count(score),1), 6) AS border_fraction",
-        "round(abs(count(*) FILTER (cx < 0.5e0) - count(*) FILTER (cx >= 0.5e0))/greatest(count(score),1), 6) AS left_right_imbalance",
-        "round(abs(count(*) FILTER (cy < 0.5e0) - count(*) FILTER (cy >= 0.5e0))/greatest(count(score),1), 6) AS top_bottom_imbalance",
+        f"round(count(*) FILTER (cx < 0.1e0 OR cx > 0.9e0 OR cy < 0.1e0 OR cy > 0.9e0)/greatest(count(score),1) + {NUDGE}, 6) AS border_fraction",
+        f"round(abs(count(*) FILTER (cx < 0.5e0) - count(*) FILTER (cx >= 0.5e0))/greatest(count(score),1) + {NUDGE}, 6) AS left_right_imbalance",
+        f"round(abs(count(*) FILTER (cy < 0.5e0) - count(*) FILTER (cy >= 0.5e0))/greatest(count(score),1) + {NUDGE}, 6) AS top_bottom_imbalance",
     ]
     return f"WITH d AS (SELECT i.image_id, score, category_id, x1, y1, x2, y2, (x1+x2)/3840e0 AS cx, (y1+y2)/2160e0 AS cy FROM images i LEFT JOIN xy_dt d ON i.image_id = d.image_id) SELECT {', '.join(out)} FROM d GROUP BY image_id"
 
@@ -219,7 +223,7 @@ def _features_sql():
 @query("a2_view_features", _features_sql())
 def _(v):
     f = A.view_features(v.xy_dt, v.images, CATEGORIES)
-    return f.select("image_id", *[F.round(c, 6).alias(c) for c in f.columns if c != "image_id"])
+    return f.select("image_id", *[F.round(F.col(c) + NUDGE, 6).alias(c) for c in f.columns if c != "image_id"])
 
 
 @query("a4_timing_summary", "SELECT model_id, count(*) AS n, round(avg(total_ms), 6) AS mean_ms, round(avg(total_ms), 6) AS mean_without_load_ms, round(stddev_pop(total_ms), 6) AS std_ms, round(quantile_cont(total_ms, 0.5), 6) AS p50_ms, round(quantile_cont(total_ms, 0.95), 6) AS p95_ms, round(1000/avg(total_ms), 6) AS fps, round(max(total_ms), 6) AS max_ms FROM timings GROUP BY model_id")
@@ -254,15 +258,15 @@ def _(v):
     return A.latency_contrast(v.timings, 0).select("model_id", *r("median_ms", "min_ms", "max_ms", "median_ratio", "max_ratio"), "equivalent", "under_ceiling")
 
 
-@query("a10_latency_ratio_max", "WITH c AS (SELECT model_id, cycle, quantile_cont(total_ms, 0.5) AS ms FROM timings GROUP BY ALL) SELECT c.model_id, round(max(c.ms/b.ms), 6) AS worst_ratio FROM c JOIN c b ON c.cycle = b.cycle AND b.model_id = 0 GROUP BY c.model_id")
+@query("a10_latency_ratio_max", "WITH c AS (SELECT model_id, cycle, avg(total_ms) AS ms FROM timings GROUP BY ALL) SELECT c.model_id, round(max(c.ms/b.ms), 6) AS worst_ratio FROM c JOIN c b ON c.cycle = b.cycle AND b.model_id = 0 GROUP BY c.model_id")
 def _(v):
     return A.latency_ratio_max(v.timings, 0).select("model_id", *r("worst_ratio"))
 
 
-@query("a11_mechanism_images", "SELECT t.image_id, round(avg(d), 6) AS d_mean, round(avg(u), 6) AS u_mean, round(avg(d*u), 6) AS du_mean, count(*) AS n_regions, any_value(i.cluster_id) AS cluster_id FROM traits t JOIN images i ON t.image_id = i.image_id WHERE d > 0.5e0 GROUP BY t.image_id")
+@query("a11_mechanism_images", f"SELECT t.image_id, round(avg(d) + {NUDGE}, 6) AS d_mean, round(avg(u) + {NUDGE}, 6) AS u_mean, round(avg(d*u) + {NUDGE}, 6) AS du_mean, count(*) AS n_regions, any_value(i.cluster_id) AS cluster_id FROM traits t JOIN images i ON t.image_id = i.image_id WHERE d > 0.5e0 GROUP BY t.image_id")
 def _(v):
     t = v.traits.withColumn("selected", F.col("d") > 0.5)
-    return A.mechanism_images(t, v.images.select("image_id", "cluster_id")).select("image_id", *r("d_mean", "u_mean", "du_mean"), "n_regions", "cluster_id")
+    return A.mechanism_images(t, v.images.select("image_id", "cluster_id")).select("image_id", *[F.round(F.col(c) + NUDGE, 6).alias(c) for c in ("d_mean", "u_mean", "du_mean")], "n_regions", "cluster_id")
 
 
 @query("a12_outcome_summary", "SELECT method, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(CASE WHEN delta > 1e-12 THEN 1e0 ELSE 0e0 END), 6) AS positive_rate, round(avg(CASE WHEN delta < -1e-12 THEN 1e0 ELSE 0e0 END), 6) AS harm_rate, round(avg(CASE WHEN abs(delta) <= 1e-12 THEN 1e0 ELSE 0e0 END), 6) AS neutral_rate FROM deltas GROUP BY method")

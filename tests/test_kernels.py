@@ -71,11 +71,19 @@ def test_perfect_detections_have_ap_one(spark):
     assert {round(x.ap, 9) for x in coco_eval.evaluated(t, m, [], ("all",)).collect()} == {1.0}
 
 
-def test_rotation_examples(spark):
-    df = spark.range(1).select(*[F.lit(float(v)).alias(n) for v, n in ((30, "x1"), (40, "y1"), (70, "x2"), (60, "y2"))])
-    same = df.select(*G.rotated_enclosure(G.Box.of(), F.lit(0.0), F.lit(100), F.lit(100)).named()).first()
-    turned = df.select(*G.rotated_enclosure(G.Box.of(), F.lit(90.0), F.lit(100), F.lit(100)).named()).first()
-    assert tuple(same) == (30, 40, 70, 60) and np.allclose(tuple(turned), (40, 30, 60, 70))
+@pytest.mark.parametrize("seed", range(4))
+def test_rotated_enclosure_bounds_the_turned_corners(spark, seed):
+    """Against the corners, turned one by one about the middle of the box and cut at the image."""
+    r = random.Random(seed)
+    w, h, angle = r.randint(50, 300), r.randint(50, 300), r.uniform(-180, 180)
+    x1, y1 = r.uniform(0, w - 20), r.uniform(0, h - 20)
+    x2, y2 = x1 + r.uniform(1, 19), y1 + r.uniform(1, 19)
+    df = spark.range(1).select(*[F.lit(v).alias(n) for v, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))])
+    got = tuple(df.select(*G.rotated_enclosure(G.Box.of(), F.lit(angle), F.lit(w), F.lit(h)).named()).first())
+    middle, turn = complex((x1 + x2) / 2, (y1 + y2) / 2), np.exp(1j * np.radians(angle))
+    z = [(complex(x, y) - middle) * turn + middle for x in (x1, x2) for y in (y1, y2)]
+    hull = [f(part(c) for c in z) for f in (min, max) for part in (lambda c: c.real, lambda c: c.imag)]
+    assert np.allclose(got, np.clip(hull, 0, [w, h, w, h]))
 
 
 def test_label_line(spark):
@@ -85,11 +93,106 @@ def test_label_line(spark):
     assert got[1].text == "0 0.10000000 0.15000000 0.20000000 0.10000000\n" and (got[1].outside, got[1].clipped, got[1].degenerate) == (1, 1, 0) and got[2].text == ""
 
 
-def test_evenly_spaced_and_blocks(spark):
-    f = spark.range(2480).select(F.lit(1).alias("sequence"), F.col("id").cast("int").alias("frame_index"))
-    got = [r.frame_index for r in select.evenly_spaced(f, 0, 2479, 900).collect()]
-    assert len(set(got)) == 900 and {0, 2479} <= set(got)
+@pytest.mark.parametrize("first, last, n", [(0, 9, 10), (3, 500, 7), (10, 12, 2), (5, 1234, 321)])
+def test_evenly_spaced(spark, first, last, n):
+    f = spark.range(1300).select(F.lit(1).alias("sequence"), F.col("id").cast("int").alias("frame_index"))
+    got = sorted(r.frame_index for r in select.evenly_spaced(f, first, last, n).collect())
+    gaps = np.diff(got)
+    assert len(set(got)) == n and (got[0], got[-1]) == (first, last) and gaps.max() - gaps.min() <= 1
     with pytest.raises(ValueError):
-        select.evenly_spaced(f, 0, 2, 4)
-    sizes = [r["count"] for r in windows.temporal_blocks(f.where("frame_index < 2027"), 32).groupBy("block").count().collect()]
-    assert len(sizes) == 32 and max(sizes) - min(sizes) <= 1
+        select.evenly_spaced(f, first, last, last - first + 2)
+
+
+@pytest.mark.parametrize("n, blocks", [(17, 5), (400, 9), (64, 64)])
+def test_temporal_blocks(spark, n, blocks):
+    f = spark.range(n).select(F.lit(1).alias("sequence"), F.col("id").cast("int").alias("frame_index"))
+    rows = sorted((r.frame_index, r.block) for r in windows.temporal_blocks(f, blocks).collect())
+    sizes = pd.Series([b for _, b in rows]).value_counts()
+    assert [b for _, b in rows] == sorted(b for _, b in rows) and len(sizes) == blocks and sizes.max() - sizes.min() <= 1
+
+
+def nothing_left(spark):
+    """Image 2 has no box that any kernel publishes."""
+    return spark.createDataFrame(pd.concat([boxes(15, 1), boxes(1, 2, image=2).assign(score=0.001)]))
+
+
+SOFT = {"sigma": 0.5, "probe": 0.1, "publish": 0.1, "low": 0.5, "high": 1.5, "max_det": 300}
+WBF = {"threshold": 0.5, "probe": 0.1, "publish": 0.1, "base_weight": 1.0, "low": 0.5, "high": 1.5, "max_det": 300}
+
+
+@pytest.mark.parametrize("kernel", ["hard", "merge", "soft", "wbf", "anchored", "consensus", "reference"])
+def test_images_without_output(spark, kernel):
+    df = nothing_left(spark)
+    base = fusion.with_source(df, "base")
+    run = {
+        "hard": lambda: fusion.hard_nms(base, 0.5, 0.1, 300),
+        "merge": lambda: fusion.classwise_nms_merge([base, fusion.with_source(df, "flip")], 0.5, 300),
+        "soft": lambda: fusion.soft_nms(base, **SOFT),
+        "wbf": lambda: fusion.weighted_box_fusion(base, **WBF),
+        "anchored": lambda: fusion.anchored_wbf(base, 0.5, 0.5, 0.0, 0.1, 0.1, 0.3, 1.0, 0.5, 1.5, 300),
+        "consensus": lambda: fusion.consensus_anchor(base, 0.1, 0.2, 0.5, 300),
+        "reference": lambda: fusion.fuse_reference(base, 0.5),
+    }[kernel]()
+    images = {r.image_id for r in run.collect()}
+    assert 1 in images and (2 not in images or kernel in ("merge", "reference"))
+
+
+def slow_match(truth, det, threshold, low, high):
+    """det_id -> (tp, ignored): one detection after the other, best score first."""
+    out, used = {}, set()
+    size = lambda b: (b.x2 - b.x1) * (b.y2 - b.y1)
+    for d in sorted(det, key=lambda d: (-d.score, d.det_id)):
+        best = None
+        for skipped in (False, True):
+            for t in sorted(truth, key=lambda t: t.ann_id):
+                o = (t.iscrowd == 1) or not low <= size(t) <= high
+                if o != skipped or (t.ann_id in used and not t.iscrowd):
+                    continue
+                v = iou((t.x1, t.y1, t.x2, t.y2), (d.x1, d.y1, d.x2, d.y2))
+                if t.iscrowd:
+                    w, h = min(t.x2, d.x2) - max(t.x1, d.x1), min(t.y2, d.y2) - max(t.y1, d.y1)
+                    v = max(0, w) * max(0, h) / size(d)
+                if v >= threshold and (best is None or v >= best[0]):
+                    best = (v, t, skipped)
+            if best:
+                break
+        if best:
+            used.add(best[1].ann_id)
+            out[d.det_id] = (int(not best[2]), best[2])
+        else:
+            out[d.det_id] = (0, not low <= size(d) <= high)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_match_coco_is_slow_version(spark, seed):
+    """With crowds, areas, ties, a class without detections and one without truth boxes."""
+    t = boxes(25, seed).rename(columns={"det_id": "ann_id"}).drop(columns="score").assign(iscrowd=lambda x: (x.ann_id % 6 == 0).astype(int))
+    d = boxes(30, seed).assign(x1=lambda x: x.x1 - 1, det_id=lambda x: 100 + x.det_id)
+    t = pd.concat([t, t.head(2).assign(category_id=7, ann_id=[900, 901])])
+    d = pd.concat([d, d.head(2).assign(category_id=8, det_id=[990, 991])])
+    got = coco_eval.match_coco(spark.createDataFrame(t), spark.createDataFrame(d), thresholds=(0.5, 0.75)).toPandas()
+    want = {}
+    for c in set(d.category_id):
+        for area, (low, high) in coco_eval.AREAS.items():
+            for level in (0.5, 0.75):
+                of = lambda x, c=c: list(x[x.category_id == c].itertuples())
+                want |= {(k, area, level): v for k, v in slow_match(of(t), of(d), level, low, high).items()}
+    assert {(r.det_id, r.area, r.threshold): (r.tp, r.ignored) for r in got.itertuples()} == want
+    assert coco_eval.match_coco(spark.createDataFrame(t), spark.createDataFrame(d).limit(0)).count() == 0
+
+
+def test_t_quantiles():
+    """Tabulated to four digits everywhere."""
+    from gridlark.operators.aggregates import t_quantile
+
+    for dof, q in ((1, 12.7062), (2, 4.3027), (5, 2.5706), (10, 2.2281), (30, 2.0423), (120, 1.9799)):
+        assert abs(t_quantile(dof) - q) < 6e-5
+
+
+def test_row_hash_tells_rows_apart(spark):
+    from gridlark.functions.hashing import row_hash
+
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"), ("-", "c"), ("1:a", "c")]
+    df = spark.createDataFrame(rows, "x string, y string").select(row_hash(["x", "y"]).alias("h"))
+    assert df.distinct().count() == len(rows)
