@@ -353,11 +353,56 @@ def test_lm_scores(spark, docs):
         return " ".join(out)
 
     df = spark.createDataFrame([(i, chain(150)) for i in range(300)], "doc_id long, text string")
-    ids, counts = lmscore.count_words(df)
-    weights = lmscore.train(lmscore.token_ids(df, ids, "doc_id"), counts, share=0.5, rounds=3)
-    held = [(1, chain(200)), (2, " ".join(r.choice(WORDS) for _ in range(200))), (3, None), (4, "")]
-    got = {x.doc_id: x for x in lmscore.score(lmscore.token_ids(spark.createDataFrame(held, "doc_id long, text string"), ids, "doc_id"), weights).collect()}
-    assert got[1].mean_log_likelihood > got[2].mean_log_likelihood + 0.2
+    model = lmscore.gather(df)
+    weights = lmscore.train(lmscore.token_ids(df, model, "doc_id"), model.counts, model.side)
+    noise = " ".join("".join(chr(97 + r.randrange(26)) for _ in range(6)) for _ in range(200))
+    held = [(1, chain(200)), (2, " ".join(r.choice(WORDS) for _ in range(200))), (3, None), (4, ""), (5, noise)]
+    got = {x.doc_id: x for x in lmscore.score(lmscore.token_ids(spark.createDataFrame(held, "doc_id long, text string"), model, "doc_id"), weights, model.side).collect()}
+    unigram = np.log(1 / len(WORDS))
+    assert got[1].mean_log_likelihood > got[2].mean_log_likelihood + 0.2 and got[1].mean_log_likelihood > unigram + 0.2
+    assert got[5].mean_log_likelihood < got[2].mean_log_likelihood - 5
     assert (got[3].n_tokens, got[3].log_likelihood, got[3].mean_log_likelihood) == (0, 0.0, None) and got[4].n_tokens == 0
     assert lmscore.score_corpus(docs).count() == docs.count()
     assert lmscore.score_corpus(empty(spark)).count() == 0
+
+
+def test_lm_counts_and_spellings(spark):
+    """All words are counted; words outside the vocabulary have the probability of their spelling, which sums to one."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(r.choice([9, 4000]))}" for _ in range(300)) + " É \u00a0x" for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = {}
+    for t in texts:
+        for w in (t or "").lower().split():
+            want[w] = want.get(w, 0) + 1
+    assert {x.word: x.n for x in lmscore.word_counts(df).collect()} == want
+    model = lmscore.gather(df)
+    top = sorted(want, key=lambda w: (-want[w], w.encode()))[: model.side**2 - 1]
+    assert model.side == 32 and set(model.ids) == set(top) and len(want) > len(top)
+    rare = {w: n for w, n in want.items() if w not in model.ids}
+    assert model.counts[-1] == 0.5 + sum(rare.values())
+    table = np.zeros((lmscore.CONTEXTS, lmscore.SYMBOLS))
+    fold = lambda x: ((x & 63) ^ (x >> 6)) & 63
+    for w, n in rare.items():
+        a = b = 0
+        for x in [*w.encode(), lmscore.END]:
+            table[a << 6 | b, x] += n
+            a, b = b, fold(x)
+    base = (table.sum(axis=0) + 0.1) / (table.sum() + 0.1 * lmscore.SYMBOLS)
+    log = np.log((table + 4 * base) / (table.sum(axis=1, keepdims=True) + 4))
+    assert np.allclose(model.spelling, log.reshape(-1), atol=1e-4) and np.allclose(np.exp(log).sum(axis=1), 1)
+    for x in lmscore.token_ids(df, model, "doc_id").collect():
+        words = (texts[x.doc_id] or "").lower().split()
+        total = 0.0
+        for w in words:
+            a = b = 0
+            for s in [*w.encode(), lmscore.END] if w in rare else []:
+                total += log[a << 6 | b, s]
+                a, b = b, fold(s)
+        assert np.frombuffer(x.ids, np.uint16).tolist() == [model.ids.get(w, model.side**2) for w in words] and abs(x.spelled - total) < 1e-3
+
+
+def test_lm_masks_every_place_once():
+    n = np.array([5, 0, 70, 1])
+    seen = [p for turn in range(3) for p in lmscore._masked(n, turn, 3, 17).tolist()]
+    assert sorted(seen) == lmscore._places(n).tolist()
