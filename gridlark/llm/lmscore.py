@@ -239,16 +239,22 @@ def _context(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [ids[at + j] for j in range(-SIDE, SIDE + 1) if j]
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - row maximum), in place of z, and its row sums."""
-    z -= z.max(axis=1, keepdims=True)
+def _reach(w: np.ndarray, b: np.ndarray) -> float:
+    """How far from 0 any score can be, as hidden values are within 1."""
+    return float((np.abs(w).sum(axis=-2) + np.abs(b)).max())
+
+
+def _softmax(z: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), less the row maximum where it could overflow, in place of z, and its row sums."""
+    if reach > 60:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _log_share(z: np.ndarray, column: np.ndarray) -> np.ndarray:
-    e, total = _softmax(z)
-    return np.log(np.maximum(e[np.arange(len(e)), column], np.float32(1e-30)) / total)
+def _log_share(z: np.ndarray, column: np.ndarray, reach: float) -> np.ndarray:
+    e, total = _softmax(z, reach)
+    return np.log(np.maximum(e[np.arange(len(e)), column] / total, np.float32(1e-30)))
 
 
 def _by_class(cls: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -263,9 +269,10 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.n
     """Log probability of the token at each place, from both sides; for a word outside the vocabulary, that it is one."""
     h, side = _hidden(w, _context(ids, at)), side_of(w)
     cls, member = ids[at] // side, ids[at] % side
-    out = _log_share(h @ w["class_w"] + w["class_b"], cls)
+    out = _log_share(h @ w["class_w"] + w["class_b"], cls, _reach(w["class_w"], w["class_b"]))
+    reach = _reach(w["token_w"], w["token_b"])
     for c, rows in _by_class(cls, side):
-        out[rows] += _log_share(h[rows] @ w["token_w"][c] + w["token_b"][c], member[rows])
+        out[rows] += _log_share(h[rows] @ w["token_w"][c] + w["token_b"][c], member[rows], reach)
     return out
 
 
@@ -289,18 +296,17 @@ class Trainer:
         h = _hidden(w, context)
         side = side_of(w)
         cls, member = ids[at] // side, ids[at] % side
-        d, total = _softmax(h @ w["class_w"] + w["class_b"])
-        d /= total[:, None]
-        d[np.arange(n), cls] -= 1
-        d /= n
+        d, total = _softmax(h @ w["class_w"] + w["class_b"], _reach(w["class_w"], w["class_b"]))
+        d /= (total * n)[:, None]
+        d[np.arange(n), cls] -= 1 / n
+        reach = _reach(w["token_w"], w["token_b"])
         dh = d @ w["class_w"].T
         class_w, class_b = h.T @ d, d.sum(axis=0)
         for c, rows in _by_class(cls, side):
             own = h[rows]
-            e, total = _softmax(own @ w["token_w"][c] + w["token_b"][c])
-            e /= total[:, None]
-            e[np.arange(len(rows)), member[rows]] -= 1
-            e /= n
+            e, total = _softmax(own @ w["token_w"][c] + w["token_b"][c], reach)
+            e /= (total * n)[:, None]
+            e[np.arange(len(rows)), member[rows]] -= 1 / n
             dh[rows] += e @ w["token_w"][c].T
             self._step("token_w", own.T @ e, c)
             self._step("token_b", e.sum(axis=0), c)
@@ -328,7 +334,7 @@ def _masked(n: np.ndarray, turn: int, rounds: int, seen: int) -> np.ndarray:
     return place[(draw >> np.uint64(32)) % np.uint64(rounds) == np.uint64(turn)]
 
 
-def train(encoded: DataFrame, counts: np.ndarray, side: int, rounds: int = 2, rate: float = 0.1, batch: int = 4096) -> np.ndarray:
+def train(encoded: DataFrame, counts: np.ndarray, side: int, rounds: int = 2, rate: float = 0.1, batch: int = 8192) -> np.ndarray:
     """Weights, from the token ids of all documents.  What reaches the driver is one set of weights a round."""
     spark = encoded.sparkSession
     weights = flatten(initial(counts, side))
@@ -382,7 +388,7 @@ def score(encoded: DataFrame, weights: np.ndarray, side: int) -> DataFrame:
         for b in batches:
             for at, to, stream, n in streams(b.column(1)):
                 place = _places(n)
-                lp = np.concatenate([log_probs(w, stream, place[k : k + 4096]) for k in range(0, len(place), 4096)] or [np.zeros(0)]).astype(np.float64)
+                lp = np.concatenate([log_probs(w, stream, place[k : k + 8192]) for k in range(0, len(place), 8192)] or [np.zeros(0)]).astype(np.float64)
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]) + np.asarray(b.column(2).slice(at, to - at))
                 mean = pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n), pa.array(np.round(sums, 4)), mean], names=[id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
