@@ -3,14 +3,16 @@
 A byte is removed if it lies in a ``LENGTH``-byte string that also starts earlier (smaller doc_id, or earlier in the
 same document).  Strings are told apart by 64- and 128-bit hashes; documents are whole UTF-8 texts.
 
-Ranks of prefixes grow by doubling.  Inside a task, prefix hashes double from 1 to 32 and 36 bytes; each
+First, positions that cannot repeat leave.  Inside a task, prefix hashes double from 1 to 32 and 36 bytes; each
 ``LENGTH``-byte string is represented by the position (anchor) of its least 36-byte prefix hash, so equal strings have
-equal anchors, and a string whose anchor content occurs once is unique and leaves at once.  All neighbouring strings
-with one anchor go on as a single row, with a hash of the whole stretch they cover.  Spark sorts those rows by (rank of
-the anchor's prefix, rank of the stretch): equal stretches are settled there, first occurrence against the rest.  What
-is left, one row a differing stretch, goes on position by position: Spark sorts (rank of the 50-byte prefix, rank of
-the 50 bytes at offset 50), drops positions whose 50-byte prefix is unique, and reranks the rest by the pair, that is
-at the threshold.  The second rank of a pair is computed where the text is, so a round is one sort and no self-join.
+equal anchors, and a string whose anchor content occurs once is unique.  All neighbouring strings with one anchor are a
+single row, with a hash of the whole stretch they cover; Spark sorts these rows, and equal stretches are settled, first
+occurrence against the rest.
+
+Then the loop, over the positions of the stretches that differ but share an anchor: Spark sorts the pairs (rank of the
+prefix, rank of what follows it), positions whose pair is unique leave, the pair is the rank of a prefix twice as long, and
+so on until the threshold (36, 72, 100 bytes), where all but the first position of a pair are repetitions.  A rank is the
+hash of its content, so that the second of a pair is computed where the text is; a round is one sort of what is still open.
 
 Edge cases: null texts are empty; texts under ``LENGTH`` bytes lose nothing; null doc_ids come first and rows with equal
 doc_ids follow the order of their texts (both get a running number instead of their id); an empty table gives no rows;
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partition_id, splitmix, staged, text_chunks, utf8_buffer
+from .common import lean, partition_id, splitmix, staged, text_chunks, utf8_buffer
 from .linededup import Substrings, _BASE, _BYTE
 
 ANCHOR = 36
@@ -95,7 +97,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 21):
+            for at, to in text_chunks(batch.column(1), 1 << 20):
                 data, offsets = utf8_buffer(batch.column(1).slice(at, to - at))
                 prefix, a, lo, hi = anchors(data, offsets, length)
                 if not len(lo):
@@ -110,7 +112,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 prefix = np.where(first, prefix, splitmix(prefix + doc.astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64)))
                 yield pa.RecordBatch.from_pydict({"prefix": prefix.view(np.int64), "stretch": stretch.view(np.int64), "doc": doc, "place": place, "sure": pa.array(~first)})
 
-    return docs.select("doc", "text").mapInArrow(rows, "prefix long, stretch long, doc long, place long, sure boolean")
+    return docs.select("doc", "text").mapInArrow(lean(rows), "prefix long, stretch long, doc long, place long, sure boolean")
 
 
 def settled_stretches(docs: DataFrame, length: int) -> DataFrame:
@@ -122,13 +124,15 @@ def settled_stretches(docs: DataFrame, length: int) -> DataFrame:
     return family.where("nth <> 1 or differing > 1").select("doc", "place", (F.col("nth") != 1).alias("repeats"))
 
 
-def _positions(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """near, far (ranks of the two halves), doc, at, sure: every string start of the open stretches."""
-    half = length // 2
+def _pairs(docs: DataFrame, open_: DataFrame, known: int, step: int, last: bool) -> DataFrame:
+    """near, far (ranks of ``known`` bytes and of the ``step`` bytes after them), doc, at, sure for every position of the open places.
+
+    ``sure`` rows repeat inside the batch and need no company: in the last round those that are not the first of their pair,
+    before it all of a pair.  Only the first row of a batch's pair keeps its key, so copies do not crowd one task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 21):
+            for at, to in text_chunks(batch.column(1), 1 << 20):
                 data, offsets = utf8_buffer(batch.column(1).slice(at, to - at))
                 places = batch.column(2).slice(at, to - at)
                 n = np.asarray(places.value_lengths())
@@ -138,25 +142,34 @@ def _positions(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                 start = np.repeat((place >> 16) + offsets[row], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 row = np.repeat(row, count)
                 sub = Substrings(data)
-                near, far = sub.hash(start, start + half), sub.hash(start + half, start + length)
+                near, far = sub.hash(start, start + known), sub.hash(start + known, start + known + step)
                 doc, pos = np.asarray(batch.column(0).slice(at, to - at))[row], start - offsets[row]
                 first = _earliest((near, far), doc, pos)
-                near = np.where(first, near, splitmix(near + doc.astype(np.uint64) * np.uint64(_BASE) + pos.astype(np.uint64)))
-                yield pa.RecordBatch.from_pydict({"near": near.view(np.int64), "far": far.view(np.int64), "doc": doc, "at": pos, "sure": pa.array(~first)})
+                sure = ~first
+                if not last:  # the first of a repeated pair stays as well
+                    key = splitmix(near * np.uint64(_BASE) + far)
+                    sure |= np.isin(key, key[sure])
+                spread = splitmix(near + doc.astype(np.uint64) * np.uint64(_BASE) + pos.astype(np.uint64))
+                near = np.where(first, near, spread)
+                yield pa.RecordBatch.from_pydict({"near": near.view(np.int64), "far": far.view(np.int64), "doc": doc, "at": pos, "sure": pa.array(sure)})
 
     per_doc = open_.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "d")
     joined = docs.select("doc", "text").join(per_doc, F.col("doc") == F.col("d")).select("doc", "text", "places")
-    return joined.mapInArrow(rows, "near long, far long, doc long, at long, sure boolean")
+    return joined.mapInArrow(lean(rows), "near long, far long, doc long, at long, sure boolean").repartition("near", "far")
 
 
 def repeated_positions(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """doc, at: string starts in open stretches whose string starts earlier elsewhere."""
-    rows = _positions(docs, open_, length).repartition("near")
-    prefix = Window.partitionBy("near")
-    pair = Window.partitionBy("near", "far").orderBy("doc", "at")
-    # round one: the 50-byte prefix; unique positions leave.  round two: the pair, which is the threshold
-    live = rows.withColumn("n", F.count("*").over(prefix)).where("n > 1 or sure")
-    return live.withColumn("nth", F.row_number().over(pair)).where("nth > 1 or sure").select("doc", "at")
+    """doc, at: string starts in open stretches whose string starts earlier elsewhere, by prefix doubling."""
+    pair, known = Window.partitionBy("near", "far"), ANCHOR
+    while known < length:
+        step = min(known, length - known)
+        last = known + step == length
+        ranked = _pairs(docs, open_, known, step, last)
+        known += step
+        if not last:
+            alive = ranked.withColumn("n", F.count("*").over(pair)).where("n > 1 or sure")
+            open_ = staged(alive.select("doc", F.shiftleft("at", 16).alias("place")), f"open-{known}")
+    return ranked.withColumn("nth", F.row_number().over(pair.orderBy("doc", "at"))).where("nth > 1 or sure").select("doc", "at")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -200,7 +213,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = False
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 22):
+            for at, to in text_chunks(batch.column(1), 1 << 20):
                 data, offsets = utf8_buffer(batch.column(1).slice(at, to - at))
                 found = batch.column(2).slice(at, to - at)
                 n = np.asarray(found.value_lengths().fill_null(0))
@@ -231,4 +244,4 @@ def dedup_substrings(docs: DataFrame, length: int = 100, with_text: bool = False
                 yield pa.RecordBatch.from_pydict(cols)
 
     joined = docs.join(spans, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

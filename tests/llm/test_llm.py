@@ -327,19 +327,45 @@ def test_jaccard_of_a_large_group_of_versions(spark, block):
     assert got == want and 0 < sum(want.values()) < 120 * 119
 
 
-def test_substrings(spark, docs):
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(docs, 100).collect())
+def slow_substrings(rows, length=100):
     seen, want = set(), []
-    for i, t in sorted(raw(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         b = t.encode()
         gone = bytearray(len(b))
-        for s in range(len(b) - 99):
-            if b[s : s + 100] in seen:
-                gone[s : s + 100] = b"\1" * 100
-            seen.add(b[s : s + 100])
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(b[s : s + length])
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want.append((i or -1, len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1])), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want) and suffix.dedup_substrings(empty(spark)).count() == 0
+    return sorted(want)
+
+
+def substrings(df, length=100):
+    return sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(df, length).collect())
+
+
+def test_substrings(spark, docs):
+    assert substrings(docs) == slow_substrings(raw(docs)) and suffix.dedup_substrings(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("length", [60, 72, 100, 150])
+def test_substrings_of_spliced_texts(spark, length):
+    """Texts made of pieces of one another, cut around the threshold, runs of one byte, and copies, over several partitions."""
+    r = random.Random(length)
+    base, rows = [prose(60 + i, 60) for i in range(6)] + ["a" * 400, "ab" * 200, "é" * 150], []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            b = r.choice(base)
+            at = r.randrange(max(1, len(b) - length))
+            parts.append(b[at : at + length + r.randrange(-25, 26)])
+            parts.append(prose(r.random(), r.randrange(1, 6)))
+        rows.append((i, " ".join(parts)))
+    rows += [(70, rows[0][1]), (71, rows[1][1] + rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got, want = substrings(df, length), slow_substrings(rows, length)
+    assert got == want and 20 < sum(1 for x in want if x[2])
 
 
 def test_lm_scores(spark, docs):
