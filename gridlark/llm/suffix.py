@@ -97,7 +97,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 20):
+            for at, to in text_chunks(batch.column(1), 1 << 21):
                 data, offsets = utf8_buffer(batch.column(1).slice(at, to - at))
                 prefix, a, lo, hi = anchors(data, offsets, length)
                 if not len(lo):
@@ -132,7 +132,7 @@ def _pairs(docs: DataFrame, open_: DataFrame, known: int, step: int, last: bool)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 20):
+            for at, to in text_chunks(batch.column(1), 1 << 21):
                 data, offsets = utf8_buffer(batch.column(1).slice(at, to - at))
                 places = batch.column(2).slice(at, to - at)
                 n = np.asarray(places.value_lengths())
@@ -151,11 +151,11 @@ def _pairs(docs: DataFrame, open_: DataFrame, known: int, step: int, last: bool)
                     sure |= np.isin(key, key[sure])
                 spread = splitmix(near + doc.astype(np.uint64) * np.uint64(_BASE) + pos.astype(np.uint64))
                 near = np.where(first, near, spread)
-                yield pa.RecordBatch.from_pydict({"near": near.view(np.int64), "far": far.view(np.int64), "doc": doc, "at": pos, "sure": pa.array(sure)})
+                yield pa.RecordBatch.from_pydict({"near": near.view(np.int64), "far": far.view(np.int64), "doc": doc, "at": pos.astype(np.int32), "sure": pa.array(sure)})
 
     per_doc = open_.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "d")
     joined = docs.select("doc", "text").join(per_doc, F.col("doc") == F.col("d")).select("doc", "text", "places")
-    return joined.mapInArrow(lean(rows), "near long, far long, doc long, at long, sure boolean").repartition("near", "far")
+    return joined.mapInArrow(lean(rows), "near long, far long, doc long, at int, sure boolean").repartition("near", "far")
 
 
 def repeated_positions(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -168,7 +168,7 @@ def repeated_positions(docs: DataFrame, open_: DataFrame, length: int) -> DataFr
         known += step
         if not last:
             alive = ranked.withColumn("n", F.count("*").over(pair)).where("n > 1 or sure")
-            open_ = staged(alive.select("doc", F.shiftleft("at", 16).alias("place")), f"open-{known}")
+            open_ = staged(alive.select("doc", F.shiftleft(F.col("at").cast("long"), 16).alias("place")), f"open-{known}")
     return ranked.withColumn("nth", F.row_number().over(pair.orderBy("doc", "at"))).where("nth > 1 or sure").select("doc", "at")
 
 
