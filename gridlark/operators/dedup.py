@@ -80,19 +80,45 @@ def component_id(members: DataFrame, component: str, sha: str) -> DataFrame:
     return members.groupBy(component).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), "|"), 256).alias("component_sha"), F.count("*").alias("size"))
 
 
+def nearest_total(histogram: list[tuple[int, int]], target: int) -> dict[int, int]:
+    """How many components of each size to take so that the total is nearest to ``target`` (of equally near ones the larger).
+
+    ``histogram`` has (size, number).  Largest first often hits the target; otherwise the reachable totals up to twice the
+    target are kept as one bit each, for every power of two of a size."""
+    greedy, left = {}, target
+    for size, n in sorted(histogram, reverse=True):
+        greedy[size] = min(n, left // size)
+        left -= greedy[size] * size
+    if not left:
+        return greedy
+    within = (1 << (2 * target + 1)) - 1
+    steps: list[tuple[int, int, int]] = []  # size, how many of it, totals reachable before
+    reach = 1
+    for size, n in sorted(histogram):
+        some = 1
+        while n:
+            some = min(some, n)
+            steps.append((size, some, reach))
+            reach |= (reach << size * some) & within
+            n -= some
+            some *= 2
+    total = next(t for d in range(target + 1) for t in (target + d, target - d) if reach >> t & 1)
+    take = dict.fromkeys(greedy, 0)
+    for size, some, before in reversed(steps):
+        if not before >> total & 1:
+            take[size] += some
+            total -= size * some
+    return take
+
+
 def partition_components(sizes: DataFrame, target: int) -> DataFrame:
-    """component_sha, size, role: whole components go to B in hash order while the total comes nearer to ``target``.
+    """component_sha, size, role: whole components go to B so that their total is nearest to ``target``, in hash order among those of one size.
 
     Only the histogram of sizes reaches the driver; components of one size are told apart by their rank in hash order."""
     from pyspark.sql import Window
 
-    histogram = sorted(((r[0], r[1]) for r in sizes.groupBy("size").count().collect()), reverse=True)
-    take, left = [], target
-    for size, n in histogram:
-        k = min(n, left // size) if left > 0 else 0
-        take.append((int(size), int(k)))
-        left -= k * size
-    quota = sizes.sparkSession.createDataFrame(take, "size long, quota long")
+    histogram = [(int(r[0]), int(r[1])) for r in sizes.groupBy("size").count().collect()]
+    quota = sizes.sparkSession.createDataFrame(list(nearest_total(histogram, target).items()), "size long, quota long")
     nth = F.row_number().over(Window.partitionBy("size").orderBy("component_sha"))
     return sizes.withColumn("nth", nth).join(F.broadcast(quota), "size").select("component_sha", "size", F.when(F.col("nth") <= F.col("quota"), "B").otherwise("A").alias("role"))
 

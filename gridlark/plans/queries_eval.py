@@ -510,9 +510,9 @@ def _(v):
 @query("s12_write_timings", "SELECT model_id, count(*) AS n, round(max(total_ms), 6) AS top FROM timings GROUP BY model_id")
 def _(v):
     path = folder(v, "timings")
-    full = v.timings.select("image_id", "model_id", *[F.col("total_ms") if c == "total_ms" else F.lit(0.0).alias(c) for c in R.TIMING[2:]])
+    full = v.timings.select(F.col("model_id").cast("string").alias("run_id"), "image_id", *[F.col("total_ms") if c == "total_ms" else F.lit(0.0).alias(c) for c in R.TIMING[2:]])
     W.write_timings(full, path, R.TIMING)
-    return v.spark.read.parquet(path).groupBy("model_id").agg(F.count("*").alias("n"), F.round(F.max("total_ms"), 6).alias("top"))
+    return v.spark.read.parquet(path).groupBy(F.col("run_id").cast("int").alias("model_id")).agg(F.count("*").alias("n"), F.round(F.max("total_ms"), 6).alias("top"))
 
 
 @query("s13_yolo_label_lines", f"""WITH b AS (SELECT det_id, image_id, category_id, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2, {CLIP} FROM xy_dt), l AS (SELECT *, greatest(abs(a1-x1), abs(b1-y1), abs(a2-x2), abs(b2-y2)) > 0 AS moved, x2 > x1 AND y2 > y1 AS keep FROM b)

@@ -9,9 +9,27 @@ COCO = """images array<struct<id: long, file_name: string, width: int, height: i
 annotations array<struct<id: long, image_id: long, category_id: int, bbox: array<double>, area: double, iscrowd: int>>,
 categories array<struct<id: int, name: string>>"""
 PREDICTION = "image_id long, category_id int, bbox array<double>, score double"
+# The columns of a timing table, in order.
 TIMING = (
-    "image_id", "model_id", "load_ms", "preprocess_ms", "full_ms", "degradation_ms", "uncertainty_ms", "selection_ms", "crop_ms", "enhance_ms", "candidate_ms", "utility_ms", "map_ms", "fusion_ms", "publish_ms", "total_ms",
-    "memory_mb", "n_candidates", "eic",
+    "run_id",
+    "image_id",
+    "load_ms",
+    "base_ms",
+    "flip_ms",
+    "scoring_ms",
+    "crop_ms",
+    "enhance_ms",
+    "candidate_ms",
+    "utility_ms",
+    "fusion_ms",
+    "total_ms",
+    "num_regions",
+    "num_candidates",
+    "num_calls",
+    "num_full_calls",
+    "eic",
+    "peak_vram_mb",
+    "cpu_memory_mb",
 )
 
 

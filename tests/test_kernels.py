@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as G
-from gridlark.operators import coco_eval, fusion, matching, select, windows
+from gridlark.operators import coco_eval, dedup, fusion, matching, select, windows
 from gridlark.sources import writers
 
 
@@ -196,3 +196,21 @@ def test_row_hash_tells_rows_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"), ("-", "c"), ("1:a", "c")]
     df = spark.createDataFrame(rows, "x string, y string").select(row_hash(["x", "y"]).alias("h"))
     assert df.distinct().count() == len(rows)
+
+
+def test_nearest_total_of_components():
+    """Against all choices; sizes 4, 3, 3 reach 6 without the 4."""
+    assert dedup.nearest_total([(4, 1), (3, 2)], 6) == {4: 0, 3: 2}
+    r = random.Random(8)
+    for _ in range(60):
+        histogram = [(size, r.randrange(1, 4)) for size in r.sample(range(1, 30), r.randrange(1, 5))]
+        target = r.randrange(1, 90)
+        take = dedup.nearest_total(histogram, target)
+        totals = {sum(s * k for (s, _), k in zip(histogram, ks, strict=True)) for ks in itertools.product(*[range(n + 1) for _, n in histogram])}
+        got = sum(s * k for s, k in take.items())
+        assert all(0 <= take[s] <= n for s, n in histogram) and got == min(totals, key=lambda t: (abs(t - target), t < target))
+
+
+def test_partition_takes_whole_components(spark):
+    sizes = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate([4, 3, 3])], "component_sha string, size long")
+    assert {(x.component_sha, x.role) for x in dedup.partition_components(sizes, 6).collect()} == {("c0", "A"), ("c1", "B"), ("c2", "B")}
