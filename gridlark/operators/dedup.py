@@ -2,40 +2,105 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import forget, written
+from .images import gray8, pixels
 
 
 def dhash64(values: Column) -> Column:
-    """Bit i is set where the next value (wrapping) is larger."""
-    rising = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(values, (i + 1) % 64) > F.get(values, i), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    powers = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    return F.aggregate(F.zip_with(rising, powers, lambda r, p: r * p), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    """Of 9 x 8 numbers, row by row: one bit for each of the 64 pairs of neighbours, set where the right one is larger, first pair in the highest bit."""
+
+    def rises(i: Column) -> Column:
+        left = i + F.floor(i / 8).cast("int")
+        return F.when(F.get(values, left + 1) > F.get(values, left), F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+    powers = F.array(*[F.lit(1 << (63 - i) if i else -(1 << 63)).cast("long") for i in range(64)])
+    bits = F.zip_with(F.transform(F.sequence(F.lit(0), F.lit(63)), rises), powers, lambda r, p: r * p)
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+
+@lru_cache(maxsize=256)
+def _lanczos(n_in: int, n_out: int) -> np.ndarray:
+    """Weights of a resize by a Lanczos window of three lobes, widened where the image shrinks."""
+    scale = n_in / n_out
+    x = (np.arange(n_in)[None, :] - (np.arange(n_out)[:, None] + 0.5) * scale + 0.5) / max(1.0, scale)
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Columns first, then rows, whole numbers of 0 to 255 after each pass."""
+    across = np.clip(np.floor(gray @ _lanczos(gray.shape[1], width).T + 0.5), 0, 255)
+    return np.clip(np.floor(_lanczos(gray.shape[0], height) @ across + 0.5), 0, 255)
+
 
+def _packed(bits: np.ndarray) -> int:
+    return int(np.packbits(bits.reshape(-1)).view(">i8")[0])
 
-def _dct_matrix(n: int) -> np.ndarray:
-    k = np.arange(n)[:, None]
-    m = np.cos(np.pi * (2 * np.arange(n)[None, :] + 1) * k / (2 * n)) * np.sqrt(2 / n)
-    m[0] /= np.sqrt(2)
-    return m
 
+def image_dhash(gray: np.ndarray) -> int:
+    v = resized(gray, 8, 9)
+    return _packed(v[:, 1:] > v[:, :-1])
 
-def phash64(df: DataFrame, values: str, key: str, side: int = 8) -> DataFrame:
-    """key, hash64: low block of the two-dimensional DCT against its median."""
-    d = _dct_matrix(side)
+
+def image_phash(gray: np.ndarray, side: int = 32, low: int = 8) -> int:
+    """The ``low`` x ``low`` slowest waves of the 32 x 32 image against their median, which leaves the constant one out."""
+    k = np.arange(low)[:, None]
+    waves = np.cos(np.pi * (2 * np.arange(side)[None, :] + 1) * k / (2 * side)) * np.where(k == 0, np.sqrt(1 / side), np.sqrt(2 / side))
+    slow = waves @ resized(gray, side, side) @ waves.T
+    return _packed(slow > np.median(slow.reshape(-1)[1:]))
+
+
+def orientations(gray: np.ndarray) -> list[np.ndarray]:
+    """The four quarter turns of an image and of its mirror image."""
+    return [np.rot90(g, k) for g in (gray, gray[:, ::-1]) for k in range(4)]
+
+
+def image_hashes(images: DataFrame) -> DataFrame:
+    """image_id, phashes, dhashes: 64-bit hashes of the 64 x 64 grey image in its eight orientations, the image as it is first."""
 
     def run(batches):
         for b in batches:
-            x = np.stack([np.asarray(v, float)[: side * side].reshape(side, side) for v in b[values]]) if len(b) else np.zeros((0, side, side))
-            low = np.einsum("ij,njk,lk->nil", d, x, d).reshape(len(b), -1)
-            bits = (low > np.median(low, axis=1, keepdims=True)).astype(np.uint8)
-            yield pd.DataFrame({key: b[key], "hash64": np.packbits(bits, axis=1, bitorder="little").copy().view(np.int64)[:, 0] if len(b) else np.zeros(0, np.int64)})
-
-    return df.where(F.size(values) >= side * side).select(key, values).mapInPandas(run, f"{key} long, hash64 long")
+            p, d = [], []
+            for row in b.itertuples():
+                views = orientations(resized(gray8(pixels(row)), 64, 64))
+                p.append([image_phash(x) for x in views])
+                d.append([image_dhash(x) for x in views])
+            yield pd.DataFrame({"image_id": b["image_id"], "phashes": pd.Series(p, dtype=object), "dhashes": pd.Series(d, dtype=object)})
+
+    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, phashes array<long>, dhashes array<long>")
+
+
+def near_edges(hashes: DataFrame, distance: int, key: str, kinds: list[str], whole: int = 2) -> DataFrame:
+    """a, b, kind, distance: links that connect what the rule connects: two rows are near if any hash of one and any of the other, of
+    the same kind (an array column), are at most ``distance`` bits apart.
+
+    Every distinct hash has an owner, its smallest key.  Rows are linked to the owners of their hashes, owners of near hashes to each
+    other; each link is a near pair itself, and rows that share a hash make no pairs among them.  Of ``distance + whole`` segments
+    of a hash ``whole`` must agree, so near hashes meet by an equi-join on each choice of that many segments.  Rows without hashes
+    and null hashes make no link."""
+    arrays = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in kinds])
+    each = hashes.select(key, F.inline(arrays)).select(key, "kind", F.explode("values").alias("h")).where("h is not null").distinct()
+    owned = written(each.groupBy("kind", "h").agg(F.min(key).alias("owner")), "owners")
+    same = each.join(owned, ["kind", "h"]).where(F.col(key) > F.col("owner")).select(F.col("owner").alias("a"), F.col(key).alias("b"), "kind", F.lit(0).alias("distance"))
+    parts = distance + whole
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in some) for some in combinations(range(parts), whole)]
+    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits")) for i, m in enumerate(masks)])
+    rows = owned.select("kind", "h", "owner", F.inline(choices))
+    left = rows.select("kind", "choice", "bits", F.col("h").alias("ha"), F.col("owner").alias("oa"))
+    right = rows.select("kind", "choice", "bits", F.col("h").alias("hb"), F.col("owner").alias("ob"))
+    apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    near = left.join(right, ["kind", "choice", "bits"]).where((F.col("ha") < F.col("hb")) & (F.col("oa") != F.col("ob")) & (apart <= distance))
+    near = near.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "kind", apart.alias("distance"))
+    return same.unionByName(near).groupBy("a", "b", "kind").agg(F.min("distance").alias("distance"))
 
 
 def hamming_pairs(hashes: DataFrame, distance: int, key: str, value: str) -> DataFrame:

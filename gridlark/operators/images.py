@@ -18,7 +18,14 @@ def pixels(row) -> np.ndarray:
 
 
 def gray(image: np.ndarray) -> np.ndarray:
-    return image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299
+    """Luminance of 0 to 1."""
+    return (0.0722 * image[..., 0] + 0.7152 * image[..., 1] + 0.2126 * image[..., 2]) / 255
+
+
+def gray8(image: np.ndarray) -> np.ndarray:
+    """Luma of 0 to 255 in 16-bit fixed point, as image libraries convert to grey."""
+    b, g, r = (image[..., i].astype(np.int64) for i in range(3))
+    return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
 
 
 def laplacian(g: np.ndarray) -> np.ndarray:
@@ -37,11 +44,11 @@ def dark_channel(image: np.ndarray, window: int = HAZE_WINDOW) -> np.ndarray:
 def quality(image: np.ndarray) -> dict[str, float]:
     """Darkness, flatness, blur, haze and lack of detail; larger is worse."""
     g = gray(image)
-    share = np.bincount(g.astype(np.uint8).ravel(), minlength=256) / g.size
+    share = np.bincount(np.rint(255 * g).astype(np.uint8).ravel(), minlength=256) / g.size
     some = share[share > 0]
     return {
-        "luminance": 1 - float(g.mean()) / 255,
-        "contrast": 1 - min(1.0, float(g.std()) / 127.5),
+        "luminance": 1 - float(g.mean()),
+        "contrast": 1 - float(g.std()),
         "blur": -float(np.log(laplacian(g).var() + 1e-12)),
         "haze": float(dark_channel(image).mean()) / 255,
         "entropy": 1 + float((some * np.log2(some)).sum()) / 8,
@@ -66,33 +73,60 @@ def region_quality(images: DataFrame, regions: DataFrame) -> DataFrame:
     return images.join(boxes, "image_id").mapInPandas(run, "image_id long, region_id int, " + ", ".join(f"{n} double" for n in names))
 
 
-def fog(image: np.ndarray, beta: float, seed: int) -> np.ndarray:
-    depth = np.linspace(1.0, 0.2, image.shape[0])[:, None, None]
-    t = np.exp(-beta * depth)
-    return np.clip(image * t + 220 * (1 - t), 0, 255).astype(np.uint8)
+def _whole(values: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(values), 0, 255).astype(np.uint8)
 
 
-def low_light(image: np.ndarray, gamma: float, seed: int) -> np.ndarray:
-    noise = np.random.default_rng(seed).normal(0, 2 * gamma, image.shape)
-    return np.clip(255 * (image / 255.0) ** gamma + noise, 0, 255).astype(np.uint8)
+def _cubic(n_in: int, n_out: int) -> np.ndarray:
+    """Weights of a cubic interpolation (a = -0.75) that repeats the border."""
+    at = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
+    base = np.floor(at).astype(int)
+    w = np.zeros((n_out, n_in))
+    for k in range(-1, 3):
+        t = np.abs(at - (base + k))
+        near, far = 1.25 * t**3 - 2.25 * t**2 + 1, -0.75 * (t**3 - 5 * t**2 + 8 * t - 4)
+        np.add.at(w, (np.arange(n_out), np.clip(base + k, 0, n_in - 1)), np.where(t <= 1, near, far))
+    return w
 
 
-def gaussian_blur(image: np.ndarray, sigma: float, seed: int) -> np.ndarray:
-    half = max(1, int(3 * sigma + 0.5))
+def smooth(values: np.ndarray, sigma: float, taps: int) -> np.ndarray:
+    """Gaussian of ``taps`` values along both axes; the border is mirrored without its last row."""
+    half = taps // 2
     k = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma * sigma))
     k /= k.sum()
-    out = np.pad(image.astype(float), ((half, half), (half, half), (0, 0)), mode="reflect" if min(image.shape[:2]) > half else "edge")
+    out = np.pad(values.astype(float), [(half, half), (half, half)] + [(0, 0)] * (values.ndim - 2), mode="reflect")
     for axis in (0, 1):
         out = np.tensordot(np.lib.stride_tricks.sliding_window_view(out, len(k), axis=axis), k, axes=([-1], [0]))
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return out
+
+
+def fog(image: np.ndarray, beta: float, seed: int) -> np.ndarray:
+    """Light of 0.92 scattered in over a smooth random depth of 0.35 to 1."""
+    height, width = image.shape[:2]
+    coarse = np.random.Generator(np.random.PCG64(seed)).random((max(2, -(-height // 32)), max(2, -(-width // 32))), dtype=np.float32)
+    sigma = max(1.0, max(height, width) / 24)
+    depth = smooth(_cubic(len(coarse), height) @ coarse @ _cubic(coarse.shape[1], width).T, sigma, round(8 * sigma + 1) | 1)
+    depth -= depth.min()
+    through = np.exp(-beta * (0.35 + 0.65 * depth / max(depth.max(), 1e-6)))[..., None]
+    return _whole(255 * (image / 255.0 * through + 0.92 * (1 - through)))
+
+
+def low_light(image: np.ndarray, value: float, seed: int) -> np.ndarray:
+    return gamma(image, value)
+
+
+def gaussian_blur(image: np.ndarray, sigma: float, seed: int) -> np.ndarray:
+    return _whole(smooth(image, sigma, max(3, int(np.ceil(6 * sigma)) | 1)))
 
 
 def gamma(image: np.ndarray, value: float, seed: int = 0) -> np.ndarray:
-    return np.rint(255 * (image / 255.0) ** value).astype(np.uint8)
+    return _whole(255 * (image / 255.0) ** value)
 
 
-def unsharp(image: np.ndarray, amount: float, seed: int = 0) -> np.ndarray:
-    return np.clip(np.rint(image + amount * (image.astype(float) - gaussian_blur(image, 1.0, 0))), 0, 255).astype(np.uint8)
+def unsharp(image: np.ndarray, amount: float, seed: int = 0, sigma: float = 1.2) -> np.ndarray:
+    """Another sigma: ``functools.partial(unsharp, sigma=...)`` in the registry."""
+    blurred = _whole(smooth(image, sigma, round(6 * sigma + 1) | 1))
+    return _whole((1 + amount) * image - amount * blurred.astype(float))
 
 
 #: Three levels of each corruption.

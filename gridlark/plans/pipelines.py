@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -82,11 +82,22 @@ def guarded_fusion(base: DataFrame, flip: DataFrame, local: DataFrame, regions:
     return active.unionByName(plain.select(F.col("image_id").cast("long"), "category_id", "score", *SIDES, F.lit("base").alias("source")))
 
 
-def packed_view_fusion(base: DataFrame, packed: DataFrame, regions: DataFrame, images: DataFrame, gates: DataFrame, rate: float, cell: int = 320, publish: float = 0.25) -> DataFrame:
-    """Boxes found on a 2 x 2 canvas of four crops, mapped back, kept where they help, and fused."""
-    on = select.activate_fraction(gates, rate).select("image_id")
-    slots = regions.where("region_id < 4").join(on, "image_id", "left_semi")
-    slot = G.packed_slot(F.col("region_id") % 4, G.Box.of("r"), cell, cell)
+def best_regions(base: DataFrame, traits: DataFrame, regions: DataFrame, most: int) -> DataFrame:
+    """The ``most`` regions of each image with the largest difficulty (ties by id) and their ``slot`` from 0."""
+    centers = base.select(F.col("image_id").alias("_i"), ((F.col("x1") + F.col("x2")) / 2).alias("_x"), ((F.col("y1") + F.col("y2")) / 2).alias("_y"))
+    inside = (F.col("image_id") == F.col("_i")) & (F.col("_x") >= F.col("rx1")) & (F.col("_x") < F.col("rx2")) & (F.col("_y") >= F.col("ry1")) & (F.col("_y") < F.col("ry2"))
+    n = regions.join(centers, inside).groupBy("image_id", "region_id").agg(F.count("*").alias("candidates"))
+    scored = windows.combine_scores(traits.join(n, ["image_id", "region_id"], "left").fillna(0, ["candidates"]), 0.5, 0.25, 0.3)
+    nth = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("difficulty"), "region_id"))
+    chosen = scored.withColumn("slot", nth - 1).where(F.col("slot") < most).select("image_id", "region_id", "slot")
+    return regions.join(chosen, ["image_id", "region_id"])
+
+
+def packed_view_fusion(base: DataFrame, packed: DataFrame, regions: DataFrame, images: DataFrame, traits: DataFrame, rate: float, cell: int = 320, publish: float = 0.25) -> DataFrame:
+    """Boxes found on a 2 x 2 canvas of the four most difficult regions, best first, mapped back, kept where they help, and fused."""
+    on = select.activate_fraction(traits.groupBy("image_id").agg(F.max("u").alias("gate")), rate).select("image_id")
+    slots = best_regions(base, traits, regions, 4).join(on, "image_id", "left_semi")
+    slot = G.packed_slot(F.col("slot"), G.Box.of("r"), cell, cell)
     slots = slots.select(F.col("image_id").alias("s_image"), "region_id", *G.Box.of("r").named("r"), *slot.content.named("s_"), slot.scale_x.alias("sx"), slot.scale_y.alias("sy"))
     content = G.Box.of("s_")
     found = packed.join(slots, (F.col("image_id") == F.col("s_image")) & G.center_in(G.Box.of(), content)).where(G.inside_share(G.Box.of(), content) >= G.CORE_SHARE)

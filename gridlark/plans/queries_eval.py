@@ -18,6 +18,7 @@ from ..plans import pipelines as C
 from ..registry import query
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.shared import written
 from .queries_geometry import CLIP
 from .queries_selection import WEIGHTS_U
 
@@ -212,20 +213,34 @@ def _(v):
 DRAWS = "SELECT r.n AS resample, CAST({H:concat('11|', r.n, '|', j.n)} % 25 AS INT) AS unit, CAST(count(*) AS INT) AS m FROM (SELECT unnest(range(20)) AS n) r, (SELECT unnest(range(25)) AS n) j GROUP BY ALL"
 
 
-@query("b1_paired_bootstrap", f"""WITH d_ AS ({DRAWS}), p_ AS (SELECT i.cluster_id AS unit, avg(a.score) AS a, avg(b.score) AS b FROM images i JOIN dt a ON a.image_id = i.image_id JOIN dt_method b ON b.det_id = a.det_id GROUP BY 1)
+# every image is a unit, numbered in hash order
+UNITS = "SELECT image_id, CAST(row_number() OVER (ORDER BY {SHA:concat('3:', image_id)}, image_id) - 1 AS INT) AS unit FROM images"
+IMAGE_DRAWS = "SELECT r.n AS resample, CAST({H:concat('11|', r.n, '|', j.unit)} % (SELECT count(*) FROM images) AS INT) AS unit, CAST(count(*) AS INT) AS m FROM (SELECT unnest(range(1000)) AS n) r, units_ j GROUP BY ALL"
+
+
+def image_units(v):
+    from ..operators.select import hash_order
+
+    return hash_order(v.images.select("image_id"), "image_id", 3).select("image_id", F.col("position").cast("int").alias("unit"))
+
+
+def image_bootstrap(v, each, statistic):
+    """1,000 resamples of images; ``each`` gives an image's value from its scores."""
+    a = v.dt.join(v.dt_method.select("det_id", F.col("score").alias("s2")), "det_id").join(image_units(v), "image_id")
+    pairs = a.groupBy("unit").agg(each("score").alias("baseline"), each("s2").alias("method"))
+    return B.paired_bootstrap(pairs, v.images.count(), 1000, 11, statistic).select("resample", *r("delta"))
+
+
+@query("b1_paired_bootstrap", f"""WITH units_ AS ({UNITS}), d_ AS ({IMAGE_DRAWS}), p_ AS (SELECT i.unit, avg(a.score) AS a, avg(b.score) AS b FROM units_ i JOIN dt a ON a.image_id = i.image_id JOIN dt_method b ON b.det_id = a.det_id GROUP BY 1)
 SELECT CAST(resample AS INT) AS resample, round(sum((b - a)*m)/sum(m), 6) AS delta FROM p_ JOIN d_ USING (unit) GROUP BY resample""")
 def _(v):
-    a = v.dt.join(v.dt_method.select("det_id", F.col("score").alias("s2")), "det_id").join(v.images.select("image_id", F.col("cluster_id").alias("unit")), "image_id")
-    p = a.groupBy("unit").agg(F.avg("score").alias("baseline"), F.avg("s2").alias("method"))
-    return B.paired_bootstrap(p, 25, 20, 11, B.weighted_mean_delta).select("resample", *r("delta"))
+    return image_bootstrap(v, F.avg, B.weighted_mean_delta)
 
 
-@query("u1_user_statistic", f"""WITH d_ AS ({DRAWS}), p_ AS (SELECT i.cluster_id AS unit, max(a.score) AS a, max(b.score) AS b FROM images i JOIN dt a ON a.image_id = i.image_id JOIN dt_method b ON b.det_id = a.det_id GROUP BY 1)
+@query("u1_user_statistic", f"""WITH units_ AS ({UNITS}), d_ AS ({IMAGE_DRAWS}), p_ AS (SELECT i.unit, min(a.score) AS a, min(b.score) AS b FROM units_ i JOIN dt a ON a.image_id = i.image_id JOIN dt_method b ON b.det_id = a.det_id GROUP BY 1)
 SELECT CAST(resample AS INT) AS resample, round(max(b) - max(a), 6) AS delta FROM p_ JOIN d_ USING (unit) GROUP BY resample""")
 def _(v):
-    a = v.dt.join(v.dt_method.select("det_id", F.col("score").alias("s2")), "det_id").join(v.images.select("image_id", F.col("cluster_id").alias("unit")), "image_id")
-    p = a.groupBy("unit").agg(F.max("score").alias("baseline"), F.max("s2").alias("method"))
-    return B.paired_bootstrap(p, 25, 20, 11, lambda x, y: F.max(y) - F.max(x)).select("resample", *r("delta"))
+    return image_bootstrap(v, F.min, lambda x, y: F.max(y) - F.max(x))
 
 
 @query("b2_ap_image_bootstrap")
@@ -325,12 +340,13 @@ def _(v):
 
 # ---- near-duplicates and partitions
 
-BITS = " + ".join(f"CAST(CASE WHEN e[{(i + 1) % 64 + 1}] > e[{i + 1}] THEN 1 ELSE 0 END AS HUGEINT) * {1 << i}" for i in range(64))
-HASH = f"SELECT vec_id, CAST(CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS hash64 FROM (SELECT vec_id, {BITS} AS b FROM (SELECT vec_id, embedding AS e FROM embeddings) x) y"
+# 9 x 8 numbers of each vector: its 64 and the first eight again
+BITS = " + ".join(f"CAST(CASE WHEN e[{i + i // 8 + 2}] > e[{i + i // 8 + 1}] THEN 1 ELSE 0 END AS HUGEINT) * {1 << (63 - i)}" for i in range(64))
+HASH = f"SELECT vec_id, CAST(CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS hash64 FROM (SELECT vec_id, {BITS} AS b FROM (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS e FROM embeddings) x) y"
 
 
 def hashes(v):
-    return v.embeddings.select("vec_id", D.dhash64(F.col("embedding")).alias("hash64"))
+    return v.embeddings.select("vec_id", D.dhash64(F.concat("embedding", F.slice("embedding", 1, 8))).alias("hash64"))
 
 
 def planted(v):
@@ -347,7 +363,16 @@ def _(v):
 
 @query("d1_phash64")
 def _(v):
-    return D.phash64(v.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding", "vec_id")
+    return D.image_hashes(pixel_table(v)).select("image_id", F.get("phashes", 0).alias("hash64"))
+
+
+@query("d2_near_images")
+def _(v):
+    """Documents as images; every third one also upside down."""
+    images = pixel_table(v)
+    turned = I.enhanced_views(images.where("image_id % 3 = 0"), {"turn": 0.0}, {"turn": lambda image, value, seed: image[::-1, ::-1]})
+    both = images.unionByName(turned.select((F.col("image_id") + 1_000_000_000_000).alias("image_id"), "height", "width", "data"))
+    return D.near_edges(written(D.image_hashes(both), "hashes"), 4, "image_id", ["phashes", "dhashes"])
 
 
 @query("d2_hamming_pairs", f"""WITH h_ AS ({HASH}), p_ AS (SELECT * FROM h_ UNION ALL SELECT vec_id + 1000000, xor(xor(hash64, CASE WHEN vec_id % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << CAST(vec_id % 64 AS INT) END), CASE WHEN (vec_id*7+1) % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << CAST((vec_id*7+1) % 64 AS INT) END) FROM h_ WHERE vec_id % 3 = 0)
@@ -356,14 +381,27 @@ def _(v):
     return D.hamming_pairs(planted(v), 4, "vec_id", "hash64")
 
 
-COMPONENTS = """WITH RECURSIVE e_ AS (SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.doc_id <> b.doc_id AND (a.source_key = b.source_key OR a.sha = b.sha)),
+COMPONENTS = f"""WITH RECURSIVE h_ AS ({HASH}), m_ AS (SELECT vec_id AS doc_id, hash64 FROM h_ WHERE vec_id % 11 <> 5 UNION ALL SELECT vec_id + 5, xor(hash64, 1::BIGINT) FROM h_ WHERE vec_id % 11 = 0),
+n_ AS (SELECT m_.* FROM m_ JOIN members USING (doc_id)),
+e_ AS (SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.doc_id <> b.doc_id AND (a.source_key = b.source_key OR a.sha = b.sha)
+  UNION SELECT a.doc_id, b.doc_id FROM n_ a JOIN n_ b ON a.doc_id <> b.doc_id AND bit_count(xor(a.hash64, b.hash64)) <= 4),
 w_ AS (SELECT doc_id AS v, doc_id AS r FROM members UNION SELECT e_.b, w_.r FROM w_ JOIN e_ ON e_.a = w_.v),
 c_ AS (SELECT v AS doc_id, min(r) AS component FROM w_ GROUP BY v)"""
 
 
+def member_hashes(v):
+    """The hash of the vector of the same id; members five above a multiple of eleven look like that one, but for a bit."""
+    h = hashes(v)
+    copies = h.where("vec_id % 11 = 0").select((F.col("vec_id") + 5).alias("doc_id"), F.col("hash64").bitwiseXOR(F.lit(1).cast("long")).alias("hash64"))
+    own = h.where("vec_id % 11 <> 5").select(F.col("vec_id").alias("doc_id"), "hash64").unionByName(copies)
+    return own.join(v.members.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.array("hash64").alias("hashes"))
+
+
 def member_components(v):
+    """Same source, same content or near hashes."""
     m = v.members
-    edges = D.star_edges(m, "doc_id", "source_key").unionByName(D.star_edges(m, "doc_id", "sha"))
+    near = D.near_edges(member_hashes(v), 4, "doc_id", ["hashes"]).select("a", "b")
+    edges = D.star_edges(m, "doc_id", "source_key").unionByName(D.star_edges(m, "doc_id", "sha")).unionByName(near)
     return m.join(D.components(m, edges, "doc_id"), "doc_id")
 
 
@@ -399,9 +437,9 @@ def _(v):
     return D.compose_training_set(v.images.where("image_id % 3 <> 0"), replay, ["original", "fog"], 2, ["low", "blur", "rain"], 50)
 
 
-@query("d8_primary_scope", "SELECT doc_id, source_key AS cluster FROM members WHERE doc_id % 5 = 0 AND source_key NOT IN (SELECT source_key FROM members WHERE doc_id % 7 = 0)")
+@query("d8_primary_scope", "SELECT doc_id, source_key AS cluster FROM members WHERE doc_id % 7 <> 0 AND source_key NOT IN (SELECT source_key FROM members WHERE doc_id % 7 = 0)")
 def _(v):
-    return D.primary_scope(v.members.where("doc_id % 5 = 0"), v.members.where("doc_id % 7 = 0"), "source_key").select("doc_id", "cluster")
+    return D.primary_scope(v.members.where("doc_id % 7 <> 0"), v.members.where("doc_id % 7 = 0"), "source_key").select("doc_id", "cluster")
 
 
 # ---- sources and sinks
@@ -417,8 +455,8 @@ def folder(v, name):
 def _(v):
     path = folder(v, "coco")
     doc = lambda df, cols, name: df.agg(F.collect_list(F.struct(*cols)).alias(name))
-    per = v.gt.withColumn("part", F.col("image_id") % 16).groupBy("part").agg(F.collect_list(F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))).alias("annotations"))
-    img = v.images.withColumn("part", F.col("image_id") % 16).groupBy("part").agg(F.collect_list(F.struct(F.col("image_id").alias("id"), F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"), "width", "height")).alias("images"))
+    per = v.gt.withColumn("part", F.floor(F.col("image_id") / 1000)).groupBy("part").agg(F.collect_list(F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))).alias("annotations"))
+    img = v.images.withColumn("part", F.floor(F.col("image_id") / 1000)).groupBy("part").agg(F.collect_list(F.struct(F.col("image_id").alias("id"), F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"), "width", "height")).alias("images"))
     cats = doc(v.gt.select("category_id").distinct().withColumn("name", F.concat(F.lit("c"), F.col("category_id").cast("string"))), [F.col("category_id").alias("id"), "name"], "categories")
     per.join(img, "part").crossJoin(cats).drop("part").write.option("maxRecordsPerFile", 1).json(path)
     _, ann, _ = R.read_coco(v.spark, path)
@@ -498,7 +536,7 @@ def _(v):
 
 @query("s10_file_inventory")
 def _(v):
-    return R.file_inventory(v.spark, f"{v.sf_dir}/part.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "sha256")
+    return R.file_inventory(v.spark, f"{v.sf_dir}/*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "sha256")
 
 
 @query("s11_prediction_rows", "SELECT image_id, category_id + 10 AS category_id, x, y, w, h, score FROM dt")
@@ -567,10 +605,12 @@ def _(v):
 # ---- pixels and hooks
 
 def pixel_table(v):
-    """64 x 48 images, one a document: the bytes of its text, repeated."""
-    n = 64 * 48 * 3
-    text = F.encode(F.substring(F.repeat(F.concat("text", F.lit(" ")), F.ceil(F.lit(n) / (F.char_length("text") + 1)).cast("int")), 1, n), "utf-8")
-    return v.documents.where("char_length(text) > 0").select(F.col("doc_id").alias("image_id"), F.lit(48).alias("height"), F.lit(64).alias("width"), F.substring(text, 1, n).alias("data"))
+    """Images of 64 columns, one a document: the bytes of its whole text, repeated to fill at least 48 rows and the last row."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "))
+    size = F.octet_length(text)
+    height = F.greatest(F.lit(48), F.ceil(size / 192).cast("int"))
+    data = F.substring(F.encode(F.repeat(text, F.ceil(height * 192 / size).cast("int")), "utf-8"), F.lit(1), height * 192)
+    return v.documents.select(F.col("doc_id").alias("image_id"), height.alias("height"), F.lit(64).alias("width"), data.alias("data"))
 
 
 @query("i1_region_quality")
@@ -607,7 +647,7 @@ def bright_boxes():
         for row in batch.itertuples():
             g = I.gray(I.pixels(row))
             y, x = np.nonzero(g >= g.mean())
-            rows.append((row.image_id, 1, float(g.mean() / 255), float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1)))
+            rows.append((row.image_id, 1, float(g.mean()), float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1)))
         return pd.DataFrame(rows, columns=["image_id", "category_id", "score", *SIDES])
 
     return predict
@@ -654,8 +694,7 @@ def _(v):
 @query("c6_packed_view_fusion")
 def _(v):
     packed = v.xy_dt.select("image_id", "det_id", "category_id", "score", *[(F.col(c) / 3).alias(c) for c in SIDES])
-    gates = v.traits.groupBy("image_id").agg(F.max("u").alias("gate"))
-    return out(C.packed_view_fusion(v.xy_dt, packed, v.regions, v.images, gates, 0.3))
+    return out(C.packed_view_fusion(v.xy_dt, packed, v.regions, v.images, v.traits, 0.3))
 
 
 @query("c7_scout_escalation")

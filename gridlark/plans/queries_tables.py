@@ -138,10 +138,10 @@ def _(v):
     return J.restrict_to_images(v.dt, v.images, v.images.where("cluster_id < 10")).groupBy("image_id").agg(F.count("det_id").alias("n"))
 
 
-@query("j5_decontaminate", "WITH t AS (SELECT * FROM members WHERE source_key % 3 = 0), v AS (SELECT * FROM members WHERE source_key % 5 = 0) SELECT doc_id FROM v WHERE source_key NOT IN (SELECT source_key FROM t) AND sha NOT IN (SELECT sha FROM t)")
+@query("j5_decontaminate", "WITH t AS (SELECT * FROM members WHERE source_key % 3 = 0), v AS (SELECT * FROM members WHERE doc_id % 2 = 1 OR source_key % 3 <> 0) SELECT doc_id FROM v WHERE source_key NOT IN (SELECT source_key FROM t) AND sha NOT IN (SELECT sha FROM t)")
 def _(v):
     m = v.members
-    return J.decontaminate(m.where("source_key % 5 = 0"), m.where("source_key % 3 = 0"), ["source_key", "sha"]).select("doc_id")
+    return J.decontaminate(m.where("doc_id % 2 = 1 or source_key % 3 <> 0"), m.where("source_key % 3 = 0"), ["source_key", "sha"]).select("doc_id")
 
 
 @query("j6_exactly_one", "WITH q AS (SELECT p_partkey FROM part), n AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) SELECT p_partkey, n.n AS n_found, CASE WHEN n.n IS NULL THEN 'none' WHEN n.n = 1 THEN 'one' ELSE 'several' END AS status FROM q LEFT JOIN n ON p_partkey = l_partkey")

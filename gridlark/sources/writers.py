@@ -47,10 +47,20 @@ def yolo_label_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return images.select("image_id").join(g.withColumn("text", text).drop("lines"), "image_id", "left").fillna("", ["text"]).fillna(0)
 
 
+BLOCKS = 256
+
+
 def assign_coco_ids(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
-    """Dense 1-based ids in the order of (bucket, order): counts by bucket are summed up, rows are numbered inside their bucket."""
+    """Dense 1-based ids in the order of (bucket, order), ``bucket`` a number: rows are numbered inside their bucket, buckets inside one of
+    ``BLOCKS`` ranges, and the ranges summed up, so that no task sees all buckets."""
     counts = df.groupBy(bucket).count()
-    before = counts.select(F.col(bucket).alias("_b"), F.coalesce(F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    cuts = sorted(set(counts.select(F.col(bucket).cast("double").alias("c")).approxQuantile("c", [i / BLOCKS for i in range(1, BLOCKS)], 1 / BLOCKS)))
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(bucket))) if cuts else F.lit(0)
+    blocks = counts.withColumn("_block", block)
+    total = blocks.groupBy("_block").agg(F.sum("count").alias("_n"))
+    above = total.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))  # BLOCKS rows at most
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = blocks.join(F.broadcast(above), "_block").select(F.col(bucket).alias("_b"), (F.col("_above") + earlier).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
     return df.withColumn("_nth", inside).join(before, F.col(bucket) == F.col("_b")).withColumn("coco_id", F.col("_before") + F.col("_nth")).drop("_nth", "_b", "_before")
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as G
-from gridlark.operators import coco_eval, dedup, fusion, matching, select, windows
+from gridlark.operators import coco_eval, dedup, fusion, images, matching, select, windows
+from gridlark.plans import pipelines
 from gridlark.sources import writers
 
 
@@ -214,3 +215,103 @@ def test_nearest_total_of_components():
 def test_partition_takes_whole_components(spark):
     sizes = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate([4, 3, 3])], "component_sha string, size long")
     assert {(x.component_sha, x.role) for x in dedup.partition_components(sizes, 6).collect()} == {("c0", "A"), ("c1", "B"), ("c2", "B")}
+
+
+def test_dhash_bits(spark):
+    """Rising rows set all bits, falling ones none; one rise in the first pair is the highest bit."""
+    up = [float(c) for _ in range(8) for c in range(9)]
+    first = [0.0, 1.0] + [1.0] * 70
+    df = spark.createDataFrame([(0, up), (1, up[::-1]), (2, first)], "k int, v array<double>")
+    assert [x.h for x in df.select("k", dedup.dhash64(F.col("v")).alias("h")).orderBy("k").collect()] == [-1, 0, -(1 << 63)]
+
+
+def picture(seed, height, width):
+    r = np.random.default_rng(seed)
+    return np.clip(images.smooth(r.integers(0, 256, (height, width, 3)), 3.0, 19) * 4 - 384, 0, 255).astype(np.uint8)
+
+
+def test_image_hashes(spark):
+    """A row is an eighth wave; turned and mirrored images share their hashes, and a flat one has none set but the constant wave's."""
+    flat = np.full((48, 64, 3), 100, np.uint8)
+    one = picture(1, 96, 96)
+    rows = [(0, one), (1, np.ascontiguousarray(np.rot90(one))), (2, np.ascontiguousarray(one[:, ::-1])), (3, picture(2, 80, 120)), (4, flat)]
+    df = spark.createDataFrame([(i, p.shape[0], p.shape[1], bytearray(p.tobytes())) for i, p in rows], "image_id long, height int, width int, data binary")
+    got = {x.image_id: x for x in dedup.image_hashes(df).collect()}
+    assert all(len(x.phashes) == len(x.dhashes) == 8 for x in got.values())
+    assert set(got[0].dhashes) == set(got[1].dhashes) == set(got[2].dhashes) and got[0].dhashes[1] == got[1].dhashes[0]
+    assert set(got[4].dhashes) == {0}
+    assert np.array_equal(dedup.resized(np.full((7, 300), 9), 32, 32), np.full((32, 32), 9))
+    edges = {(x.a, x.b) for x in dedup.near_edges(dedup.image_hashes(df), 4, "image_id", ["phashes", "dhashes"]).collect()}
+    assert {(0, 1), (0, 2)} <= edges and not any(3 in e or 4 in e for e in edges)
+
+
+def test_near_edges_connect_what_the_rule_connects(spark):
+    """Against all pairs; each link is a near pair, and rows with the same hashes make a star."""
+    r = random.Random(4)
+    centers = [r.getrandbits(64) - (1 << 63) for _ in range(12)]
+
+    def near(h):
+        for _ in range(r.randrange(6)):
+            h ^= 1 << r.randrange(63)
+        return h
+
+    rows = [(i, [near(r.choice(centers)) for _ in range(2)], [near(r.choice(centers))] if i % 3 else []) for i in range(60)]
+    rows += [(i, [5, None], [7]) for i in range(60, 90)] + [(90, None, None)]
+    df = spark.createDataFrame(rows, "k long, p array<long>, d array<long>")
+    got = dedup.near_edges(df, 4, "k", ["p", "d"]).collect()
+    each = {k: {"p": [x for x in p or [] if x is not None], "d": [x for x in d or [] if x is not None]} for k, p, d in rows}
+    apart = lambda a, b, kind: min((bin((x ^ y) & (2**64 - 1)).count("1") for x in each[a][kind] for y in each[b][kind]), default=99)
+    assert all(x.a < x.b and apart(x.a, x.b, x.kind) <= x.distance <= 4 for x in got)
+    assert len([x for x in got if x.a >= 60]) == 2 * 29
+
+    def groups(pairs):
+        root = {k: k for k in each}
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {k: find(k) for k in each}
+
+    want = [(a, b) for a, b in itertools.combinations(each, 2) if min(apart(a, b, "p"), apart(a, b, "d")) <= 4]
+    assert groups((x.a, x.b) for x in got) == groups(want)
+    assert dedup.near_edges(df.limit(0), 4, "k", ["p", "d"]).count() == 0
+
+
+def test_image_kernels():
+    """Hand-computed values and properties."""
+    flat = np.full((40, 50, 3), 51, np.uint8)
+    q = images.quality(flat)
+    assert abs(q["luminance"] - 0.8) < 1e-12 and q["contrast"] == 1 and q["entropy"] == 1 and abs(q["haze"] - 0.2) < 1e-12 and abs(q["blur"] + np.log(1e-12)) < 1e-9
+    red = np.zeros((20, 20, 3), np.uint8)
+    red[..., 2] = 255
+    assert abs(images.quality(red)["luminance"] - (1 - 0.2126)) < 1e-12
+    some = picture(3, 70, 45)
+    assert np.array_equal(images.fog(some, 0.0, 5), some) and np.array_equal(images.fog(some, 1.0, 5), images.fog(some, 1.0, 5))
+    assert not np.array_equal(images.fog(some, 1.0, 5), images.fog(some, 1.0, 6))
+    thick = images.fog(some, 50.0, 5)
+    assert abs(thick.astype(int) - 235).max() <= 1
+    assert images.low_light(flat, 2.0, 0)[0, 0, 0] == 10 and np.array_equal(images.low_light(some, 2.0, 1), images.low_light(some, 2.0, 2))
+    assert np.array_equal(images.gaussian_blur(flat, 1.5, 0), flat) and np.array_equal(images.unsharp(flat, 1.0), flat)
+    assert images._cubic(4, 4).tolist() == np.eye(4).tolist() and np.allclose(images._cubic(3, 50).sum(axis=1), 1)
+
+
+def test_best_regions(spark):
+    traits = spark.createDataFrame([(1, i, d, 0.0, 1.0 + i) for i, d in enumerate([0.1, 0.9, 0.5, 0.9, 0.2, 0.3])], "image_id long, region_id int, d double, u double, edge double")
+    regions = spark.createDataFrame([(1, i, 10 * i, 0, 10 * i + 10, 10) for i in range(6)], "image_id long, region_id int, rx1 int, ry1 int, rx2 int, ry2 int")
+    base = spark.createDataFrame([(1, 10.0, 0.0, 12.0, 4.0)], "image_id long, x1 double, y1 double, x2 double, y2 double")
+    # region 1 is among the least textured quarter, but a box lies there; region 0 has none and is damped
+    assert {(x.region_id, x.slot) for x in pipelines.best_regions(base, traits, regions, 4).collect()} == {(1, 0), (3, 1), (2, 2), (5, 3)}
+
+
+def test_dense_ids(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(700), i) for i in range(3000)] + [(5, i) for i in range(3000, 4000)]
+    df = spark.createDataFrame(rows, "image_id long, ann_id long")
+    got = {x.ann_id: x.coco_id for x in writers.assign_coco_ids(df, "image_id", ["ann_id"]).collect()}
+    assert got == {a: n for n, (_, a) in enumerate(sorted(rows), 1)}
+    assert writers.assign_coco_ids(df.limit(0), "image_id", ["ann_id"]).count() == 0
