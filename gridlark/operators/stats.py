@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
-from .coco_eval import average_precision
+from ..sources.shared import written
+from .coco_eval import EPS
 
 
 def draws(spark, n_resamples: int, n_units: int, seed: int) -> DataFrame:
@@ -29,20 +33,155 @@ def weighted_mean_delta(a: Column, b: Column) -> Column:
     return F.sum((b - a) * F.col("m")) / F.sum("m")
 
 
+def _pieces(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows of one key, at most ``most`` together."""
+    for b in batches:
+        keys = list(zip(b["run"], b["category_id"], b["_b"], strict=True))
+        cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or i % most == 0]
+        for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            yield keys[i], b.iloc[i:j]
+
+
+def _vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float64)
+
+
+KEY = ["run", "category_id", "_b"]
+KEY_TYPES = "run string, category_id int, _b int"
+#: Bytes of a weight matrix up to which every task holds it whole; a larger one is joined to the rows.
+WHOLE_MATRIX = 64 << 20
+
+
+def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame, buckets: int = 256) -> DataFrame:
+    """run, category_id, resample, ap: average precision under ``n`` weightings at once.
+
+    ``rows``: run, category_id, image_id, det_id, score, tp, unit; ``need``: resample, category_id, npos; ``weights``: how often each
+    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Rows are not repeated: tasks walk through score
+    ranges, worst first, with one vector for all weightings, in pieces of bounded size; totals and best precisions of a range are
+    carried over in groups of at most ``buckets`` rows.  Categories without detections have AP 0, without positives no row."""
+    spark = rows.sparkSession
+    most = max(1, 500_000 // n)
+    range_ = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int"))).alias("_b")
+    columns = ["run", F.col("category_id").cast("int").alias("category_id"), range_, F.lit(1).alias("head"), F.col("score").cast("double").alias("score"), "image_id", "det_id", F.col("tp").cast("int").alias("tp"), F.col("unit").cast("int").alias("unit")]
+    if isinstance(weights, DataFrame):
+        table = rows.join(weights, "unit").select(*columns, "m")
+
+        def matrix(g: pd.DataFrame) -> np.ndarray:
+            return np.frombuffer(b"".join(g["m"]), np.uint16).reshape(-1, n).astype(np.int64)
+    else:
+        held = spark.sparkContext.broadcast(weights.astype(np.uint16))
+        table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
+
+        def matrix(g: pd.DataFrame) -> np.ndarray:
+            return held.value[g["unit"].to_numpy().astype(np.int64)].astype(np.int64)  # heads have no unit, which makes the column float
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, t, w = None, np.zeros(n), np.zeros(n)
+        for key, g in _pieces(batches, most):
+            if key != now:
+                if now:
+                    yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
+                now, t, w = key, np.zeros(n), np.zeros(n)
+            m = matrix(g)
+            t += m[g["tp"].to_numpy() == 1].sum(axis=0)
+            w += m.sum(axis=0)
+        if now:
+            yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
+
+    def carried(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_b", ascending=False)
+        for c in ("t", "w"):
+            g[c] = [x.tobytes() for x in np.cumsum(np.stack([_vector(x) for x in g[c]]), axis=0)]
+        return g[[*KEY, "t", "w"]]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*KEY, "best", "area"]
+        now, t, w, best, npos, area = (None,) * 6
+        for key, g in _pieces(batches, most):
+            if key != now:
+                if now:
+                    yield pd.DataFrame([(*now, best.tobytes(), area)], columns=names)
+                first = g.iloc[0]  # the head: totals down to this range, best precision below it
+                now, t, w, best, npos, area = key, _vector(first["t"]).copy(), _vector(first["w"]).copy(), _vector(first["best"]), _vector(first["npos"]), np.zeros(n)
+                g = g.iloc[1:]
+            if not len(g):
+                continue
+            m = matrix(g)
+            hit = m * g["tp"].to_numpy().astype(np.int64)[:, None]
+            true = t - (np.cumsum(hit, axis=0) - hit)
+            precision = true / (w - (np.cumsum(m, axis=0) - m) + EPS)
+            envelope = np.maximum.accumulate(np.vstack([best[None], precision]), axis=0)[1:]
+            points = np.floor(100 * true / npos) - np.floor(100 * (true - hit) / npos) + ((true == hit) & (hit > 0))
+            area += (envelope * points).sum(axis=0)
+            best = envelope[-1]
+            t -= hit.sum(axis=0)
+            w -= m.sum(axis=0)
+        if now:
+            yield pd.DataFrame([(*now, best.tobytes(), area)], columns=names)
+
+    def below(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_b")
+        tops = np.maximum.accumulate(np.stack([np.zeros(n), *[_vector(x) for x in g["best"]]]), axis=0)[:-1]
+        return g[KEY].assign(best=[x.tobytes() for x in tops])
+
+    def vectors(g: pd.DataFrame) -> pd.DataFrame:
+        npos = np.ones(n)  # weightings without positives are left out at the end
+        npos[g["resample"].to_numpy()] = g["npos"].to_numpy(float)
+        return pd.DataFrame([(g["category_id"].iloc[0], npos.tobytes())], columns=["category_id", "npos"])
+
+    need = need.select("resample", F.col("category_id").cast("int").alias("category_id"), F.col("npos").cast("long").alias("npos")).where("npos > 0")
+    npos = need.groupBy("category_id").applyInPandas(vectors, "category_id int, npos binary")
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.repartition(*KEY).sortWithinPartitions(*KEY, "head", "score", F.desc("image_id"), F.desc("det_id"))
+
+    def walked(heads: DataFrame) -> DataFrame:
+        return ordered(table.unionByName(heads.withColumn("head", F.lit(0)), allowMissingColumns=True).join(npos.select("category_id"), "category_id", "left_semi")).mapInPandas(walk, f"{KEY_TYPES}, best binary, area array<double>")
+
+    totals = ordered(table).select(*KEY, "tp", "unit", "m").mapInPandas(sums, f"{KEY_TYPES}, t binary, w binary").groupBy("run", "category_id").applyInPandas(carried, f"{KEY_TYPES}, t binary, w binary")
+    totals = written(totals.join(npos, "category_id"), "ap-totals")
+    tops = walked(totals.withColumn("best", F.lit(bytes(8 * n)))).groupBy("run", "category_id").applyInPandas(below, f"{KEY_TYPES}, best binary")
+    parts = walked(totals.join(tops, KEY)).select("run", "category_id", F.posexplode("area").alias("resample", "area"))
+    area = parts.groupBy("run", "category_id", "resample").agg(F.sum("area").alias("area"))
+    wanted = need.crossJoin(F.broadcast(rows.select("run").distinct()))  # a few runs
+    return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"))
+
+
+def drawn_weights(spark, n_resamples: int, n_units: int, seed: int) -> np.ndarray | DataFrame:
+    """The draws as a matrix where it is small, else as a table of one row a unit."""
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for where, m in zip(b["where"], b["m"], strict=True):
+                row = np.zeros(n_resamples, np.uint16)
+                row[np.asarray(where)] = np.asarray(m)
+                out.append(row.tobytes())
+            yield pd.DataFrame({"unit": b["unit"], "m": pd.Series(out, dtype=object)})
+
+    by_unit = draws(spark, n_resamples, n_units, seed).groupBy("unit").agg(F.collect_list(F.struct("resample", "m")).alias("d"))  # at most n_resamples a unit
+    table = by_unit.select("unit", F.col("d.resample").alias("where"), F.col("d.m").alias("m")).mapInPandas(dense, "unit int, m binary")
+    if 2 * n_units * n_resamples > WHOLE_MATRIX:
+        return written(table, "draws")
+    matrix = np.zeros((n_units, n_resamples), np.uint16)
+    for row in table.toLocalIterator():
+        matrix[row["unit"]] = np.frombuffer(row["m"], np.uint16)
+    return matrix
+
+
+def _of_runs(matches: dict[str, DataFrame], clusters: DataFrame) -> DataFrame:
+    each = [df.select("image_id", "category_id", "det_id", "score", "tp").withColumn("run", F.lit(run)) for run, df in matches.items()]
+    return reduce(DataFrame.unionByName, each).join(clusters, "image_id")
+
+
 def ap_cluster_bootstrap(matches: dict[str, DataFrame], npos: DataFrame, clusters: DataFrame, n_clusters: int, n_resamples: int, seed: int) -> DataFrame:
-    """resample and AP of every run: matches are made once and weighted by how often their cluster is drawn.
+    """resample and AP of every run, all on the same draws: matches are made once and weighted by how often their cluster is drawn.
 
-    ``matches``: run -> (image_id, category_id, det_id, score, tp); ``npos``: image_id, category_id, npos; ``clusters``: image_id, unit."""
+    ``matches``: run -> (image_id, category_id, det_id, score, tp); ``npos``: image_id, category_id, npos; ``clusters``: image_id, unit (0 to n_clusters - 1)."""
     spark = npos.sparkSession
-    m = draws(spark, n_resamples, n_clusters, seed)
-    union = None
-    for run, df in matches.items():
-        rows = df.select("image_id", "category_id", "det_id", "score", "tp").withColumn("run", F.lit(run))
-        union = rows if union is None else union.unionByName(rows)
-    weighted = union.join(clusters, "image_id").join(m, "unit").withColumn("weight", F.col("m"))
-    runs = F.array(*[F.lit(r) for r in matches])
-    need = npos.join(clusters, "image_id").join(m, "unit").groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos")).withColumn("run", F.explode(runs))
-    ap = average_precision(weighted.select("run", "resample", "category_id", "image_id", "det_id", "score", "tp", "weight"), need, ["run", "resample", "category_id"])
+    by_unit = npos.join(clusters, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
+    need = by_unit.join(draws(spark, n_resamples, n_clusters, seed), "unit").groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
+    ap = ap_under_weights(_of_runs(matches, clusters), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
     return ap.groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
 
 
@@ -98,12 +237,14 @@ def factorial_2x2(deltas: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def leave_one_group_out(matches: DataFrame, npos: DataFrame, clusters: DataFrame) -> DataFrame:
-    """AP without each cluster.  One copy of the match table for every cluster: for tables of few clusters."""
-    units = [r[0] for r in clusters.select("unit").distinct().collect()]  # clusters are registered groups
-    omit = F.explode(F.array(*[F.lit(u) for u in sorted(units)]))
-    rows = matches.join(clusters, "image_id").withColumn("omitted", omit).where("unit <> omitted").withColumn("weight", F.lit(1))
-    need = npos.join(clusters, "image_id").withColumn("omitted", omit).where("unit <> omitted").groupBy("omitted", "category_id").agg(F.sum("npos").alias("npos"))
-    return average_precision(rows, need, ["omitted", "category_id"]).groupBy("omitted").agg(F.avg("ap").alias("ap"))
+    """AP without each cluster: one weighting a cluster, which gives it 0 and the others 1.  Clusters are registered groups, few enough for a square matrix."""
+    units = sorted(r[0] for r in clusters.select("unit").distinct().collect())
+    numbers = npos.sparkSession.createDataFrame(list(enumerate(units)), "number int, omitted " + dict(clusters.dtypes)["unit"])
+    numbered = clusters.join(F.broadcast(numbers), F.col("unit") == F.col("omitted")).select("image_id", F.col("number").alias("unit"))
+    counts = npos.join(numbered, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
+    need = counts.join(F.broadcast(numbers), F.col("unit") != F.col("number")).groupBy(F.col("number").alias("resample"), "category_id").agg(F.sum("npos").alias("npos"))
+    ap = ap_under_weights(_of_runs({"all": matches}, numbered), need, len(units), 1 - np.eye(len(units), dtype=np.uint16))
+    return ap.join(F.broadcast(numbers), F.col("resample") == F.col("number")).groupBy("omitted").agg(F.avg("ap").alias("ap"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

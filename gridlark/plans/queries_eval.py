@@ -210,7 +210,7 @@ def _(v):
 
 # ---- resampling
 
-DRAWS = "SELECT r.n AS resample, CAST({H:concat('11|', r.n, '|', j.n)} % 25 AS INT) AS unit, CAST(count(*) AS INT) AS m FROM (SELECT unnest(range(20)) AS n) r, (SELECT unnest(range(25)) AS n) j GROUP BY ALL"
+DRAWS = "SELECT r.n AS resample, CAST({H:concat('11|', r.n, '|', j.n)} % 25 AS INT) AS unit, CAST(count(*) AS INT) AS m FROM (SELECT unnest(range(200)) AS n) r, (SELECT unnest(range(25)) AS n) j GROUP BY ALL"
 
 
 # every image is a unit, numbered in hash order
@@ -245,10 +245,10 @@ def _(v):
 
 @query("b2_ap_image_bootstrap")
 def _(v):
-    m = sql_matches(v)
-    units = v.images.select("image_id", F.pmod("image_id", F.lit(200)).cast("int").alias("unit"))
+    """Both runs, 1,000 resamples of all images."""
+    matches = {run: E.match_coco(v.xy_gt, df, areas=("all",), thresholds=(0.5,)).where("not ignored") for run, df in (("base", v.xy_dt), ("method", v.xy_method))}
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
-    return B.ap_cluster_bootstrap({"base": m}, n, units, 200, 5, 13).select("run", "resample", *r("ap"))
+    return B.ap_cluster_bootstrap(matches, n, image_units(v), v.images.count(), 1000, 13).select("run", "resample", *r("ap"))
 
 
 @query("b3_ap_cluster_bootstrap", f"""WITH d_ AS ({DRAWS}), m_ AS (SELECT d_.resample, m.*, d_.m AS wt_ FROM matches m JOIN images i ON m.image_id = i.image_id JOIN d_ ON d_.unit = i.cluster_id),
@@ -257,7 +257,7 @@ SELECT 'base' AS run, CAST(resample AS INT) AS resample, round(avg(ap), 6) AS ap
 def _(v):
     units = v.images.select("image_id", F.col("cluster_id").cast("int").alias("unit"))
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
-    return B.ap_cluster_bootstrap({"base": sql_matches(v)}, n, units, 25, 20, 11).select("run", "resample", *r("ap"))
+    return B.ap_cluster_bootstrap({"base": sql_matches(v)}, n, units, 25, 200, 11).select("run", "resample", *r("ap"))
 
 
 @query("b4_pending_resamples", "SELECT method, seed, resample FROM deltas WHERE resample % 3 = 0 OR resample % 50 = 1")

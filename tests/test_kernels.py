@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as G
-from gridlark.operators import coco_eval, dedup, fusion, images, matching, select, windows
+from gridlark.operators import coco_eval, dedup, fusion, images, matching, select, stats, windows
 from gridlark.plans import pipelines
 from gridlark.sources import writers
 
@@ -231,7 +231,7 @@ def picture(seed, height, width):
 
 
 def test_image_hashes(spark):
-    """A row is an eighth wave; turned and mirrored images share their hashes, and a flat one has none set but the constant wave's."""
+    """Turned and mirrored images share their hashes; a flat image has no rising pair."""
     flat = np.full((48, 64, 3), 100, np.uint8)
     one = picture(1, 96, 96)
     rows = [(0, one), (1, np.ascontiguousarray(np.rot90(one))), (2, np.ascontiguousarray(one[:, ::-1])), (3, picture(2, 80, 120)), (4, flat)]
@@ -315,3 +315,39 @@ def test_dense_ids(spark):
     got = {x.ann_id: x.coco_id for x in writers.assign_coco_ids(df, "image_id", ["ann_id"]).collect()}
     assert got == {a: n for n, (_, a) in enumerate(sorted(rows), 1)}
     assert writers.assign_coco_ids(df.limit(0), "image_id", ["ann_id"]).count() == 0
+
+
+@pytest.mark.parametrize("whole", [1 << 26, 0])
+def test_ap_bootstrap_is_slow_version(spark, monkeypatch, whole):
+    """Both runs against AP of images taken as often as they are drawn; ties, images and a category without detections; the matrix held and joined."""
+    monkeypatch.setattr(stats, "WHOLE_MATRIX", whole)
+    r = random.Random(12)
+    n_units, n = 7, 9
+    make = lambda: [(i, c, 10 * i + k, r.choice([0.1, 0.3, 0.3, 0.8, 1.0, round(r.random(), 3)]), r.randrange(2)) for i in range(12) for c in (1, 2) for k in range(c, r.randrange(5), 2)]
+    runs = {"a": make(), "b": make()}
+    npos = [(i, c, r.randrange(1, 5)) for i in range(12) for c in (1, 2, 3) if r.random() < 0.8]
+    frames = {k: spark.createDataFrame(x, "image_id long, category_id int, det_id long, score double, tp int") for k, x in runs.items()}
+    units = spark.createDataFrame([(i, i % n_units) for i in range(12)], "image_id long, unit int")
+    positives = spark.createDataFrame(npos, "image_id long, category_id int, npos long")
+    got = {(x.run, x.resample): x.ap for x in stats.ap_cluster_bootstrap(frames, positives, units, n_units, n, 5).collect()}
+    drawn = {(x.resample, x.unit): x.m for x in stats.draws(spark, n, n_units, 5).collect()}
+
+    def slow(rows, weight):
+        out = []
+        for c in (1, 2, 3):
+            need = sum(k * weight(i) for i, c2, k in npos if c2 == c)
+            if not need:
+                continue
+            true = seen = 0
+            curve = []
+            for i, _, _, _, tp in sorted((x for x in rows if x[1] == c), key=lambda x: (-x[3], x[0], x[2])):
+                for _ in range(weight(i)):
+                    true, seen = true + tp, seen + 1
+                    curve.append((100 * true / need, true / seen))
+            out.append(sum(max([p for recall, p in curve if recall >= point], default=0) for point in range(101)) / 101)
+        return sum(out) / len(out)
+
+    want = {(k, b): slow(x, lambda i, b=b: drawn.get((b, i % n_units), 0)) for k, x in runs.items() for b in range(n)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    left = {x.omitted: x.ap for x in stats.leave_one_group_out(frames["a"], positives, units).collect()}
+    assert all(abs(left[u] - slow(runs["a"], lambda i, u=u: int(i % n_units != u))) < 1e-9 for u in range(n_units)) and len(left) == n_units
