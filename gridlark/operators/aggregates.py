@@ -49,6 +49,17 @@ def dataset_stats(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return per.rollup("category_id", "size").agg(F.count("*").alias("n"))
 
 
+def dataset_gaps(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row: images, those without annotations, images that annotations name but the table lacks, and boxes dropped for want of area."""
+    named = annotations.groupBy("image_id").agg(F.count("*").alias("boxes"), F.count_if((F.col("w") <= 0) | (F.col("h") <= 0)).alias("flat"))
+    known = images.select("image_id").distinct().withColumn("known", F.lit(True))
+    both = known.join(named, "image_id", "full")
+    return both.agg(
+        F.count("known").alias("n_images"), F.count_if(F.col("boxes").isNull()).alias("n_without_annotations"), F.count_if(F.col("known").isNull()).alias("n_orphans"),
+        F.coalesce(F.sum("flat"), F.lit(0)).alias("n_dropped"),
+    )
+
+
 def _stats(value: Column, name: str) -> list[Column]:
     z = F.lit(0.0)
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.9)]))
@@ -118,12 +129,14 @@ def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, i
     return met.select("image_id", *cols)
 
 
-def timing_summary(timings: DataFrame, by: str, total: str = "total_ms", load: str | None = None) -> DataFrame:
+def timing_summary(timings: DataFrame, by: str, total: str = "total_ms", load: str | None = None, stages: list[str] | None = None, memory: str | None = None) -> DataFrame:
+    """Count, means, spread and frames a second; the mean of each of ``stages`` as ``<stage>_mean`` and the largest ``memory`` as ``peak_memory`` where given."""
+    more = [F.avg(s).alias(f"{s}_mean") for s in stages or []] + ([F.max(memory).alias("peak_memory")] if memory else [])
     t = F.col(total)
     own = t - F.col(load) if load else t
     return timings.groupBy(by).agg(
         F.count("*").alias("n"), F.avg(t).alias("mean_ms"), F.avg(own).alias("mean_without_load_ms"), F.stddev_pop(t).alias("std_ms"), F.percentile(t, 0.5).alias("p50_ms"), F.percentile(t, 0.95).alias("p95_ms"),
-        (F.lit(1000.0) / F.avg(t)).alias("fps"), F.max(t).alias("max_ms"),
+        (F.lit(1000.0) / F.avg(t)).alias("fps"), F.max(t).alias("max_ms"), *more,
     )
 
 

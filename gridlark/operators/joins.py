@@ -64,10 +64,14 @@ def lookup_exactly_one(requests: DataFrame, table: DataFrame, key: str) -> DataF
     return requests.join(n, F.col(key) == F.col("_k"), "left").withColumn("status", status).drop("_k")
 
 
-def paired_runs(runs: DataFrame, cell: list[str], baseline: str, method: str, value: str) -> DataFrame:
-    a = runs.where(F.col("method") == baseline).select(*cell, F.col(value).alias("baseline"))
-    b = runs.where(F.col("method") == method).select(*cell, F.col(value).alias("candidate"))
-    return a.join(b, cell).withColumn("delta", F.col("candidate") - F.col("baseline"))
+def paired_runs(runs: DataFrame, cell: list[str], baseline: str, method: str, value: str, equal: list[str] | None = None) -> DataFrame:
+    """Both runs of each cell and their difference.  Columns named in ``equal`` (a fingerprint of the weights, of the list of images, ...)
+    must not differ inside a pair: that is an error."""
+    same = equal or []
+    a = runs.where(F.col("method") == baseline).select(*cell, F.col(value).alias("baseline"), F.struct(F.lit(0), *same).alias("_a"))
+    b = runs.where(F.col("method") == method).select(*cell, F.col(value).alias("candidate"), F.struct(F.lit(0), *same).alias("_b"))
+    fair = F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.raise_error(F.lit(f"paired runs differ in one of {same}"))).otherwise(F.lit(True))
+    return a.join(b, cell).where(fair).withColumn("delta", F.col("candidate") - F.col("baseline")).drop("_a", "_b")
 
 
 def ablation_long(registry: DataFrame, runs: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -93,8 +93,8 @@ def cell_coverage(df: DataFrame, axes: list[str]) -> DataFrame:
 
 
 def validate_detections(detections: DataFrame, images: DataFrame, classes: list[int]) -> DataFrame:
-    """det_id and the first problem of each row, with missing images as rows of their own (det_id null)."""
-    img = images.select(F.col("image_id").alias("img"), "width", "height")
+    """det_id and the first problem of each row, with missing images, images listed twice and repeated det_ids of an image as rows of their own (det_id null but for the last)."""
+    img = images.select(F.col("image_id").alias("img"), "width", "height").dropDuplicates(["img"])
     df = detections.join(img, F.col("image_id") == F.col("img"), "left")
     numbers = [F.col(c) for c in ("x1", "y1", "x2", "y2", "score")]
     bad = F.exists(F.array(*numbers), lambda v: v.isNull() | F.isnan(v))
@@ -107,7 +107,9 @@ def validate_detections(detections: DataFrame, images: DataFrame, classes: list[
     )
     rows = df.withColumn("problem", problem).where("problem is not null").select("image_id", F.col("det_id").cast("long").alias("det_id"), "problem")
     absent = images.join(detections.select("image_id").distinct(), "image_id", "left_anti").select("image_id", F.lit(None).cast("long").alias("det_id"), F.lit("missing_image").alias("problem"))
-    return rows.unionByName(absent)
+    twice = images.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id", F.lit(None).cast("long").alias("det_id"), F.lit("duplicate_image").alias("problem"))
+    again = detections.groupBy("image_id", F.col("det_id").cast("long").alias("det_id")).agg(F.count("*").alias("n")).where("n > 1").select("image_id", "det_id", F.lit("duplicate_row").alias("problem"))
+    return rows.unionByName(absent).unionByName(twice).unionByName(again)
 
 
 def compare_sources(a: DataFrame, b: DataFrame, key: str, payload: list[str]) -> DataFrame:

@@ -190,6 +190,12 @@ def _(v):
     return v.images.select("image_id").exceptAll(v.dt.where("score > 0.8").select("image_id").distinct())
 
 
+@query("a1_dataset_gaps", """WITH d AS (SELECT * FROM gt_dirty) SELECT (SELECT count(*) FROM images) AS n_images, (SELECT count(*) FROM images WHERE image_id NOT IN (SELECT image_id FROM d)) AS n_without_annotations,
+(SELECT count(DISTINCT image_id) FROM d WHERE image_id NOT IN (SELECT image_id FROM images)) AS n_orphans, CAST((SELECT count(*) FROM d WHERE w <= 0 OR h <= 0) AS BIGINT) AS n_dropped""")
+def _(v):
+    return A.dataset_gaps(v.images, v.gt_dirty)
+
+
 @query("a1_dataset_stats", "SELECT category_id, size, count(*) AS n FROM (SELECT category_id, CASE WHEN w*h < 1024 THEN 'small' WHEN w*h < 9216 THEN 'medium' ELSE 'large' END AS size FROM gt) g GROUP BY ROLLUP (category_id, size)")
 def _(v):
     return A.dataset_stats(v.images, v.gt)

@@ -110,9 +110,15 @@ def discover_runs(runs: DataFrame, filters: dict[str, object]) -> DataFrame:
     return runs
 
 
-def join_run_predictions(a: DataFrame, b: DataFrame, model: str) -> DataFrame:
-    """Union of two registries; a model in both is an error."""
+def join_run_predictions(a: DataFrame, b: DataFrame, model: str, cover: list[str] | None = None) -> DataFrame:
+    """Union of two registries; a model in both is an error, and so is a model that lacks one of the combinations of the columns in ``cover`` that others have."""
     both = a.select(model).distinct().join(b.select(model).distinct(), model, "left_semi")
     if not both.isEmpty():
         raise ValueError("a model is in both registries")
-    return a.unionByName(b)
+    out = a.unionByName(b)
+    if cover:
+        cells = out.select(model, *cover).distinct()
+        every = cells.select(*cover).distinct().count()
+        if not cells.groupBy(model).count().where(F.col("count") < every).isEmpty():
+            raise ValueError("a model lacks views or methods that others have")
+    return out

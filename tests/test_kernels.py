@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as G
-from gridlark.operators import coco_eval, dedup, fusion, images, matching, select, stats, windows
+from gridlark.operators import aggregates, coco_eval, dedup, fusion, images, joins, matching, select, stats, validate, windows
 from gridlark.plans import pipelines
 from gridlark.sources import writers
 
@@ -351,3 +351,25 @@ def test_ap_bootstrap_is_slow_version(spark, monkeypatch, whole):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     left = {x.omitted: x.ap for x in stats.leave_one_group_out(frames["a"], positives, units).collect()}
     assert all(abs(left[u] - slow(runs["a"], lambda i, u=u: int(i % n_units != u))) < 1e-9 for u in range(n_units)) and len(left) == n_units
+
+
+def test_checks_of_pairs_and_registries(spark):
+    runs = spark.createDataFrame([("a", 1, 0.5, "w"), ("b", 1, 0.75, "w"), ("a", 2, 0.5, "w"), ("b", 2, 0.5, None)], "method string, seed int, ap double, weights string")
+    assert [x.delta for x in joins.paired_runs(runs, ["seed"], "a", "b", "ap").orderBy("seed").collect()] == [0.25, 0.0]
+    assert joins.paired_runs(runs.where("seed = 1"), ["seed"], "a", "b", "ap", ["weights"]).count() == 1
+    with pytest.raises(Exception, match="paired runs differ"):
+        joins.paired_runs(runs, ["seed"], "a", "b", "ap", ["weights"]).collect()
+    one, two = (runs.where(F.col("method") == m) for m in "ab")
+    assert writers.join_run_predictions(one, two, "method", ["seed"]).count() == 4
+    with pytest.raises(ValueError, match="lacks"):
+        writers.join_run_predictions(one, two.where("seed = 1"), "method", ["seed"])
+    times = spark.createDataFrame([("a", 2.0, 1.0, 5), ("a", 4.0, 2.0, 9)], "model string, total_ms double, fuse double, mb int")
+    row = aggregates.timing_summary(times, "model", stages=["fuse"], memory="mb").first()
+    assert (row.mean_ms, row.fuse_mean, row.peak_memory) == (3.0, 1.5, 9)
+
+
+def test_repeated_images_and_rows_are_reported(spark):
+    images_ = spark.createDataFrame([(1, 100, 100), (1, 100, 100), (2, 100, 100)], "image_id long, width int, height int")
+    found = spark.createDataFrame([(1, 7, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 7, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 8, 1, 1.5, 0.0, 0.0, 9.0, 9.0)], "image_id long, det_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((x.image_id, x.det_id or -1, x.problem) for x in validate.validate_detections(found, images_, [1]).collect())
+    assert got == [(1, -1, "duplicate_image"), (1, 7, "duplicate_row"), (1, 8, "score_range"), (2, -1, "missing_image")]
