@@ -89,7 +89,7 @@ def candidate_utility(reference: DataFrame, predictions: DataFrame, matches: Dat
         F.count("*").alias("n"), F.avg(F.col("r_score") - F.col("l_score")).alias("gain"), F.avg("iou").alias("mean_iou"),
         F.sum(F.when((F.col("l_score") < publish) & (F.col("r_score") >= publish), F.col("r_score")).otherwise(0.0)).alias("rescued"),
     )
-    lone = predictions.join(matches.select(F.col("right_id").alias("det_id")), "det_id", "left_anti").groupBy("image_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("score") - publish)).alias("loose"))
+    lone = predictions.join(matches.select("image_id", F.col("right_id").alias("det_id")), ["image_id", "det_id"], "left_anti").groupBy("image_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("score") - publish)).alias("loose"))
     df = n_ref.join(n_pred, "image_id", "full_outer").join(m, "image_id", "left").join(lone, "image_id", "left").fillna(0)
     parts = {
         "confidence_gain": _clip01(F.col("gain")),

@@ -79,18 +79,22 @@ def choose_best(candidates: DataFrame, group: list[str]) -> DataFrame:
     return candidates.where("q > 0").withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def early_stop(candidates: DataFrame, group: list[str], q: float, stability: float, unsupported: float) -> DataFrame:
-    """Rounds that still run: none after the first one that is good enough."""
-    good = F.when((F.col("q") >= q) & (F.col("stability") >= stability) & (F.col("unsupported") <= unsupported), F.col("round"))
-    stop = F.min(good).over(Window.partitionBy(*group))
-    return candidates.withColumn("stop", stop).where("stop is null or round <= stop").drop("stop")
-
-
-def route_operations(components: dict[str, str], priority: list[str], k: int) -> Column:
-    """Names of operations for the k largest components, in fixed priority, without repeats."""
-    rows = F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("c"), F.lit(op).alias("op")) for c, op in components.items()])
-    chosen = F.array_distinct(F.transform(F.slice(F.array_sort(rows), 1, k), lambda x: x["op"]))
-    return F.filter(F.array(*[F.lit(p) for p in priority]), lambda p: F.array_contains(chosen, p))
+def early_stop(candidates: DataFrame, group: list[str], q: float, stability: float, unsupported: float, first: int | None = None) -> DataFrame:
+    """Rounds that still run: none after the first one that is good enough (``early_stopped``).  With ``first`` only so many rounds can be."""
+    good = (F.col("q") >= q) & (F.col("stability") >= stability) & (F.col("unsupported") <= unsupported)
+    if first is not None:
+        good = good & (F.col("round") <= first)
+    stop = F.min(F.when(good, F.col("round"))).over(Window.partitionBy(*group))
+    kept = candidates.withColumn("stop", stop).where("stop is null or round <= stop")
+    return kept.withColumn("early_stopped", F.coalesce(F.col("round") == F.col("stop"), F.lit(False))).drop("stop")
+
+
+def route_operations(components: dict[str, str | None], available: list[str], k: int) -> Column:
+    """At most k different operations for the largest components, in their order; ties go by the order of ``components``.
+    Components without an available operation are passed over."""
+    rows = F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(i).alias("at"), F.lit(op if op in available else None).cast("string").alias("op")) for i, (c, op) in enumerate(components.items())])
+    chosen = F.filter(F.transform(F.array_sort(rows), lambda x: x["op"]), lambda op: op.isNotNull())
+    return F.slice(F.array_distinct(chosen), 1, k)
 
 
 def pareto(df: DataFrame, group: list[str], maximise: list[str], minimise: list[str], key: str) -> DataFrame:

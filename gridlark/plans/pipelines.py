@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import aggregates as A
 from ..operators import coco_eval, fusion, joins, matching, select, windows
 from ..operators.validate import publish_filter
+from ..sources.shared import written
 
 SIDES = ["x1", "y1", "x2", "y2"]
 
@@ -47,23 +51,89 @@ def selected_regions(traits: DataFrame, candidates: DataFrame, budget: float = 0
     return chosen.select("image_id", F.explode("selected").alias("region_id"))
 
 
-def selective_regions(base: DataFrame, local: DataFrame, traits: DataFrame, regions: DataFrame, images: DataFrame, publish: float = 0.25) -> DataFrame:
-    """Score regions, take the best within the area budget, map and fuse what the crops found there."""
-    chosen = selected_regions(traits, base.join(local.select("det_id", "region_id"), "det_id"))
-    crops = mapped_local(local.join(chosen, ["image_id", "region_id"], "left_semi"), regions, images)
+class Selective(NamedTuple):
+    final: DataFrame  # fused boxes
+    trace: DataFrame  # every attempt in every chosen region, identity as round 0
+    work: DataFrame  # regions and candidates of every image
+
+
+#: What mends each component of degradation; ties between components go in this order.  Fixed values.
+OPERATIONS = {"luminance": "gamma", "contrast": "clahe", "haze": "clahe", "blur": "unsharp", "entropy": None}
+#: A crop and an attempt are single numbers in the kernels' image column: 4,096 regions an image, 8 rounds a region.
+REGION_BITS, ROUND_BITS = 12, 3
+CROP = ["image_id", "region_id"]
+
+
+def _crop_id() -> Column:
+    return F.shiftleft(F.col("image_id").cast("long"), REGION_BITS) + F.col("region_id")
+
+
+def crop_references(base: DataFrame, identity: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
+    """Boxes of each crop (``image_id`` is the crop's number) that base and identity agree on, numbered within the crop."""
+    core = cores.select(F.col("image_id").alias("c_image"), "region_id", *G.Box.of("r").named("c_"))
+    inside = base.join(core, (F.col("image_id") == F.col("c_image")) & G.center_in(G.Box.of(), G.Box.of("c_"))).select(*base.columns, "region_id")
+    views = [fusion.with_source(df.withColumn("image_id", _crop_id()), name) for df, name in ((inside, "base"), (identity, "local"))]
+    nth = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "category_id", *SIDES))
+    return fusion.fuse_reference(views[0].unionByName(views[1]), threshold).withColumn("det_id", nth.cast("long"))
+
+
+def evaluated_attempts(references: DataFrame, candidates: DataFrame, attempts: DataFrame, publish: float, match_iou: float, crop: int, full: int) -> DataFrame:
+    """``attempts`` (image_id, region_id, round, operation) with the parts of their utility and q; nothing found where nothing is has the cost alone."""
+    numbered = attempts.withColumn("attempt", F.shiftleft(_crop_id(), ROUND_BITS) + F.col("round"))
+    ask = numbered.select(_crop_id().alias("image_id"), "attempt")
+    wanted = references.join(ask, "image_id").drop("image_id").withColumnRenamed("attempt", "image_id")
+    got = candidates.join(numbered, [*CROP, "operation"]).drop(*CROP).withColumnRenamed("attempt", "image_id")
+    pairs = matching.assignment_match(joins.iou_join(wanted, got, match_iou, "det_id", "det_id"))
+    utility = matching.candidate_utility(wanted, got, pairs, UTILITY, publish, 2.0, crop, full).withColumnRenamed("image_id", "attempt")
+    cost = min(1.0, (crop / full) ** 2)
+    parts = [c for c in utility.columns if c not in ("attempt", "compute", "q")]
+    return numbered.join(utility, "attempt", "left").fillna(0.0, parts).fillna({"compute": cost, "q": -UTILITY["compute"] * cost}).drop("attempt")
+
+
+def selective_regions(
+    base: DataFrame, local: DataFrame, candidates: DataFrame, traits: DataFrame, components: DataFrame, regions: DataFrame, images: DataFrame, publish: float = 0.25,
+    available: tuple[str, ...] = ("gamma", "clahe", "unsharp"), most_operations: int = 2, stop: tuple[float, float, float] = (0.2, 0.5, 0.1), conservative: bool = False, match_iou: float = 0.5, crop: int = 640, full: int = 1920,
+) -> Selective:
+    """Take the best regions within the area budget, try operations on their crops and fuse what helps.
+
+    ``local`` holds what the untouched crops gave and ``candidates`` what each operation gave, in image coordinates;
+    ``components`` the parts of a region's degradation.  Operations are routed by the largest components; each is judged by
+    its utility against the boxes that base and the untouched crop agree on, and a first one that is good enough (``stop``:
+    least q, least stability, most unsupported) ends the region's rounds.  The best with q above 0 replaces the untouched
+    crop; without one the untouched boxes stay with q 0, or go if ``conservative``."""
+    chosen = written(selected_regions(traits, base.join(local.select("det_id", "region_id"), "det_id")), "chosen-regions")
+    cores = regions.join(chosen, CROP)
+    identity = mapped_local(local.join(chosen, CROP, "left_semi"), regions, images)
+    found = mapped_local(candidates.join(chosen, CROP, "left_semi"), regions, images)
+    routed = select.route_operations(OPERATIONS, list(available), most_operations)
+    attempts = components.join(chosen, CROP).select(*CROP, F.posexplode(routed).alias("round", "operation")).withColumn("round", F.col("round") + 1)
+    references = written(crop_references(base, identity, cores, 0.55), "crop-references")
+    scored = written(evaluated_attempts(references, found, attempts, publish, match_iou, crop, full), "attempts")
+    run = select.early_stop(scored.withColumn("unsupported", F.col("unsupported_fp")), CROP, *stop, first=1).drop("unsupported")
+    best = select.choose_best(run, CROP).select(*CROP, "operation", F.col("q").alias("best_q"))
+    plain = identity.join(best, CROP, "left_anti").withColumn("q", F.lit(0.0))
+    mended = found.join(best, [*CROP, "operation"]).withColumn("q", F.col("best_q")).select(*identity.columns)
+    crops = mended if conservative else mended.unionByName(plain)
     union = fusion.with_source(base, "base").unionByName(fusion.with_source(crops, "local"))
-    return fusion.fuse(union, "wbf", publish, threshold=0.55, probe=0.05, base_weight=1.0, low=0.5, high=1.5, max_det=300)
+    final = fusion.fuse(union, "wbf", publish, threshold=0.55, probe=0.05, base_weight=1.0, low=0.5, high=1.5, max_det=300)
+    untouched = chosen.join(best, CROP, "left").select(*CROP, F.lit(0).alias("round"), F.lit("identity").alias("operation"), F.lit(0.0).alias("q"), F.col("best_q").isNull().alias("selected"), F.lit(False).alias("early_stopped"))
+    tried = run.join(best.withColumnRenamed("operation", "chosen"), CROP, "left").withColumn("selected", F.coalesce(F.col("operation") == F.col("chosen"), F.lit(False))).drop("chosen", "best_q")
+    trace = tried.unionByName(untouched, allowMissingColumns=True)
+    n = trace.groupBy("image_id").agg(F.count_if(F.col("round") == 0).alias("num_regions"), F.count("*").alias("num_candidates"))
+    return Selective(final, trace, images.select("image_id").join(n, "image_id", "left").fillna(0))
 
 
 def image_gate(local: DataFrame, regions: DataFrame, weights: dict[str, float]) -> DataFrame:
     return windows.score_uncertainty(local, regions, weights).groupBy("image_id").agg(F.max("uncertainty").alias("gate"))
 
 
-def uncertainty_gate(base: DataFrame, local: DataFrame, traits: DataFrame, regions: DataFrame, images: DataFrame, weights: dict[str, float], gate: float, publish: float = 0.25) -> DataFrame:
+def uncertainty_gate(
+    base: DataFrame, local: DataFrame, candidates: DataFrame, traits: DataFrame, components: DataFrame, regions: DataFrame, images: DataFrame, weights: dict[str, float], gate: float, publish: float = 0.25
+) -> DataFrame:
     """Region work only for images above the gate; the others publish their base boxes."""
     active = select.activate_threshold(image_gate(local, regions, weights), gate)
     on = active.where("active").select("image_id")
-    picked = selective_regions(base.join(on, "image_id", "left_semi"), local.join(on, "image_id", "left_semi"), traits.join(on, "image_id", "left_semi"), regions, images, publish)
+    picked = selective_regions(*[df.join(on, "image_id", "left_semi") for df in (base, local, candidates, traits, components)], regions, images, publish).final
     plain = publish_filter(base.join(active.where("not active").select("image_id"), "image_id", "left_semi"), publish)
     return picked.unionByName(plain.select(F.col("image_id").cast("long"), "category_id", "score", *SIDES, F.lit("base").alias("source")))
 
@@ -113,15 +183,25 @@ def packed_view_fusion(base: DataFrame, packed: DataFrame, regions: DataFrame, i
 UTILITY = {"confidence_gain": 0.3, "stability": 0.3, "rescue": 0.2, "unsupported_fp": 0.1, "count_explosion": 0.05, "compute": 0.05}
 
 
-def scout_escalation(base: DataFrame, scout: DataFrame, images: DataFrame, rate: float, classes: list[int]) -> DataFrame:
-    """Both views merged for the images whose score is highest, base boxes for the others.  The score is a simple reading of the view features."""
-    features = A.view_features(scout, images, classes)
-    gates = features.select("image_id", (F.col("score_std") + F.col("border_fraction")).alias("gate"))
-    on = select.activate_fraction(gates, rate).select("image_id").withColumn("active", F.lit(True))
-    scores = images.select("image_id").join(on, "image_id", "left").fillna(False, ["active"])
-    merged = fusion.classwise_nms_merge([fusion.with_source(base, "base"), fusion.with_source(scout, "scout")], 0.7, 300)
-    plain = base.select(F.col("image_id").cast("long"), "category_id", "score", *SIDES, F.lit("base").alias("source"))
-    return select.route_outputs(scores, merged, plain)
+def escalation_features(base: DataFrame, scout: DataFrame, images: DataFrame, classes: list[int]) -> DataFrame:
+    """What a gate may know of an image before its full flip: size, both views, and how they differ."""
+    w, h = F.col("width"), F.col("height")
+    size = images.select("image_id", (w / 1000).alias("image_width_kpx"), (h / 1000).alias("image_height_kpx"), (w / h).alias("image_aspect"), (w * h / 1e6).alias("image_megapixels"))
+    views = []
+    for df, prefix in ((base, "b0"), (scout, "scout")):
+        f = A.view_features(df, images, classes)
+        views.append(f.select("image_id", *[F.col(c).alias(f"{prefix}_{c}") for c in f.columns if c != "image_id"]))
+    pairs = joins.iou_join(base, scout, 0.3, "det_id", "det_id")
+    levels = reduce(DataFrame.unionByName, [matching.greedy_match(pairs.where(F.col("iou") >= t)).withColumn("threshold", F.lit(t)) for t in (0.3, 0.5, 0.7)])
+    return reduce(lambda a, b: a.join(b, "image_id"), [*views, A.cross_view_features(base, scout, levels, images, classes)], size)
+
+
+def scout_escalation(base: DataFrame, scout: DataFrame, full_flip: DataFrame, scores: DataFrame, rate: float, publish: float = 0.25, max_det: int = 500) -> DataFrame:
+    """The output with the full flip for the share of images with the highest ``gate``, base and scout merged for the others."""
+    on = select.activate_fraction(scores.select("image_id", "gate"), rate).select("image_id").withColumn("active", F.lit(True))
+    routes = scores.select("image_id").join(on, "image_id", "left").fillna(False, ["active"])
+    bypass = publish_filter(fusion.classwise_nms_merge([fusion.with_source(base, "base"), fusion.with_source(scout, "scout")], 0.7, max_det), publish)
+    return select.route_outputs(routes, full_flip, bypass)
 
 
 def evaluate_run(truth: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:

@@ -676,14 +676,42 @@ def _(v):
     return out(C.candidate_bank_fuse(v.xy_dt, [v.xy_local, v.xy_method], "wbf", 0.25, **OPTIONS))
 
 
+def crop_tables(v):
+    """Boxes that operations on crops gave, and the parts of degradation of regions."""
+    found = v.sql("""SELECT det_id, image_id, category_id, region_id, q, x1, y1, x2, y2, op.operation, least(1e0, greatest(0e0, score + op.gain * ((det_id % 7) - 2))) AS score
+      FROM xy_local CROSS JOIN (SELECT 'gamma' AS operation, 0.05e0 AS gain UNION ALL SELECT 'clahe', 0.1e0 UNION ALL SELECT 'unsharp', -0.05e0) op WHERE (det_id + length(op.operation)) % 6 > 0""")
+    parts = v.sql("SELECT image_id, region_id, d AS luminance, u AS contrast, edge AS haze, 1 - d AS blur, abs(d - u) AS entropy FROM traits")
+    return found, parts
+
+
+def selective(v):
+    found, parts = crop_tables(v)
+    return C.selective_regions(v.xy_dt, v.xy_local, found, v.traits, parts, v.regions, v.images)
+
+
 @query("c3_selective_regions")
 def _(v):
-    return out(C.selective_regions(v.xy_dt, v.xy_local, v.traits, v.regions, v.images))
+    return out(selective(v).final)
+
+
+@query("c3_candidate_trace")
+def _(v):
+    return selective(v).trace.select("image_id", "region_id", "round", "operation", *r("q"), "selected", "early_stopped")
+
+
+@query("c3_selective_work")
+def _(v):
+    from ..operators.aggregates import timing_rows
+
+    chosen = selective(v)
+    crops = v.regions.join(chosen.trace.where("round = 0").select("image_id", "region_id"), ["image_id", "region_id"])
+    return chosen.work.join(timing_rows(v.images, crops, v.timings), "image_id").select("image_id", "num_regions", "num_candidates", *r("stage_ms", "cost"), "calls")
 
 
 @query("c4_uncertainty_gate")
 def _(v):
-    return out(C.uncertainty_gate(v.xy_dt, v.xy_local, v.traits, v.regions, v.images, WEIGHTS_U, 0.7))
+    found, parts = crop_tables(v)
+    return out(C.uncertainty_gate(v.xy_dt, v.xy_local, found, v.traits, parts, v.regions, v.images, WEIGHTS_U, 0.7))
 
 
 @query("c5_guarded_fusion")
@@ -699,7 +727,9 @@ def _(v):
 
 @query("c7_scout_escalation")
 def _(v):
-    return out(C.scout_escalation(v.xy_dt, v.xy_method, v.images, 0.3, CATEGORIES))
+    f = C.escalation_features(v.xy_dt, v.xy_method, v.images, CATEGORIES)
+    gates = f.select("image_id", (F.col("scout_score_std") + F.abs(F.col("count_delta")) / (F.col("b0_count") + 1) + F.col("image_megapixels") / 100).alias("gate"))
+    return out(C.scout_escalation(v.xy_dt, v.xy_method, C.flip_merge(v.xy_dt, v.xy_flip, v.images), gates, 0.3))
 
 
 @query("c8_evaluate_run")

@@ -192,8 +192,8 @@ def _(v):
 
 
 @query("t11_route_operations", """WITH r AS (SELECT image_id, region_id, unnest([{'v': -d, 'c': 'd', 'op': 'gamma'}, {'v': -u, 'c': 'u', 'op': 'unsharp'}, {'v': -edge, 'c': 'edge', 'op': 'gamma'}]) AS x FROM traits),
-k AS (SELECT image_id, region_id, x.op AS op, row_number() OVER (PARTITION BY image_id, region_id ORDER BY x.v, x.c) AS n FROM r)
-SELECT image_id, region_id, string_agg(DISTINCT op, ',' ORDER BY op DESC) AS operations FROM k WHERE n <= 2 GROUP BY ALL""")
+k AS (SELECT image_id, region_id, x.op AS op, min({'v': x.v, 'at': CASE x.c WHEN 'd' THEN 0 WHEN 'u' THEN 1 ELSE 2 END}) AS first FROM r GROUP BY ALL)
+SELECT image_id, region_id, string_agg(op, ',' ORDER BY first) AS operations FROM k GROUP BY ALL""")
 def _(v):
     ops = S.route_operations({"d": "gamma", "u": "unsharp", "edge": "gamma"}, ["unsharp", "gamma"], 2)
     return v.traits.select("image_id", "region_id", F.array_join(ops, ",").alias("operations"))

@@ -373,3 +373,54 @@ def test_repeated_images_and_rows_are_reported(spark):
     found = spark.createDataFrame([(1, 7, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 7, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 8, 1, 1.5, 0.0, 0.0, 9.0, 9.0)], "image_id long, det_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double")
     got = sorted((x.image_id, x.det_id or -1, x.problem) for x in validate.validate_detections(found, images_, [1]).collect())
     assert got == [(1, -1, "duplicate_image"), (1, 7, "duplicate_row"), (1, 8, "score_range"), (2, -1, "missing_image")]
+
+
+def test_routed_operations(spark):
+    parts = {"luminance": "gamma", "contrast": "clahe", "haze": "clahe", "blur": "unsharp", "entropy": None}
+    rows = [(0, 0.1, 0.9, 0.8, 0.7, 1.0), (1, 0.5, 0.5, 0.5, 0.5, 0.5), (2, 0.0, 0.1, 0.2, 0.3, 0.4)]
+    df = spark.createDataFrame(rows, "k int, luminance double, contrast double, haze double, blur double, entropy double")
+    got = {x.k: x.ops for x in df.select("k", select.route_operations(parts, ["gamma", "clahe", "unsharp"], 2).alias("ops")).collect()}
+    assert got == {0: ["clahe", "unsharp"], 1: ["gamma", "clahe"], 2: ["unsharp", "clahe"]}
+    assert df.select(select.route_operations(parts, ["gamma"], 2).alias("ops")).distinct().collect()[0].ops == ["gamma"]
+
+
+def test_selective_regions(spark):
+    images = spark.createDataFrame([(i, 400, 400) for i in range(4)], "image_id long, width int, height int")
+    regions = spark.createDataFrame([(i, 0, 0, 0, 400, 400) for i in range(3)], "image_id long, region_id int, rx1 int, ry1 int, rx2 int, ry2 int")
+    traits = spark.createDataFrame([(i, 0, 0.5, 0.5, 0.5) for i in range(3)], "image_id long, region_id int, d double, u double, edge double")
+    parts = spark.createDataFrame([(i, 0, 0.9, 0.1, 0.1, 0.8, 0.0) for i in range(3)], "image_id long, region_id int, luminance double, contrast double, haze double, blur double, entropy double")
+    box = (100.0, 100.0, 150.0, 150.0)
+    base = spark.createDataFrame([(10 + i, i, 1, 0.3, *box) for i in range(4)], "det_id long, image_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    local = base.where("image_id < 3").selectExpr("*", "0 as region_id", "0.7d as q")
+    # image 0: the first operation is good enough; 1: the second one is the better; 2: one is unsupported and one finds nothing
+    tried = [(0, "gamma", 0.9), (0, "unsharp", 0.95), (1, "gamma", 0.35), (1, "unsharp", 0.6), (2, "gamma", 0.9)]
+    found = spark.createDataFrame([(10 + i, i, 1, s, *(box if i < 2 else (200.0, 200.0, 250.0, 250.0)), 0, 0.0, op) for i, op, s in tried], "det_id long, image_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double, region_id int, q double, operation string")
+    got = pipelines.selective_regions(base, local, found, traits, parts, regions, images, stop=(0.4, 0.5, 0.1))
+    trace = {(x.image_id, x.round): (x.operation, x.selected, x.early_stopped) for x in got.trace.collect()}
+    assert trace == {
+        (0, 0): ("identity", False, False), (0, 1): ("gamma", True, True),
+        (1, 0): ("identity", False, False), (1, 1): ("gamma", False, False), (1, 2): ("unsharp", True, False),
+        (2, 0): ("identity", True, False), (2, 1): ("gamma", False, False), (2, 2): ("unsharp", False, False),
+    }
+    q = {(x.image_id, x.round): x.q for x in got.trace.collect()}
+    fixed = 0.05 / 9  # the cost of a crop of 640 in 1920
+    assert q[0, 1] == pytest.approx(0.3 * 0.6 + 0.3 - fixed) and q[1, 2] == pytest.approx(0.3 * 0.3 + 0.3 - fixed)
+    assert q[2, 1] == pytest.approx(-0.1 * 0.65 - fixed) and q[2, 2] == pytest.approx(-fixed)
+    assert {x.image_id: (x.num_regions, x.num_candidates) for x in got.work.collect()} == {0: (1, 2), 1: (1, 3), 2: (1, 3), 3: (0, 0)}
+    scores = {x.image_id: x.score for x in got.final.collect()}
+    assert set(scores) == {0, 1, 2, 3} and scores[0] > scores[1] > scores[2] == pytest.approx(0.3) and scores[3] == 0.3
+    strict = {x.image_id: x.source for x in pipelines.selective_regions(base, local, found, traits, parts, regions, images, stop=(0.4, 0.5, 0.1), conservative=True).final.collect()}
+    assert strict[2] == "base" and strict[0] != "base"
+
+
+def test_scout_escalation(spark):
+    images = spark.createDataFrame([(i, 100, 100) for i in range(4)], "image_id long, width int, height int")
+    kind = "det_id long, image_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double"
+    base = spark.createDataFrame([(i, i, 1, 0.5, 10.0, 10.0, 30.0, 30.0) for i in range(3)], kind)
+    scout = spark.createDataFrame([(10, 0, 1, 0.8, 10.0, 10.0, 30.0, 30.0), (11, 1, 1, 0.2, 60.0, 60.0, 80.0, 80.0)], kind)
+    f = pipelines.escalation_features(base, scout, images, [1]).toPandas().set_index("image_id")
+    assert len(f) == 4 and f.loc[0, "b0_count"] == 1 and f.loc[3, "b0_count"] == 0 and f.loc[2, "count_delta"] == -1 and f.loc[0, "image_aspect"] == 1
+    full = base.selectExpr("image_id", "category_id", "0.99d as score", "x1", "y1", "x2", "y2", "'flip' as source")
+    gates = spark.createDataFrame([(0, 0.1), (1, 0.2), (2, 0.9), (3, 0.0)], "image_id long, gate double")
+    got = sorted((x.image_id, x.score, x.source) for x in pipelines.scout_escalation(base, scout, full, gates, 0.25).collect())
+    assert got == [(0, 0.8, "scout"), (1, 0.5, "base"), (2, 0.99, "flip")]
