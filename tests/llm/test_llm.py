@@ -432,3 +432,45 @@ def test_lm_masks_every_place_once():
     n = np.array([5, 0, 70, 1])
     seen = [p for turn in range(3) for p in lmscore._masked(n, turn, 3, 17).tolist()]
     assert sorted(seen) == lmscore._places(n).tolist()
+
+
+def branches_of(nodes):
+    """Root-to-leaf paths of one tree as lists of node numbers, by walking up from every node without replies."""
+    parent = {n: p if p in nodes else None for n, (p, *_) in nodes.items()}
+    replied = {p for n, (p, *_) in nodes.items() if p is not None}
+    out = []
+    for leaf in nodes:
+        if leaf in replied:
+            continue
+        path, seen = [leaf], {leaf}
+        while parent[path[-1]] is not None and parent[path[-1]] not in seen:
+            path.append(parent[path[-1]])
+            seen.add(path[-1])
+        if parent[path[-1]] is None:  # not led into a cycle
+            out.append(path[::-1])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chat_branches_are_brute_force(spark, seed):
+    r, trees = random.Random(seed), {}
+    for t in range(12):
+        nodes = {}
+        for n in range(r.randint(1, 25)):
+            far = r.random() < 0.1
+            p = None if n == 0 or r.random() < 0.05 else 900 + n if far else n - 1 if t % 3 == 0 else r.randrange(n)
+            nodes[n] = (p, r.choice(["user", "assistant", "sys\ntem&#10;", None]), r.choice(["", None, "<|im_end|>\n", "&lt;| é𝄞", "a\nb"]), r.choice([0.0, 0.5, 1.0, None]))
+        if t % 4 == 1 and len(nodes) > 2:
+            nodes[0] = (2, *nodes[0][1:])  # perhaps a cycle
+        trees[t] = nodes
+    rows = [(t, n, *x) for t, nodes in trees.items() for n, x in nodes.items()]
+    out = chat.format_trees(spark.createDataFrame(rows * 2, "tree long, node long, parent long, role string, text string, score double"), keep=None)
+    got = {(x.tree, x.branch_rank): x for x in out.withColumn("turns", chat.parsed_turns(F.col("formatted"))).withColumn("said", chat.loss_texts(F.col("formatted"), F.col("loss_spans"))).collect()}
+    want = {}
+    for t, nodes in trees.items():
+        paths = branches_of(nodes)
+        mean = {p[-1]: sum(nodes[n][3] or 0.0 for n in p) / len(p) for p in paths}
+        for rank, p in enumerate(sorted(paths, key=lambda p: (-mean[p[-1]], -len(p), p[-1])), 1):
+            want[t, rank] = (p[-1], [(nodes[n][1] or "", nodes[n][2] or "") for n in p])
+    assert {k: (x.leaf, [tuple(y) for y in x.turns]) for k, x in got.items()} == want
+    assert all(x.said == [text for role, text in want[k][1] if role == "assistant"] for k, x in got.items())
