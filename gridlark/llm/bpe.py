@@ -42,6 +42,11 @@ class _Numbered(dict):
         self.new, self.new_chars = [], 0
 
 
+def begins_pretoken(piece: str) -> bool:
+    """Whatever stands before it, it begins a pretoken, so that such pieces can be joined and cut again: one space, before a non-space."""
+    return piece[:1] == " " and piece.count(" ") == 1 and not piece[1:2].isspace()
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
@@ -67,7 +72,7 @@ class WordEncoder:
 
     def _bulk(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces and how many each has."""
-        if all(p[:1] == " " and p.count(" ") == 1 for p in pieces):  # one text, cut again at the ids that begin with a space
+        if all(map(begins_pretoken, pieces)):  # one text, cut again at the ids that begin with a space
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(self.spaced[ids])
             if len(at) == len(pieces) and at[0] == 0:
@@ -80,7 +85,7 @@ class WordEncoder:
         """Ids of the new pieces."""
         n, new = len(self.pieces), self.pieces.new
         self.start, self.length = _grown(self.start, n), _grown(self.length, n)
-        plain = [k for k, p in enumerate(new) if p[:1] == " " and p.count(" ") == 1]
+        plain = [k for k, p in enumerate(new) if begins_pretoken(p)]
         odd = sorted(set(range(len(new))).difference(plain))
         for group in (plain, odd):
             for k in range(0, len(group), 2048):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, suffix, topk
+from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, prefixbpe, suffix, topk
 from .common import new_path
 
 
@@ -72,6 +72,12 @@ def op10_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.decisions(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = prefixbpe.decode_documents(prefixbpe.encode_documents(_table(spark, sf_dir, "documents")))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_trees": op8_chat_trees,
     "op9_suffix_doubling": op9_suffix_doubling,
     "op10_line_edit_dedup": op10_line_edit_dedup,
+    "op12_prefix_bpe": op12_prefix_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
