@@ -44,7 +44,7 @@ class _Numbered(dict):
 
 def begins_pretoken(piece: str) -> bool:
     """Whatever stands before it, it begins a pretoken, so that such pieces can be joined and cut again: one space, before a non-space."""
-    return piece[:1] == " " and piece.count(" ") == 1 and not piece[1:2].isspace()
+    return piece[:1] == " " and piece.count(" ") == 1 and piece[1:2].strip() != ""
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
