@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, prefixbpe, suffix, topk
+from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, prefixbpe, runs, suffix, topk
 from .common import new_path
 
 
@@ -72,6 +73,31 @@ def op10_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.decisions(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The rule of ``op11``: in a tenth of the documents, by crc32 of the id, the words from a place on repeat with a period; a null id is no id and changes nothing."""
+    if doc_id is None or not words:
+        return words
+    g, last = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if last:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), min_length=12, edit=with_period)
+    longest = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
+    first = F.get(longest, F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    out = found.withColumn("first", first)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("first.start").alias("start"), (-F.col("first.size")).alias("length"), F.col("first.period").alias("period"),
+        F.expr("-1000 * first.size div first.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = prefixbpe.decode_documents(prefixbpe.encode_documents(_table(spark, sf_dir, "documents")))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
@@ -105,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_trees": op8_chat_trees,
     "op9_suffix_doubling": op9_suffix_doubling,
     "op10_line_edit_dedup": op10_line_edit_dedup,
+    "op11_lyndon_runs": op11_lyndon_runs,
     "op12_prefix_bpe": op12_prefix_bpe,
 }
 
