@@ -34,6 +34,7 @@ from .common import bytes_buffer, lean, text_chunks, texts_of
 
 NEVER = np.iinfo(np.int32).max
 _BULK = 1 << 16
+CHUNK = 1 << 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,27 +44,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
-    """Tables of a byte-level BPE file: bytes, spines and ranks of tokens, the automaton of suffix matches (1 KB a node)."""
+def read_spec(path: str) -> dict:
+    """A tokenizer file, if it is of the kind that this module knows."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not plain or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
+        raise ValueError("only byte-level BPE without normalizer, prefix space, dropout or word marks has this form")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens must match exactly")
+    return spec
+
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        if model["type"] != "BPE" or not plain or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
-            raise ValueError("only byte-level BPE without normalizer, prefix space, dropout or word marks has this form")
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens must match exactly")
-        alphabet, vocab = byte_alphabet(), model["vocab"]
+class TokenBytes:
+    """The bytes of every id, and texts from ids."""
+
+    def __init__(self, spec: dict):
+        alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.size = n = max([*vocab.values(), *self.added.values()]) + 1
-        self.raw: list[bytes] = [b""] * n
+        self.size = max([*vocab.values(), *self.added.values()]) + 1
+        self.raw: list[bytes] = [b""] * self.size
         for token, i in vocab.items():
             self.raw[i] = bytes(map(alphabet.__getitem__, token))
         for token, i in self.added.items():  # a character outside the alphabet leaves the whole token as it is written
             self.raw[i] = bytes(map(alphabet.__getitem__, token)) if set(token) <= alphabet.keys() else token.encode()
-        self.length = np.fromiter(map(len, self.raw), np.int64, n)
+        self.length = np.fromiter(map(len, self.raw), np.int64, self.size)
+        self.data, self.at = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(self.length) - self.length
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive ids; bytes that are no UTF-8 become U+FFFD."""
+        size = self.length[ids]
+        to = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.at[ids] - to[:-1], size) + np.arange(int(to[-1]))].tobytes()
+        cuts = to[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+class Vocabulary(TokenBytes):
+    """Tables of a byte-level BPE file: bytes, spines and ranks of tokens, the automaton of suffix matches (1 KB a node)."""
+
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        model, vocab = spec["model"], spec["model"]["vocab"]
         self._merges([m.split(" ") if isinstance(m, str) else m for m in model["merges"]], vocab)
         own = self._own(sorted(set(vocab.values()) - set(self.added.values())))
         self._automaton(own)
@@ -197,7 +220,7 @@ class PrefixEncoder(bpe.WordEncoder):
 
     def __init__(self, path: str, max_rows: int = 500_000, max_chars: int = 8_000_000):
         super().__init__(path, max_rows, max_chars)
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = Vocabulary(read_spec(path))
         self.as_byte = np.zeros(0x200, np.uint8)
         for c, b in byte_alphabet().items():
             self.as_byte[ord(c)] = b
@@ -258,18 +281,6 @@ class PrefixEncoder(bpe.WordEncoder):
                 self.start[rows] = self.n_ids + np.cumsum(size) - size
                 self.n_ids += len(ids)
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """Texts of consecutive ids; bytes that are no UTF-8 become U+FFFD."""
-        v = self.vocabulary
-        if not hasattr(v, "data"):
-            v.data = np.frombuffer(b"".join(v.raw), np.uint8)
-            v.at = np.cumsum(v.length) - v.length
-        size = v.length[ids]
-        to = np.concatenate([[0], np.cumsum(size)])
-        data = v.data[np.repeat(v.at[ids] - to[:-1], size) + np.arange(int(to[-1]))].tobytes()
-        cuts = to[ends].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
-
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
 
@@ -282,31 +293,48 @@ def encoder(path: str | None = None) -> PrefixEncoder:
     return _ENCODERS[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) of every text."""
+_DECODERS: dict[str, TokenBytes] = {}
+
+
+def decoder(path: str | None = None) -> TokenBytes:
+    path = path or bpe.default_path()
+    if path not in _DECODERS:
+        _DECODERS[path] = TokenBytes(read_spec(path))
+    return _DECODERS[path]
+
+
+def _id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    data, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+
+
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers) of every text; with ``decoded`` also the text of these ids, by the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             doc_id, text = batch.column(0), batch.column(1)
-            for at, to in text_chunks(text, 1 << 22):
+            for at, to in text_chunks(text, CHUNK):
                 ids, ends = enc.encode(texts_of(text, at, to))
-                data, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-                yield pa.RecordBatch.from_arrays([doc_id.slice(at, to - at), pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "ids"])
+                cols = [doc_id.slice(at, to - at), _id_lists(ids, ends)]
+                if decoded:
+                    cols.append(pa.array(enc.vocabulary.texts(ids, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "text"][: len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids, text of the ids; null ids have the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        tokens = decoder(tokenizer)
         for batch in batches:
-            for at, to in text_chunks(batch.column(1), 1 << 22):
+            for at, to in text_chunks(batch.column(1), CHUNK):
                 doc_id, col = batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
                 data, ends = bytes_buffer(col.fill_null(b""))
-                texts = enc.decode(np.frombuffer(data.tobytes(), "<u4"), ends // 4)
+                texts = tokens.texts(np.frombuffer(data.tobytes(), "<u4"), ends // 4)
                 yield pa.RecordBatch.from_arrays([doc_id, col, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids binary, text string")

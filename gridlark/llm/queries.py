@@ -99,7 +99,7 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = prefixbpe.decode_documents(prefixbpe.encode_documents(_table(spark, sf_dir, "documents")))
+    done = prefixbpe.encode_documents(_table(spark, sf_dir, "documents"), decoded=True)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
