@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, prefixbpe, runs, suffix, topk
+from . import bitpack, chat, decontam, jaccard, langid, linededup, lmscore, packing, phrases, prefixbpe, runs, suffix, topk
 from .common import new_path
 
 
@@ -104,6 +104,11 @@ def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_phrase_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = phrases.mine_phrases(_table(spark, sf_dir, "documents"), least=100, longest=5, percent=100)
+    return phrases.top_phrases(mined, 2000).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_edit_dedup": op10_line_edit_dedup,
     "op11_lyndon_runs": op11_lyndon_runs,
     "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_phrase_quicksort": op13_phrase_quicksort,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -193,6 +199,26 @@ WITH RECURSIVE t AS (
 ), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT t.doc_id, coalesce(least(t.doc_id, m.b), t.doc_id) AS class_id, coalesce(k.n, 0) AS n_links
 FROM t LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = t.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) k ON k.a = t.doc_id""",
+    "op13_phrase_quicksort": """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents
+), p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS w FROM d
+), g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), k AS (SELECT lang, w, i, unnest([1, 2, 3, 4, 5]) AS size FROM g
+), f AS (SELECT lang, size, w[i : i + size - 1] AS gram, count(*) AS f FROM k WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), c AS (SELECT lang, size, gram, f AS a, unnest(range(1, size)) AS cut FROM f WHERE size > 1
+), s AS (
+  SELECT c.lang, c.gram, c.a, x.f AS l, y.f AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, cut
+  FROM c JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1 : cut] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[cut + 1 :] JOIN n ON n.lang = c.lang
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1
+), i AS (
+  SELECT lang, gram[j : j + m - 1] AS gram, max(f) AS around FROM (
+    SELECT lang, gram, f, m, unnest(range(1, size - m + 2)) AS j FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2)) GROUP BY ALL
+), o AS (
+  SELECT b.lang, array_to_string(b.gram, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.gram = b.gram WHERE around IS NULL OR 100 * around < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000""",
     "op10_line_edit_dedup": """
 WITH l AS (
   SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
