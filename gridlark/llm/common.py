@@ -87,6 +87,11 @@ def free_name(prefix: str, *taken: list[str]) -> str:
     return next(n for n in (f"{prefix}{i or ''}" for i in range(len(used) + 1)) if n.lower() not in used)
 
 
+def named(column: str) -> Column:
+    """The top-level column of this very name, dots and backticks and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     """A broadcast hint for a written table whose rows, of so many bytes each, are known to be few; otherwise Spark shuffles both sides."""
     total = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0

@@ -216,7 +216,8 @@ def document_parts() -> dict[str, Column]:
 def accepted_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns."""
     row = free_name("_row", docs.columns)
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "lang", "source"))
+    parts = [F.col("doc_id"), F.coalesce("text", F.lit("")), F.col("lang"), F.col("source")]
+    keyed = docs.withColumn(row, F.xxhash64(*parts, *(c.isNull() for c in parts)))  # the hash passes over nulls, so their places are told apart
     judged = identify(keyed, train(docs, "lang"), row, **document_parts(), **options)
     rejected = judged.where(~F.col("accepted")).select(row).distinct()
     return keyed.join(rejected, row, "left_anti").drop(row)

@@ -5,6 +5,9 @@ or near it: at most one edit of UTF-8 bytes apart for each ``bytes_per_edit`` by
 ``threshold``.  With the usual 20 bytes and two edits, a line of 20 to 39 bytes can have one edit, a longer one two; under
 20 bytes lines must be equal, since two edits make another word of a short one.  Blank lines always stay.
 
+Lines are known by 64 bits of a 128-bit hash of their bytes.  The other 64 bits, kept beside them, tell if two different
+lines of the input ever share a key; if so all begins again with another seed.
+
 Distinct lines are split into ``threshold + 1`` segments; a line within the threshold shares one of them.  Each line is
 an index row for each of its segments and probes, for every shorter or equal length in reach, the few substrings that
 the position filter leaves (multi-match-aware selection).  Both meet on (length, segment number, substring hash); lines of
@@ -19,16 +22,18 @@ rows; other columns pass through ``deduplicated`` unharmed, whatever their names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import bytes_buffer, free_name, lean, splitmix, staged, text_chunks, utf8_buffer
+from .common import bytes_buffer, free_name, lean, named, splitmix, staged, text_chunks, utf8_buffer
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,8 +88,15 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, number, start, stop
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, line_no, line_key (null for blank lines) of every line."""
+def _whole_keys(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each line, and the other half of its hash."""
+    raw, low = memoryview(data.tobytes()), (1 << 64) - 1
+    both = [xxhash.xxh3_128_intdigest(raw[a:b], seed) for a, b in zip(start.tolist(), stop.tolist())]
+    return np.array([x & low for x in both], np.uint64).view(np.int64), np.array([x >> 64 for x in both], np.uint64).view(np.int64)
+
+
+def line_keys(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, doc_key, line_no, line_key (null for blank lines), line_check of every line."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,13 +106,13 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 doc, number, start, stop = _lines(data, offsets)
                 dark = np.concatenate([[0], np.cumsum((data != 32) & (data != 9) & (data != 13))])
                 blank = dark[start] == dark[stop]
-                key = Substrings(data).hash(start, stop)
+                key, check = _whole_keys(data, start, stop, seed)
                 row = pa.array(doc + at)
                 yield pa.RecordBatch.from_arrays(
-                    [present.column(0).take(row), present.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(key.view(np.int64), mask=blank)], names=["doc_id", "doc_key", "line_no", "line_key"]
+                    [present.column(0).take(row), present.column(1).take(row), pa.array(number.astype(np.int32)), pa.array(key, mask=blank), pa.array(check, mask=blank)], names=["doc_id", "doc_key", "line_no", "line_key", "line_check"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("k"), F.col("text").cast("string")).mapInArrow(lean(split), "doc_id long, doc_key long, line_no int, line_key long")
+    return docs.select(F.col("doc_id").cast("long"), doc_key().alias("k"), F.col("text").cast("string")).mapInArrow(lean(split), "doc_id long, doc_key long, line_no int, line_key long, line_check long")
 
 
 def probe_plan(threshold: int) -> list[tuple[int, int, int]]:
@@ -120,7 +132,7 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - (parts - extra)), size + (i >= parts - extra)
 
 
-def _near_candidates(batch: pa.RecordBatch, bytes_per_edit: int) -> Iterator[tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]]:
+def _near_candidates(batch: pa.RecordBatch, bytes_per_edit: int, seed: int) -> Iterator[tuple[Substrings, np.ndarray, np.ndarray, np.ndarray]]:
     """Substring hashes, keys, starts and lengths of the distinct long lines of a batch of texts, chunk by chunk."""
     for at, to in text_chunks(batch.column(0)):
         data, offsets = utf8_buffer(batch.column(0).slice(at, to - at))
@@ -129,11 +141,11 @@ def _near_candidates(batch: pa.RecordBatch, bytes_per_edit: int) -> Iterator[tup
         start, stop = start[ok], stop[ok]
         if len(start):
             sub = Substrings(data)
-            key, one = np.unique(sub.hash(start, stop), return_index=True)
+            key, one = np.unique(_whole_keys(data, start, stop, seed)[0], return_index=True)
             yield sub, key, start[one], (stop - start)[one]
 
 
-def segment_keys(docs: DataFrame, threshold: int, bytes_per_edit: int, wanted: np.ndarray | None = None) -> DataFrame:
+def segment_keys(docs: DataFrame, threshold: int, bytes_per_edit: int, wanted: np.ndarray | None = None, seed: int = 0) -> DataFrame:
     """key, line_key, probe: what a line offers (its segments) and looks for (substrings), once for each distinct line of
     a batch.  ``wanted`` (sorted) leaves other keys out."""
     parts = threshold + 1
@@ -142,7 +154,7 @@ def segment_keys(docs: DataFrame, threshold: int, bytes_per_edit: int, wanted: n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sub, key, start, length in _near_candidates(batch, bytes_per_edit):
+            for sub, key, start, length in _near_candidates(batch, bytes_per_edit, seed):
                 for probe, gap, i, shift in plan:
                     other = length - gap
                     p, size = segment(other, i, parts)
@@ -150,7 +162,7 @@ def segment_keys(docs: DataFrame, threshold: int, bytes_per_edit: int, wanted: n
                     ok = (other >= bytes_per_edit) & (p >= 0) & (p + size <= length)
                     h = sub.hash((start + p)[ok], (start + p + size)[ok])
                     h = splitmix(h + (other[ok] * parts + i).astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-                    line = key[ok].view(np.int64)
+                    line = key[ok]
                     if known is not None:
                         among = known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h
                         h, line = h[among], line[among]
@@ -194,13 +206,25 @@ def content_keys(lines: DataFrame, threshold: int) -> DataFrame:
     return lines.select("line_key", F.col("line").cast("binary").alias("line")).mapInArrow(lean(cut), "key long, line_key long, n_bytes long, odd0 long, odd1 long, odd2 long, odd3 long")
 
 
-def _crowded_pairs(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of lines of like length that hold the same byte pairs of some class, and almost the same of all."""
-    rows = content_keys(lines, threshold)
-    left, right = rows.alias("l"), rows.alias("r")
-    apart = reduce(add, (F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in ODD))
-    like = (F.col("l.line_key") < F.col("r.line_key")) & (F.abs(F.col("l.n_bytes") - F.col("r.n_bytes")) <= threshold) & (apart <= 4 * threshold)
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & like).select(F.col("l.line_key").alias("a"), F.col("r.line_key").alias("b"))
+def _like(left: str, right: str, threshold: int) -> Column:
+    """Lines of like length that hold almost the same byte pairs."""
+    apart = reduce(add, (F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in ODD))
+    return (F.abs(F.col(f"{left}.n_bytes") - F.col(f"{right}.n_bytes")) <= threshold) & (apart <= 4 * threshold)
+
+
+def _crowded_neighbours(lines: DataFrame, threshold: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified pairs (a, b) of the lines (line_key, line, first), one with an earlier line at least for each line that has any.
+
+    A line meets the earliest line of each of its content keys first.  In a group of near copies that settles almost all;
+    only the others meet all earlier lines of their keys."""
+    rows = staged(content_keys(lines, threshold).join(lines.select("line_key", "first"), "line_key"), "contents")
+    oldest = rows.groupBy("key").agg(F.min(F.struct("first", "line_key", "n_bytes", *ODD)).alias("r"))
+    ends = [F.col("l.line_key").alias("a"), F.col("r.line_key").alias("b")]
+    to_oldest = rows.alias("l").join(oldest, "key").where((F.col("l.line_key") != F.col("r.line_key")) & _like("l", "r", threshold)).select(*ends)
+    once = staged(verified(to_oldest.distinct()), "first-neighbours")
+    open_ = rows.join(once.select(F.col("a").alias("line_key")).distinct(), "line_key", "left_anti").alias("l")
+    earlier = (F.col("l.key") == F.col("r.key")) & (F.col("r.first") < F.col("l.first")) & _like("l", "r", threshold)
+    return once.unionByName(verified(open_.join(rows.alias("r"), earlier).select(*ends).distinct()))
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -256,13 +280,14 @@ def _distance(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-def near_lines(docs: DataFrame, threshold: int, bytes_per_edit: int) -> DataFrame:
-    """Pairs (a, b) of line keys of distinct lines within their allowed edits.
+def near_lines(docs: DataFrame, first: DataFrame, threshold: int, bytes_per_edit: int, seed: int = 0) -> DataFrame:
+    """Pairs (a, b) of line keys of distinct lines within their allowed edits: for every line that is near an earlier one
+    (``first``: line_key, first), one such pair at least.
 
     Segment hashes are counted before any pair is made.  A hash that one line offers and one other looks for gives their
     pair; a hash of a few lines gives theirs by a join.  Lines that meet in a crowded hash (near copies by the thousand,
     whose edits lie elsewhere) meet again by what they hold instead (``content_keys``)."""
-    rows = segment_keys(docs, threshold, bytes_per_edit)
+    rows = segment_keys(docs, threshold, bytes_per_edit, seed=seed)
     offered, asked = F.when(~F.col("probe"), F.col("line_key")), F.when(F.col("probe"), F.col("line_key"))
     found = rows.groupBy("key").agg(F.min(offered).alias("s"), F.max(offered).alias("s2"), F.min(asked).alias("r"), F.max(asked).alias("r2"), F.count(offered).alias("n_s"), F.count(asked).alias("n_r"))
     found = staged(found.where("s is not null and r is not null and (s <> r or s <> s2 or r <> r2)"), "shared-keys")
@@ -272,7 +297,7 @@ def near_lines(docs: DataFrame, threshold: int, bytes_per_edit: int) -> DataFram
     n = multi.count()
     if n <= BROADCAST_ROWS:
         wanted = np.sort(np.array([r[0] for r in multi.select("key").collect()], np.int64))
-        shared = segment_keys(docs, threshold, bytes_per_edit, wanted) if n else rows.limit(0)
+        shared = segment_keys(docs, threshold, bytes_per_edit, wanted, seed) if n else rows.limit(0)
     else:
         shared = rows
     shared = staged(shared.join(multi, "key").distinct(), "shared-segments")
@@ -281,9 +306,7 @@ def near_lines(docs: DataFrame, threshold: int, bytes_per_edit: int) -> DataFram
     plain = staged(plain, "plain-pairs")
     ends = plain.select(F.col("a").alias("line_key")).unionByName(plain.select(F.col("b").alias("line_key")))
     used = staged(ends.unionByName(crowd).distinct(), "line-keys")
-    texts = staged(_texts_of(docs, used, bytes_per_edit), "line-texts")
-    met = staged(plain.unionByName(_crowded_pairs(texts.join(crowd, "line_key"), threshold)).distinct(), "line-pairs")
-    both = met.join(texts.select(F.col("line_key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_key").alias("b"), F.col("line").alias("y")), "b")
+    texts = staged(_texts_of(docs, used, bytes_per_edit, seed), "line-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,10 +325,14 @@ def near_lines(docs: DataFrame, threshold: int, bytes_per_edit: int) -> DataFram
                 at = to
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
+    def verified(met: DataFrame) -> DataFrame:
+        both = met.join(texts.select(F.col("line_key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_key").alias("b"), F.col("line").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
+    return verified(plain).unionByName(_crowded_neighbours(texts.join(crowd, "line_key").join(first, "line_key"), threshold, verified))
 
-def _texts_of(docs: DataFrame, used: DataFrame, bytes_per_edit: int) -> DataFrame:
+
+def _texts_of(docs: DataFrame, used: DataFrame, bytes_per_edit: int, seed: int) -> DataFrame:
     """The bytes of the lines with the given keys, once each.  A small set of keys goes to all tasks, a large one is joined."""
 
     def every(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -317,7 +344,7 @@ def _texts_of(docs: DataFrame, used: DataFrame, bytes_per_edit: int) -> DataFram
                 start, stop = start[ok], stop[ok]
                 if not len(start):
                     continue
-                key, one = np.unique(Substrings(data).hash(start, stop).view(np.int64), return_index=True)
+                key, one = np.unique(_whole_keys(data, start, stop, seed)[0], return_index=True)
                 if wanted is not None:
                     at_ = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                     ok = wanted[at_] == key
@@ -340,10 +367,16 @@ def _texts_of(docs: DataFrame, used: DataFrame, bytes_per_edit: int) -> DataFram
 
 def decisions(docs: DataFrame, threshold: int = 2, bytes_per_edit: int = 20) -> DataFrame:
     """doc_id, doc_key, n_lines, n_removed, removed_lines (numbers from 0) for every document that has a text."""
-    keys = staged(line_keys(docs), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("doc_key").alias("k"), F.col("line_no").alias("l"))
-    distinct = staged(keys.where("line_key is not null").groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    pairs = staged(near_lines(docs, threshold, bytes_per_edit), "near-lines")
+    for seed in range(8):
+        keys = staged(line_keys(docs, seed), "lines")
+        once = keys.where("line_key is not null").groupBy("line_key")
+        distinct = staged(once.agg(F.min(place).alias("first"), F.count("*").alias("n"), (F.min("line_check") != F.max("line_check")).alias("twins")), "distinct-lines")
+        if distinct.where("twins").isEmpty():
+            break
+    else:
+        raise RuntimeError("eight seeds gave two lines one key: the hash is at fault")
+    pairs = staged(near_lines(docs, distinct.select("line_key", "first"), threshold, bytes_per_edit, seed), "near-lines")
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
     earliest = ends.join(distinct.select(F.col("line_key").alias("w"), "first"), "w").groupBy("v").agg(F.min("first").alias("near_first"))
     known = distinct.join(earliest, F.col("line_key") == F.col("v"), "left").where("n > 1 or near_first < first")
@@ -376,7 +409,10 @@ def deduplicated(docs: DataFrame, drop_emptied: bool = True, **options) -> DataF
                     keep[i] = not drop_emptied or any(x.strip(" \t\r") for x in left)
                 texts.append(t)
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(cols, names=plain).filter(pa.array(keep))
 
     keyed = docs.withColumn(key, doc_key())
-    return keyed.join(cut, key, "left").select(*(F.col(f"`{n}`") for n in names), gone).mapInArrow(lean(rewrite), docs.schema)
+    plain = [f"c{i}" for i in range(len(names))]  # Python stages resolve names, so they get some without dots and backticks
+    rows = keyed.join(cut, key, "left").select(*map(named, names), gone).toDF(*plain, "gone")
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, docs.schema.fields)])
+    return rows.mapInArrow(lean(rewrite), schema).toDF(*names)

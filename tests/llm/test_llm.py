@@ -289,7 +289,7 @@ def near_lines(x, y):
 
 @pytest.mark.parametrize("crowded", [-1, 64])
 def test_near_lines_of_crowded_hashes(spark, monkeypatch, crowded):
-    """Versions of one line by the dozen: the pairs within two edits, and no others, whatever counts as crowded."""
+    """Versions of one line by the dozen: pairs within two edits only, and each line that has an earlier neighbour with one, whatever counts as crowded."""
     monkeypatch.setattr(linededup, "CROWDED", crowded)
     r = random.Random(6)
     line, rows = prose(12, 25), []
@@ -304,11 +304,39 @@ def test_near_lines_of_crowded_hashes(spark, monkeypatch, crowded):
         base = prose(40 + n, 9)[:n]
         rows += [base, "q" + base[1:], "q" + base[1:-1] + "q", base + "q", base[1:-1]]
     lines = sorted(set(rows))
-    key = {x: int(linededup.Substrings(np.frombuffer(x.encode(), np.uint8)).hash(np.array([0]), np.array([len(x.encode())])).view(np.int64)[0]) for x in lines}
-    want = {tuple(sorted((key[x], key[y]))) for x in key for y in key if x < y and near_lines(x, y)}
+    key = {x: int(linededup._whole_keys(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]), 3)[0][0]) for x in lines}
+    true = {(key[x], key[y]) for x in key for y in key if x != y and near_lines(x, y)}
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
-    got = [tuple(sorted(p)) for p in linededup.near_lines(df, 2, 20).collect()]
-    assert len(want) > 20 and set(got) == want and len(got) == len(want)
+    order = {key[x]: rows.index(x) for x in lines}
+    first = spark.createDataFrame([(k, i) for k, i in order.items()], "line_key long, first long")
+    got = [tuple(p) for p in linededup.near_lines(df, first, 2, 20, 3).collect()]
+    assert len(true) > 20 and set(got) <= true
+    late = {x for pair in true for x, y in (pair, pair[::-1]) if order[y] < order[x]}
+    assert late == {x for pair in got for x, y in (pair, pair[::-1]) if order[y] < order[x]}
+
+
+def test_lines_of_one_polynomial_hash_are_two_lines(spark):
+    """The Thue-Morse word and its complement: every polynomial modulo 2^64 gives them one hash, and they differ in all bytes."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    sub = [linededup.Substrings(np.frombuffer(x.encode(), np.uint8)).hash(np.array([0]), np.array([2048]))[0] for x in (one, two)]
+    assert sub[0] == sub[1]
+    df = spark.createDataFrame([(1, one), (2, two), (3, one), (4, two[:-1] + "c")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.decisions(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+    assert {r.doc_id for r in linededup.deduplicated(df).collect()} == {1, 2}
+
+
+def test_keys_that_two_lines_share_begin_anew(spark, monkeypatch):
+    seeds, right = [], linededup.line_keys
+
+    def keys(docs, seed):
+        seeds.append(seed)
+        out = right(docs, seed)
+        return out.withColumn("line_key", F.when(F.col("line_key").isNotNull(), F.lit(7).cast("long"))) if seed < 2 else out
+
+    monkeypatch.setattr(linededup, "line_keys", keys)
+    df = spark.createDataFrame([(1, "one\ntwo"), (2, "two")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.decisions(df).collect()} == {1: 0, 2: 1} and seeds == [0, 1, 2]
 
 
 @pytest.mark.parametrize("block", [16, 256])

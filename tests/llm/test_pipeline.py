@@ -212,6 +212,35 @@ def test_stages_keep_clashing_columns(spark, stage):
     assert run(wide.limit(0)).count() == 0 and run(slim.limit(0)).columns == slim.columns
 
 
+ODD_NAMES = ["meta.url", "a`b", "text.x", "`", "doc_id.part"]
+
+
+@pytest.mark.parametrize("stage", ["language", "lines", "near_copies", "decontamination"])
+def test_stages_of_the_pipeline_keep_odd_columns(spark, stage, tmp_path):
+    docs, item = rows()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kinds = SCHEMA + "".join(", `" + c.replace("`", "``") + "` string" for c in ODD_NAMES)
+    wide = spark.createDataFrame([(*d, *(f"{d[0]}-{c}" for c in ODD_NAMES)) for d in docs], kinds)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, wide, str(tmp_path))
+    assert out.columns == wide.columns
+    got, slim = out.collect(), run(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path)).collect()
+    assert all(x[5 + i] == f"{x.doc_id}-{c}" for x in got for i, c in enumerate(ODD_NAMES))
+    assert sorted(x[:5] for x in got) == sorted(tuple(x) for x in slim) and got
+
+
+def test_rows_that_differ_in_the_place_of_a_null(spark):
+    docs, _ = rows()
+    text = docs[0][1]
+    far = [(1, text, None, "en", 0), (1, text, "en", None, 0)]
+    df = spark.createDataFrame([*docs, *far], SCHEMA)
+    key = langid.accepted_documents(df, min_confidence=2.0)
+    assert key.count() == 0
+    judged = {(x.lang, x.source) for x in langid.accepted_documents(df).collect() if x.doc_id == 1 and (x.lang, x.source) in ((None, "en"), ("en", None))}
+    alone = {(x.lang, x.source) for f in far for x in langid.accepted_documents(spark.createDataFrame([*docs, f], SCHEMA)).collect() if x.doc_id == 1 and (x.lang, x.source) == f[2:4]}
+    assert judged == alone
+
+
 def test_packing_of_clashing_columns(spark):
     docs, _ = rows()
     wide = spark.createDataFrame([(*d, 1, 2) for d in docs], SCHEMA + ", part int, length int")
