@@ -1,4 +1,4 @@
-"""Average precision.  Matching is a kernel per (image, class); everything after it is grouped and windowed columns.
+"""Average precision.  Matching is a kernel over many (image, class) groups at once; everything after it is grouped and windowed columns.
 
 Cumulative counts and the precision envelope are taken in score buckets: windows run inside a bucket and per-bucket
 totals are carried over, so no task ever sorts all detections of a class.
@@ -7,18 +7,17 @@ totals are carried over, so no task ever sorts all detections of a class.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .fusion import SIDES, iou_matrix
+from . import segments as S
+from .fusion import SIDES
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 EPS = 2.0**-52
 BUCKETS = 4096
-MATCHES = "image_id long, category_id int, det_id long, score double, place int, area string, threshold double, tp int, ignored boolean"
 
 
 def cap_detections(df: DataFrame, k: int) -> DataFrame:
@@ -26,26 +25,47 @@ def cap_detections(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _assigned(near: np.ndarray, crowd: np.ndarray, skip: np.ndarray, far: np.ndarray, thresholds: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """[detection, area, threshold]: true positive, ignored.  Detections choose in order of their place, all areas and thresholds at once:
-    the box of largest overlap, later of equals, among countable ones, or else among those that are skipped."""
-    n_det, n_truth = near.shape
-    shape = (n_det, len(skip), len(thresholds))
+def _covered(group_d: np.ndarray, d: np.ndarray, group_t: np.ndarray, t: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(detection, crowd box, share of the detection inside it) of at least ``least``."""
+    found = []
+    for i, j in S.touching(group_d, d, group_t, t):
+        common = np.clip(np.minimum(d[i, 2:], t[j, 2:]) - np.maximum(d[i, :2], t[j, :2]), 0, None).prod(axis=1)
+        share = common / np.maximum((d[i, 2] - d[i, 0]) * (d[i, 3] - d[i, 1]), 1e-300)
+        found.append((i[share >= least], j[share >= least], share[share >= least]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _assigned(group: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray, crowd: np.ndarray, skip: np.ndarray, far: np.ndarray, thresholds: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """[detection, area, threshold]: true positive, ignored.  ``group``: of each detection, in order of places; (i, j): detections
+    and truth boxes that may match; ``skip`` [area, truth], ``far`` [area, detection]: outside the range.
+
+    Step k decides the k-th contested detection of every group, all areas and thresholds at once: the box of largest overlap,
+    later of equals, among countable ones, or else among those that are skipped."""
+    shape = (len(group), len(skip), len(thresholds))
     tp, ignored = np.zeros(shape, bool), np.broadcast_to(far.T[:, :, None], shape).copy()
-    if not n_truth:
-        return tp, ignored
+    order = np.lexsort((j, near, i))
+    i, j, near = i[order], j[order], near[order]
     least = np.minimum(np.array(thresholds), 1 - 1e-10)
-    free = np.ones((len(skip), len(thresholds), n_truth), bool)
-    area, level = np.meshgrid(np.arange(shape[1]), np.arange(shape[2]), indexing="ij")
-    for i in np.flatnonzero((near >= least.min()).any(axis=1)):
-        ok = (near[i] >= least[:, None])[None] & (free | crowd)
-        real = ok & ~skip[:, None, :]
-        pool = np.where(real.any(axis=2, keepdims=True), real, ok)
-        k = n_truth - 1 - np.where(pool, near[i], -1.0)[:, :, ::-1].argmax(axis=2)
-        met = pool.any(axis=2)
-        free[area[met], level[met], k[met]] = False
-        out = skip[area, k]
-        tp[i], ignored[i] = met & ~out, np.where(met, out, ignored[i])
+    free = np.ones((len(crowd), len(skip), len(thresholds)), bool)
+    first = S.changes(i)
+    size, det = np.diff(np.append(first, len(i))), i[first]
+    turn = S.place_in(group[det])
+    by_turn = np.argsort(turn, kind="stable")
+    steps = np.searchsorted(turn[by_turn], np.arange(int(turn.max(initial=-1)) + 2))
+    for k in range(len(steps) - 1):
+        now = by_turn[steps[k] : steps[k + 1]]
+        pair = S.ranges(first[now], size[now])
+        opens = np.cumsum(size[now]) - size[now]
+        truth = j[pair]
+        ok = (near[pair][:, None] >= least)[:, None, :] & (free[truth] | crowd[truth][:, None, None])
+        place = np.arange(len(pair))[:, None, None]
+        real = np.maximum.reduceat(np.where(ok & ~skip.T[truth][:, :, None], place, -1), opens, axis=0)
+        last = np.where(real >= 0, real, np.maximum.reduceat(np.where(ok, place, -1), opens, axis=0))
+        d, area, level = np.nonzero(last >= 0)
+        won = truth[last[d, area, level]]
+        free[won, area, level] = False
+        out = skip[area, won]
+        tp[det[now[d]], area, level], ignored[det[now[d]], area, level] = ~out, out
     return tp, ignored
 
 
@@ -56,37 +76,34 @@ def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float,
     gt = truth.select("image_id", "category_id", F.col("ann_id").alias("id"), F.lit(-1.0).alias("score"), *SIDES, crowd.cast("int").alias("crowd"), F.lit(0).alias("place"))
     dt = capped.select("image_id", "category_id", F.col("det_id").alias("id"), "score", *SIDES, F.lit(-1).alias("crowd"), "place")
     low, high = (np.array([AREAS[a][i] for a in areas])[:, None] for i in (0, 1))
-    size_of = len(areas) * len(thresholds)
-
-    def kernel(g: pa.Table) -> pa.Table:
-        column = {c: g.column(c).to_numpy() for c in ("id", "score", "crowd", "place")}
-        box = np.stack([g.column(c).to_numpy() for c in SIDES], axis=1)
-        truth_ = np.flatnonzero(column["crowd"] >= 0)
-        truth_ = truth_[np.argsort(column["id"][truth_], kind="stable")]
-        det = np.flatnonzero(column["crowd"] < 0)
-        det = det[np.argsort(column["place"][det], kind="stable")]
-        tb, db, crowd_ = box[truth_], box[det], column["crowd"][truth_] == 1
-        size, dsize = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (tb, db))
-        near = iou_matrix(db, tb)
-        if crowd_.any():  # a crowd covers a detection by its share of the detection alone
-            part = np.clip(np.minimum(db[:, None, 2:], tb[None, crowd_, 2:]) - np.maximum(db[:, None, :2], tb[None, crowd_, :2]), 0, None).prod(axis=2)
-            near[:, crowd_] = part / np.maximum(dsize, 1e-300)[:, None]
-        tp, ignored = _assigned(near, crowd_, crowd_ | (size < low) | (size > high), (dsize < low) | (dsize > high), thresholds)
-        n = len(det)
-        one = lambda c, kind: pa.array(np.full(n * size_of, g.column(c)[0].as_py() if n else 0), kind)
-        each = lambda x: np.repeat(x, size_of)
-        return pa.table(
-            {
-                "image_id": one("image_id", pa.int64()), "category_id": one("category_id", pa.int32()), "det_id": pa.array(each(column["id"][det]), pa.int64()), "score": each(column["score"][det]),
-                "place": pa.array(each(column["place"][det]), pa.int32()), "area": pa.array(np.tile(np.repeat(np.array(areas, object), len(thresholds)), n), pa.string()),
-                "threshold": np.tile(np.array(thresholds, float), n * len(areas)), "tp": pa.array(tp.reshape(-1).astype(np.int32)), "ignored": pa.array(ignored.reshape(-1)),
-            }
-        )
+    ways = [(a, t) for a in areas for t in thresholds]
+    if len(ways) > 63:
+        raise ValueError("at most 63 areas and thresholds together: a detection's outcomes are the bits of two numbers")
+    bits = np.int64(1) << np.arange(len(ways), dtype=np.int64)
+
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        group, box = S.numbered(starts, len(c["id"])), np.stack([c[s] for s in SIDES], axis=1)
+        t, d = np.flatnonzero(c["crowd"] >= 0), np.flatnonzero(c["crowd"] < 0)
+        size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        many = c["crowd"][t] == 1
+        least = min(min(thresholds), 1 - 1e-10)
+        one, all_ = np.flatnonzero(~many), np.flatnonzero(many)
+        i, j, near = S.near_pairs(group[d], box[d], group[t[one]], box[t[one]], least)
+        i2, j2, part = _covered(group[d], box[d], group[t[all_]], box[t[all_]], least)  # a crowd covers a detection by its share of the detection alone
+        i, j, near = np.concatenate([i, i2]), np.concatenate([one[j], all_[j2]]), np.concatenate([near, part])
+        tp, ignored = _assigned(group[d], i, j, near, many, many | (size[t] < low) | (size[t] > high), (size[d] < low) | (size[d] > high), thresholds)
+        out = {"image_id": c["image_id"][d], "category_id": c["category_id"][d], "det_id": c["id"][d], "score": c["score"][d], "place": c["place"][d]}
+        return out | {"tps": tp.reshape(len(d), -1) @ bits, "ignoreds": ignored.reshape(len(d), -1) @ bits}
 
     # truth boxes of groups without detections match nothing
     keys = ["image_id", "category_id"]
     met = gt.join(capped.select(*keys).distinct(), keys, "left_semi")
-    return met.unionByName(dt).groupBy(*keys).applyInArrow(kernel, MATCHES)
+    packed = S.segmented(met.unionByName(dt), keys, [F.desc("crowd"), "place", "id"], kernel, "image_id long, category_id int, det_id long, score double, place int, tps long, ignoreds long")
+    way = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(t).alias("threshold"), F.lit(k).alias("bit")) for k, (a, t) in enumerate(ways)]))
+    each = packed.withColumn("way", way)
+    return each.select(
+        *keys, "det_id", "score", "place", "way.area", "way.threshold", F.expr("cast(shiftright(tps, way.bit) & 1 AS int)").alias("tp"), F.expr("shiftright(ignoreds, way.bit) & 1 = 1").alias("ignored")
+    )
 
 
 def positives(truth: DataFrame, keys: list[str], areas: tuple[str, ...] = ("all",)) -> DataFrame:

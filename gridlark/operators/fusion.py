@@ -1,22 +1,20 @@
-"""Suppression and fusion of boxes inside an image: order-dependent rules as numpy kernels over one image's boxes.
+"""Suppression and fusion of boxes inside an image: order-dependent rules as numpy kernels over many images at once.
 
 Inputs are flat box tables (image_id, det_id, category_id, score, x1..y2, and for crops region_id and q).  Images are
-shuffled once by id; a group is one image, a few hundred boxes.
+shuffled once by id and sorted inside partitions; a kernel gets some ten thousand rows of whole images (``segments``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import segments as S
+
 SIDES = ["x1", "y1", "x2", "y2"]
 FUSED = "image_id long, category_id int, score double, x1 double, y1 double, x2 double, y2 double, source string"
 RESCUE_IOU = 0.70
-PANDAS = {"long": "int64", "int": "int32", "double": "float64", "string": "object", "boolean": "bool"}
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,33 +25,38 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
 
 
-def ordered(df: pd.DataFrame, extra: list[str] | None = None) -> pd.DataFrame:
+def _best_first(*more: str) -> list[str | Column]:
     """Highest score first, then class and corners, then whatever makes the order total."""
-    keys = ["score", "category_id", *SIDES, *(extra or [])]
-    return df.sort_values(keys, ascending=[False] + [True] * (len(keys) - 1), kind="stable").reset_index(drop=True)
+    return [F.desc("score"), "category_id", *SIDES, *more]
 
 
-def suppressed(boxes: np.ndarray, cls: np.ndarray, threshold: float, inclusive: bool) -> np.ndarray:
-    """Rows kept, in order: a row goes if a kept row of its class overlaps it beyond the threshold."""
-    near = iou_matrix(boxes, boxes)
-    near = (near >= threshold if inclusive else near > threshold) & (cls[:, None] == cls[None, :])
-    keep = np.ones(len(boxes), bool)
-    for i in range(len(boxes)):
-        if keep[i]:
-            keep[i + 1 :] &= ~near[i, i + 1 :]
-    return np.flatnonzero(keep)
+class _Boxes:
+    """Rows of whole images."""
 
+    def __init__(self, c: S.Columns, starts: np.ndarray):
+        self.columns, self.n = c, len(c["score"])
+        self.image = S.numbered(starts, self.n)  # number of the image in the chunk
+        self.id, self.cls, self.score = c["image_id"], c["category_id"].astype(np.int64), c["score"]
+        self.box = np.stack([c[s] for s in SIDES], axis=1)
+        kinds, kind = np.unique(self.cls, return_inverse=True)
+        self.group = self.image * max(1, len(kinds)) + kind  # an image's boxes of one class
+        self.n_images = len(starts)
 
-def per_image(df: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str = FUSED) -> DataFrame:
-    kinds = dict(c.split() for c in schema.split(", "))
+    def order(self, rows: np.ndarray, score: np.ndarray | None = None, box: np.ndarray | None = None, tie: np.ndarray | None = None) -> np.ndarray:
+        """Places of ``rows`` by image, then best first."""
+        score, box = self.score[rows] if score is None else score, self.box[rows] if box is None else box
+        last = () if tie is None else (tie,)
+        return np.lexsort((*last, *box.T[::-1], self.cls[rows], -score, self.image[rows]))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(group)
-        if not len(out):
-            return pd.DataFrame({n: pd.Series(dtype=PANDAS[k]) for n, k in kinds.items()})
-        return out.assign(image_id=group["image_id"].iloc[0], source=out["source"].astype(object))[list(kinds)]
+    def first(self, rows: np.ndarray, most: int | np.ndarray) -> np.ndarray:
+        """Which of ``rows``, sorted by image, are among the first ``most`` of their image (a number or one for each image)."""
+        image = self.image[rows]
+        return S.place_in(image) < (most if isinstance(most, int) else most[image])
 
-    return df.groupBy("image_id").applyInPandas(run, schema)
+    def out(self, rows: np.ndarray, source: str | np.ndarray, score: np.ndarray | None = None, box: np.ndarray | None = None) -> dict:
+        box = self.box[rows] if box is None else box
+        named = np.full(len(rows), source, object) if isinstance(source, str) else source
+        return {"image_id": self.id[rows], "category_id": self.cls[rows], "score": self.score[rows] if score is None else score, **dict(zip(SIDES, box.T)), "source": named}
 
 
 def with_source(df: DataFrame, source: str) -> DataFrame:
@@ -63,13 +66,18 @@ def with_source(df: DataFrame, source: str) -> DataFrame:
     return df.select("image_id", "det_id", "category_id", "score", *SIDES, F.col("region_id").cast("int").alias("region_id"), F.col("q").cast("double").alias("q"), F.lit(source).alias("source"))
 
 
-def hard_nms(boxes: DataFrame, threshold: float, publish: float, max_det: int) -> DataFrame:
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = ordered(g[g["score"] >= publish], ["source", "det_id"])
-        keep = suppressed(g[SIDES].to_numpy(), g["category_id"].to_numpy(), threshold, inclusive=True)[:max_det] if len(g) else []
-        return g.iloc[keep]
+def _suppress(boxes: DataFrame, threshold: float, inclusive: bool, max_det: int) -> DataFrame:
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        rows = np.flatnonzero(S.suppressed(b.group, b.box, threshold, inclusive))
+        rows = rows[b.first(rows, max_det)]
+        return b.out(rows, c["source"][rows])
+
+    return S.segmented(boxes, ["image_id"], _best_first("source", "det_id"), kernel, FUSED)
+
 
-    return per_image(boxes, kernel)
+def hard_nms(boxes: DataFrame, threshold: float, publish: float, max_det: int) -> DataFrame:
+    return _suppress(boxes.where(F.col("score") >= publish), threshold, True, max_det)
 
 
 def classwise_nms_merge(views: list[DataFrame], threshold: float, max_det: int) -> DataFrame:
@@ -77,12 +85,7 @@ def classwise_nms_merge(views: list[DataFrame], threshold: float, max_det: int)
     union = views[0]
     for x in views[1:]:
         union = union.unionByName(x)
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = ordered(g, ["source", "det_id"])
-        return g.iloc[suppressed(g[SIDES].to_numpy(), g["category_id"].to_numpy(), threshold, inclusive=False)[:max_det]]
-
-    return per_image(union, kernel)
+    return _suppress(union, threshold, False, max_det)
 
 
 def local_weight(q: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -90,191 +93,148 @@ def local_weight(q: np.ndarray, low: float, high: float) -> np.ndarray:
 
 
 def soft_nms(boxes: DataFrame, sigma: float, probe: float, publish: float, low: float, high: float, max_det: int) -> DataFrame:
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = ordered(g[g["score"] >= probe], ["det_id"])
-        local = (g["source"] == "local").to_numpy()
-        score = np.where(local, np.minimum(1.0, g["score"] * local_weight(g["q"].to_numpy(), low, high)), g["score"])
-        b, cls = g[SIDES].to_numpy(), g["category_id"].to_numpy()
-        near = iou_matrix(b, b)
-        live, kept, final = np.ones(len(g), bool), [], []
-        tie = np.lexsort((b[:, 3], b[:, 2], b[:, 1], b[:, 0], cls))
-        place = np.empty(len(g), int)
-        place[tie] = np.arange(len(g))
-        while live.any() and len(kept) < max_det:
-            rows = np.flatnonzero(live)
-            best = rows[np.lexsort((place[rows], -score[rows]))[0]]
-            if score[best] < publish:
-                break
+    """Step k takes the best box that is left of every image and weakens what it overlaps."""
+
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        score = np.where(c["source"] == "local", np.minimum(1.0, b.score * local_weight(c["q"], low, high)), b.score)
+        i, j, iou = S.near_pairs(b.group, b.box, b.group, b.box, 0.0, inclusive=False)
+        decay, first = np.exp(-(iou**2) / sigma), np.searchsorted(i, np.arange(b.n + 1))
+        live, rows, kept, final = np.ones(b.n, bool), np.arange(b.n), [], []
+        while len(rows) and len(kept) < max_det:
+            opens = S.changes(b.image[rows])
+            top = np.maximum.reduceat(score[rows], opens)
+            equal = score[rows] == np.repeat(top, np.diff(np.append(opens, len(rows))))
+            best = rows[np.minimum.reduceat(np.where(equal, np.arange(len(rows)), len(rows)), opens)]  # rows are in order of ties
+            over = score[best] < publish
+            live[rows[np.isin(b.image[rows], b.image[best[over]])]] = False
+            best = best[~over]
             kept.append(best)
             final.append(score[best])
             live[best] = False
-            same = live & (cls == cls[best])
-            score[same] *= np.exp(-(near[best, same] ** 2) / sigma)
-            live &= score >= probe
-        return g.iloc[kept].assign(score=final, source="soft_nms")
-
-    return per_image(boxes, kernel)
-
-
-class Cluster:
-    """Weighted mean of boxes; sums are kept so that joining a member is cheap."""
-
-    __slots__ = ("box", "cls", "coords", "mass", "n", "plain", "score", "weight")
-
-    def __init__(self, cls: int):
-        self.cls, self.n, self.mass, self.weight, self.score = cls, 0, 0.0, 0.0, 0.0
-        self.coords, self.plain, self.box = np.zeros(4), np.zeros(4), np.zeros(4)
-
-    def add(self, box: np.ndarray, score: float, weight: float) -> None:
-        self.n += 1
-        self.mass += score * weight
-        self.weight += weight
-        self.score += score * weight
-        self.coords += box * score * weight
-        self.plain += box
-        self._update()
-
-    def join(self, other: Cluster) -> None:
-        for name in ("n", "mass", "weight", "score", "coords", "plain"):
-            setattr(self, name, getattr(self, name) + getattr(other, name))
-        self._update()
-
-    def _update(self) -> None:
-        self.box = self.coords / self.mass if self.mass > 0 else self.plain / self.n
-
-    @property
-    def mean_score(self) -> float:
-        return min(1.0, max(0.0, self.score / self.weight)) if self.weight else 0.0
-
-
-def _rows(clusters: list[Cluster], source: str) -> pd.DataFrame:
-    data = [(c.cls, c.mean_score, *c.box) for c in clusters]
-    return pd.DataFrame(data, columns=["category_id", "score", *SIDES]).assign(source=source)
-
-
-def _gather(b: np.ndarray, cls: np.ndarray, score: np.ndarray, weight: np.ndarray, threshold: float) -> list[Cluster]:
-    """Each box, in the given order, into the cluster of its class that it overlaps most (the later one of equals), or a new one."""
-    clusters: list[Cluster] = []
-    for i in range(len(b)):
-        mine = [c for c in clusters if c.cls == cls[i]]
-        best = None
-        if mine:
-            near = iou_matrix(np.array([c.box for c in mine]), b[i : i + 1])[:, 0]
-            top = len(near) - 1 - int(near[::-1].argmax())
-            if near[top] >= threshold:
-                best = mine[top]
-        if best is None:
-            best = Cluster(int(cls[i]))
-            clusters.append(best)
-        best.add(b[i], score[i], weight[i])
-    return clusters
-
-
-def _settle(clusters: list[Cluster], threshold: float) -> list[Cluster]:
-    """Merge the first overlapping pair of one class until there is none."""
-    while len(clusters) > 1:
-        b, cls = np.array([c.box for c in clusters]), np.array([c.cls for c in clusters])
-        hit = np.argwhere(np.triu((iou_matrix(b, b) >= threshold) & (cls[:, None] == cls[None, :]), 1))
-        if not len(hit):
-            break
-        i, j = hit[0]
-        clusters[i].join(clusters[j])
-        del clusters[j]
-    return clusters
+            pairs = S.ranges(first[best], first[best + 1] - first[best])
+            pairs = pairs[live[j[pairs]]]
+            score[j[pairs]] *= decay[pairs]
+            rows = rows[live[rows] & (score[rows] >= probe)]
+            live[:] = False
+            live[rows] = True
+        rows, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kept, final))
+        order = np.argsort(b.image[rows], kind="stable")
+        return b.out(rows[order], "soft_nms", score[order])
+
+    order = ["category_id", *SIDES, F.desc("score"), "det_id"]
+    return S.segmented(boxes.where(F.col("score") >= probe), ["image_id"], order, kernel, FUSED)
+
+
+def _means(b: _Boxes, clusters: S.Clusters, slots: np.ndarray, source: str, publish: float | None, max_det: int | None) -> dict:
+    """Clusters as rows, best first."""
+    score, box = clusters.mean_score(slots), clusters.box[slots]
+    if publish is not None:
+        ok = score >= publish
+        slots, score, box = slots[ok], score[ok], box[ok]
+        order = b.order(slots, score, box)  # a slot is a row of the same image and class
+        order = order[b.first(slots[order], max_det)]
+        slots, score, box = slots[order], score[order], box[order]
+    return b.out(slots, source, score, box)
 
 
 def weighted_box_fusion(boxes: DataFrame, threshold: float, probe: float, publish: float, base_weight: float, low: float, high: float, max_det: int) -> DataFrame:
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["score"] >= probe]
-        w = np.where(g["source"] == "local", local_weight(g["q"].to_numpy(), low, high), base_weight)
-        g = g.assign(w=w, mass=-g["score"] * w).sort_values(["category_id", "mass", *SIDES, "source", "det_id"], kind="stable")
-        clusters = _settle(_gather(g[SIDES].to_numpy(), g["category_id"].to_numpy(), g["score"].to_numpy(), g["w"].to_numpy(), threshold), threshold)
-        out = _rows(clusters, "wbf")
-        return ordered(out[out["score"] >= publish]).head(max_det)
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        clusters, group, slots = S.gathered(b.group, b.box, b.score, c["w"], threshold)
+        return _means(b, clusters, slots[S.settled(clusters, group, slots, threshold)], "wbf", publish, max_det)
+
+    weight = F.when(F.col("source") == "local", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("q") + 1.0))).otherwise(F.lit(float(base_weight)))
+    rows = boxes.where(F.col("score") >= probe).withColumn("w", weight)
+    return S.segmented(rows, ["image_id"], ["category_id", F.desc(F.col("score") * F.col("w")), *SIDES, "source", "det_id"], kernel, FUSED)
+
 
-    return per_image(boxes, kernel)
+def _members(c: S.Clusters, at: np.ndarray, box: np.ndarray, score: np.ndarray, weight: np.ndarray) -> None:
+    """Members to clusters, several to one in their order."""
+    order = np.argsort(at, kind="stable")
+    turn = S.place_in(at[order])
+    for k in range(int(turn.max(initial=-1)) + 1):
+        rows = order[turn == k]
+        c.add(at[rows], box[rows], score[rows], weight[rows])
 
 
 def anchored_wbf(boxes: DataFrame, threshold: float, anchor_iou: float, q_min: float, probe: float, publish: float, rescue: float, base_weight: float, low: float, high: float, max_det: int) -> DataFrame:
     """Published base boxes stay; reliable crop boxes refine them, and strong ones apart from all become rescues."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        anchors = ordered(g[(g["source"] == "base") & (g["score"] >= publish)], ["det_id"]).head(max_det)
-        local = g[(g["source"] == "local") & (g["score"] >= probe) & (g["region_id"] >= 0) & (g["q"] >= q_min)].sort_values("det_id").reset_index(drop=True)
-        lb, lc, ls, lq = local[SIDES].to_numpy(), local["category_id"].to_numpy(), local["score"].to_numpy(), local["q"].to_numpy()
-        free = np.ones(len(local), bool)
-        near = iou_matrix(anchors[SIDES].to_numpy(), lb) >= anchor_iou if len(anchors) and len(local) else np.zeros((len(anchors), len(local)), bool)
-        out = []
-        for i, a in enumerate(anchors.itertuples()):
-            box = np.array([a.x1, a.y1, a.x2, a.y2])
-            m = np.flatnonzero(free & near[i] & (lc == a.category_id) & (ls >= publish))
-            if not len(m):
-                out.append((a.category_id, a.score, *box, "anchored_wbf_base"))
-                continue
-            free[m] = False
-            c = Cluster(a.category_id)
-            c.add(box, a.score, base_weight)
-            for k in m:
-                c.add(lb[k], ls[k], float(local_weight(lq[k], low, high)))
-            out.append((a.category_id, max(a.score, ls[m].max()), *c.box, "anchored_wbf_match"))
-        room = max_det - len(out)
-        for k in np.lexsort((lb[:, 3], lb[:, 2], lb[:, 1], lb[:, 0], lc, -ls)) if len(local) else []:
-            if room <= 0:
-                break
-            if not free[k] or ls[k] < rescue:
-                continue
-            same = np.array([o[2:6] for o in out if o[0] == lc[k]]).reshape(-1, 4)
-            if len(same) and (iou_matrix(same, lb[k : k + 1]) >= threshold).any():
-                continue
-            out.append((lc[k], ls[k], *lb[k], "anchored_wbf_rescue"))
-            room -= 1
-        return ordered(pd.DataFrame(out, columns=["category_id", "score", *SIDES, "source"]))
-
-    return per_image(boxes, kernel)
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        base = np.flatnonzero((c["source"] == "base") & (b.score >= publish))
+        base = base[b.order(base, tie=c["det_id"][base])]
+        base = base[b.first(base, max_det)]
+        local = np.flatnonzero((c["source"] == "local") & (b.score >= probe) & (c["region_id"] >= 0) & (c["q"] >= q_min))
+        i, j, _ = S.near_pairs(b.group[base], b.box[base], b.group[local], b.box[local], anchor_iou)
+        strong = b.score[local[j]] >= publish
+        owner = np.full(len(local), len(base))  # a crop box goes to the first anchor that it meets
+        np.minimum.at(owner, j[strong], i[strong])
+        mine = np.flatnonzero(owner < len(base))
+        met = np.zeros(len(base), bool)
+        met[owner[mine]] = True
+        clusters = S.Clusters(len(base))
+        clusters.add(np.flatnonzero(met), b.box[base[met]], b.score[base[met]], np.full(int(met.sum()), float(base_weight)))
+        _members(clusters, owner[mine], b.box[local[mine]], b.score[local[mine]], local_weight(c["q"][local[mine]], low, high))
+        score, box = b.score[base].copy(), np.where(met[:, None], clusters.box, b.box[base])
+        np.maximum.at(score, owner[mine], b.score[local[mine]])
+        # rescues: free, strong, apart from everything above and from each other
+        free = local[(owner == len(base)) & (b.score[local] >= rescue)]
+        _, near, _ = S.near_pairs(b.group[base], box, b.group[free], b.box[free], threshold)
+        apart = np.ones(len(free), bool)
+        apart[near] = False
+        free = free[apart]
+        free = free[b.order(free)]
+        free = free[S.suppressed(b.group[free], b.box[free], threshold, inclusive=True)]
+        free = free[b.first(free, max_det - np.bincount(b.image[base], minlength=b.n_images))]
+        rows = np.concatenate([base, free])
+        score, box = np.concatenate([score, b.score[free]]), np.concatenate([box, b.box[free]])
+        named = np.concatenate([np.where(met, "anchored_wbf_match", "anchored_wbf_base").astype(object), np.full(len(free), "anchored_wbf_rescue", object)])
+        order = b.order(rows, score, box)
+        return b.out(rows[order], named[order], score[order], box[order])
+
+    return S.segmented(boxes, ["image_id"], ["det_id", "source", *SIDES], kernel, FUSED)
 
 
 def consensus_anchor(boxes: DataFrame, publish: float, rescue: float, consensus_iou: float, max_det: int) -> DataFrame:
     """Published base boxes and, of the crop boxes, those that the flipped view confirms and no anchor covers."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        anchors = g[(g["source"] == "base") & (g["score"] >= publish)].sort_values("det_id")
-        flips = g[(g["source"] == "flip") & (g["score"] >= rescue)]
-        local = ordered(g[(g["source"] == "local") & (g["q"] > 0) & (g["region_id"] >= 0) & (g["score"] >= rescue)], ["det_id"])
-        found: list[tuple] = []
-        for c in local.itertuples():
-            box = np.array([[c.x1, c.y1, c.x2, c.y2]])
-
-            def near(df: pd.DataFrame, c=c, box=box) -> np.ndarray:
-                same = df[df["category_id"] == c.category_id]
-                return iou_matrix(same[SIDES].to_numpy(), box)[:, 0] if len(same) else np.zeros(0)
-
-            if (near(anchors) >= consensus_iou).any():
-                continue
-            support = near(flips)
-            ok = support >= consensus_iou
-            if not ok.any():
-                continue
-            scores = flips[flips["category_id"] == c.category_id]["score"].to_numpy()
-            best = max(np.flatnonzero(ok), key=lambda k: (support[k], scores[k]))
-            taken = np.array([f[2:6] for f in found if f[0] == c.category_id]).reshape(-1, 4)
-            if len(taken) and (iou_matrix(taken, box) > RESCUE_IOU).any():
-                continue
-            found.append((c.category_id, min(c.score, scores[best]), c.x1, c.y1, c.x2, c.y2, "guard_consensus_rescue"))
-        rescues = ordered(pd.DataFrame(found, columns=["category_id", "score", *SIDES, "source"])).head(max(0, max_det - len(anchors)))
-        return pd.concat([anchors, rescues], ignore_index=True) if len(rescues) and len(anchors) else (rescues if len(rescues) else anchors)
-
-    return per_image(boxes, kernel)
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        base = np.flatnonzero((c["source"] == "base") & (b.score >= publish))
+        flips = np.flatnonzero((c["source"] == "flip") & (b.score >= rescue))
+        local = np.flatnonzero((c["source"] == "local") & (c["q"] > 0) & (c["region_id"] >= 0) & (b.score >= rescue))
+        local = local[b.order(local, tie=c["det_id"][local])]
+        _, covered, _ = S.near_pairs(b.group[base], b.box[base], b.group[local], b.box[local], consensus_iou)
+        i, j, iou = S.near_pairs(b.group[local], b.box[local], b.group[flips], b.box[flips], consensus_iou)
+        order = np.lexsort((b.score[flips[j]], iou, i))
+        confirmed = np.full(len(local), -1)
+        confirmed[i[order]] = flips[j[order]]  # the last one written overlaps most, of equals has the best score
+        ok = confirmed >= 0
+        ok[covered] = False
+        local, confirmed = local[ok], confirmed[ok]
+        apart = S.suppressed(b.group[local], b.box[local], RESCUE_IOU, inclusive=False)
+        local, confirmed = local[apart], confirmed[apart]
+        score = np.minimum(b.score[local], b.score[confirmed])
+        order = b.order(local, score)
+        order = order[b.first(local[order], np.maximum(0, max_det - np.bincount(b.image[base], minlength=b.n_images)))]
+        rows = np.concatenate([base, local[order]])
+        named = np.concatenate([c["source"][base], np.full(len(order), "guard_consensus_rescue", object)])
+        return b.out(rows, named, np.concatenate([b.score[base], score[order]]))
+
+    return S.segmented(boxes, ["image_id"], ["det_id", "source", *SIDES], kernel, FUSED)
 
 
 def fuse_reference(boxes: DataFrame, threshold: float) -> DataFrame:
     """Clusters of a class around their score-weighted box; the score is the plain mean."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["category_id", "score", *SIDES, "det_id"], ascending=[True, False, True, True, True, True, True], kind="stable")
-        clusters = _gather(g[SIDES].to_numpy(), g["category_id"].to_numpy(), g["score"].to_numpy(), np.ones(len(g)), threshold)
-        return _rows(clusters, "utility_reference")
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        b = _Boxes(c, starts)
+        clusters, _, slots = S.gathered(b.group, b.box, b.score, np.ones(b.n), threshold)
+        return _means(b, clusters, slots, "utility_reference", None, None)
 
-    return per_image(boxes, kernel)
+    return S.segmented(boxes, ["image_id"], ["category_id", F.desc("score"), *SIDES, "det_id"], kernel, FUSED)
 
 
 def fuse(boxes: DataFrame, method: str, publish: float, **options: float) -> DataFrame:

@@ -1,33 +1,33 @@
-"""One-to-one matching of boxes: IoU candidates come from a Spark join, each image's pairs are resolved in a kernel."""
+"""One-to-one matching of boxes: IoU candidates come from a Spark join, the pairs of many images are resolved together (``segments``)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import segments as S
+
 EPSILON = 1e-12
 
 
-def _resolved(pairs: DataFrame, kernel) -> DataFrame:
-    return pairs.groupBy("image_id").applyInPandas(kernel, pairs.schema)
+def _taken(pairs: DataFrame, order: list[str | Column], choose) -> DataFrame:
+    """The pairs that ``choose(columns, starts)`` takes, of rows sorted by image and ``order``."""
 
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        keep = choose(c, starts)
+        return {n: x[keep] for n, x in c.items()}
+
+    return S.segmented(pairs, ["image_id"], order, kernel, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """Best IoU first (ties by left, then right id); each side is used once."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["iou", "left_id", "right_id"], ascending=[False, True, True], kind="stable")
-        left, right, keep = set(), set(), []
-        for k, (a, b) in enumerate(zip(g["left_id"], g["right_id"], strict=True)):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                keep.append(k)
-        return g.iloc[keep]
+def _in_order(c: S.Columns, starts: np.ndarray) -> np.ndarray:
+    return S.greedy_edges(S.numbered(starts, len(c["left_id"])), c["left_id"], c["right_id"])
 
-    return _resolved(pairs, kernel)
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
+    """Best IoU first (ties by left, then right id); each side is used once."""
+    return _taken(pairs, [F.desc("iou"), "left_id", "right_id"], _in_order)
 
 
 def least_cost(cost: np.ndarray) -> np.ndarray:
@@ -62,19 +62,20 @@ def least_cost(cost: np.ndarray) -> np.ndarray:
 def assignment_match(pairs: DataFrame) -> DataFrame:
     """As many matches as possible, and of those the largest total IoU."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        left, a = np.unique(g["left_id"], return_inverse=True)
-        right, b = np.unique(g["right_id"], return_inverse=True)
-        cost = np.full((len(left), len(right)), 1e6)
-        row = np.full(cost.shape, -1)
-        cost[a, b], row[a, b] = 1 - g["iou"].to_numpy(), np.arange(len(g))
-        turn = cost.shape[0] > cost.shape[1]
-        col = least_cost(cost.T if turn else cost)
-        picked = (col, np.arange(len(col))) if turn else (np.arange(len(col)), col)
-        keep = row[picked]
-        return g.iloc[np.sort(keep[keep >= 0])]
+    def choose(c: S.Columns, starts: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(c["iou"]), bool)
+        for at, to in zip(starts, np.append(starts[1:], len(keep))):
+            left, a = np.unique(c["left_id"][at:to], return_inverse=True)
+            right, b = np.unique(c["right_id"][at:to], return_inverse=True)
+            cost, row = np.full((len(left), len(right)), 1e6), np.full((len(left), len(right)), -1)
+            cost[a, b], row[a, b] = 1 - c["iou"][at:to], np.arange(at, to)
+            turn = len(left) > len(right)
+            col = least_cost(cost.T if turn else cost)
+            found = row[(col, np.arange(len(col))) if turn else (np.arange(len(col)), col)]
+            keep[found[found >= 0]] = True
+        return keep
 
-    return _resolved(pairs, kernel)
+    return _taken(pairs, ["left_id", "right_id"], choose)
 
 
 def _clip01(c):
@@ -115,17 +116,8 @@ def flip_inconsistency(a: DataFrame, b: DataFrame, matches: DataFrame, keys: lis
 def detection_f1(images: DataFrame, truth: DataFrame, detections: DataFrame, pairs: DataFrame) -> DataFrame:
     """F1 of each image: detections by score, each takes the best free truth box of its pairs (the later of equals); two empty sides give 1."""
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["r_score", "right_id", "iou", "left_id"], ascending=[False, True, False, False], kind="stable")
-        used, n = set(), 0
-        for _, d in g.groupby("right_id", sort=False):
-            hit = next((a for a in d["left_id"] if a not in used), None)
-            if hit is not None:
-                used.add(hit)
-                n += 1
-        return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "tp": [n]})
-
-    tp = pairs.groupBy("image_id").applyInPandas(kernel, "image_id long, tp long")
+    best = [F.desc("r_score"), "right_id", F.desc("iou"), F.desc("left_id")]
+    tp = _taken(pairs, best, _in_order).groupBy("image_id").agg(F.count("*").alias("tp"))
     a, b = (x.groupBy("image_id").agg(F.count("*").alias(n)) for x, n in ((truth, "n_gt"), (detections, "n_dt")))
     df = images.select("image_id").join(a, "image_id", "left").join(b, "image_id", "left").join(tp, "image_id", "left").fillna(0)
     both = F.col("n_gt") + F.col("n_dt")
