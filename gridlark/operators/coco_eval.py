@@ -1,7 +1,8 @@
 """Average precision.  Matching is a kernel over many (image, class) groups at once; everything after it is grouped and windowed columns.
 
-Cumulative counts and the precision envelope are taken in score buckets: windows run inside a bucket and per-bucket
-totals are carried over, so no task ever sorts all detections of a class.
+Cumulative counts and the precision envelope are taken in ranges of scores: windows run inside a range and totals of
+ranges are carried over, so no task ever sorts all detections of a class.  Ranges hold like numbers of rows: Spark samples
+the rows by class, score and place, so equal or crowded scores are split too.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from .fusion import SIDES
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 EPS = 2.0**-52
-BUCKETS = 4096
 
 
 def cap_detections(df: DataFrame, k: int) -> DataFrame:
@@ -114,12 +114,20 @@ def positives(truth: DataFrame, keys: list[str], areas: tuple[str, ...] = ("all"
     return real.withColumn("area", F.explode(named)).where("area is not null").groupBy(*keys, "area").agg(F.count("*").alias("npos"))
 
 
+def score_ranges(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """``df`` written once, with ``_b``: about equal ranges of its order by keys, score (best first), image_id and det_id, the
+    greatest number first.  Equal scores go to several ranges.  ``df`` is read twice, so it should be cheap to read."""
+    n = n or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(n, *keys, F.desc("score"), "image_id", "det_id")
+    return written(dealt.withColumn("_b", F.lit(n - 1) - F.spark_partition_id()), "score-ranges")
+
+
 def envelope(df: DataFrame, keys: list[str]) -> DataFrame:
     """``ctp`` (weighted true positives up to the row, best first) and the precision ``envelope``; rows with (weight, tp, score, image_id, det_id)."""
-    rows = df.withColumn("_b", F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor(F.col("score") * BUCKETS).cast("int"))))
+    rows = score_ranges(df, keys)
     hit = F.col("weight") * F.col("tp")
     totals = rows.groupBy(*keys, "_b").agg(F.sum(hit).alias("_t"), F.sum("weight").alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     start = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"))
     inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "image_id", "det_id")
     run = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -142,8 +150,8 @@ def average_precision(matches: DataFrame, npos: DataFrame, keys: list[str]) -> D
 
 
 def evaluated(truth: DataFrame, matches: DataFrame, keys: list[str], areas: tuple[str, ...], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """AP and recall by keys, class, area and threshold, from ``match_coco`` rows of these thresholds."""
-    rows = matches.where("not ignored").withColumn("weight", F.lit(1))
+    """AP and recall by keys, class, area and threshold, from ``match_coco`` rows of these thresholds; they are read twice, so hand in a written table."""
+    rows = matches.where("not ignored").select(*keys, "category_id", "area", "threshold", "image_id", "det_id", "score", "tp", F.lit(1).alias("weight"))
     npos = positives(truth, [*keys, "category_id"], areas)
     npos = npos.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     return average_precision(rows, npos, [*keys, "category_id", "area", "threshold"])

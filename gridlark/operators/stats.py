@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
 from ..sources.shared import written
-from .coco_eval import EPS
+from .coco_eval import EPS, score_ranges
 
 
 def draws(spark, n_resamples: int, n_units: int, seed: int) -> DataFrame:
@@ -52,17 +52,18 @@ KEY_TYPES = "run string, category_id int, _b int"
 WHOLE_MATRIX = 64 << 20
 
 
-def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame, buckets: int = 256) -> DataFrame:
+def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame, ranges: int | None = None) -> DataFrame:
     """run, category_id, resample, ap: average precision under ``n`` weightings at once.
 
     ``rows``: run, category_id, image_id, det_id, score, tp, unit; ``need``: resample, category_id, npos; ``weights``: how often each
-    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Rows are not repeated: tasks walk through score
-    ranges, worst first, with one vector for all weightings, in pieces of bounded size; totals and best precisions of a range are
-    carried over in groups of at most ``buckets`` rows.  Categories without detections have AP 0, without positives no row."""
+    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Rows are not repeated: tasks walk through ranges
+    of about equal size (``score_ranges``), worst first, with one vector for all weightings, in pieces of bounded size; totals and
+    best precisions of a range are carried over in groups of at most ``ranges`` rows.  ``rows`` are read twice.  Categories without detections have AP 0, without positives no row."""
     spark = rows.sparkSession
     most = max(1, 500_000 // n)
-    range_ = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.col("score") * buckets).cast("int"))).alias("_b")
-    columns = ["run", F.col("category_id").cast("int").alias("category_id"), range_, F.lit(1).alias("head"), F.col("score").cast("double").alias("score"), "image_id", "det_id", F.col("tp").cast("int").alias("tp"), F.col("unit").cast("int").alias("unit")]
+    runs = rows.select("run").distinct()
+    rows = score_ranges(rows.select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), "tp", "unit"), ["run", "category_id"], ranges)
+    columns = ["run", "category_id", "_b", F.lit(1).alias("head"), "score", "image_id", "det_id", F.col("tp").cast("int").alias("tp"), F.col("unit").cast("int").alias("unit")]
     if isinstance(weights, DataFrame):
         table = rows.join(weights, "unit").select(*columns, "m")
 
@@ -143,7 +144,7 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
     tops = walked(totals.withColumn("best", F.lit(bytes(8 * n)))).groupBy("run", "category_id").applyInPandas(below, f"{KEY_TYPES}, best binary")
     parts = walked(totals.join(tops, KEY)).select("run", "category_id", F.posexplode("area").alias("resample", "area"))
     area = parts.groupBy("run", "category_id", "resample").agg(F.sum("area").alias("area"))
-    wanted = need.crossJoin(F.broadcast(rows.select("run").distinct()))  # a few runs
+    wanted = need.crossJoin(F.broadcast(runs))  # a few runs
     return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"))
 
 
@@ -181,7 +182,7 @@ def ap_cluster_bootstrap(matches: dict[str, DataFrame], npos: DataFrame, cluster
     spark = npos.sparkSession
     by_unit = npos.join(clusters, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
     need = by_unit.join(draws(spark, n_resamples, n_clusters, seed), "unit").groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
-    ap = ap_under_weights(_of_runs(matches, clusters), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
+    ap = ap_under_weights(written(_of_runs(matches, clusters), "matches-of-runs"), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
     return ap.groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
 
 

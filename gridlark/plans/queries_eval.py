@@ -187,7 +187,7 @@ def _(v):
 
 @query("e5_ap_per_class")
 def _(v):
-    m = E.match_coco(v.xy_gt, v.xy_dt, thresholds=(0.5,), areas=("all",))
+    m = written(E.match_coco(v.xy_gt, v.xy_dt, thresholds=(0.5,), areas=("all",)), "matches")
     return E.evaluated(v.xy_gt, m, [], ("all",), (0.5,)).select("category_id", *r("ap", "recall"))
 
 

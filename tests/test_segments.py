@@ -276,3 +276,25 @@ def test_one_image_of_many_boxes(spark):
     n = 3000
     df = spark.range(n).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("det_id"), F.lit(1).alias("category_id"), (1 - F.col("id") / n).alias("score"), (F.col("id") % 50 * 10.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("id") % 50 * 10.0 + 9).alias("x2"), F.lit(9.0).alias("y2"))
     assert fusion.hard_nms(fusion.with_source(df, "base"), 0.5, 0.0, 300).count() == 50
+
+
+def test_ranges_of_equal_scores_are_even(spark):
+    from gridlark.operators import coco_eval
+
+    n = 16_000
+    rows = spark.range(n).select((F.col("id") % 2).cast("int").alias("category_id"), F.lit(0.5).alias("score"), (F.col("id") % 97).alias("image_id"), F.col("id").alias("det_id"), (F.col("id") % 3 == 0).cast("int").alias("tp"), F.lit(1).alias("weight"))
+    ranged = coco_eval.score_ranges(rows, ["category_id"], 8)
+    sizes = [r["count"] for r in ranged.groupBy("_b").count().collect()]
+    assert sum(sizes) == n and len(sizes) >= 7 and max(sizes) <= 2 * n / 8
+    # the order of ranges is the order of rows
+    best = {(r._b, r.category_id): (r.low, r.high) for r in ranged.groupBy("_b", "category_id").agg(F.min(F.struct("image_id", "det_id")).alias("low"), F.max(F.struct("image_id", "det_id")).alias("high")).collect()}
+    for (b, c), (low, _) in best.items():
+        for (b2, c2), (_, high) in best.items():
+            assert c != c2 or b2 <= b or high < low
+    # the envelope by a plain walk
+    got = {(r.category_id, r.det_id): (r.ctp, r.envelope) for r in coco_eval.envelope(rows, ["category_id"]).collect()}
+    for c in (0, 1):
+        walk = sorted((r.image_id, r.det_id, r.tp) for r in rows.where(F.col("category_id") == c).collect())
+        true = np.cumsum([t for *_, t in walk])
+        precision = np.maximum.accumulate((true / (np.arange(1, len(walk) + 1) + coco_eval.EPS))[::-1])[::-1]
+        assert all(got[c, d][0] == t and math.isclose(got[c, d][1], p, rel_tol=1e-12) for (_, d, _), t, p in zip(walk, true, precision))
