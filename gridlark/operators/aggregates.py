@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .quantiles import exact_quantiles
 
 SCORE_LEVELS = (0.10, 0.15, 0.20, 0.25, 0.35, 0.50, 0.70)
 #: Degrees of freedom with a tabulated quantile; beyond, the expansion around the normal quantile is as good.
@@ -134,10 +135,13 @@ def timing_summary(timings: DataFrame, by: str, total: str = "total_ms", load: s
     more = [F.avg(s).alias(f"{s}_mean") for s in stages or []] + ([F.max(memory).alias("peak_memory")] if memory else [])
     t = F.col(total)
     own = t - F.col(load) if load else t
-    return timings.groupBy(by).agg(
-        F.count("*").alias("n"), F.avg(t).alias("mean_ms"), F.avg(own).alias("mean_without_load_ms"), F.stddev_pop(t).alias("std_ms"), F.percentile(t, 0.5).alias("p50_ms"), F.percentile(t, 0.95).alias("p95_ms"),
-        (F.lit(1000.0) / F.avg(t)).alias("fps"), F.max(t).alias("max_ms"), *more,
+    means = timings.groupBy(by).agg(
+        F.count("*").alias("n"), F.avg(t).alias("mean_ms"), F.avg(own).alias("mean_without_load_ms"), F.stddev_pop(t).alias("std_ms"), (F.lit(1000.0) / F.avg(t)).alias("fps"), F.max(t).alias("max_ms"), *more
     )
+    ranked = exact_quantiles(timings, [by], total, [0.5, 0.95]).select(F.col(by).alias("_by"), F.col("quantiles")[0].alias("p50_ms"), F.col("quantiles")[1].alias("p95_ms"))
+    front = ["n", "mean_ms", "mean_without_load_ms", "std_ms", "p50_ms", "p95_ms"]
+    joined = means.join(ranked, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.select(by, *front, *[c for c in means.columns if c not in (by, *front)])
 
 
 def repeat_statistics(runs: DataFrame, keys: list[str], value: str, run_id: str) -> DataFrame:
@@ -220,10 +224,12 @@ def allocation_profile(cells: DataFrame, cell: str, coordinate: str, value: str,
 
 
 def median_mad(df: DataFrame, features: list[str]) -> DataFrame:
-    """feature, median and median absolute deviation over all rows."""
+    """feature, median and median absolute deviation over all rows; values are ranked in passes, never held together."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
-    med = long.groupBy("feature").agg(F.percentile("v", 0.5).alias("median"))
-    return long.join(F.broadcast(med), "feature").groupBy("feature", "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5).alias("mad"))
+    med = exact_quantiles(long, ["feature"], "v", [0.5]).select("feature", F.col("quantiles")[0].alias("median"))
+    apart = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("v") - F.col("median")).alias("v"))  # a row a feature
+    mad = exact_quantiles(apart, ["feature"], "v", [0.5]).select("feature", F.col("quantiles")[0].alias("mad"))
+    return med.join(mad, "feature")
 
 
 def metric_long_table(reports: list[DataFrame]) -> DataFrame:

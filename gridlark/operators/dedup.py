@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..sources.shared import forget, written
 from .images import gray8, pixels
@@ -141,51 +145,91 @@ def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50
 
 
 def component_id(members: DataFrame, component: str, sha: str) -> DataFrame:
-    """SHA-256 of the sorted member hashes, joined by ``|``."""
-    return members.groupBy(component).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), "|"), 256).alias("component_sha"), F.count("*").alias("size"))
-
-
-def nearest_total(histogram: list[tuple[int, int]], target: int) -> dict[int, int]:
-    """How many components of each size to take so that the total is nearest to ``target`` (of equally near ones the larger).
-
-    ``histogram`` has (size, number).  Largest first often hits the target; otherwise the reachable totals up to twice the
-    target are kept as one bit each, for every power of two of a size."""
-    greedy, left = {}, target
-    for size, n in sorted(histogram, reverse=True):
-        greedy[size] = min(n, left // size)
-        left -= greedy[size] * size
-    if not left:
-        return greedy
-    within = (1 << (2 * target + 1)) - 1
-    steps: list[tuple[int, int, int]] = []  # size, how many of it, totals reachable before
-    reach = 1
-    for size, n in sorted(histogram):
-        some = 1
-        while n:
-            some = min(some, n)
-            steps.append((size, some, reach))
-            reach |= (reach << size * some) & within
-            n -= some
-            some *= 2
-    total = next(t for d in range(target + 1) for t in (target + d, target - d) if reach >> t & 1)
-    take = dict.fromkeys(greedy, 0)
-    for size, some, before in reversed(steps):
-        if not before >> total & 1:
-            take[size] += some
-            total -= size * some
-    return take
-
-
-def partition_components(sizes: DataFrame, target: int) -> DataFrame:
-    """component_sha, size, role: whole components go to B so that their total is nearest to ``target``, in hash order among those of one size.
-
-    Only the histogram of sizes reaches the driver; components of one size are told apart by their rank in hash order."""
-    from pyspark.sql import Window
-
-    histogram = [(int(r[0]), int(r[1])) for r in sizes.groupBy("size").count().collect()]
-    quota = sizes.sparkSession.createDataFrame(list(nearest_total(histogram, target).items()), "size long, quota long")
-    nth = F.row_number().over(Window.partitionBy("size").orderBy("component_sha"))
-    return sizes.withColumn("nth", nth).join(F.broadcast(quota), "size").select("component_sha", "size", F.when(F.col("nth") <= F.col("quota"), "B").otherwise("A").alias("role"))
+    """SHA-256 of the sorted member hashes, joined by ``|``: hashed row by row as they come sorted, so that a component may have any size."""
+    kind = members.schema[component].dataType
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, between, kind_of = None, hashlib.sha256(), 0, b"", None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind_of), pa.array([state.hexdigest()]), pa.array([n], pa.int64())], ["component", "component_sha", "size"])
+
+        for batch in batches:
+            kind_of = batch.column(0).type
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if n and c != now:
+                    yield row()
+                    state, n, between = hashlib.sha256(), 0, b""
+                now = c
+                n += 1
+                if text is not None:
+                    state.update(between + text.encode())
+                    between = b"|"
+        if n:
+            yield row()
+
+    rows = members.select(F.col(component).alias("component"), F.col(sha).cast("string").alias("sha"))
+    schema = StructType([StructField("component", kind), StructField("component_sha", StringType()), StructField("size", LongType())])
+    # nulls last, as a list of hashes leaves them out but the size counts them
+    hashed = rows.repartition("component").sortWithinPartitions("component", F.asc_nulls_last("sha")).mapInArrow(digest, schema)
+    return hashed.withColumnRenamed("component", component)
+
+
+def nearest_total(sizes: Iterable[int], target: int) -> tuple[int, list[int]]:
+    """The total nearest to ``target`` (of equally near ones the larger) that some of ``sizes``, in their order, add up to, and
+    the places of those: for each total the choice that reaches it first.
+
+    A total is reached by the earliest size that makes it out of a total reached before, so one number a total, up to twice
+    the target, tells all choices (8 bytes each).  Reading ends when the target itself is reached."""
+    most = 2 * target
+    first = np.full(most + 1, -1, np.int64)  # by which place a total was reached
+    of: list[int] = []
+    first[0] = 0
+    top, whole = 0, True  # greatest total reached; all totals up to it are
+    for place, size in enumerate(sizes):
+        if first[target] >= 0:
+            break
+        of.append(size)
+        if size <= 0 or size > most:
+            continue
+        if whole and size <= top + 1:
+            first[top + 1 : min(top + size, most) + 1] = place
+            top = min(top + size, most)
+            continue
+        high = min(top, most - size)
+        fresh = np.flatnonzero((first[: high + 1] >= 0) & (first[size : high + size + 1] < 0)) + size
+        # totals made by this very size do not serve it again: they were all read before any is set
+        first[fresh] = place
+        top = max(top, int(fresh.max(initial=0)))
+        whole = whole and len(fresh) == 0 or bool((first[: top + 1] >= 0).all())
+    reached = np.flatnonzero(first >= 0)
+    total = int(reached[np.lexsort((-reached, np.abs(reached - target)))[0]])
+    taken, left = [], total
+    while left:
+        place = int(first[left])
+        taken.append(place)
+        left -= of[place]
+    return total, taken[::-1]
+
+
+def partition_components(sizes: DataFrame, target: int, seed: int) -> DataFrame:
+    """component_sha, size, role: whole components go to B so that their total is nearest to ``target``; of all choices the one
+    that is reached first in the order of SHA-256 of ``seed:component_sha``.
+
+    Components come to the driver one after the other, in that order, until the target is reached; it keeps 8 bytes for each
+    total up to twice the target, and the sizes that it read."""
+    ordered = written(sizes.select("component_sha", F.col("size").cast("long").alias("size"), F.sha2(F.concat_ws(":", F.lit(str(seed)), "component_sha"), 256).alias("_order")), "ordered-components")
+    spark = sizes.sparkSession
+    names: list[str] = []
+
+    def one_by_one() -> Iterator[int]:
+        for row in ordered.sort("_order").toLocalIterator():
+            names.append(row["component_sha"])
+            yield row["size"]
+
+    _, places = nearest_total(one_by_one(), target)
+    chosen = spark.createDataFrame([(names[k],) for k in places], "component_sha string").withColumn("_b", F.lit(True))  # at most 2 x target
+    return ordered.join(chosen, "component_sha", "left").select("component_sha", "size", F.when(F.col("_b"), "B").otherwise("A").alias("role"))
 
 
 def partition_audit(members: DataFrame) -> DataFrame:

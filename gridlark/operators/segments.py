@@ -76,7 +76,7 @@ def segmented(df: DataFrame, keys: list[str], order: list[str | Column], kernel:
     return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "float": pa.float32()}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "smallint": pa.int16(), "float": pa.float32()}
 
 
 def pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def box_order(tie: str) -> list:
     return [F.desc("score"), F.col("category_id"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col(tie)]
@@ -97,24 +99,22 @@ def route_operations(components: dict[str, str | None], available: list[str], k:
     return F.slice(F.array_distinct(chosen), 1, k)
 
 
-def pareto(df: DataFrame, group: list[str], maximise: list[str], minimise: list[str], key: str) -> DataFrame:
-    """Rows that no other row of the group dominates."""
-    other = df.select(*[F.col(c).alias(f"o_{c}") for c in [*group, *maximise, *minimise]])
-    no_worse, better = F.lit(True), F.lit(False)
-    for c in group:
-        no_worse = no_worse & (F.col(c) == F.col(f"o_{c}"))
-    for c in maximise:
-        no_worse, better = no_worse & (F.col(f"o_{c}") >= F.col(c)), better | (F.col(f"o_{c}") > F.col(c))
-    for c in minimise:
-        no_worse, better = no_worse & (F.col(f"o_{c}") <= F.col(c)), better | (F.col(f"o_{c}") < F.col(c))
-    return df.join(other, no_worse & better, "left_anti")
-
-
 def maximin_intervals(cells: DataFrame, cell: str, retention: str, worst: str) -> DataFrame:
-    """For each retention breakpoint the feasible cell with the best worst-view value; neighbours with one choice are merged."""
-    points = cells.select(F.col(retention).alias("point")).distinct()
-    nth = F.row_number().over(Window.partitionBy("point").orderBy(F.desc(worst), F.desc(retention), cell))
-    best = points.join(cells, F.col("point") <= F.col(retention)).withColumn("nth", nth).where("nth = 1").select("point", F.col(cell).alias("choice"), F.col(worst).alias("value"))
-    order = Window.orderBy("point")  # one row a breakpoint
-    island = best.withColumn("new", F.when(F.lag("choice").over(order).eqNullSafe(F.col("choice")), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    return island.groupBy("island", "choice", "value").agg(F.min("point").alias("from_point"), F.max("point").alias("to_point"), F.count("*").alias("n_points")).drop("island")
+    """For each retention breakpoint the feasible cell with the best worst-view value; neighbours with one choice are merged.
+
+    A breakpoint's choice is the best cell of it and all greater ones: a running best over ranges of breakpoints, with the best
+    of the ranges above carried in.  A choice once left never comes back, so its breakpoints are neighbours."""
+    n = max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rank = F.struct(F.col(worst).isNull().alias("unknown"), (-F.col(worst)).alias("less"), (-F.col(retention)).alias("nearer"), F.col(cell).alias("choice"), F.col(worst).alias("value"))
+    points = cells.where(F.col(retention).isNotNull()).groupBy(F.col(retention).alias("point")).agg(F.min(rank).alias("best"))
+    ranged = written(points.repartitionByRange(n, F.desc("point")).withColumn("_b", F.spark_partition_id()), "breakpoints")
+    above, carried = None, []
+    order = lambda b: (b["unknown"], b["less"] or 0, b["nearer"], b["choice"])
+    for r in sorted(ranged.groupBy("_b").agg(F.min("best").alias("best")).collect(), key=lambda r: r["_b"]):  # one row a range
+        carried.append((r["_b"], above))
+        above = r["best"] if above is None else min(r["best"], above, key=order)
+    schema = f"_b int, above {ranged.schema['best'].dataType.simpleString()}"
+    best = ranged.join(F.broadcast(cells.sparkSession.createDataFrame(carried, schema)), "_b")
+    run = Window.partitionBy("_b").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = best.withColumn("best", F.least(F.min("best").over(run), "above"))
+    return chosen.groupBy("best").agg(F.min("point").alias("from_point"), F.max("point").alias("to_point"), F.count("*").alias("n_points")).select("best.choice", "best.value", "from_point", "to_point", "n_points")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
+from . import segments as S
 
 EPSILON = 1e-12
+SIDES = ["x1", "y1", "x2", "y2"]
 
 
 def avg_rank(value: str, keys: list[str]) -> Column:
@@ -46,14 +48,25 @@ def score_degradation(df: DataFrame, statistics: DataFrame, weights: dict[str, f
 
 
 def class_conflict(boxes: DataFrame, keys: list[str], box_id: str) -> DataFrame:
-    """Sum of IoU * sqrt(s1 s2) over pairs of different classes, by the number of such pairs."""
-    a = boxes.select(*keys, F.col(box_id).alias("ia"), F.col("category_id").alias("ca"), F.col("score").alias("sa"), *G.Box.of().named("a_"))
-    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col(box_id).alias("ib"), F.col("category_id").alias("cb"), F.col("score").alias("sb"), *G.Box.of().named("b_"))
-    on = (F.col("ia") < F.col("ib")) & (F.col("ca") != F.col("cb"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"b_{k}"))
-    value = G.iou(G.Box.of("a_"), G.Box.of("b_")) * F.sqrt(F.col("sa") * F.col("sb"))
-    return a.join(b, on).groupBy(*keys).agg((F.sum(value) / (F.count("*") + EPSILON)).alias("class_conflict"))
+    """Sum of IoU * sqrt(s1 s2) over pairs of different classes, by the number of such pairs; groups without such pairs have no row.
+
+    Pairs are counted from the sizes of classes; only boxes whose spans in x meet are compared, and no pair becomes a row."""
+    per_class = boxes.groupBy(*keys, "category_id").agg(F.count("*").alias("_c"))
+    n_pairs = per_class.groupBy(*keys).agg(((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))) / 2).alias("_pairs")).where("_pairs > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    rows = boxes.select(*keys, "category_id", "score", *SIDES)
+
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        group, box, root = S.numbered(starts, len(c["score"])), np.stack([c[s] for s in SIDES], axis=1), np.sqrt(c["score"])
+        total = np.zeros(len(starts))
+        for i, j in S.touching(group, box, group, box):
+            other = (i < j) & (c["category_id"][i] != c["category_id"][j])
+            i, j = i[other], j[other]
+            total += np.bincount(group[i], S.pair_iou(box[i], box[j]) * root[i] * root[j], len(starts))
+        return {k: c[k][starts] for k in keys} | {"_sum": total}
+
+    sums = S.segmented(rows, keys, ["category_id", F.desc("score"), *SIDES], kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _sum double")
+    return n_pairs.join(sums, keys).select(*keys, (F.col("_sum") / (F.col("_pairs") + EPSILON)).alias("class_conflict"))
 
 
 def score_uncertainty(boxes: DataFrame, regions: DataFrame, weights: dict[str, float], publish: float = 0.25, sigma: float = 0.1, kappa: float = 1e-4, mix: float = 0.5) -> DataFrame:

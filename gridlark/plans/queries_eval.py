@@ -418,7 +418,7 @@ def _(v):
 @query("d5_partition_components")
 def _(v):
     sizes = D.component_id(member_components(v), "component", "sha")
-    return D.partition_components(sizes, 300).groupBy("role").agg(F.count("*").alias("n_components"), F.sum("size").alias("n"))
+    return D.partition_components(sizes, 300, 20).groupBy("role").agg(F.count("*").alias("n_components"), F.sum("size").alias("n"))
 
 
 @query("d6_partition_audit", f"{COMPONENTS}, r_ AS (SELECT m.doc_id, m.sha, component, CASE WHEN component % 3 = 0 THEN 'B' ELSE 'A' END AS role FROM members m JOIN c_ USING (doc_id)), x_ AS (SELECT sha FROM r_ GROUP BY sha HAVING count(DISTINCT role) > 1) SELECT role, count(*) AS n, count(DISTINCT component) AS n_components, count(x_.sha) AS n_leaks FROM r_ LEFT JOIN x_ ON r_.sha = x_.sha GROUP BY role")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import select as S
 from ..operators import windows as W
+from ..operators.skyline import pareto
 from ..registry import query
 
 WEIGHTS_D = {"d": 0.6, "edge": 0.4}
@@ -201,7 +202,7 @@ def _(v):
 
 @query("t12_pareto", "SELECT method, seed FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.seed = a.seed AND b.ap >= a.ap AND b.latency_mean_ms <= a.latency_mean_ms AND b.eic_mean <= a.eic_mean AND (b.ap > a.ap OR b.latency_mean_ms < a.latency_mean_ms OR b.eic_mean < a.eic_mean))")
 def _(v):
-    return S.pareto(v.runs, ["seed"], ["ap"], ["latency_mean_ms", "eic_mean"], "method").select("method", "seed")
+    return pareto(v.runs, ["seed"], ["ap"], ["latency_mean_ms", "eic_mean"], "method").select("method", "seed")
 
 
 @query("t13_maximin_intervals", """WITH c AS (SELECT method || '/' || seed AS cell, round(1 - eic_mean, 3) AS retention, ap FROM runs), p AS (SELECT DISTINCT retention AS point FROM c),

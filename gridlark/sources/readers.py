@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +150,26 @@ def _has(spark: SparkSession, path: str, suffix: str) -> bool:
     return any(s.getPath().getName().endswith(suffix) for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256 of every file, once each."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).distinct()
+def file_inventory(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """path, size, sha256 of every file, empty ones too, once each.  Spark lists the files; a task reads each in blocks, so any size will do."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            names, sizes, found = [], [], []
+            for uri in batch.column(0).to_pylist():
+                where, name = fs.FileSystem.from_uri("file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+                sha, size = hashlib.sha256(), 0
+                with where.open_input_stream(name, compression=None) as stream:  # bytes as they are stored
+                    while data := stream.read(block):
+                        sha.update(data)
+                        size += len(data)
+                names.append(unquote(uri))
+                sizes.append(size)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["path", "size", "sha256"])
+
+    uris = sorted(set(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()))
+    files = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, min(len(uris), 4 * spark.sparkContext.defaultParallelism)))
+    return files.mapInArrow(digest, "path string, size long, sha256 string")

@@ -1,5 +1,6 @@
 """Order-dependent kernels against slow versions, and fixed examples."""
 
+import hashlib
 import itertools
 import random
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import geometry as G
 from gridlark.operators import aggregates, coco_eval, dedup, fusion, images, joins, matching, select, stats, validate, windows
 from gridlark.plans import pipelines
-from gridlark.sources import writers
+from gridlark.sources import readers, writers
 
 
 def boxes(n, seed, image=1):
@@ -199,22 +200,55 @@ def test_row_hash_tells_rows_apart(spark):
     assert df.distinct().count() == len(rows)
 
 
-def test_nearest_total_of_components():
-    """Against all choices; sizes 4, 3, 3 reach 6 without the 4."""
-    assert dedup.nearest_total([(4, 1), (3, 2)], 6) == {4: 0, 3: 2}
-    r = random.Random(8)
-    for _ in range(60):
-        histogram = [(size, r.randrange(1, 4)) for size in r.sample(range(1, 30), r.randrange(1, 5))]
-        target = r.randrange(1, 90)
-        take = dedup.nearest_total(histogram, target)
-        totals = {sum(s * k for (s, _), k in zip(histogram, ks, strict=True)) for ks in itertools.product(*[range(n + 1) for _, n in histogram])}
-        got = sum(s * k for s, k in take.items())
-        assert all(0 <= take[s] <= n for s, n in histogram) and got == min(totals, key=lambda t: (abs(t - target), t < target))
+def first_choices(sizes, most):
+    """For each total the places that reach it first, all totals kept as lists."""
+    reached = {0: []}
+    for place, size in enumerate(sizes):
+        reached |= {t + size: [*places, place] for t, places in sorted(reached.items(), reverse=True) if t + size <= most and t + size not in reached}
+    return reached
 
 
-def test_partition_takes_whole_components(spark):
-    sizes = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate([4, 3, 3])], "component_sha string, size long")
-    assert {(x.component_sha, x.role) for x in dedup.partition_components(sizes, 6).collect()} == {("c0", "A"), ("c1", "B"), ("c2", "B")}
+def test_nearest_total_of_components():
+    assert dedup.nearest_total([4, 3, 3], 6) == (6, [1, 2]) and dedup.nearest_total([], 5) == (0, []) and dedup.nearest_total([9], 4) == (0, [])
+    r = random.Random(8)
+    for _ in range(200):
+        sizes = [r.choice([1, 1, 2, 3, 7, 20, r.randrange(1, 40)]) for _ in range(r.randrange(12))]
+        target = r.randrange(90)
+        reached = first_choices(sizes, sum(sizes))
+        best = min(reached, key=lambda t: (abs(t - target), t < target, t))
+        assert dedup.nearest_total(iter(sizes), target) == (best, reached[best])
+    assert dedup.nearest_total(itertools.chain([1] * 50_000, [7] * 100_000), 200_000)[0] == 200_000  # a choice among very many is quick
+
+
+def test_partition_takes_whole_components_in_seeded_order(spark):
+    rows = [(f"c{i}", s) for i, s in enumerate([4, 3, 3, 5, 1, 2, 2, 8])]
+    sizes = spark.createDataFrame(rows, "component_sha string, size long")
+    roles = []
+    for seed in (1, 2, 20):
+        ordered = sorted(rows, key=lambda x: hashlib.sha256(f"{seed}:{x[0]}".encode()).hexdigest())
+        want = {ordered[k][0] for k in first_choices([s for _, s in ordered], 99)[9]}
+        got = {x.component_sha: (x.size, x.role) for x in dedup.partition_components(sizes, 9, seed).collect()}
+        assert {c: s for c, (s, _) in got.items()} == dict(rows) and {c for c, (_, role) in got.items() if role == "B"} == want
+        roles.append(frozenset(want))
+    assert len(set(roles)) > 1
+
+
+def test_component_ids_of_any_size(spark):
+    big = spark.range(60_000).select(F.lit(7).cast("long").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    small = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (1, None), (None, "z"), (1, "a")], "g long, h string")
+    got = {x.g: (x.component_sha, x["size"]) for x in dedup.component_id(big.unionByName(small).repartition(6), "g", "h").collect()}
+    sha = lambda hs: hashlib.sha256("|".join(sorted(hs)).encode()).hexdigest()
+    assert got == {7: (sha(x.h for x in big.collect()), 60_000), 1: (sha(["a", "a", "b"]), 4), 2: (sha([]), 1), None: (sha(["z"]), 1)}
+
+
+def test_inventory_reads_files_in_blocks(spark, tmp_path):
+    content = {"a.bin": b"", "deep/b c%20.txt": b"x" * 5000, "deep/g.gz": bytes(range(256)) * 40}
+    for name, data in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = readers.file_inventory(spark, str(tmp_path), block=1000)
+    assert sorted((x["size"], x.sha256) for x in rows.collect()) == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in content.values())
+    assert {x.path.rsplit("/", 1)[1] for x in rows.collect()} == {"a.bin", "b c%20.txt", "g.gz"}
 
 
 def test_dhash_bits(spark):
