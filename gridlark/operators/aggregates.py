@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .matching import greedy_match
 from .quantiles import exact_quantiles
 
 SCORE_LEVELS = (0.10, 0.15, 0.20, 0.25, 0.35, 0.50, 0.70)
@@ -95,8 +96,22 @@ def view_features(detections: DataFrame, images: DataFrame, classes: list[int])
     return df.groupBy("image_id").agg(*out)
 
 
-def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, images: DataFrame, classes: list[int]) -> DataFrame:
-    """Per image: count and score differences of two views and statistics of their matched boxes at three IoUs.
+CONFIDENCES = (0.25, 0.35, 0.50)
+
+
+def unmatched_at(base: DataFrame, scout: DataFrame, pairs: DataFrame, level: float) -> DataFrame:
+    """image_id, boxes of ``level`` or better that each view has and the other does not confirm: of the pairs of such boxes with
+    IoU 0.5 or more, the best are matched first."""
+    met = greedy_match(pairs.where((F.col("iou") >= 0.5) & (F.col("l_score") >= level) & (F.col("r_score") >= level))).groupBy("image_id").agg(F.count("*").alias("m"))
+    sides = [df.where(F.col("score") >= level).groupBy("image_id").agg(F.count("*").alias(n)) for df, n in ((base, "b"), (scout, "s"))]
+    both = sides[0].join(sides[1], "image_id", "full_outer").join(met, "image_id", "left").fillna(0)
+    name = f"{level:.2f}".replace("0.", "")
+    return both.select("image_id", *[(F.col(x) - F.col("m")).cast("double").alias(f"unmatched_{view}_ge_{name}") for x, view in (("b", "base"), ("s", "scout"))])
+
+
+def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, images: DataFrame, classes: list[int], pairs: DataFrame | None = None) -> DataFrame:
+    """Per image: count and score differences of two views and statistics of their matched boxes at three IoUs; with ``pairs`` (all
+    overlapping pairs, l_score, r_score) also the boxes of three scores that the other view lacks.
 
     ``matches`` holds (image_id, threshold, iou, l_*, r_*) of matched pairs."""
 
@@ -127,7 +142,11 @@ def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, i
         cols += [F.col(f"{t}_{n}").cast("double").alias(f"iou_{t}_{n}") for n in ("matches", "overlap_mean", "overlap_min", "score_delta_mean", "score_abs_delta_mean", "shift_mean", "shift_max", "log_area_ratio_mean", "log_area_ratio_abs_mean")]
         cols += [(F.col("b_n") - F.col(f"{t}_matches")).cast("double").alias(f"iou_{t}_unmatched_base"), (F.col("s_n") - F.col(f"{t}_matches")).cast("double").alias(f"iou_{t}_unmatched_scout")]
         cols += [(F.col(f"{t}_matches") / F.greatest(F.lit(1), F.col("b_n"))).alias(f"iou_{t}_base_fraction"), (F.col(f"{t}_matches") / F.greatest(F.lit(1), F.col("s_n"))).alias(f"iou_{t}_scout_fraction")]
-    return met.select("image_id", *cols)
+    features = met.select("image_id", *cols)
+    for level in CONFIDENCES if pairs is not None else ():
+        more = unmatched_at(base, scout, pairs, level)
+        features = features.join(more, "image_id", "left").fillna(0.0, more.columns[1:])
+    return features
 
 
 def timing_summary(timings: DataFrame, by: str, total: str = "total_ms", load: str | None = None, stages: list[str] | None = None, memory: str | None = None) -> DataFrame:
@@ -223,6 +242,26 @@ def allocation_profile(cells: DataFrame, cell: str, coordinate: str, value: str,
     return d.groupBy(cell).pivot(coordinate, coordinates).agg(F.round(F.first("delta"), 6))
 
 
+def coordinate_ranges(cells: DataFrame, axis: list[str], coordinate: str, value: str) -> DataFrame:
+    """axis, coordinate, minimum and maximum over the cells of an axis, and the distance between them."""
+    return cells.groupBy(*axis, coordinate).agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"), (F.max(value) - F.min(value)).alias("spread"))
+
+
+def run_rows(runs: DataFrame, timings: DataFrame, selections: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row a run: the columns of ``runs`` (run_id, ap, metrics, baseline_ap, baseline_ms), its timing summary, how much was selected,
+    what came of its candidates, and extra milliseconds and cost for each unit of AP gained; null without a gain.
+
+    ``timings``: run_id, total_ms, inference_cost; ``selections``: run_id, image_id, n_regions, area_ratio; ``candidates``: run_id, q, chosen."""
+    t = timing_summary(timings, "run_id").select("run_id", F.col("n").alias("n_timed"), "mean_ms", "std_ms", "p50_ms", "p95_ms", "fps")
+    cost = timings.groupBy("run_id").agg(F.avg("inference_cost").alias("cost_mean"))
+    s = selections.groupBy("run_id").agg(F.avg("n_regions").alias("regions_mean"), F.avg("area_ratio").alias("area_ratio_mean"), F.avg((F.col("n_regions") > 0).cast("double")).alias("active_share"))
+    c = candidates.groupBy("run_id").agg(F.count("*").alias("n_candidates"), F.avg("q").alias("q_mean"), F.avg((F.col("q") > 0).cast("double")).alias("useful_share"), F.count_if("chosen").alias("n_chosen"))
+    out = runs.join(t, "run_id", "left").join(cost, "run_id", "left").join(s, "run_id", "left").join(c, "run_id", "left").fillna(0, ["n_candidates", "n_chosen"])
+    gain = F.col("ap") - F.col("baseline_ap")
+    extra = F.col("mean_ms") - F.coalesce("baseline_ms", "mean_ms")
+    return out.withColumns({"extra_ms_per_ap": F.when(gain > 0, extra / gain), "extra_cost_per_ap": F.when(gain > 0, (F.col("cost_mean") - 1) / gain)})
+
+
 def median_mad(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, median and median absolute deviation over all rows; values are ranked in passes, never held together."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))

@@ -184,3 +184,11 @@ def score_floor_sweep(matches: DataFrame, npos: DataFrame, keys: list[str], floo
     ap = average_precision(swept, levels, [*keys, "floor"])
     lowest = ap.where(F.col("floor") == min(floors)).select(*keys, F.col("ap").alias("_low"))
     return ap.join(lowest, keys).select(*keys, "floor", "ap", (F.col("ap") - F.col("_low")).alias("change"))
+
+
+def floor_deltas(swept: DataFrame, keys: list[str], run: str, baseline: str, method: str) -> DataFrame:
+    """keys, floor, delta of AP between two runs at every floor, and whether it is positive at all of them; ``swept`` has (run, keys, floor, ap)."""
+    a, b = (swept.where(F.col(run) == name).select(*keys, "floor", F.col("ap").alias(c)) for name, c in ((baseline, "_a"), (method, "_b")))
+    d = a.join(b, [*keys, "floor"]).select(*keys, "floor", (F.col("_b") - F.col("_a")).alias("delta"))
+    every = d.groupBy(*keys).agg((F.min("delta") > 0).alias("positive_at_all"), F.min("delta").alias("least_delta")) if keys else d.agg((F.min("delta") > 0).alias("positive_at_all"), F.min("delta").alias("least_delta"))
+    return d.join(every, keys) if keys else d.crossJoin(F.broadcast(every))  # one row

@@ -233,9 +233,16 @@ def partition_components(sizes: DataFrame, target: int, seed: int) -> DataFrame:
 
 
 def partition_audit(members: DataFrame) -> DataFrame:
-    """role, members, components, hashes that another role also has."""
+    """role, members, components, hashes that another role also has, and components that are not whole: another role has members of them too."""
     cross = members.groupBy("sha").agg(F.count_distinct("role").alias("roles")).where("roles > 1").select("sha", F.lit(1).alias("leak"))
-    return members.join(cross, "sha", "left").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("component").alias("n_components"), F.count("leak").alias("n_leaks"))
+    split = members.groupBy("component").agg(F.count_distinct("role").alias("roles")).where("roles > 1").select("component", F.col("component").alias("broken"))
+    marked = members.join(cross, "sha", "left").join(split, "component", "left")
+    return marked.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("component").alias("n_components"), F.count("leak").alias("n_leaks"), F.count_distinct("broken").alias("n_broken"))
+
+
+def component_sizes(members: DataFrame) -> DataFrame:
+    """size, n_components: how many components have how many members."""
+    return members.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_components"))
 
 
 def compose_training_set(target: DataFrame, replay: DataFrame, views: list[str], repeats: int, extra_views: list[str], n_extra: int) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from . import segments as S
 
 SIDES = ["x1", "y1", "x2", "y2"]
@@ -237,12 +238,30 @@ def fuse_reference(boxes: DataFrame, threshold: float) -> DataFrame:
     return S.segmented(boxes, ["image_id"], ["category_id", F.desc("score"), *SIDES, "det_id"], kernel, FUSED)
 
 
-def fuse(boxes: DataFrame, method: str, publish: float, **options: float) -> DataFrame:
-    """Choose the plan by name; images without crop boxes only pass the publishing threshold."""
+def published(fused: DataFrame, images: DataFrame) -> DataFrame:
+    """Fused boxes clipped to their images (``clip_fused``): a box that would move by more than a pixel, a number that is none, a
+    score outside 0 to 1 and an unknown image are errors; boxes left with less than a pixel of width or height go."""
+    df = fused.join(images.select(F.col("image_id").alias("_image"), "width", "height"), F.col("image_id") == F.col("_image"), "left")
+    numbers = F.array(*SIDES, "score")
+    finite = ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    box = G.Box.of()
+    inside = G.clip(box, F.col("width"), F.col("height"))
+    wrong = (
+        F.when(F.col("_image").isNull(), "unknown image").when(~finite, "not a number").when(G.largest_shift(box, inside) > 1.0 + 1e-9, "far outside").when((F.col("score") < 0) | (F.col("score") > 1), "score")
+    )
+    told = F.concat(F.lit("fused box of image "), F.col("image_id").cast("string"), F.lit(": "), wrong)
+    clipped = df.withColumns(dict(zip(["_x1", "_y1", "_x2", "_y2"], inside, strict=True)))
+    clipped = clipped.where(F.when(wrong.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.expr("_x2 - _x1 >= 1 AND _y2 - _y1 >= 1")))
+    return clipped.select("image_id", "category_id", "score", *[F.col(f"_{c}").alias(c) for c in SIDES], "source")
+
+
+def fuse(boxes: DataFrame, method: str, publish: float, images: DataFrame | None = None, **options: float) -> DataFrame:
+    """Choose the plan by name; images without crop boxes only pass the publishing threshold.  With ``images`` what comes out is clipped and checked (``published``)."""
     kernels = {"hard_nms": hard_nms, "soft_nms": soft_nms, "wbf": weighted_box_fusion, "anchored_wbf": anchored_wbf}
     if method not in kernels:
         raise ValueError(f"unknown fusion method {method}")
     crops = boxes.where("source = 'local'").select("image_id").distinct()
     fused = kernels[method](boxes.join(crops, "image_id", "left_semi"), publish=publish, **options)
     plain = boxes.join(crops, "image_id", "left_anti").where(F.col("score") >= publish)
-    return fused.unionByName(plain.select(F.col("image_id").cast("long"), "category_id", "score", *SIDES, "source"))
+    out = fused.unionByName(plain.select(F.col("image_id").cast("long"), "category_id", "score", *SIDES, "source"))
+    return out if images is None else published(out, images)

@@ -63,6 +63,18 @@ def hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     return placed.join(F.broadcast(before), "_b").withColumn("position", F.col("_before") + inside - 1).drop("_h", "_b", "_before")
 
 
+def compare_orders(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows two orders (key, position) of one set have, how many keys stand at the same position in both and how
+    many are displaced, whether both hold the same keys equally often, and whether each key stands once."""
+    from ..functions.hashing import fingerprint
+
+    left, right = a.select("position", F.col(key).alias("ka")), b.select("position", F.col(key).alias("kb"))
+    places = left.join(right, "position", "full_outer").agg(F.count("ka").alias("n"), F.count_if(F.col("ka") == F.col("kb")).alias("positional_matches"), F.count_if(~F.col("ka").eqNullSafe(F.col("kb"))).alias("displaced"))
+    same = fingerprint(a.select(key), [key]).select(F.col("fingerprint").alias("fa")).crossJoin(fingerprint(b.select(key), [key]).select(F.col("fingerprint").alias("fb")))
+    once = a.groupBy(key).count().agg((F.coalesce(F.max("count"), F.lit(0)) <= 1).alias("distinct_keys"))
+    return places.crossJoin(same).crossJoin(once).select("n", "positional_matches", "displaced", (F.col("fa") == F.col("fb")).alias("same_multiset"), "distinct_keys")  # one row each
+
+
 def every_nth(frames: DataFrame, k: int) -> DataFrame:
     return frames.where(F.col("frame_index") % k == 0)
 

@@ -15,9 +15,11 @@ from ..sources.shared import written
 from .coco_eval import EPS, score_ranges
 
 
-def draws(spark, n_resamples: int, n_units: int, seed: int) -> DataFrame:
-    """resample, unit (0..n-1), m: how often each unit is drawn.  A draw depends only on (seed, resample, number), so any range of resamples can be made anywhere."""
-    r = spark.range(n_resamples).select(F.col("id").cast("int").alias("resample"))
+def draws(spark, n_resamples: int, n_units: int, seed: int, resamples: DataFrame | None = None) -> DataFrame:
+    """resample, unit (0..n-1), m: how often each unit is drawn.  A draw depends only on (seed, resample, number), so any of the
+    resamples (a table with that column) can be made anywhere.  Units x resamples rows are counted on their way, so units are
+    groups or images by the ten thousand, not by the hundred million."""
+    r = (spark.range(n_resamples).withColumnRenamed("id", "resample") if resamples is None else resamples).select(F.col("resample").cast("int").alias("resample"))
     each = r.select("resample", F.explode(F.sequence(F.lit(0), F.lit(n_units - 1))).alias("j"))
     unit = F.pmod(stable_hash(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("j").cast("string"))), F.lit(n_units))
     return each.groupBy("resample", unit.cast("int").alias("unit")).agg(F.count("*").cast("int").alias("m"))
@@ -237,15 +239,51 @@ def factorial_2x2(deltas: DataFrame, first: str, second: str) -> DataFrame:
     return p.select("seed", "resample", F.inline(F.array(F.struct(F.lit("main").alias("effect"), ((a + b) / 2).alias("delta")), F.struct(F.lit("interaction").alias("effect"), (a - b).alias("delta")))))
 
 
-def leave_one_group_out(matches: DataFrame, npos: DataFrame, clusters: DataFrame) -> DataFrame:
-    """AP without each cluster: one weighting a cluster, which gives it 0 and the others 1.  Clusters are registered groups, few enough for a square matrix."""
+def _all_but_one(spark, n: int) -> np.ndarray | DataFrame:
+    """n + 1 weightings of n units: weighting k leaves unit k out, the last one none."""
+    if 2 * n * (n + 1) <= WHOLE_MATRIX:
+        return 1 - np.eye(n, n + 1, dtype=np.uint16)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k in b["unit"]:
+                row = np.ones(n + 1, np.uint16)
+                row[k] = 0
+                out.append(row.tobytes())
+            yield pd.DataFrame({"unit": b["unit"], "m": pd.Series(out, dtype=object)})
+
+    return spark.range(n).select(F.col("id").cast("int").alias("unit")).mapInPandas(rows, "unit int, m binary")
+
+
+def leave_one_group_out(matches: dict[str, DataFrame], npos: DataFrame, clusters: DataFrame, baseline: str, method: str) -> DataFrame:
+    """omitted, baseline_ap, method_ap, delta, shift (from the delta of all) for each cluster left out; all runs in one walk.
+
+    Clusters are registered groups: their names are numbered on the driver."""
+    spark = npos.sparkSession
     units = sorted(r[0] for r in clusters.select("unit").distinct().collect())
-    numbers = npos.sparkSession.createDataFrame(list(enumerate(units)), "number int, omitted " + dict(clusters.dtypes)["unit"])
-    numbered = clusters.join(F.broadcast(numbers), F.col("unit") == F.col("omitted")).select("image_id", F.col("number").alias("unit"))
-    counts = npos.join(numbered, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
-    need = counts.join(F.broadcast(numbers), F.col("unit") != F.col("number")).groupBy(F.col("number").alias("resample"), "category_id").agg(F.sum("npos").alias("npos"))
-    ap = ap_under_weights(_of_runs({"all": matches}, numbered), need, len(units), 1 - np.eye(len(units), dtype=np.uint16))
-    return ap.join(F.broadcast(numbers), F.col("resample") == F.col("number")).groupBy("omitted").agg(F.avg("ap").alias("ap"))
+    n = len(units)
+    numbers = spark.createDataFrame(list(enumerate(units)), "number int, omitted " + dict(clusters.dtypes)["unit"])
+    numbered = clusters.join(numbers, F.col("unit") == F.col("omitted")).select("image_id", F.col("number").alias("unit"))
+    counts = written(npos.join(numbered, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos")), "positives")
+    total = counts.groupBy("category_id").agg(F.sum("npos").alias("all"))
+    ways = spark.range(n + 1).select(F.col("id").cast("int").alias("resample"))
+    own = counts.select(F.col("unit").alias("resample"), "category_id", "npos")
+    need = total.crossJoin(ways).join(own, ["resample", "category_id"], "left").select("resample", "category_id", (F.col("all") - F.coalesce("npos", F.lit(0))).alias("npos"))
+    ap = ap_under_weights(written(_of_runs(matches, numbered), "matches-of-runs"), need, n + 1, _all_but_one(spark, n)).groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
+    both = ap.groupBy("resample").pivot("run", [baseline, method]).agg(F.first("ap"))
+    both = written(both.select("resample", F.col(f"`{baseline}`").alias("baseline_ap"), F.col(f"`{method}`").alias("method_ap")).withColumn("delta", F.col("method_ap") - F.col("baseline_ap")), "left-out")
+    full = both.where(F.col("resample") == n).select(F.col("delta").alias("full_delta"))
+    out = both.join(numbers, F.col("resample") == F.col("number")).crossJoin(F.broadcast(full))  # one row
+    return out.select("omitted", "baseline_ap", "method_ap", "delta", (F.col("delta") - F.col("full_delta")).alias("shift"), "full_delta")
+
+
+def influence_summary(left_out: DataFrame) -> DataFrame:
+    """One row: the delta of all, the least and the greatest delta without a group, the group of the largest shift with that shift
+    and its delta (the least name of equals), and the share of positive deltas."""
+    worst = F.min(F.struct((-F.abs("shift")).alias("less"), "omitted", "delta"))
+    g = left_out.agg(F.first("full_delta").alias("full_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"), worst.alias("worst"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"))
+    return g.select("full_delta", "min_delta", "max_delta", (-F.col("worst.less")).alias("largest_shift"), F.col("worst.omitted").alias("most_influential"), F.col("worst.delta").alias("influential_delta"), "share_positive")
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -121,6 +121,29 @@ def compare_sources(a: DataFrame, b: DataFrame, key: str, payload: list[str]) ->
     return left.join(right, F.col("ka") == F.col("kb"), "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def compare_by_kind(a: DataFrame, b: DataFrame, key: list[str], kind: str, payload: list[str]) -> DataFrame:
+    """kind, keys of each status, and rows of each side: whether two sources of several kinds of rows are the same."""
+    from ..functions.hashing import row_hash
+
+    parts = [F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    rows = [df.select(*key, kind, row_hash(payload).alias("h")) for df in (a, b)]
+    # a key may have any number of rows: its payload is their number and the sums of their hashes, in whatever order they come
+    sides = [df.groupBy(*key, kind).agg(F.count("*").alias("n"), *parts).select(*key, kind, F.struct("n", *[f"s{k}" for k in range(4)]).alias(f"h{i}"), F.col("n").alias(f"n{i}")) for i, df in enumerate(rows)]
+    met = sides[0].join(sides[1], [*key, kind], "full_outer")
+    return met.groupBy(kind).agg(
+        F.count_if(F.col("h0") == F.col("h1")).alias("same"), F.count_if(F.col("h0") != F.col("h1")).alias("changed"), F.count_if(F.col("h1").isNull()).alias("only_left"), F.count_if(F.col("h0").isNull()).alias("only_right"),
+        F.coalesce(F.sum("n0"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("n1"), F.lit(0)).alias("right_rows"),
+    )
+
+
+def category_check(df: DataFrame, expected: list[int], column: str = "category_id") -> DataFrame:
+    """One row: the classes seen, those expected and not seen, those seen and not expected, and whether both sets are one."""
+    seen = df.agg(F.array_sort(F.collect_set(column)).alias("observed"))
+    want = F.array(*[F.lit(int(x)) for x in sorted(expected)]).cast("array<int>")
+    have = F.col("observed").cast("array<int>")
+    return seen.select(have.alias("observed"), F.array_except(want, have).alias("missing"), F.array_except(have, want).alias("unexpected"), (F.size(F.array_except(want, have)) + F.size(F.array_except(have, want)) == 0).alias("complete"))
+
+
 def tables_identical(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: rows of either table that the other lacks."""
     left = a.exceptAll(b).agg(F.count("*").alias("only_left"))
@@ -133,6 +156,50 @@ def accept_runs(runs: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return runs.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
+# The files that a finished run has, the fields that its configuration has, the splits that must not be tuned on.
+RUN_MARKER = "SUCCESS"
+RUN_ARTIFACTS = ["config_resolved.yaml", "data_manifest.json", "model_fingerprint.json", "metrics.json", "metrics_provenance.json", "predictions/final.coco.json"]
+RUN_FIELDS = ["dataset_name", "dataset_split", "detector_name", "detector_max_det", "method_name", "experiment_name", "runtime_tune"]
+RUN_HASHES = {"metrics_sha256": "metrics.json", "prediction_sha256": "predictions/final.coco.json", "config_sha256": "config_resolved.yaml"}
+TEST_SPLITS = ["test", "test-dev", "rddts"]
+
+
+def run_evidence(runs: DataFrame, artifacts: DataFrame, provenance: DataFrame, manifest: DataFrame, timings: DataFrame) -> DataFrame:
+    """Each run beside what its files, hashes, images and timing rows say.
+
+    ``runs``: run_id, the fields of ``RUN_FIELDS``, images_evaluated, model_sha256, annotation_sha256 (of the manifest; null: none);
+    ``artifacts``: run_id, path, sha256 of the files found; ``provenance``: run_id, the hashes of ``RUN_HASHES``, annotation_sha256;
+    ``manifest``: run_id, image_id; ``timings``: run_id (whose folder), row_run_id (what the row says)."""
+    found = artifacts.groupBy("run_id").agg(F.collect_set("path").alias("paths"), F.map_from_entries(F.collect_set(F.struct("path", "sha256"))).alias("hashes"))  # a handful of files a run
+    claims = provenance.select("run_id", *[F.col(h).alias(f"claimed_{h}") for h in (*RUN_HASHES, "annotation_sha256")])
+    images = manifest.groupBy("run_id").agg(F.count("*").alias("n_images"))
+    rows = timings.groupBy("run_id").agg(F.count("*").alias("n_timed"), F.count_if(~F.col("row_run_id").eqNullSafe(F.col("run_id"))).alias("n_foreign"))
+    out = runs
+    for more in (found, claims, images, rows):
+        out = out.join(more, "run_id", "left")
+    return out.fillna(0, ["n_images", "n_timed", "n_foreign"])
+
+
+def run_rules() -> list[tuple[str, Column]]:
+    """Rules of ``accept_runs`` over ``run_evidence``, in the order in which they are reported."""
+    has = lambda path: F.coalesce(F.array_contains("paths", path), F.lit(False))
+    every = F.lit(True)
+    for path in RUN_ARTIFACTS:
+        every = every & has(path)
+    fields = F.lit(True)
+    for name in RUN_FIELDS:
+        fields = fields & F.col(name).isNotNull()
+    split = F.lower("dataset_split")
+    tuned_test = (split.isin(TEST_SPLITS) | split.startswith("test-")) & F.col("runtime_tune")
+    proven = [(name, F.coalesce(F.col(f"claimed_{name}") == F.col("hashes")[path], F.lit(False))) for name, path in RUN_HASHES.items()]
+    return [
+        ("no success marker", has(RUN_MARKER)), ("missing artifact", every), ("missing configuration field", fields), ("tuned on a test split", ~F.coalesce(tuned_test, F.lit(False))), *proven,
+        ("no images", F.col("n_images") > 0), ("annotation_sha256", F.coalesce(F.col("annotation_sha256") == F.col("claimed_annotation_sha256"), F.lit(False))),
+        ("model fingerprint", F.coalesce(F.length("model_sha256") == 64, F.lit(False))), ("timing rows", F.col("n_timed") == F.col("n_images")), ("foreign timing rows", F.col("n_foreign") == 0),
+        ("evaluated images", F.coalesce(F.col("images_evaluated") == F.col("n_images"), F.lit(False))),
+    ]
+
+
 def fair_group(runs: DataFrame, group: str, hashes: list[str]) -> DataFrame:
     fair = [F.count_distinct(h) == 1 for h in hashes]
     out = fair[0]

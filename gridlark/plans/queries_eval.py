@@ -18,7 +18,8 @@ from ..plans import pipelines as C
 from ..registry import query
 from ..sources import readers as R
 from ..sources import writers as W
-from ..sources.shared import written
+from ..sources import stored as T
+from ..sources.shared import new_folder, written
 from .queries_geometry import CLIP
 from .queries_selection import WEIGHTS_U
 
@@ -91,9 +92,17 @@ def _(v):
     return out(M.fuse_reference(views(v, "base", "local"), 0.55))
 
 
+def clipped(df, v):
+    """Boxes as a detector gives them: inside their image."""
+    from ..functions import geometry as G
+
+    met = df.join(v.images.select("image_id", "width", "height"), "image_id")
+    return met.withColumns(dict(zip(SIDES, G.clip(G.Box.of(), F.col("width"), F.col("height")), strict=True))).select(*df.columns)
+
+
 @query("m10_fuse")
 def _(v):
-    return out(M.fuse(views(v, "base").unionByName(views(v, "local").where("region_id < 3")), "wbf", 0.25, **OPTIONS))
+    return out(M.fuse(clipped(views(v, "base", "local"), v), "wbf", 0.25, v.images, **OPTIONS))
 
 
 UTILITY_SQL = """WITH m AS (SELECT b.image_id, b.ann_id, b.det_id, b.score AS rs, CAST(b.ann_id % 10 AS DOUBLE)/10 AS ls, b.iou FROM best b),
@@ -134,7 +143,7 @@ def _(v):
     flip = C.unflipped(v.xy_flip, v.images)
     pairs = J.iou_join(v.xy_dt, flip, 0.3, "det_id", "det_id", same_class=True)
     levels = reduce(lambda a, b: a.unionByName(b), [K.greedy_match(pairs.where(F.col("iou") >= t)).withColumn("threshold", F.lit(t)) for t in (0.3, 0.5, 0.7)])
-    f = cross_view_features(v.xy_dt, flip, levels, v.images, CATEGORIES)
+    f = cross_view_features(v.xy_dt, flip, levels, v.images, CATEGORIES, pairs)
     return f.select("image_id", *r(*[c for c in f.columns if c != "image_id"]))
 
 
@@ -200,6 +209,23 @@ def _(v):
     return E.score_floor_sweep(sql_matches(v), npos(v), ["category_id"], FLOORS).select("category_id", "floor", *r("ap", "change"))
 
 
+@query("e6_floor_deltas", f"""WITH f_ AS (SELECT unnest([0.05e0, 0.25e0, 0.5e0]) AS floor), x_ AS (SELECT 'base' AS run, * FROM matches UNION ALL SELECT 'method', m.det_id, m.image_id, m.category_id, d.score, m.tp FROM matches m JOIN dt_method d ON d.det_id = m.det_id),
+m_ AS (SELECT floor, x_.* FROM x_, f_ WHERE score >= floor), n_ AS (SELECT run, floor, category_id, count(*) AS npos FROM gt, f_, (SELECT unnest(['base', 'method']) AS run) r GROUP BY ALL), {ap_sql('m_', ['run', 'category_id', 'floor'], 'n_')},
+d_ AS (SELECT a.category_id, a.floor, b.ap - a.ap AS delta FROM ap_ a JOIN ap_ b ON a.category_id = b.category_id AND a.floor = b.floor AND a.run = 'base' AND b.run = 'method')
+SELECT category_id, floor, round(delta, 6) AS delta, min(delta) OVER (PARTITION BY category_id) > 0 AS positive_at_all, round(min(delta) OVER (PARTITION BY category_id), 6) AS least_delta FROM d_""")
+def _(v):
+    runs = written(two_runs(v)["base"].withColumn("run", F.lit("base")).unionByName(two_runs(v)["method"].withColumn("run", F.lit("method"))).withColumn("weight", F.lit(1)), "matches-of-runs")
+    both = npos(v).withColumn("run", F.explode(F.array(F.lit("base"), F.lit("method"))))
+    swept = E.score_floor_sweep(runs, both, ["run", "category_id"], FLOORS)
+    return E.floor_deltas(swept, ["category_id"], "run", "base", "method").select("category_id", "floor", *r("delta"), "positive_at_all", *r("least_delta"))
+
+
+def two_runs(v):
+    """Matches of the base run, and the same boxes with the scores of the other."""
+    base = sql_matches(v).drop("weight")
+    return {"base": base, "method": base.drop("score").join(v.dt_method.select("det_id", "score"), "det_id").select(*base.columns)}
+
+
 @query("e7_score_grid", f"""WITH i_ AS (SELECT image_id, cluster_id % 5 AS scope FROM images), m_ AS (SELECT scope, m.* FROM matches m JOIN i_ USING (image_id)), n_ AS (SELECT scope, category_id, count(*) AS npos FROM gt JOIN i_ USING (image_id) GROUP BY ALL),
 {ap_sql('m_', ['scope', 'category_id'], 'n_')} SELECT scope, round(avg(ap), 6) AS ap FROM ap_ GROUP BY scope""")
 def _(v):
@@ -266,6 +292,18 @@ def _(v):
     return B.pending_resamples(v.deltas.select("method", "seed", "resample"), stored, ["method", "seed", "resample"]).select("method", "seed", "resample")
 
 
+@query("b4_stored_resamples", f"""WITH units_ AS ({UNITS}), d_ AS ({IMAGE_DRAWS}), p_ AS (SELECT i.unit, avg(a.score) AS a, avg(b.score) AS b, min(a.score) AS a2, min(b.score) AS b2 FROM units_ i JOIN dt a ON a.image_id = i.image_id JOIN dt_method b ON b.det_id = a.det_id GROUP BY 1)
+SELECT 'mean' AS contrast, CAST(resample AS INT) AS resample, round(sum((b - a)*m)/sum(m), 6) AS delta FROM p_ JOIN d_ USING (unit) GROUP BY resample UNION ALL SELECT 'least', CAST(resample AS INT), round(sum((b2 - a2)*m)/sum(m), 6) FROM p_ JOIN d_ USING (unit) GROUP BY resample""")
+def _(v):
+    """1,000 resamples of two contrasts in a stored table: one contrast has 350 of them from a run that was stopped, the rest is made by the next."""
+    a = v.dt.join(v.dt_method.select("det_id", F.col("score").alias("s2")), "det_id").join(image_units(v), "image_id")
+    pairs = a.groupBy("unit").agg(*[F.struct(each("score").alias("baseline"), each("s2").alias("method")).alias(n) for n, each in (("mean", F.avg), ("least", F.min))])
+    pairs = written(pairs.select("unit", F.inline(F.array(*[F.struct(F.lit(n).alias("contrast"), F.col(f"{n}.baseline"), F.col(f"{n}.method")) for n in ("mean", "least")]))), "pairs")
+    path, n_units = new_folder(v.spark, "deltas"), v.images.count()
+    T.stored_deltas(path, pairs.where("contrast = 'mean'"), n_units, 350, 11, B.weighted_mean_delta)
+    return T.stored_deltas(path, pairs, n_units, 1000, 11, B.weighted_mean_delta).select("contrast", "resample", *r("delta"))
+
+
 PV = "SELECT method, seed, least(1e0, 2*least((count(*) FILTER (delta <= 0) + 1)/(count(*) + 1), (count(*) FILTER (delta >= 0) + 1)/(count(*) + 1))) AS p FROM deltas GROUP BY method, seed"
 
 
@@ -321,11 +359,28 @@ def _(v):
     return B.factorial_2x2(v.deltas, "1-URGENT", "2-HIGH").select("seed", "resample", "effect", *r("delta"))
 
 
-@query("b12_leave_one_group_out", f"""WITH o_ AS (SELECT DISTINCT cluster_id AS omitted FROM images), m_ AS (SELECT omitted, m.* FROM matches m JOIN images i ON m.image_id = i.image_id JOIN o_ ON i.cluster_id <> omitted),
-n_ AS (SELECT omitted, category_id, count(*) AS npos FROM gt g JOIN images i ON g.image_id = i.image_id JOIN o_ ON i.cluster_id <> omitted GROUP BY ALL), {ap_sql('m_', ['omitted', 'category_id'], 'n_')} SELECT omitted, round(avg(ap), 6) AS ap FROM ap_ GROUP BY omitted""")
-def _(v):
+LEFT_OUT = f"""o_ AS (SELECT DISTINCT cluster_id AS omitted FROM images UNION ALL SELECT -1), x_ AS (SELECT 'base' AS run, * FROM matches UNION ALL SELECT 'method', m.det_id, m.image_id, m.category_id, d.score, m.tp FROM matches m JOIN dt_method d ON d.det_id = m.det_id),
+m_ AS (SELECT omitted, x_.* FROM x_ JOIN images i ON x_.image_id = i.image_id JOIN o_ ON i.cluster_id <> omitted),
+n_ AS (SELECT run, omitted, category_id, count(*) AS npos FROM gt g JOIN images i ON g.image_id = i.image_id JOIN o_ ON i.cluster_id <> omitted, (SELECT unnest(['base', 'method']) AS run) r GROUP BY ALL), {ap_sql('m_', ['run', 'omitted', 'category_id'], 'n_')},
+l_ AS (SELECT omitted, avg(ap) FILTER (run = 'base') AS baseline_ap, avg(ap) FILTER (run = 'method') AS method_ap FROM ap_ GROUP BY omitted),
+d_ AS (SELECT *, method_ap - baseline_ap AS delta, (SELECT method_ap - baseline_ap FROM l_ WHERE omitted = -1) AS full_delta FROM l_ WHERE omitted <> -1)"""
+
+
+def left_out(v):
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
-    return B.leave_one_group_out(sql_matches(v).drop("weight"), n, v.images.select("image_id", F.col("cluster_id").alias("unit"))).select("omitted", *r("ap"))
+    return B.leave_one_group_out(two_runs(v), n, v.images.select("image_id", F.col("cluster_id").alias("unit")), "base", "method")
+
+
+@query("b12_leave_one_group_out", f"WITH {LEFT_OUT} SELECT omitted, round(baseline_ap, 6) AS baseline_ap, round(method_ap, 6) AS method_ap, round(delta, 6) AS delta, round(delta - full_delta + 1e-10, 6) AS shift FROM d_")
+def _(v):
+    return left_out(v).withColumn("shift", F.col("shift") + 1e-10).select("omitted", *r("baseline_ap", "method_ap", "delta", "shift"))
+
+
+@query("b12_influence_summary", f"""WITH {LEFT_OUT} SELECT round(any_value(full_delta), 6) AS full_delta, round(min(delta), 6) AS min_delta, round(max(delta), 6) AS max_delta, round(max(abs(delta - full_delta)), 6) AS largest_shift,
+arg_max(omitted, abs(delta - full_delta)) AS most_influential, round(arg_max(delta, abs(delta - full_delta)), 6) AS influential_delta, avg(CASE WHEN delta > 0 THEN 1e0 ELSE 0e0 END) AS share_positive FROM d_""")
+def _(v):
+    s = B.influence_summary(left_out(v))
+    return s.select(*r("full_delta", "min_delta", "max_delta", "largest_shift"), "most_influential", *r("influential_delta"), "share_positive")
 
 
 @query("b13_spearman", "WITH k AS (SELECT image_id, rank() OVER (PARTITION BY image_id ORDER BY d) + (count(*) OVER (PARTITION BY image_id, d) - 1)/2e0 AS x, rank() OVER (PARTITION BY image_id ORDER BY u) + (count(*) OVER (PARTITION BY image_id, u) - 1)/2e0 AS y FROM traits) SELECT image_id, round(corr(x, y) + 1e-10, 6) + 0e0 AS spearman FROM k GROUP BY image_id")
@@ -421,12 +476,17 @@ def _(v):
     return D.partition_components(sizes, 300, 20).groupBy("role").agg(F.count("*").alias("n_components"), F.sum("size").alias("n"))
 
 
-@query("d6_partition_audit", f"{COMPONENTS}, r_ AS (SELECT m.doc_id, m.sha, component, CASE WHEN component % 3 = 0 THEN 'B' ELSE 'A' END AS role FROM members m JOIN c_ USING (doc_id)), x_ AS (SELECT sha FROM r_ GROUP BY sha HAVING count(DISTINCT role) > 1) SELECT role, count(*) AS n, count(DISTINCT component) AS n_components, count(x_.sha) AS n_leaks FROM r_ LEFT JOIN x_ ON r_.sha = x_.sha GROUP BY role")
+@query("d6_partition_audit", f"{COMPONENTS}, r_ AS (SELECT m.doc_id, m.sha, component, CASE WHEN component % 3 = 0 THEN 'B' ELSE 'A' END AS role FROM members m JOIN c_ USING (doc_id)), x_ AS (SELECT sha FROM r_ GROUP BY sha HAVING count(DISTINCT role) > 1) SELECT role, count(*) AS n, count(DISTINCT component) AS n_components, count(x_.sha) AS n_leaks, CAST(0 AS BIGINT) AS n_broken FROM r_ LEFT JOIN x_ ON r_.sha = x_.sha GROUP BY role")
 def _(v):
     m = member_components(v).withColumn("role", F.when(F.col("component") % 3 == 0, "B").otherwise("A"))
     return D.partition_audit(m)
 
 
+@query("d6_component_sizes", f"{COMPONENTS} SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM c_ GROUP BY component) q GROUP BY size")
+def _(v):
+    return D.component_sizes(member_components(v))
+
+
 @query("d7_compose_training_set", """WITH t AS (SELECT image_id FROM images WHERE image_id % 3 <> 0), s AS (SELECT image_id FROM images WHERE image_id % 3 = 0 ORDER BY {SHA:concat('5:', image_id)}, image_id LIMIT 100)
 SELECT image_id, view, copy, 'target' AS role FROM t, (VALUES ('original'), ('fog')) v(view), (VALUES (0), (1)) c(copy) UNION ALL SELECT image_id, CASE (image_id-1) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'blur' ELSE 'rain' END, 0, 'target' FROM t
 UNION ALL SELECT image_id, 'extra', 0, 'target' FROM (SELECT image_id FROM t ORDER BY image_id LIMIT 50) q UNION ALL SELECT image_id, 'original', 0, 'replay' FROM s""")
@@ -566,29 +626,32 @@ def _(v):
     return ids.select("ann_id", F.col("coco_id").cast("long").alias("coco_id"), W.composite_id(F.col("image_id"), F.col("category_id")).alias("composite"))
 
 
-@query("s15_metric_table", "SELECT method, CAST(seed AS VARCHAR) AS seed, CAST(latency_mean_ms AS VARCHAR) AS latency_mean_ms FROM runs")
+@query("s15_metric_table", "SELECT method, CAST(seed AS VARCHAR) AS seed, rtrim(rtrim(printf('%.8f', latency_mean_ms), '0'), '.') AS latency_mean_ms FROM runs")
 def _(v):
-    t = W.metric_table(v.runs.select("seed", "method", "latency_mean_ms"), ["method", "seed"])
-    # whole numbers keep one decimal in the oracle's text
-    return t.withColumn("latency_mean_ms", F.when(F.instr("latency_mean_ms", ".") == 0, F.concat("latency_mean_ms", F.lit(".0"))).otherwise(F.col("latency_mean_ms")))
+    return W.metric_table(v.runs.select("seed", "method", "latency_mean_ms"), ["method", "seed"])
 
 
 @query("s16_upsert_manifest", "SELECT image_id, CASE WHEN cluster_id % 2 = 0 THEN 'val' ELSE 'train' END AS source_split, CASE WHEN cluster_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM images")
 def _(v):
+    """A stored manifest of two splits, one of which is written again."""
     base = v.images.select("image_id", F.when(F.col("cluster_id") % 2 == 0, "val").otherwise("train").alias("source_split"))
-    return W.upsert_manifest(base.withColumn("version", F.lit(1)), base.where("source_split = 'val'").withColumn("version", F.lit(2)), ["val"], ["image_id", "source_split"]).select("image_id", "source_split", "version")
+    path, key = new_folder(v.spark, "manifest"), ["image_id"]
+    T.upsert_splits(path, base.withColumn("version", F.lit(1)), ["train", "val"], key)
+    return T.upsert_splits(path, base.where("source_split = 'val'").withColumn("version", F.lit(2)), ["val"], key).select("image_id", "source_split", "version")
 
 
 @query("s17_merge_preserving", "SELECT method, seed, CASE WHEN seed < 3 THEN ap + 1 ELSE ap END AS ap FROM runs")
 def _(v):
-    old = v.runs.select("method", "seed", "ap")
-    return W.merge_preserving(old, old.where("seed < 3").withColumn("ap", F.col("ap") + 1), ["method", "seed"]).select("method", "seed", "ap")
+    old, path = v.runs.select("method", "seed", "ap"), new_folder(v.spark, "runs")
+    T.merge_stored(path, old, ["method", "seed"], "seed")
+    return T.merge_stored(path, old.where("seed < 3").withColumn("ap", F.col("ap") + 1), ["method", "seed"], "seed").select("method", "seed", "ap")
 
 
 @query("s17_replace_prefix", "SELECT method, seed, CASE WHEN method LIKE '1%' THEN 0e0 ELSE ap END AS ap FROM runs")
 def _(v):
-    old = v.runs.select("method", "seed", "ap")
-    return W.replace_prefix(old, old.where("method like '1%'").withColumn("ap", F.lit(0.0)), "method", "1")
+    old, path = v.runs.select("method", "seed", "ap"), new_folder(v.spark, "runs")
+    T.merge_stored(path, old, ["method", "seed"], "method")
+    return T.replace_stored_prefix(path, old.where("method like '1%'").withColumn("ap", F.lit(0.0)), "method", "1", "method").select("method", "seed", "ap")
 
 
 @query("s18_discover_runs", "SELECT method, seed, ap FROM runs WHERE seed IN (1, 2) AND method = '2-HIGH'")
@@ -599,7 +662,7 @@ def _(v):
 @query("s19_join_run_predictions", "SELECT method, seed, ap FROM runs")
 def _(v):
     x = v.runs.select("method", "seed", "ap")
-    return W.join_run_predictions(x.where("method < '3'"), x.where("method >= '3'"), "method")
+    return W.join_run_predictions(x.where("method < '3'"), x.where("method >= '3'"), "method", cover=["seed"])
 
 
 # ---- pixels and hooks
@@ -658,6 +721,18 @@ def _(v):
     return hooks.detect(pixel_table(v), bright_boxes).select("image_id", "category_id", *r("score", *SIDES))
 
 
+@query("u2_checked_detector")
+def _(v):
+    """With an IoU for the model's own suppression, and the output held against the rules for detections."""
+
+    def make():
+        predict = bright_boxes()
+        return lambda batch, conf, iou, max_det: predict(batch)
+
+    images = pixel_table(v)
+    return hooks.detect_checked(images, make, [1], conf=0.1, iou=0.5, max_det=10).select("image_id", "category_id", *r("score", *SIDES))
+
+
 @query("u3_user_image_operation")
 def _(v):
     kernels = {"invert": lambda image, value, seed: 255 - image}

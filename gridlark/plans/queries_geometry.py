@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import hashing as H
+from ..functions.categories import attribute_flags, remap_audit, remap_category
 from ..registry import query
 
 W, H_ = 1920, 1080
@@ -188,13 +189,21 @@ def _(v):
 
 @query("g21_remap_category", "SELECT CASE category_id WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE 30 END AS category_id, count(*) AS n_after, min(category_id) AS was FROM dt GROUP BY 1")
 def _(v):
-    table = F.create_map(*[F.lit(x) for pair in ((1, 10), (2, 20), (3, 30)) for x in pair])
-    after = v.dt.withColumn("was", F.col("category_id")).withColumn("category_id", table[F.col("category_id")])
+    after = remap_category(v.dt.withColumn("was", F.col("category_id")), {1: 10, 2: 20, 3: 30})
     return after.groupBy("category_id").agg(F.count("*").alias("n_after"), F.min("was").alias("was"))
 
 
-@query("g22_attribute_flags", "SELECT image_id, image_id % 2 = 1 AS night, CAST(floor(image_id/2) AS BIGINT) % 2 = 1 AS fog, CAST(floor(image_id/4) AS BIGINT) % 2 = 1 AS rain, (image_id % 2) + (CAST(floor(image_id/2) AS BIGINT) % 2) + (CAST(floor(image_id/4) AS BIGINT) % 2) = 1 AS exactly_one FROM images")
+@query("g21_remap_audit", "SELECT CAST(category_id AS INT) AS source, CAST(category_id*10 AS INT) AS target, count(*) AS n_before, count(*) AS n_after, true AS others_unchanged, true AS same_count FROM dt GROUP BY category_id")
+def _(v):
+    mapping = {1: 10, 2: 20, 3: 30}
+    return remap_audit(v.dt, remap_category(v.dt, mapping), mapping)
+
+
+FLAGS = "SELECT image_id, image_id % 2 = 1 AS night, CAST(floor(image_id/2) AS BIGINT) % 2 = 1 AS fog, CAST(floor(image_id/4) AS BIGINT) % 2 = 1 AS rain FROM images"
+
+
+@query("g22_attribute_flags", f"SELECT *, CAST(night AS INT) + CAST(fog AS INT) + CAST(rain AS INT) = 1 AS exactly_one, fog OR rain AS wet FROM ({FLAGS}) q")
 def _(v):
     bits = F.transform(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda p: F.floor(F.col("image_id") / p) % 2)
-    df = v.images.select("image_id", bits.alias("bits"))
-    return df.select("image_id", *[(F.get("bits", i) == 1).alias(n) for i, n in enumerate(("night", "fog", "rain"))], (F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x) == 1).alias("exactly_one"))
+    names = ["night", "fog", "rain"]
+    return v.images.select("image_id", bits.alias("bits")).select("image_id", *attribute_flags(F.col("bits"), names, {"exactly_one": names}, {"wet": ["fog", "rain"]}))

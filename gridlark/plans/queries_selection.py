@@ -165,6 +165,13 @@ def _(v):
     return S.hash_order(v.images, "image_id", 7).select("image_id", F.col("position").cast("long").alias("position"))
 
 
+@query("t6_compare_orders", """WITH a AS (SELECT image_id, row_number() OVER (ORDER BY {SHA:concat('7:', image_id)}, image_id) AS k FROM images), b AS (SELECT image_id, row_number() OVER (ORDER BY {SHA:concat('8:', image_id)}, image_id) AS k FROM images)
+SELECT count(*) AS n, count(*) FILTER (a.image_id = b.image_id) AS positional_matches, count(*) FILTER (a.image_id <> b.image_id) AS displaced, true AS same_multiset, true AS distinct_keys FROM a JOIN b USING (k)""")
+def _(v):
+    a, b = (S.hash_order(v.images.select("image_id"), "image_id", seed) for seed in (7, 8))
+    return S.compare_orders(a, b, "image_id")
+
+
 @query("t7_every_nth", "SELECT sequence, frame_index FROM frames WHERE frame_index % 5 = 0")
 def _(v):
     return S.every_nth(v.frames, 5).select("sequence", "frame_index")

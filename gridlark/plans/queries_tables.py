@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import validate as V
@@ -88,6 +88,20 @@ def _(v):
     return V.compare_sources(v.dt.where("det_id % 10 <> 0"), v.dt_method.where("det_id % 11 <> 0"), "det_id", ["x", "y", "score"])
 
 
+@query("v11_compare_by_kind", """WITH a AS (SELECT det_id % 50 AS k, category_id AS kind, det_id, x, score FROM dt WHERE det_id % 50 <> 7), b AS (SELECT det_id % 50 AS k, category_id AS kind, det_id, x, score FROM dt_method WHERE det_id % 50 <> 9),
+ga AS (SELECT k, kind, count(*) AS n, string_agg(concat(det_id, '|', x, '|', score), ',' ORDER BY det_id) AS h FROM a GROUP BY ALL), gb AS (SELECT k, kind, count(*) AS n, string_agg(concat(det_id, '|', x, '|', score), ',' ORDER BY det_id) AS h FROM b GROUP BY ALL),
+j AS (SELECT coalesce(ga.kind, gb.kind) AS kind, ga.h AS h0, gb.h AS h1, ga.n AS n0, gb.n AS n1 FROM ga FULL JOIN gb ON ga.k = gb.k AND ga.kind = gb.kind)
+SELECT kind, count(*) FILTER (h0 = h1) AS same, count(*) FILTER (h0 <> h1) AS changed, count(*) FILTER (h1 IS NULL) AS only_left, count(*) FILTER (h0 IS NULL) AS only_right, CAST(coalesce(sum(n0), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(n1), 0) AS BIGINT) AS right_rows FROM j GROUP BY kind""")
+def _(v):
+    a, b = (df.select((F.col("det_id") % 50).alias("k"), F.col("category_id").alias("kind"), "det_id", "x", "score").where(F.col("k") != gone) for df, gone in ((v.dt, 7), (v.dt_method, 9)))
+    return V.compare_by_kind(a, b, ["k"], "kind", ["det_id", "x", "score"])
+
+
+@query("v11_category_check", "SELECT [1, 2, 3] AS observed, [5] AS missing, [3] AS unexpected, false AS complete FROM (SELECT count(DISTINCT category_id) AS n FROM dt) q WHERE n = 3")
+def _(v):
+    return V.category_check(v.dt, [1, 2, 5])
+
+
 @query("v12_tables_identical", "WITH a AS (SELECT det_id, x, score FROM dt), b AS (SELECT det_id, x, score FROM dt_method) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0 AS identical")
 def _(v):
     return V.tables_identical(v.dt.select("det_id", "x", "score"), v.dt_method.select("det_id", "x", "score"))
@@ -154,7 +168,8 @@ METHODS = ("1-URGENT", "2-HIGH")
 
 @query("j7_paired_runs", "SELECT a.seed, a.ap AS baseline, b.ap AS candidate, round(b.ap - a.ap, 9) AS delta FROM runs a JOIN runs b ON a.seed = b.seed WHERE a.method = '1-URGENT' AND b.method = '2-HIGH'")
 def _(v):
-    return J.paired_runs(v.runs, ["seed"], *METHODS, "ap").withColumn("delta", F.round("delta", 9))
+    weights = v.runs.withColumn("weights", F.sha2(F.col("seed").cast("string"), 256))  # the same weights for both runs of a seed
+    return J.paired_runs(weights, ["seed"], *METHODS, "ap", equal=["weights"]).withColumn("delta", F.round("delta", 9))
 
 
 @query("j8_ablation_long", "SELECT axis, level, metric, value FROM (SELECT 'seeds' AS axis, seed AS level, method, ap, eic_mean FROM runs WHERE seed IN (1,2,3) UNION ALL SELECT 'rest', seed, method, ap, eic_mean FROM runs WHERE seed IN (0,3)) r UNPIVOT (value FOR metric IN (ap, eic_mean))")
@@ -237,6 +252,34 @@ def _(v):
     return A.timing_summary(v.timings, "model_id").select("model_id", "n", *r("mean_ms", "mean_without_load_ms", "std_ms", "p50_ms", "p95_ms", "fps", "max_ms"))
 
 
+@query("v13_run_evidence", """WITH i AS (SELECT image_id, CAST(image_id % 12 AS INT) AS run_id FROM images), g AS (SELECT run_id, count(*) AS n FROM i GROUP BY run_id)
+SELECT run_id, CASE run_id WHEN 1 THEN 'no success marker' WHEN 2 THEN 'missing artifact' WHEN 3 THEN 'missing configuration field' WHEN 4 THEN 'tuned on a test split' WHEN 5 THEN 'config_sha256' WHEN 6 THEN 'annotation_sha256' WHEN 7 THEN 'model fingerprint'
+ WHEN 8 THEN 'timing rows' WHEN 9 THEN 'foreign timing rows' WHEN 10 THEN 'evaluated images' END AS reason, run_id IN (0, 11) AS accepted, n AS n_images FROM g""")
+def _(v):
+    """Runs made of the images, each of ten with one fault."""
+    i = v.images.select("image_id", (F.col("image_id") % 12).cast("int").alias("run_id"))
+    n = i.groupBy("run_id").agg(F.count("*").alias("n"))
+    sha = lambda *parts: F.sha2(F.concat_ws("/", *[F.col("run_id").cast("string"), *map(F.lit, parts)]), 256)
+    fault = lambda k, bad, good: F.when(F.col("run_id") == k, bad).otherwise(good)
+    text = {c: F.lit("x") for c in V.RUN_FIELDS if c not in ("dataset_split", "method_name", "runtime_tune")}
+    runs = n.select(
+        "run_id", *[c.alias(k) for k, c in text.items()], fault(4, F.lit("test-a"), F.lit("val")).alias("dataset_split"), fault(3, F.lit(None), F.lit("m")).alias("method_name"), (F.col("run_id") == 4).alias("runtime_tune"),
+        fault(10, F.col("n") + 1, F.col("n")).alias("images_evaluated"), fault(7, F.lit("short"), sha("model")).alias("model_sha256"), sha("annotation").alias("annotation_sha256"),
+    )
+    files = n.select("run_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), sha(p).alias("sha256")) for p in (V.RUN_MARKER, *V.RUN_ARTIFACTS)])).alias("f")).select("run_id", "f.path", "f.sha256")
+    files = files.where(~((F.col("run_id") == 1) & (F.col("path") == V.RUN_MARKER)) & ~((F.col("run_id") == 2) & (F.col("path") == "metrics.json")))
+    claims = n.select("run_id", *[fault(5, F.lit("other"), sha(p)).alias(h) if h == "config_sha256" else sha(p).alias(h) for h, p in V.RUN_HASHES.items()], fault(6, F.lit("other"), sha("annotation")).alias("annotation_sha256"))
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("image_id")) == 1
+    timed = i.withColumn("first", first).where(~((F.col("run_id") == 8) & F.col("first"))).select("run_id", F.when((F.col("run_id") == 9) & F.col("first"), F.lit(0)).otherwise(F.col("run_id")).alias("row_run_id"))
+    return V.accept_runs(V.run_evidence(runs, files, claims, i, timed), V.run_rules()).select("run_id", "reason", "accepted", "n_images")
+
+
+@query("a4_stage_summary", "SELECT model_id, count(*) AS n, round(avg(total_ms - total_ms/8), 6) AS mean_without_load_ms, round(avg(total_ms/4), 6) AS base_ms_mean, round(avg(total_ms/2), 6) AS crop_ms_mean, max(event_id % 1000) AS peak_memory FROM timings GROUP BY model_id")
+def _(v):
+    t = v.timings.withColumns({"load_ms": F.col("total_ms") / 8, "base_ms": F.col("total_ms") / 4, "crop_ms": F.col("total_ms") / 2, "memory_mb": F.col("event_id") % 1000})
+    return A.timing_summary(t, "model_id", load="load_ms", stages=["base_ms", "crop_ms"], memory="memory_mb").select("model_id", "n", *r("mean_without_load_ms", "base_ms_mean", "crop_ms_mean"), "peak_memory")
+
+
 @query("a5_repeat_statistics", "SELECT method, seed, round(avg(ap) OVER (PARTITION BY method), 6) AS ap_mean, round(stddev_pop(ap) OVER (PARTITION BY method), 6) AS ap_std, string_agg(CAST(seed AS VARCHAR), ',') OVER (PARTITION BY method ORDER BY CAST(seed AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS repeat_ids FROM runs")
 def _(v):
     return A.repeat_statistics(v.runs, ["method"], "ap", "seed").select("method", "seed", *r("ap_mean", "ap_std"), "repeat_ids")
@@ -247,6 +290,26 @@ def _(v):
     return A.gain_cost(v.runs, "1-URGENT").select("method", "seed", "ap", *r("ms_per_ap", "cost_per_ap", digits=2))
 
 
+EVIDENCE = """u AS (SELECT image_id, CAST(image_id % 4 AS INT) AS run_id FROM images), t AS (SELECT model_id AS run_id, image_id, total_ms, 1 + (event_id % 5)/4e0 AS inference_cost FROM timings)"""
+
+
+@query("a6_run_rows", f"""WITH {EVIDENCE}, b AS (SELECT run_id, CAST(run_id AS DOUBLE)/10 + 0.3e0 AS ap, 0.4e0 AS baseline_ap, 40e0 AS baseline_ms FROM u GROUP BY run_id),
+m AS (SELECT run_id, count(*) AS n_timed, avg(total_ms) AS mean_ms, quantile_cont(total_ms, 0.95) AS p95_ms, avg(inference_cost) AS cost_mean FROM t GROUP BY run_id),
+s AS (SELECT CAST(image_id % 4 AS INT) AS run_id, image_id, count(*) FILTER (u > 0.7e0) AS n, count(*) FILTER (u > 0.7e0)/16e0 AS area FROM traits GROUP BY ALL), sr AS (SELECT run_id, avg(n) AS regions_mean, avg(area) AS area_ratio_mean, avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END) AS active_share FROM s GROUP BY run_id),
+c AS (SELECT CAST(image_id % 4 AS INT) AS run_id, count(*) AS n_candidates, avg(d - u) AS q_mean, avg(CASE WHEN d - u > 0 THEN 1e0 ELSE 0e0 END) AS useful_share, count(*) FILTER (d - u > 0.5e0) AS n_chosen FROM traits GROUP BY 1)
+SELECT b.run_id, n_timed, round(mean_ms, 6) AS mean_ms, round(p95_ms, 6) AS p95_ms, round(regions_mean, 6) AS regions_mean, round(area_ratio_mean, 6) AS area_ratio_mean, round(active_share, 6) AS active_share, n_candidates, round(q_mean + 1e-10, 6) AS q_mean, round(useful_share, 6) AS useful_share, n_chosen,
+CASE WHEN ap > baseline_ap THEN round((mean_ms - baseline_ms)/(ap - baseline_ap), 3) END AS extra_ms_per_ap, CASE WHEN ap > baseline_ap THEN round((cost_mean - 1)/(ap - baseline_ap), 3) END AS extra_cost_per_ap
+FROM b JOIN m USING (run_id) JOIN sr USING (run_id) JOIN c USING (run_id)""")
+def _(v):
+    run = (F.col("image_id") % 4).cast("int").alias("run_id")
+    runs = v.images.select(run).distinct().select("run_id", (F.col("run_id").cast("double") / 10 + 0.3).alias("ap"), F.lit(0.4).alias("baseline_ap"), F.lit(40.0).alias("baseline_ms"))
+    timings = v.timings.select(F.col("model_id").alias("run_id"), "total_ms", (1 + (F.col("event_id") % 5) / 4.0).alias("inference_cost"))
+    chosen = v.traits.groupBy(run, "image_id").agg(F.count_if(F.col("u") > 0.7).alias("n_regions"), (F.count_if(F.col("u") > 0.7) / 16.0).alias("area_ratio"))
+    candidates = v.traits.select(run, (F.col("d") - F.col("u")).alias("q"), (F.col("d") - F.col("u") > 0.5).alias("chosen"))
+    rows = A.run_rows(runs, timings, chosen, candidates).withColumn("q_mean", F.col("q_mean") + 1e-10)
+    return rows.select("run_id", "n_timed", *r("mean_ms", "p95_ms", "regions_mean", "area_ratio_mean", "active_share"), "n_candidates", *r("q_mean", "useful_share"), "n_chosen", *r("extra_ms_per_ap", "extra_cost_per_ap", digits=3))
+
+
 @query("a7_trajectory_summary", """WITH j AS (SELECT r.*, r.ap - b.ap AS d FROM runs r JOIN runs b ON r.seed = b.seed AND b.method = '1-URGENT'), g AS (SELECT method, count(*) AS n, avg(ap) AS mean, stddev_samp(ap) AS std, min(ap) AS low, max(ap) AS high, avg(d) AS delta, stddev_samp(d) AS ds FROM j GROUP BY method)
 SELECT method, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high, round(delta, 6) AS delta, round(delta - 2.4469118487916806e0*ds/sqrt(n), 6) AS delta_low, round(delta + 2.4469118487916806e0*ds/sqrt(n), 6) AS delta_high FROM g""")
 def _(v):
@@ -280,6 +343,12 @@ def _(v):
     return A.outcome_summary(v.deltas, ["method"], "delta").select("method", "n", *r("mean_delta", "positive_rate", "harm_rate", "neutral_rate"))
 
 
+@query("a13_coordinate_ranges", "SELECT method, CAST(seed % 3 AS INT) AS coordinate, round(min(ap), 9) AS minimum, round(max(ap), 9) AS maximum, round(max(ap) - min(ap), 9) AS spread FROM runs GROUP BY ALL")
+def _(v):
+    cells = v.runs.withColumn("coordinate", (F.col("seed") % 3).cast("int"))
+    return A.coordinate_ranges(cells, ["method"], "coordinate", "ap").select("method", "coordinate", *r("minimum", "maximum", "spread", digits=9))
+
+
 @query("a13_allocation_profile", "WITH d AS (SELECT r.method, r.seed, round(r.ap - b.ap, 6) AS delta FROM runs r JOIN runs b ON r.seed = b.seed AND b.method = '1-URGENT') SELECT method, " + ", ".join(f"max(delta) FILTER (seed = {s}) AS seed_{s}" for s in range(7)) + " FROM d GROUP BY method")
 def _(v):
     p = A.allocation_profile(v.runs, "method", "seed", "ap", "1-URGENT", list(range(7)))
