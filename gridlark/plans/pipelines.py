@@ -103,13 +103,14 @@ def selective_regions(
     crop; without one the untouched boxes stay with q 0, or go if ``conservative``."""
     chosen = written(selected_regions(traits, base.join(local.select("det_id", "region_id"), "det_id")), "chosen-regions")
     cores = regions.join(chosen, CROP)
-    identity = mapped_local(local.join(chosen, CROP, "left_semi"), regions, images)
-    found = mapped_local(candidates.join(chosen, CROP, "left_semi"), regions, images)
+    # what follows reads each of these several times
+    identity = written(mapped_local(local.join(chosen, CROP, "left_semi"), regions, images), "untouched-crops")
+    found = written(mapped_local(candidates.join(chosen, CROP, "left_semi"), regions, images), "mended-crops")
     routed = select.route_operations(OPERATIONS, list(available), most_operations)
     attempts = components.join(chosen, CROP).select(*CROP, F.posexplode(routed).alias("round", "operation")).withColumn("round", F.col("round") + 1)
     references = written(crop_references(base, identity, cores, 0.55), "crop-references")
     scored = written(evaluated_attempts(references, found, attempts, publish, match_iou, crop, full), "attempts")
-    run = select.early_stop(scored.withColumn("unsupported", F.col("unsupported_fp")), CROP, *stop, first=1).drop("unsupported")
+    run = written(select.early_stop(scored.withColumn("unsupported", F.col("unsupported_fp")), CROP, *stop, first=1).drop("unsupported"), "rounds")
     best = select.choose_best(run, CROP).select(*CROP, "operation", F.col("q").alias("best_q"))
     plain = identity.join(best, CROP, "left_anti").withColumn("q", F.lit(0.0))
     mended = found.join(best, [*CROP, "operation"]).withColumn("q", F.col("best_q")).select(*identity.columns)
@@ -163,16 +164,17 @@ def best_regions(base: DataFrame, traits: DataFrame, regions: DataFrame, most: i
     return regions.join(chosen, ["image_id", "region_id"])
 
 
-def packed_view_fusion(base: DataFrame, packed: DataFrame, regions: DataFrame, images: DataFrame, traits: DataFrame, rate: float, cell: int = 320, publish: float = 0.25) -> DataFrame:
-    """Boxes found on a 2 x 2 canvas of the four most difficult regions, best first, mapped back, kept where they help, and fused."""
-    on = select.activate_fraction(traits.groupBy("image_id").agg(F.max("u").alias("gate")), rate).select("image_id")
+def packed_view_fusion(base: DataFrame, packed: DataFrame, regions: DataFrame, images: DataFrame, traits: DataFrame, gate: DataFrame, rate: float, cell: int = 320, publish: float = 0.25) -> DataFrame:
+    """Boxes found on a 2 x 2 canvas of the four most difficult regions, best first, mapped back, kept where they help, and fused; in the
+    share ``rate`` of images of largest ``gate`` (image_id, gate; see ``image_gate``)."""
+    on = written(select.activate_fraction(gate, rate).select("image_id"), "gated-images")
     slots = best_regions(base, traits, regions, 4).join(on, "image_id", "left_semi")
     slot = G.packed_slot(F.col("slot"), G.Box.of("r"), cell, cell)
     slots = slots.select(F.col("image_id").alias("s_image"), "region_id", *G.Box.of("r").named("r"), *slot.content.named("s_"), slot.scale_x.alias("sx"), slot.scale_y.alias("sy"))
     content = G.Box.of("s_")
     found = packed.join(slots, (F.col("image_id") == F.col("s_image")) & G.center_in(G.Box.of(), content)).where(G.inside_share(G.Box.of(), content) >= G.CORE_SHARE)
     back = G.from_slot(G.Box.of(), G.Slot(F.lit(0), content, F.col("sx"), F.col("sy")), G.Box.of("r"))
-    mapped = found.select("image_id", "det_id", "category_id", "score", "region_id", F.lit(0.1).alias("q"), *back.named())
+    mapped = written(found.select("image_id", "det_id", "category_id", "score", "region_id", F.lit(0.1).alias("q"), *back.named()), "canvas-boxes")
     pairs = joins.iou_join(base, mapped, 0.5, "det_id", "det_id")
     useful = matching.candidate_utility(base.join(on, "image_id", "left_semi"), mapped, matching.assignment_match(pairs), UTILITY, publish, 2.0, cell * 2, 1920).where("q > 0").select("image_id")
     union = fusion.with_source(base, "base").unionByName(fusion.with_source(mapped.join(useful, "image_id", "left_semi"), "local"))

@@ -797,7 +797,8 @@ def _(v):
 @query("c6_packed_view_fusion")
 def _(v):
     packed = v.xy_dt.select("image_id", "det_id", "category_id", "score", *[(F.col(c) / 3).alias(c) for c in SIDES])
-    return out(C.packed_view_fusion(v.xy_dt, packed, v.regions, v.images, v.traits, 0.3))
+    gate = C.image_gate(v.xy_local, v.regions, WEIGHTS_U)
+    return out(C.packed_view_fusion(v.xy_dt, packed, v.regions, v.images, v.traits, gate, 0.3))
 
 
 @query("c7_scout_escalation")
