@@ -86,7 +86,7 @@ def cell_coverage(df: DataFrame, axes: list[str]) -> DataFrame:
     grid = None
     for a in axes:  # each axis holds a few registered values
         values = df.select(a).distinct()
-        grid = values if grid is None else grid.crossJoin(F.broadcast(values))
+        grid = values if grid is None else grid.crossJoin(values)
     counts = df.groupBy(*axes).agg(F.count("*").alias("n"))
     full = grid.join(counts, axes, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.where("n <> 1").select(*axes, F.when(F.col("n") == 0, "missing").otherwise("duplicate").alias("problem"), F.col("n").cast("long").alias("n"))

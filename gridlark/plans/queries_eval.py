@@ -511,7 +511,7 @@ def folder(v, name):
     return new_folder(v.spark, name)
 
 
-@query("s1_read_coco")
+@query("s1_read_coco", "SELECT category_id, count(*) AS n, round(sum(w*h), 3) AS area FROM gt GROUP BY category_id")
 def _(v):
     path = folder(v, "coco")
     doc = lambda df, cols, name: df.agg(F.collect_list(F.struct(*cols)).alias(name))
@@ -548,12 +548,18 @@ def _(v):
     return R.parse_obb_labels(g.select("ann_id", line.alias("line")), ["c0", "c1", "c2", "c3"], ["c3"]).where("not skipped").select("ann_id", "class_name", *r(*SIDES, digits=8))
 
 
-@query("s5_track_xml")
+def documents(elements, part, root):
+    """A well-formed document for each part, its elements (``value``) inside one root; written one a file."""
+    whole = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("value"), ""), F.lit(f"</{root}>"))
+    return elements.groupBy(part.alias("part")).agg(whole.alias("value")).select("value")
+
+
+@query("s5_track_xml", "SELECT CASE WHEN event_id % 2 = 1 THEN 'outside' WHEN frame_index NOT BETWEEN 1 AND 20 THEN 'out_of_range' ELSE 'kept' END AS outcome, count(*) AS n FROM frames GROUP BY 1")
 def _(v):
     path = folder(v, "tracks")
     box = F.concat(F.lit('<box frame="'), F.col("frame_index").cast("string"), F.lit('" outside="'), (F.col("event_id") % 2).cast("string"), F.lit('" xtl="10" ytl="20" xbr="50" ybr="60" rotation="'), (F.col("event_id") % 90).cast("string"), F.lit('"/>')  )
     track = F.concat(F.lit('<track id="'), F.col("sequence").cast("string"), F.lit('" label="car">'), F.array_join(F.array_sort(F.collect_list(box)), ""), F.lit("</track>"))
-    v.frames.groupBy("sequence").agg(track.alias("value")).select("value").write.text(path)
+    documents(v.frames.groupBy("sequence").agg(track.alias("value")), F.floor(F.col("sequence") / 100), "annotations").write.option("maxRecordsPerFile", 1).text(path)
     return R.read_track_xml(v.spark, path, 1, 20, 1920, 1080).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -565,7 +571,7 @@ def _(v):
     return R.read_frame_json(v.spark, path, {1: 10, 2: 20, 3: 30}).groupBy("category_id", "dropped").agg(F.count("*").alias("n"))
 
 
-@query("s7_object_xml")
+@query("s7_object_xml", "SELECT CAST(category_id AS INT) AS category_id, CASE WHEN ann_id % 5 = 0 THEN 'unresolvable' ELSE 'box' END AS status, count(*) AS n, round(sum(CASE WHEN ann_id % 5 <> 0 THEN trunc(x2) - trunc(x1) END), 3) AS width FROM xy_gt GROUP BY ALL")
 def _(v):
     path = folder(v, "objects")
     n = lambda c: F.col(c).cast("int").cast("string")
@@ -575,7 +581,7 @@ def _(v):
     point = F.lit("<point><x>5</x><y>6</y></point>")
     k = F.col("ann_id") % 5
     body = F.when(k == 0, point).when(k < 3, bnd).otherwise(poly)
-    v.xy_gt.select(F.concat(F.lit("<object><name>c"), F.col("category_id").cast("string"), F.lit("</name>"), body, F.lit("</object>")).alias("value")).write.text(path)
+    v.xy_gt.select(F.concat(F.lit("<object><name>c"), F.col("category_id").cast("string"), F.lit("</name>"), body, F.lit("</object>")).alias("value"), F.floor(F.col("image_id") / 100).alias("part")).transform(lambda df: documents(df, F.col("part"), "annotation")).write.option("maxRecordsPerFile", 1).text(path)
     return R.read_object_xml(v.spark, path, {"c1": 1, "c2": 2, "c3": 3}).groupBy("category_id", "status").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x2") - F.col("x1")), 3).alias("width"))
 
 

@@ -87,10 +87,10 @@ TRACK = "_id long, _label string, box array<struct<_frame: int, _outside: int, _
 
 
 def read_track_xml(spark: SparkSession, path: str, first: int, last: int, width: int, height: int) -> DataFrame:
-    """Track boxes with an outcome: outside, out of range, empty after rotation, or kept with their hull."""
+    """Track boxes with an outcome: outside, out of range, empty after rotation, or kept with their hull.  A file that is no single well-formed document is an error."""
     from ..functions import geometry as G
 
-    rows = spark.read.format("xml").option("rowTag", "track").schema(TRACK).load(path).select(F.col("_id").alias("track_id"), F.col("_label").alias("label"), F.inline("box"))
+    rows = spark.read.format("xml").option("rowTag", "track").option("mode", "FAILFAST").schema(TRACK).load(path).select(F.col("_id").alias("track_id"), F.col("_label").alias("label"), F.inline("box"))
     b = G.Box(F.col("_xtl"), F.col("_ytl"), F.col("_xbr"), F.col("_ybr"))
     hull = G.rotated_enclosure(b, F.coalesce("_rotation", F.lit(0.0)), F.lit(width), F.lit(height))
     outcome = F.when(F.col("_outside") == 1, "outside").when(~F.col("_frame").between(first, last), "out_of_range").when(hull.x1.isNull(), "empty").otherwise("kept")
@@ -113,8 +113,8 @@ bndbox struct<xmin: double, ymin: double, xmax: double, ymax: double>, point str
 
 
 def read_object_xml(spark: SparkSession, path: str, labels: dict[str, int]) -> DataFrame:
-    """Objects with exactly one of polygon, bndbox or point; points have no box and are marked unresolvable."""
-    rows = spark.read.format("xml").option("rowTag", "object").schema(OBJECT).load(path)
+    """Objects with exactly one of polygon, bndbox or point; points have no box and are marked unresolvable.  A file that is no single well-formed document is an error."""
+    rows = spark.read.format("xml").option("rowTag", "object").option("mode", "FAILFAST").schema(OBJECT).load(path)
     n = sum((F.col(c).isNotNull().cast("int") for c in ("polygon", "bndbox", "point")), F.lit(0))
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     side = {
@@ -137,11 +137,11 @@ def read_predictions(spark: SparkSession, path: str, classes: dict[int, int]) ->
 
 
 def read_traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet where there is any under ``path``, otherwise JSON lines of the same schema."""
-    try:
-        return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if _has(spark, path, ".parquet") else spark.read.schema(schema).json(path)
-    except Exception as e:
-        raise ValueError(f"no traces under {path}") from e
+    """Parquet where there is any under ``path``, otherwise JSON lines of the same schema.  Only a folder that is not there means no traces."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise ValueError(f"no traces under {path}")
+    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if _has(spark, path, ".parquet") else spark.read.schema(schema).json(path)
 
 
 def _has(spark: SparkSession, path: str, suffix: str) -> bool:
