@@ -135,7 +135,9 @@ def envelope(df: DataFrame, keys: list[str]) -> DataFrame:
     tops = counted.groupBy(*keys, "_b").agg(F.max("_prec").alias("_m"))
     below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     rest = tops.select(*keys, "_b", F.coalesce(F.max("_m").over(below), F.lit(0.0)).alias("_rest"))
-    here = F.max("_prec").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    # the best precision from here on, as a running maximum of the reverse order: frames that end at the last row are quadratic
+    reverse = Window.partitionBy(*keys, "_b").orderBy("score", F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.max("_prec").over(reverse)
     return counted.join(rest, [*keys, "_b"]).withColumn("envelope", F.greatest(here, F.col("_rest"))).drop("_b", "_t0", "_n0", "_prec", "_rest")
 
 

@@ -211,7 +211,7 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, tie: str) -> Da
     w = Window.partitionBy(*family)
     rank = F.row_number().over(w.orderBy(p, tie))
     raw = df.withColumn("_s", F.col(p) * F.count("*").over(w) / rank)
-    return raw.withColumn("p_bh", F.least(F.lit(1.0), F.min("_s").over(w.orderBy(p, tie).rowsBetween(0, Window.unboundedFollowing)))).drop("_s")
+    return raw.withColumn("p_bh", F.least(F.lit(1.0), F.min("_s").over(w.orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
 def contrast_row(deltas: DataFrame, keys: list[str]) -> DataFrame:

@@ -163,9 +163,9 @@ ap_ AS (SELECT {k}, coalesce(ap, 0e0) AS ap, coalesce(top, 0)/npos AS recall FRO
 
 
 def sql_matches(v):
-    """Detections marked by the mutual-best table."""
+    """Detections marked by the mutual-best table; written, as what follows reads them more than once."""
     tp = best_pairs(v).select(F.col("right_id").alias("det_id"), F.lit(1).alias("hit"))
-    return v.dt.join(tp, "det_id", "left").select("det_id", "image_id", "category_id", "score", F.coalesce("hit", F.lit(0)).alias("tp"), F.lit(1).alias("weight"))
+    return written(v.dt.join(tp, "det_id", "left").select("det_id", "image_id", "category_id", "score", F.coalesce("hit", F.lit(0)).alias("tp"), F.lit(1).alias("weight")), "marked")
 
 
 def npos(v):
@@ -214,7 +214,8 @@ m_ AS (SELECT floor, x_.* FROM x_, f_ WHERE score >= floor), n_ AS (SELECT run,
 d_ AS (SELECT a.category_id, a.floor, b.ap - a.ap AS delta FROM ap_ a JOIN ap_ b ON a.category_id = b.category_id AND a.floor = b.floor AND a.run = 'base' AND b.run = 'method')
 SELECT category_id, floor, round(delta, 6) AS delta, min(delta) OVER (PARTITION BY category_id) > 0 AS positive_at_all, round(min(delta) OVER (PARTITION BY category_id), 6) AS least_delta FROM d_""")
 def _(v):
-    runs = written(two_runs(v)["base"].withColumn("run", F.lit("base")).unionByName(two_runs(v)["method"].withColumn("run", F.lit("method"))).withColumn("weight", F.lit(1)), "matches-of-runs")
+    two = two_runs(v)
+    runs = written(two["base"].withColumn("run", F.lit("base")).unionByName(two["method"].withColumn("run", F.lit("method"))).withColumn("weight", F.lit(1)), "matches-of-runs")
     both = npos(v).withColumn("run", F.explode(F.array(F.lit("base"), F.lit("method"))))
     swept = E.score_floor_sweep(runs, both, ["run", "category_id"], FLOORS)
     return E.floor_deltas(swept, ["category_id"], "run", "base", "method").select("category_id", "floor", *r("delta"), "positive_at_all", *r("least_delta"))
