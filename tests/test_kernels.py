@@ -383,8 +383,13 @@ def test_ap_bootstrap_is_slow_version(spark, monkeypatch, whole):
 
     want = {(k, b): slow(x, lambda i, b=b: drawn.get((b, i % n_units), 0)) for k, x in runs.items() for b in range(n)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    left = {x.omitted: x.ap for x in stats.leave_one_group_out(frames["a"], positives, units).collect()}
-    assert all(abs(left[u] - slow(runs["a"], lambda i, u=u: int(i % n_units != u))) < 1e-9 for u in range(n_units)) and len(left) == n_units
+    one, two = sorted(runs)[:2]
+    left = {x.omitted: x for x in stats.leave_one_group_out({k: frames[k] for k in (one, two)}, positives, units, one, two).collect()}
+    full = slow(runs[two], lambda i: 1) - slow(runs[one], lambda i: 1)
+    for u in range(n_units):
+        a, b = (slow(runs[k], lambda i, u=u: int(i % n_units != u)) for k in (one, two))
+        assert abs(left[u].baseline_ap - a) < 1e-9 and abs(left[u].method_ap - b) < 1e-9 and abs(left[u].shift - (b - a - full)) < 1e-9
+    assert len(left) == n_units
 
 
 def test_checks_of_pairs_and_registries(spark):
