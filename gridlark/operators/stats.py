@@ -4,30 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_hash
 from ..sources.shared import written
 from .coco_eval import EPS, score_ranges
 
 
+#: Units whose multiplicities travel together, and multiplicities that a task makes at a time.
+UNIT_BLOCK = 4096
+PART = 64  # units of a block that get their weights together
+DRAWN_AT_ONCE = 8_000_000
+#: Units up to which every task holds the rows of all blocks; beyond, blocks meet by a shuffle.
+WHOLE_UNITS = 2_000_000
+
+
+def drawn_blocks(spark, n_resamples: int, n_units: int, seed: int, resamples: DataFrame | None = None) -> DataFrame:
+    """resample, block, ms: how often each of the ``UNIT_BLOCK`` units of a block is drawn.  A draw depends only on (seed, resample,
+    number), so any of the resamples (a table with that column) can be made anywhere; a task makes whole resamples, some at a
+    time, and keeps four bytes a unit for each."""
+    at_once = max(1, min(16, DRAWN_AT_ONCE // max(1, n_units)))
+    tasks = -(-n_resamples // at_once)
+    r = spark.range(0, n_resamples, 1, tasks).select(F.col("id").cast("int").alias("resample")) if resamples is None else resamples.select(F.col("resample").cast("int").alias("resample")).repartition(tasks, "resample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            for i in range(0, len(numbers), at_once):
+                some = numbers[i : i + at_once]
+                counts = [np.zeros(n_units, np.int32) for _ in some]
+                for low in range(0, n_units, 1 << 16):
+                    names = [b"%d" % j for j in range(low, min(n_units, low + (1 << 16)))]
+                    for k, count in zip(some, counts, strict=True):
+                        front = f"{seed}|{k}|".encode()
+                        bits = np.frombuffer(b"".join([sha256(front + j).digest()[:8] for j in names]), ">u8") >> 4  # the first 60, as stable_hash
+                        units, m = np.unique(bits % n_units, return_counts=True)
+                        count[units.astype(np.int64)] += m.astype(np.int32)
+                for k, count in zip(some, counts, strict=True):
+                    starts = np.append(np.arange(0, n_units, UNIT_BLOCK), n_units).astype(np.int32)
+                    ms = pa.ListArray.from_arrays(pa.array(starts), pa.array(count))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ms), k, np.int32)), pa.array(np.arange(len(ms), dtype=np.int32)), ms], ["resample", "block", "ms"])
+
+    return r.mapInArrow(run, "resample int, block int, ms array<int>")
+
+
 def draws(spark, n_resamples: int, n_units: int, seed: int, resamples: DataFrame | None = None) -> DataFrame:
-    """resample, unit (0..n-1), m: how often each unit is drawn.  A draw depends only on (seed, resample, number), so any of the
-    resamples (a table with that column) can be made anywhere.  Units x resamples rows are counted on their way, so units are
-    groups or images by the ten thousand, not by the hundred million."""
-    r = (spark.range(n_resamples).withColumnRenamed("id", "resample") if resamples is None else resamples).select(F.col("resample").cast("int").alias("resample"))
-    each = r.select("resample", F.explode(F.sequence(F.lit(0), F.lit(n_units - 1))).alias("j"))
-    unit = F.pmod(stable_hash(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("j").cast("string"))), F.lit(n_units))
-    return each.groupBy("resample", unit.cast("int").alias("unit")).agg(F.count("*").cast("int").alias("m"))
+    """resample, unit (0..n-1), m: how often each unit is drawn (see ``drawn_blocks``)."""
+    each = drawn_blocks(spark, n_resamples, n_units, seed, resamples).select("resample", "block", F.posexplode("ms").alias("place", "m"))
+    return each.where("m > 0").select("resample", (F.col("block") * UNIT_BLOCK + F.col("place")).alias("unit"), "m")
+
+
+def resampled(rows: DataFrame, n_units: int, n_resamples: int, seed: int, resamples: DataFrame | None = None) -> DataFrame:
+    """``rows`` (with ``unit``) of each resample, with ``resample`` and ``m`` in place of the unit.  Rows meet the draws by blocks of
+    units, so a resample and a block are one row of the join."""
+    others = [c for c in rows.columns if c != "unit"]
+    held = F.collect_list(F.struct((F.col("unit") % UNIT_BLOCK).cast("int").alias("_place"), *others))  # the rows of UNIT_BLOCK units
+    blocks = rows.where(F.col("unit").between(0, n_units - 1)).groupBy(F.floor(F.col("unit") / UNIT_BLOCK).cast("int").alias("block")).agg(held.alias("_rows"))
+    met = drawn_blocks(rows.sparkSession, n_resamples, n_units, seed, resamples).join(F.broadcast(blocks) if n_units <= WHOLE_UNITS else blocks, "block")
+    return met.select("resample", "ms", F.inline("_rows")).select("resample", *others, F.get("ms", F.col("_place")).alias("m")).where("m > 0")
 
 
 def paired_bootstrap(pairs: DataFrame, n_units: int, n_resamples: int, seed: int, statistic: Callable[[Column, Column], Column]) -> DataFrame:
     """delta of a user statistic by resample.  ``pairs``: unit, baseline, method; the statistic gets the two columns and the multiplicity ``m``."""
-    drawn = pairs.join(draws(pairs.sparkSession, n_resamples, n_units, seed), "unit")
+    drawn = resampled(pairs.select("unit", "baseline", "method"), n_units, n_resamples, seed)
     return drawn.groupBy("resample").agg(statistic(F.col("baseline"), F.col("method")).alias("delta"))
 
 
@@ -153,17 +197,18 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
 def drawn_weights(spark, n_resamples: int, n_units: int, seed: int) -> np.ndarray | DataFrame:
     """The draws as a matrix where it is small, else as a table of one row a unit."""
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for where, m in zip(b["where"], b["m"], strict=True):
-                row = np.zeros(n_resamples, np.uint16)
-                row[np.asarray(where)] = np.asarray(m)
-                out.append(row.tobytes())
-            yield pd.DataFrame({"unit": b["unit"], "m": pd.Series(out, dtype=object)})
-
-    by_unit = draws(spark, n_resamples, n_units, seed).groupBy("unit").agg(F.collect_list(F.struct("resample", "m")).alias("d"))  # at most n_resamples a unit
-    table = by_unit.select("unit", F.col("d.resample").alias("where"), F.col("d.m").alias("m")).mapInPandas(dense, "unit int, m binary")
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, d in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ms = d.values.field("ms")
+                m = np.zeros((len(ms[0]), n_resamples), np.uint16)
+                m[:, d.values.field("resample").to_numpy()] = ms.flatten().to_numpy().reshape(len(ms), -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m), dtype=np.int32) + block * PART), pa.array([x.tobytes() for x in m], pa.binary())], ["unit", "m"])
+
+    by_part = drawn_blocks(spark, n_resamples, n_units, seed).select("resample", "block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(UNIT_BLOCK - 1), F.lit(PART)), lambda at: F.slice("ms", at + 1, PART))).alias("part", "ms")).where("size(ms) > 0")
+    by_part = by_part.select("resample", (F.col("block") * (UNIT_BLOCK // PART) + F.col("part")).alias("block"), "ms")
+    table = by_part.groupBy("block").agg(F.collect_list(F.struct("resample", "ms")).alias("d"))  # n_resamples x PART numbers
+    table = table.mapInArrow(dense, "unit int, m binary")
     if 2 * n_units * n_resamples > WHOLE_MATRIX:
         return written(table, "draws")
     matrix = np.zeros((n_units, n_resamples), np.uint16)
@@ -183,7 +228,7 @@ def ap_cluster_bootstrap(matches: dict[str, DataFrame], npos: DataFrame, cluster
     ``matches``: run -> (image_id, category_id, det_id, score, tp); ``npos``: image_id, category_id, npos; ``clusters``: image_id, unit (0 to n_clusters - 1)."""
     spark = npos.sparkSession
     by_unit = npos.join(clusters, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
-    need = by_unit.join(draws(spark, n_resamples, n_clusters, seed), "unit").groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
+    need = resampled(by_unit, n_clusters, n_resamples, seed).groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
     ap = ap_under_weights(written(_of_runs(matches, clusters), "matches-of-runs"), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
     return ap.groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
 
