@@ -83,7 +83,7 @@ def stored_deltas(path: str, pairs: DataFrame, n_units: int, n_resamples: int, s
     on with the next, and gives the rows of one that was not, as a draw depends on (seed, resample, number) alone.  Draws are
     made once for all contrasts that lack a block.  ``inputs`` is a digest of the contrast's pairs and the seed: when they
     change, its stored rows no longer count."""
-    from ..operators.stats import draws, pending_resamples
+    from ..operators.stats import pending_resamples, resampled
 
     spark = pairs.sparkSession
     pairs = written(pairs.select("contrast", "unit", "baseline", "method"), "pairs")
@@ -98,8 +98,10 @@ def stored_deltas(path: str, pairs: DataFrame, n_units: int, n_resamples: int, s
     if not open_.isEmpty():
         numbers = open_.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"))
         wanted = numbers.select((F.col("block") * block + F.col("i")).alias("resample")).where(F.col("resample") < n_resamples)
-        drawn = written(draws(spark, n_resamples, n_units, seed, wanted).withColumn("block", F.floor(F.col("resample") / block).cast("int")), "draws")
-        made = pairs.join(open_, "contrast").join(drawn, ["unit", "block"]).groupBy("contrast", "inputs", "resample", "block").agg(statistic(F.col("baseline"), F.col("method")).alias("delta"))
+        asked = open_.select("contrast", "inputs", F.col("block").alias("_asked"))
+        drawn = resampled(pairs.join(inputs, "contrast"), n_units, n_resamples, seed, wanted).withColumn("block", F.floor(F.col("resample") / block).cast("int"))
+        drawn = drawn.groupBy("contrast", "inputs", "resample", "block").agg(statistic(F.col("baseline"), F.col("method")).alias("delta"))
+        made = drawn.join(asked, (drawn["contrast"] == asked["contrast"]) & (drawn["inputs"] == asked["inputs"]) & (F.col("block") == F.col("_asked")), "left_semi")
         put_partitions(made.select("contrast", "inputs", "resample", "delta", "block"), path, ["contrast", "block"])
     whole = stored_table(spark, path, StructType.fromDDL(schema))
     return whole.join(inputs, ["contrast", "inputs"], "left_semi").where(F.col("resample") < n_resamples).select("contrast", "inputs", "resample", "delta")
