@@ -82,6 +82,11 @@ def image_hashes(images: DataFrame) -> DataFrame:
     return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, phashes array<long>, dhashes array<long>")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Joins of ``df`` shuffle both sides: labels and links pack so well in their files that Spark would send them through the driver, in every round again."""
+    return df.hint("merge")
+
+
 def near_edges(hashes: DataFrame, distance: int, key: str, kinds: list[str], whole: int = 2) -> DataFrame:
     """a, b, kind, distance: links that connect what the rule connects: two rows are near if any hash of one and any of the other, of
     the same kind (an array column), are at most ``distance`` bits apart.
@@ -93,7 +98,7 @@ def near_edges(hashes: DataFrame, distance: int, key: str, kinds: list[str], who
     arrays = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in kinds])
     each = hashes.select(key, F.inline(arrays)).select(key, "kind", F.explode("values").alias("h")).where("h is not null").distinct()
     owned = written(each.groupBy("kind", "h").agg(F.min(key).alias("owner")), "owners")
-    same = each.join(owned, ["kind", "h"]).where(F.col(key) > F.col("owner")).select(F.col("owner").alias("a"), F.col(key).alias("b"), "kind", F.lit(0).alias("distance"))
+    same = each.join(by_shuffle(owned), ["kind", "h"]).where(F.col(key) > F.col("owner")).select(F.col("owner").alias("a"), F.col(key).alias("b"), "kind", F.lit(0).alias("distance"))
     parts = distance + whole
     cuts = [64 * i // parts for i in range(parts + 1)]
     masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in some) for some in combinations(range(parts), whole)]
@@ -102,7 +107,7 @@ def near_edges(hashes: DataFrame, distance: int, key: str, kinds: list[str], who
     left = rows.select("kind", "choice", "bits", F.col("h").alias("ha"), F.col("owner").alias("oa"))
     right = rows.select("kind", "choice", "bits", F.col("h").alias("hb"), F.col("owner").alias("ob"))
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    near = left.join(right, ["kind", "choice", "bits"]).where((F.col("ha") < F.col("hb")) & (F.col("oa") != F.col("ob")) & (apart <= distance))
+    near = left.join(by_shuffle(right), ["kind", "choice", "bits"]).where((F.col("ha") < F.col("hb")) & (F.col("oa") != F.col("ob")) & (apart <= distance))
     near = near.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "kind", apart.alias("distance"))
     return same.unionByName(near).groupBy("a", "b", "kind").agg(F.min("distance").alias("distance"))
 
@@ -122,7 +127,7 @@ def hamming_pairs(hashes: DataFrame, distance: int, key: str, value: str) -> Dat
 def star_edges(df: DataFrame, key: str, group: str) -> DataFrame:
     """Links of every row to the smallest key of its group: as connecting as all pairs, but linear."""
     least = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return df.join(least.select(F.col(group).alias("_g"), "a"), F.col(group) == F.col("_g")).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+    return df.join(by_shuffle(least.select(F.col(group).alias("_g"), "a")), F.col(group) == F.col("_g")).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
 
 
 def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:
@@ -130,10 +135,10 @@ def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        low = written(label.join(near, F.col("v") == F.col("a")).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")), "labels")
+        near = both.join(by_shuffle(label.withColumnRenamed("v", "b")), "b").groupBy("a").agg(F.min("c").alias("m"))
+        low = written(label.join(by_shuffle(near), F.col("v") == F.col("a")).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")), "labels")
         up = low.select(F.col("v").alias("v2"), F.col("c").alias("c2"))
-        both_labels = written(low.join(up, F.col("c") == F.col("v2"), "left").select("v", "old", F.least("c", F.coalesce("c2", "c")).alias("c")), "labels")
+        both_labels = written(low.join(by_shuffle(up), F.col("c") == F.col("v2"), "left").select("v", "old", F.least("c", F.coalesce("c2", "c")).alias("c")), "labels")
         forget(label)
         forget(low)
         label = both_labels.select("v", "c")
@@ -141,7 +146,7 @@ def components(vertices: DataFrame, edges: DataFrame, key: str, rounds: int = 50
             break
     else:
         raise RuntimeError("components did not settle")
-    return vertices.select(key).join(label, F.col(key) == F.col("v"), "left").select(key, F.coalesce("c", key).alias("component"))
+    return vertices.select(key).join(by_shuffle(label), F.col(key) == F.col("v"), "left").select(key, F.coalesce("c", key).alias("component"))
 
 
 def component_id(members: DataFrame, component: str, sha: str) -> DataFrame:
@@ -236,7 +241,7 @@ def partition_audit(members: DataFrame) -> DataFrame:
     """role, members, components, hashes that another role also has, and components that are not whole: another role has members of them too."""
     cross = members.groupBy("sha").agg(F.count_distinct("role").alias("roles")).where("roles > 1").select("sha", F.lit(1).alias("leak"))
     split = members.groupBy("component").agg(F.count_distinct("role").alias("roles")).where("roles > 1").select("component", F.col("component").alias("broken"))
-    marked = members.join(cross, "sha", "left").join(split, "component", "left")
+    marked = members.join(by_shuffle(cross), "sha", "left").join(by_shuffle(split), "component", "left")
     return marked.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("component").alias("n_components"), F.count("leak").alias("n_leaks"), F.count_distinct("broken").alias("n_broken"))
 
 

@@ -450,7 +450,7 @@ def member_hashes(v):
     h = hashes(v)
     copies = h.where("vec_id % 11 = 0").select((F.col("vec_id") + 5).alias("doc_id"), F.col("hash64").bitwiseXOR(F.lit(1).cast("long")).alias("hash64"))
     own = h.where("vec_id % 11 <> 5").select(F.col("vec_id").alias("doc_id"), "hash64").unionByName(copies)
-    return own.join(v.members.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.array("hash64").alias("hashes"))
+    return own.join(D.by_shuffle(v.members.select("doc_id")), "doc_id", "left_semi").select("doc_id", F.array("hash64").alias("hashes"))
 
 
 def member_components(v):
@@ -458,7 +458,7 @@ def member_components(v):
     m = v.members
     near = D.near_edges(member_hashes(v), 4, "doc_id", ["hashes"]).select("a", "b")
     edges = D.star_edges(m, "doc_id", "source_key").unionByName(D.star_edges(m, "doc_id", "sha")).unionByName(near)
-    return m.join(D.components(m, edges, "doc_id"), "doc_id")
+    return m.join(D.by_shuffle(D.components(m, edges, "doc_id")), "doc_id")
 
 
 @query("d3_components", f"{COMPONENTS} SELECT doc_id, component FROM c_")
