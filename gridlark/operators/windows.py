@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from . import segments as S
 
 EPSILON = 1e-12
@@ -79,6 +80,7 @@ def score_uncertainty(boxes: DataFrame, regions: DataFrame, weights: dict[str, f
     area = (F.col("rx2") - F.col("rx1")) * (F.col("ry2") - F.col("ry1"))
     raw = regions.join(g, ["image_id", "region_id"], "left").join(class_conflict(boxes, ["image_id", "region_id"], "det_id"), ["image_id", "region_id"], "left").fillna(0.0, ["entropy", "proximity", "residual", "class_conflict"]).fillna(0, ["candidates"])
     raw = raw.withColumn("density", 1 - F.exp(-F.col("residual") / (kappa * area)))
+    raw = spread(raw, regions.count(), "image_id")  # the windows sort every task's rows once a feature, all at the same time
     total = F.lit(0.0)
     for name, w in weights.items():
         total = total + w * mixed_normalize(name, ["image_id"], mix)

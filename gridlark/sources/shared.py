@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of wide tables that a task sorts at a time.
+TASK_ROWS = 200_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its number of ``rows`` asks for: more input makes more tasks, not larger ones."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     spark = df.sparkSession
