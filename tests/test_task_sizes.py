@@ -21,3 +21,12 @@ def test_uncertainty_makes_more_tasks_of_more_regions(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == 10 > few.rdd.getNumPartitions()
     got = lambda df: sorted((x.image_id, x.region_id, round(x.uncertainty, 9)) for x in df.collect())
     assert got(many) == got(few) and len(got(few)) == 400
+
+
+def test_cross_view_pairs_are_made_once(spark):
+    from gridlark.plans import queries_eval  # noqa: F401
+    from gridlark.registry import QUERIES
+
+    df = QUERIES["a3_cross_view_features"](spark, "/root/testdata/sf0.001")
+    plain = df.queryExecution if hasattr(df, "queryExecution") else df._jdf.queryExecution()
+    assert "l_orderkey" not in plain.toString()
