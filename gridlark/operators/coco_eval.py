@@ -8,7 +8,7 @@ the rows by class, score and place, so equal or crowded scores are split too.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -18,6 +18,8 @@ from .fusion import SIDES
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 EPS = 2.0**-52
+#: Rows of a range of scores: more rows make more ranges, not larger tasks.
+RANGE_ROWS = 1_000_000
 
 
 def cap_detections(df: DataFrame, k: int) -> DataFrame:
@@ -69,8 +71,8 @@ def _assigned(group: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray,
     return tp, ignored
 
 
-def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, areas: tuple[str, ...] = tuple(AREAS), max_det: int = 100) -> DataFrame:
-    """One row a detection, threshold and area range.  ``truth`` may have ``iscrowd``."""
+def match_packed(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, areas: tuple[str, ...] = tuple(AREAS), max_det: int = 100) -> DataFrame:
+    """One row a detection; bits of ``tps`` and ``ignoreds`` tell areas and, inside them, thresholds.  ``truth`` may have ``iscrowd``."""
     crowd = F.col("iscrowd") if "iscrowd" in truth.columns else F.lit(0)
     capped = cap_detections(detections, max_det)
     gt = truth.select("image_id", "category_id", F.col("ann_id").alias("id"), F.lit(-1.0).alias("score"), *SIDES, crowd.cast("int").alias("crowd"), F.lit(0).alias("place"))
@@ -98,11 +100,17 @@ def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float,
     # truth boxes of groups without detections match nothing
     keys = ["image_id", "category_id"]
     met = gt.join(capped.select(*keys).distinct(), keys, "left_semi")
-    packed = S.segmented(met.unionByName(dt), keys, [F.desc("crowd"), "place", "id"], kernel, "image_id long, category_id int, det_id long, score double, place int, tps long, ignoreds long")
+    return S.segmented(met.unionByName(dt), keys, [F.desc("crowd"), "place", "id"], kernel, "image_id long, category_id int, det_id long, score double, place int, tps long, ignoreds long")
+
+
+def match_coco(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, areas: tuple[str, ...] = tuple(AREAS), max_det: int = 100) -> DataFrame:
+    """One row a detection, threshold and area range.  ``truth`` may have ``iscrowd``."""
+    packed = match_packed(truth, detections, thresholds, areas, max_det)
+    ways = [(a, t) for a in areas for t in thresholds]
     way = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(t).alias("threshold"), F.lit(k).alias("bit")) for k, (a, t) in enumerate(ways)]))
     each = packed.withColumn("way", way)
     return each.select(
-        *keys, "det_id", "score", "place", "way.area", "way.threshold", F.expr("cast(shiftright(tps, way.bit) & 1 AS int)").alias("tp"), F.expr("shiftright(ignoreds, way.bit) & 1 = 1").alias("ignored")
+        "image_id", "category_id", "det_id", "score", "place", "way.area", "way.threshold", F.expr("cast(shiftright(tps, way.bit) & 1 AS int)").alias("tp"), F.expr("shiftright(ignoreds, way.bit) & 1 = 1").alias("ignored")
     )
 
 
@@ -116,8 +124,8 @@ def positives(truth: DataFrame, keys: list[str], areas: tuple[str, ...] = ("all"
 
 def score_ranges(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """``df`` written once, with ``_b``: about equal ranges of its order by keys, score (best first), image_id and det_id, the
-    greatest number first.  Equal scores go to several ranges.  ``df`` is read twice, so it should be cheap to read."""
-    n = n or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    greatest number first.  Equal scores go to several ranges.  ``df`` is read three times, so it should be cheap to read."""
+    n = n or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     dealt = df.repartitionByRange(n, *keys, F.desc("score"), "image_id", "det_id")
     return written(dealt.withColumn("_b", F.lit(n - 1) - F.spark_partition_id()), "score-ranges")
 
@@ -159,24 +167,42 @@ def evaluated(truth: DataFrame, matches: DataFrame, keys: list[str], areas: tupl
     return average_precision(rows, npos, [*keys, "category_id", "area", "threshold"])
 
 
+def evaluated_packed(truth: DataFrame, packed: DataFrame, ways: list[tuple[str, int, int | None]]) -> DataFrame:
+    """category_id, way, ap, recall from a written table of ``match_packed``, in one walk for all ``ways``: (area, bit of the outcome,
+    greatest place or none).  A detection stays one row, whatever the number of ways."""
+    from .stats import ap_under_weights
+
+    def taken(bits: str, value: str) -> Column:
+        found = F.lit(0).cast("long")
+        for k, (_, bit, most) in enumerate(ways):
+            one = F.shiftleft(F.shiftright(F.col(bits), bit).bitwiseAND(F.lit(1).cast("long")).bitwiseXOR(F.lit(int(value == "not")).cast("long")), k)
+            found = found.bitwiseOR(one if most is None else F.when(F.col("place") <= most, one).otherwise(F.lit(0).cast("long")))
+        return found
+
+    rows = packed.select(F.lit("").alias("run"), "category_id", "image_id", "det_id", "score", taken("tps", "is").alias("tp"), taken("ignoreds", "not").alias("counts"))
+    areas = tuple({a: None for a, _, _ in ways})
+    numbers = F.explode(F.array(*[F.struct(F.lit(a).alias("_area"), F.lit(k).alias("resample")) for k, (a, _, _) in enumerate(ways)]))
+    need = positives(truth, ["category_id"], areas).withColumn("_way", numbers).where("area = _way._area").select("_way.resample", "category_id", "npos")
+    return ap_under_weights(rows, need, len(ways), None).select("category_id", F.col("resample").alias("way"), "ap", "recall")
+
+
 def ap_metrics(truth: DataFrame, detections: DataFrame, max_det: int = 300) -> DataFrame:
     """One row of COCO metrics.  AP uses the cap of 100 detections; AP50, AP75 and the sizes use ``max_det``."""
-    wide = written(match_coco(truth, detections, max_det=max_det), "matches")
-    all_ = evaluated(truth, wide, [], tuple(AREAS))
-    hundred = evaluated(truth, wide.where("place <= 100 and area = 'all'"), [], ("all",))
-    one = evaluated(truth, wide.where("place <= 1 and area = 'all'"), [], ("all",))
-
-    def mean(df: DataFrame, name: str, where: str = "true", value: str = "ap") -> DataFrame:
-        return df.where(where).agg(F.coalesce(F.avg(value), F.lit(-1.0)).alias(name))
-
-    parts = [
-        mean(hundred, "AP"), mean(all_, "AP50", "threshold = 0.5 and area = 'all'"), mean(all_, "AP75", "threshold = 0.75 and area = 'all'"),
-        *[mean(all_, f"AP_{a}", f"area = '{a}'") for a in ("small", "medium", "large")], mean(one, "AR_1", value="recall"), mean(hundred, "AR_100", value="recall"), mean(all_, "AR_max", "area = 'all'", "recall"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out
+    packed = written(match_packed(truth, detections, max_det=max_det), "matches")
+    n = len(THRESHOLDS)
+    all_ = [(a, i * n + k, None) for i, a in enumerate(AREAS) for k in range(n)]
+    ways = all_ + [("all", k, most) for most in (100, 1) for k in range(n)]
+    e = written(evaluated_packed(truth, packed, ways), "ways")
+
+    def mean(name: str, which: list[int], value: str = "ap") -> Column:
+        return F.coalesce(F.avg(F.when(F.col("way").isin(which), F.col(value))), F.lit(-1.0)).alias(name)
+
+    sizes = {a: [k for k, w in enumerate(all_) if w[0] == a] for a in AREAS}
+    hundred, one = (list(range(len(all_) + i * n, len(all_) + (i + 1) * n)) for i in (0, 1))
+    return e.agg(
+        mean("AP", hundred), mean("AP50", [THRESHOLDS.index(0.5)]), mean("AP75", [THRESHOLDS.index(0.75)]), *[mean(f"AP_{a}", sizes[a]) for a in ("small", "medium", "large")],
+        mean("AR_1", one, "recall"), mean("AR_100", hundred, "recall"), mean("AR_max", sizes["all"], "recall"),
+    )
 
 
 def score_floor_sweep(matches: DataFrame, npos: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:

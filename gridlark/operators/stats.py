@@ -98,29 +98,42 @@ KEY_TYPES = "run string, category_id int, _b int"
 WHOLE_MATRIX = 64 << 20
 
 
-def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame, ranges: int | None = None) -> DataFrame:
-    """run, category_id, resample, ap: average precision under ``n`` weightings at once.
+def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame | None, ranges: int | None = None) -> DataFrame:
+    """run, category_id, resample, ap, recall: average precision under ``n`` weightings at once.
 
     ``rows``: run, category_id, image_id, det_id, score, tp, unit; ``need``: resample, category_id, npos; ``weights``: how often each
-    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Rows are not repeated: tasks walk through ranges
+    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Without ``weights`` rows have instead of a unit the bits ``counts``, which of at most
+    63 weightings count the row, and ``tp`` holds bits too.  Rows are not repeated: tasks walk through ranges
     of about equal size (``score_ranges``), worst first, with one vector for all weightings, in pieces of bounded size; totals and
     best precisions of a range are carried over in groups of at most ``ranges`` rows.  ``rows`` are read twice.  Categories without detections have AP 0, without positives no row."""
     spark = rows.sparkSession
     most = max(1, 500_000 // n)
     runs = rows.select("run").distinct()
-    rows = score_ranges(rows.select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), "tp", "unit"), ["run", "category_id"], ranges)
-    columns = ["run", "category_id", "_b", F.lit(1).alias("head"), "score", "image_id", "det_id", F.col("tp").cast("int").alias("tp"), F.col("unit").cast("int").alias("unit")]
+    rows = score_ranges(rows.select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), "tp", "unit" if weights is not None else "counts"), ["run", "category_id"], ranges)
+    n_ranges = rows.agg(F.max("_b")).first()[0]
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * ((n_ranges or 0) + 1))  # keys meet by chance in a task
+    columns = ["run", "category_id", "_b", F.lit(1).alias("head"), "score", "image_id", "det_id", F.col("tp").cast("long").alias("tp"), F.col("unit" if weights is not None else "counts").cast("long").alias("unit")]
+    bits = np.arange(n)
     if isinstance(weights, DataFrame):
         table = rows.join(weights, "unit").select(*columns, "m")
 
         def matrix(g: pd.DataFrame) -> np.ndarray:
             return np.frombuffer(b"".join(g["m"]), np.uint16).reshape(-1, n).astype(np.int64)
+    elif weights is None:
+        table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
+
+        def matrix(g: pd.DataFrame) -> np.ndarray:
+            return (np.array(g["unit"].tolist(), np.int64)[:, None] >> bits) & 1
     else:
         held = spark.sparkContext.broadcast(weights.astype(np.uint16))
         table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
 
         def matrix(g: pd.DataFrame) -> np.ndarray:
-            return held.value[g["unit"].to_numpy().astype(np.int64)].astype(np.int64)  # heads have no unit, which makes the column float
+            return held.value[g["unit"].to_numpy().astype(np.int64)].astype(np.int64)
+
+    def hits(g: pd.DataFrame, m: np.ndarray) -> np.ndarray:
+        tp = np.array(g["tp"].tolist(), np.int64)[:, None]
+        return m * ((tp >> bits) & 1 if weights is None else tp)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, t, w = None, np.zeros(n), np.zeros(n)
@@ -130,7 +143,7 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
                     yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
                 now, t, w = key, np.zeros(n), np.zeros(n)
             m = matrix(g)
-            t += m[g["tp"].to_numpy() == 1].sum(axis=0)
+            t += hits(g, m).sum(axis=0)
             w += m.sum(axis=0)
         if now:
             yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
@@ -142,19 +155,19 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
         return g[[*KEY, "t", "w"]]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*KEY, "best", "area"]
-        now, t, w, best, npos, area = (None,) * 6
+        names = [*KEY, "best", "area", "top"]
+        now, t, w, best, npos, area, top = (None,) * 7
         for key, g in _pieces(batches, most):
             if key != now:
                 if now:
-                    yield pd.DataFrame([(*now, best.tobytes(), area)], columns=names)
+                    yield pd.DataFrame([(*now, best.tobytes(), area, top)], columns=names)
                 first = g.iloc[0]  # the head: totals down to this range, best precision below it
-                now, t, w, best, npos, area = key, _vector(first["t"]).copy(), _vector(first["w"]).copy(), _vector(first["best"]), _vector(first["npos"]), np.zeros(n)
+                now, t, w, best, npos, area, top = key, _vector(first["t"]).copy(), _vector(first["w"]).copy(), _vector(first["best"]), _vector(first["npos"]), np.zeros(n), _vector(first["t"])
                 g = g.iloc[1:]
             if not len(g):
                 continue
             m = matrix(g)
-            hit = m * g["tp"].to_numpy().astype(np.int64)[:, None]
+            hit = hits(g, m)
             true = t - (np.cumsum(hit, axis=0) - hit)
             precision = true / (w - (np.cumsum(m, axis=0) - m) + EPS)
             envelope = np.maximum.accumulate(np.vstack([best[None], precision]), axis=0)[1:]
@@ -164,7 +177,7 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
             t -= hit.sum(axis=0)
             w -= m.sum(axis=0)
         if now:
-            yield pd.DataFrame([(*now, best.tobytes(), area)], columns=names)
+            yield pd.DataFrame([(*now, best.tobytes(), area, top)], columns=names)
 
     def below(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_b")
@@ -180,18 +193,20 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
     npos = need.groupBy("category_id").applyInPandas(vectors, "category_id int, npos binary")
 
     def ordered(df: DataFrame) -> DataFrame:
-        return df.repartition(*KEY).sortWithinPartitions(*KEY, "head", "score", F.desc("image_id"), F.desc("det_id"))
+        return df.repartition(n_ranges, *KEY).sortWithinPartitions(*KEY, "head", "score", F.desc("image_id"), F.desc("det_id"))
 
     def walked(heads: DataFrame) -> DataFrame:
-        return ordered(table.unionByName(heads.withColumn("head", F.lit(0)), allowMissingColumns=True).join(npos.select("category_id"), "category_id", "left_semi")).mapInPandas(walk, f"{KEY_TYPES}, best binary, area array<double>")
+        # heads have numbers too: a null would make the column float, which holds 53 bits only
+        heads = heads.withColumns({"tp": F.lit(0).cast("long"), "unit": F.lit(0).cast("long")})
+        return ordered(table.unionByName(heads.withColumn("head", F.lit(0)), allowMissingColumns=True).join(npos.select("category_id"), "category_id", "left_semi")).mapInPandas(walk, f"{KEY_TYPES}, best binary, area array<double>, top array<double>")
 
     totals = ordered(table).select(*KEY, "tp", "unit", "m").mapInPandas(sums, f"{KEY_TYPES}, t binary, w binary").groupBy("run", "category_id").applyInPandas(carried, f"{KEY_TYPES}, t binary, w binary")
     totals = written(totals.join(npos, "category_id"), "ap-totals")
     tops = walked(totals.withColumn("best", F.lit(bytes(8 * n)))).groupBy("run", "category_id").applyInPandas(below, f"{KEY_TYPES}, best binary")
-    parts = walked(totals.join(tops, KEY)).select("run", "category_id", F.posexplode("area").alias("resample", "area"))
-    area = parts.groupBy("run", "category_id", "resample").agg(F.sum("area").alias("area"))
+    parts = walked(totals.join(tops, KEY)).select("run", "category_id", F.posexplode(F.arrays_zip("area", "top")).alias("resample", "_v"))
+    area = parts.groupBy("run", "category_id", "resample").agg(F.sum("_v.area").alias("area"), F.max("_v.top").alias("top"))
     wanted = need.crossJoin(F.broadcast(runs))  # a few runs
-    return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"))
+    return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"), (F.coalesce("top", F.lit(0.0)) / F.col("npos")).alias("recall"))
 
 
 def drawn_weights(spark, n_resamples: int, n_units: int, seed: int) -> np.ndarray | DataFrame:

@@ -209,5 +209,5 @@ def scout_escalation(base: DataFrame, scout: DataFrame, full_flip: DataFrame, sc
 def evaluate_run(truth: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:
     """AP by class over the evaluated images; images without detections count."""
     kept = truth.join(images.select("image_id"), "image_id", "left_semi"), detections.join(images.select("image_id"), "image_id", "left_semi")
-    m = written(coco_eval.match_coco(*kept, areas=("all",)), "matches")
-    return coco_eval.evaluated(kept[0], m, [], ("all",)).groupBy("category_id").agg(F.avg("ap").alias("ap"), F.avg("recall").alias("recall"))
+    m = written(coco_eval.match_packed(*kept, areas=("all",)), "matches")
+    return coco_eval.evaluated_packed(kept[0], m, [("all", k, None) for k in range(len(coco_eval.THRESHOLDS))]).groupBy("category_id").agg(F.avg("ap").alias("ap"), F.avg("recall").alias("recall"))

@@ -30,3 +30,24 @@ def test_cross_view_pairs_are_made_once(spark):
     df = QUERIES["a3_cross_view_features"](spark, "/root/testdata/sf0.001")
     plain = df.queryExecution if hasattr(df, "queryExecution") else df._jdf.queryExecution()
     assert "l_orderkey" not in plain.toString()
+
+
+def test_outcomes_stay_bits(spark):
+    """Sixty ways at once: a detection is one row in what is written, and the figures are those of one row a way."""
+    from gridlark.fixtures import Views
+    from gridlark.operators import coco_eval as E
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    few = v.xy_gt.where("image_id < 40"), v.xy_dt.where("image_id < 40")
+    packed = shared.written(E.match_packed(*few), "packed")
+    n = len(E.THRESHOLDS)
+    ways = [(a, i * n + k, most) for i, a in enumerate(E.AREAS) for k in range(n) for most in ((None, 1) if a == "all" else (None,))]
+    ways += [("all", k, 3) for k in range(n)]
+    got = {(x.category_id, *ways[x.way]): (round(x.ap, 9), round(x.recall, 9)) for x in E.evaluated_packed(few[0], packed, ways).collect()}
+    rows = shared.written(E.match_coco(*few), "rows")
+    for most in (None, 1, 3):
+        some = rows if most is None else rows.where((F.col("place") <= most) & (F.col("area") == "all"))
+        areas = tuple(E.AREAS) if most is None else ("all",)
+        for x in E.evaluated(few[0], some, [], areas).collect():
+            bit = list(E.AREAS).index(x.area) * n + E.THRESHOLDS.index(x.threshold)
+            assert got[x.category_id, x.area, bit, most] == (round(x.ap, 9), round(x.recall, 9))
