@@ -46,4 +46,5 @@ def test_weights_of_units(spark, monkeypatch, most):
         rows = {r.unit: np.frombuffer(r.m, np.uint16) for r in got.collect()}
         assert sorted(rows) == list(range(n))
         got = np.stack([rows[u] for u in range(n)])
-    assert got.tolist() == [[c[u] for c in plain_draws(4, n, 3)] for u in range(n)]
+    want = plain_draws(4, n, 3)
+    assert got.tolist() == [[c[u] for c in want] for u in range(n)]
