@@ -114,12 +114,13 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * ((n_ranges or 0) + 1))  # keys meet by chance in a task
     columns = ["run", "category_id", "_b", F.lit(1).alias("head"), "score", "image_id", "det_id", F.col("tp").cast("long").alias("tp"), F.col("unit" if weights is not None else "counts").cast("long").alias("unit")]
     bits = np.arange(n)
+    by_bits = weights is None  # functions that go to the workers must not hold a table
     if isinstance(weights, DataFrame):
         table = rows.join(weights, "unit").select(*columns, "m")
 
         def matrix(g: pd.DataFrame) -> np.ndarray:
             return np.frombuffer(b"".join(g["m"]), np.uint16).reshape(-1, n).astype(np.int64)
-    elif weights is None:
+    elif by_bits:
         table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
 
         def matrix(g: pd.DataFrame) -> np.ndarray:
@@ -133,7 +134,7 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
 
     def hits(g: pd.DataFrame, m: np.ndarray) -> np.ndarray:
         tp = np.array(g["tp"].tolist(), np.int64)[:, None]
-        return m * ((tp >> bits) & 1 if weights is None else tp)
+        return m * ((tp >> bits) & 1 if by_bits else tp)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, t, w = None, np.zeros(n), np.zeros(n)
@@ -244,6 +245,7 @@ def ap_cluster_bootstrap(matches: dict[str, DataFrame], npos: DataFrame, cluster
     spark = npos.sparkSession
     by_unit = npos.join(clusters, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
     need = resampled(by_unit, n_clusters, n_resamples, seed).groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
+    need = written(need, "positives")  # read several times, and each time all would be drawn again
     ap = ap_under_weights(written(_of_runs(matches, clusters), "matches-of-runs"), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
     return ap.groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
 

@@ -48,3 +48,22 @@ def test_weights_of_units(spark, monkeypatch, most):
         got = np.stack([rows[u] for u in range(n)])
     want = plain_draws(4, n, 3)
     assert got.tolist() == [[c[u] for c in want] for u in range(n)]
+
+
+def test_draws_beyond_a_small_matrix_give_the_same_precision(spark, monkeypatch):
+    """A table of weights used to reach the workers' functions, which fails; the draws are made for the weights and the positives alone."""
+    made = []
+    drawn = stats.drawn_blocks
+    monkeypatch.setattr(stats, "drawn_blocks", lambda *a, **k: made.append(1) or drawn(*a, **k))
+    n_units = 150
+    units = spark.range(n_units).selectExpr("id AS image_id", "cast(id AS int) AS unit")
+    rows = spark.range(900).selectExpr(f"id % {n_units} AS image_id", "cast(id % 2 AS int) AS category_id", "id AS det_id", "cast((id * 37) % 101 AS double) / 101 AS score", "cast((id * 7) % 3 = 0 AS int) AS tp")
+    npos = rows.groupBy("image_id", "category_id").agg(F.sum("tp").alias("npos"))
+
+    def run():
+        return {x.resample: x.ap for x in stats.ap_cluster_bootstrap({"base": rows}, npos, units, n_units, 30, 5).collect()}
+
+    small = run()
+    monkeypatch.setattr(stats, "WHOLE_MATRIX", 0)
+    large = run()
+    assert len(small) == 30 and large == small and len(made) == 4
