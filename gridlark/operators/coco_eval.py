@@ -130,8 +130,10 @@ def score_ranges(df: DataFrame, keys: list[str], n: int | None = None) -> DataFr
     return written(dealt.withColumn("_b", F.lit(n - 1) - F.spark_partition_id()), "score-ranges")
 
 
-def envelope(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``ctp`` (weighted true positives up to the row, best first) and the precision ``envelope``; rows with (weight, tp, score, image_id, det_id)."""
+def envelope(df: DataFrame, keys: list[str], floors: list[float] | None = None) -> DataFrame:
+    """``ctp`` (weighted true positives up to the row, best first) and the precision ``envelope``; rows with (weight, tp, score, image_id, det_id).
+
+    With score ``floors`` the envelope is an array, one of the rows at or above each floor: the counts up to a row are the same for all."""
     rows = score_ranges(df, keys)
     hit = F.col("weight") * F.col("tp")
     totals = rows.groupBy(*keys, "_b").agg(F.sum(hit).alias("_t"), F.sum("weight").alias("_n"))
@@ -140,22 +142,27 @@ def envelope(df: DataFrame, keys: list[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "image_id", "det_id")
     run = inside.rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.join(start, [*keys, "_b"]).withColumn("ctp", F.col("_t0") + F.sum(hit).over(run)).withColumn("_prec", F.col("ctp") / (F.col("_n0") + F.sum("weight").over(run) + EPS))
-    tops = counted.groupBy(*keys, "_b").agg(F.max("_prec").alias("_m"))
+    seen = [F.col("_prec")] if floors is None else [F.when(F.col("score") >= f, F.col("_prec")) for f in floors]
+    tops = counted.groupBy(*keys, "_b").agg(*[F.max(c).alias(f"_m{i}") for i, c in enumerate(seen)])
     below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    rest = tops.select(*keys, "_b", F.coalesce(F.max("_m").over(below), F.lit(0.0)).alias("_rest"))
+    rest = tops.select(*keys, "_b", *[F.coalesce(F.max(f"_m{i}").over(below), F.lit(0.0)).alias(f"_rest{i}") for i in range(len(seen))])
     # the best precision from here on, as a running maximum of the reverse order: frames that end at the last row are quadratic
     reverse = Window.partitionBy(*keys, "_b").orderBy("score", F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    here = F.max("_prec").over(reverse)
-    return counted.join(rest, [*keys, "_b"]).withColumn("envelope", F.greatest(here, F.col("_rest"))).drop("_b", "_t0", "_n0", "_prec", "_rest")
+    best = [F.greatest(F.max(c).over(reverse), F.col(f"_rest{i}")) for i, c in enumerate(seen)]
+    return counted.join(rest, [*keys, "_b"]).withColumn("envelope", best[0] if floors is None else F.array(*best)).drop("_b", "_t0", "_n0", "_prec", *[f"_rest{i}" for i in range(len(seen))])
+
+
+def _recall_points() -> Column:
+    """How many of the 101 recall points a row answers for: a true positive those between its recall and the one before."""
+    gain = F.col("weight") * F.col("tp")
+    return F.floor(100 * F.col("ctp") / F.col("npos")) - F.floor(100 * (F.col("ctp") - gain) / F.col("npos")) + F.when((F.col("ctp") == gain) & (gain > 0), 1).otherwise(0)
 
 
 def average_precision(matches: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
     """AP by ``keys``: the mean of the envelope at 101 recall points.  A true positive answers for the recall points between its
     recall and the one before, so no join with the points is needed.  ``npos`` has a row a key; keys without matches get 0."""
     e = envelope(matches, keys).join(npos, keys)
-    gain = F.col("weight") * F.col("tp")
-    points = F.floor(100 * F.col("ctp") / F.col("npos")) - F.floor(100 * (F.col("ctp") - gain) / F.col("npos")) + F.when((F.col("ctp") == gain) & (gain > 0), 1).otherwise(0)
-    ap = e.groupBy(*keys).agg((F.sum(F.col("envelope") * points) / 101).alias("ap"), (F.max("ctp") / F.first("npos")).alias("recall"))
+    ap = e.groupBy(*keys).agg((F.sum(F.col("envelope") * _recall_points()) / 101).alias("ap"), (F.max("ctp") / F.first("npos")).alias("recall"))
     return npos.where("npos > 0").join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
@@ -206,16 +213,18 @@ def ap_metrics(truth: DataFrame, detections: DataFrame, max_det: int = 300) -> D
 
 
 def score_floor_sweep(matches: DataFrame, npos: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:
-    """AP at every score floor in one job, with the change from the lowest floor."""
-    swept = matches.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors]))).where("score >= floor")
-    levels = npos.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in floors])))
-    ap = average_precision(swept, levels, [*keys, "floor"])
-    lowest = ap.where(F.col("floor") == min(floors)).select(*keys, F.col("ap").alias("_low"))
-    return ap.join(lowest, keys).select(*keys, "floor", "ap", (F.col("ap") - F.col("_low")).alias("change"))
+    """AP at every score floor in one job, with the change from the lowest floor.  Rows are not repeated: a floor cuts the order off."""
+    counted = envelope(matches.where(F.col("score") >= min(floors)), keys, floors).where("tp > 0").join(npos, keys)
+    sums = [F.sum(F.when(F.col("score") >= f, F.col("envelope")[i] * _recall_points())) for i, f in enumerate(floors)]
+    areas = counted.groupBy(*keys).agg(F.array(*[F.coalesce(x / 101, F.lit(0.0)) for x in sums]).alias("_ap"))
+    levels = npos.where("npos > 0").join(areas, keys, "left")
+    each = F.array(*[F.struct(F.lit(f).alias("floor"), F.coalesce(F.col("_ap")[i], F.lit(0.0)).alias("ap"), F.coalesce(F.col("_ap")[floors.index(min(floors))], F.lit(0.0)).alias("low")) for i, f in enumerate(floors)])
+    return levels.select(*keys, F.inline(each)).select(*keys, "floor", "ap", (F.col("ap") - F.col("low")).alias("change"))
 
 
 def floor_deltas(swept: DataFrame, keys: list[str], run: str, baseline: str, method: str) -> DataFrame:
     """keys, floor, delta of AP between two runs at every floor, and whether it is positive at all of them; ``swept`` has (run, keys, floor, ap)."""
+    swept = written(swept, "swept")  # a row a floor, read three times
     a, b = (swept.where(F.col(run) == name).select(*keys, "floor", F.col("ap").alias(c)) for name, c in ((baseline, "_a"), (method, "_b")))
     d = a.join(b, [*keys, "floor"]).select(*keys, "floor", (F.col("_b") - F.col("_a")).alias("delta"))
     every = d.groupBy(*keys).agg((F.min("delta") > 0).alias("positive_at_all"), F.min("delta").alias("least_delta")) if keys else d.agg((F.min("delta") > 0).alias("positive_at_all"), F.min("delta").alias("least_delta"))

@@ -216,16 +216,19 @@ d_ AS (SELECT a.category_id, a.floor, b.ap - a.ap AS delta FROM ap_ a JOIN ap_ b
 SELECT category_id, floor, round(delta, 6) AS delta, min(delta) OVER (PARTITION BY category_id) > 0 AS positive_at_all, round(min(delta) OVER (PARTITION BY category_id), 6) AS least_delta FROM d_""")
 def _(v):
     two = two_runs(v)
-    runs = written(two["base"].withColumn("run", F.lit("base")).unionByName(two["method"].withColumn("run", F.lit("method"))).withColumn("weight", F.lit(1)), "matches-of-runs")
+    runs = two["base"].withColumn("run", F.lit("base")).unionByName(two["method"].withColumn("run", F.lit("method"))).withColumn("weight", F.lit(1))
     both = npos(v).withColumn("run", F.explode(F.array(F.lit("base"), F.lit("method"))))
     swept = E.score_floor_sweep(runs, both, ["run", "category_id"], FLOORS)
     return E.floor_deltas(swept, ["category_id"], "run", "base", "method").select("category_id", "floor", *r("delta"), "positive_at_all", *r("least_delta"))
 
 
 def two_runs(v):
-    """Matches of the base run, and the same boxes with the scores of the other."""
-    base = sql_matches(v).drop("weight")
-    return {"base": base, "method": base.drop("score").join(v.dt_method.select("det_id", "score"), "det_id").select(*base.columns)}
+    """Matches of the base run, and the same boxes with the scores of the other; both are read from one written table."""
+    tp = best_pairs(v).select(F.col("right_id").alias("det_id"), F.lit(1).alias("hit"))
+    both = v.dt.join(v.dt_method.select("det_id", F.col("score").alias("s2")), "det_id", "left").join(tp, "det_id", "left")
+    both = written(both.select("det_id", "image_id", "category_id", "score", "s2", F.coalesce("hit", F.lit(0)).alias("tp")), "marked")
+    columns = ["det_id", "image_id", "category_id", "score", "tp"]
+    return {"base": both.select(*columns), "method": both.where("s2 is not null").withColumn("score", F.col("s2")).select(*columns)}
 
 
 @query("e7_score_grid", f"""WITH i_ AS (SELECT image_id, cluster_id % 5 AS scope FROM images), m_ AS (SELECT scope, m.* FROM matches m JOIN i_ USING (image_id)), n_ AS (SELECT scope, category_id, count(*) AS npos FROM gt JOIN i_ USING (image_id) GROUP BY ALL),

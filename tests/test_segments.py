@@ -298,3 +298,21 @@ def test_ranges_of_equal_scores_are_even(spark):
         true = np.cumsum([t for *_, t in walk])
         precision = np.maximum.accumulate((true / (np.arange(1, len(walk) + 1) + coco_eval.EPS))[::-1])[::-1]
         assert all(got[c, d][0] == t and math.isclose(got[c, d][1], p, rel_tol=1e-12) for (_, d, _), t, p in zip(walk, true, precision))
+
+
+def test_floors_are_swept_without_repeated_rows(spark, monkeypatch):
+    """AP at every floor is that of the rows at or above it alone, and a row is dealt once whatever the number of floors."""
+    from gridlark.operators import coco_eval
+
+    dealt = []
+    ranges = coco_eval.score_ranges
+    monkeypatch.setattr(coco_eval, "score_ranges", lambda df, keys, n=None: dealt.append(ranges(df, keys, n)) or dealt[-1])
+    rows = spark.range(4000).select((F.col("id") % 3).cast("int").alias("category_id"), ((F.col("id") * 7919) % 101 / 100).alias("score"), (F.col("id") % 97).alias("image_id"), F.col("id").alias("det_id"), ((F.col("id") * 31) % 7 < 3).cast("int").alias("tp"), (1 + F.col("id") % 2).cast("int").alias("weight"))
+    rows = rows.where("category_id < 2 or score < 0.5")
+    npos = spark.createDataFrame([(0, 900), (1, 1100), (2, 1000), (3, 5), (4, 0)], "category_id int, npos long")
+    floors = [0.25, 0.05, 0.5, 2.0]
+    got = {(x.category_id, x.floor): (x.ap, x.change) for x in coco_eval.score_floor_sweep(rows, npos, ["category_id"], floors).collect()}
+    assert len(dealt) == 1 and dealt[0].count() == rows.where("score >= 0.05").count()
+    plain = {(x.category_id, f): x.ap for f in floors for x in coco_eval.average_precision(rows.where(F.col("score") >= f), npos, ["category_id"]).collect()}
+    assert got.keys() == plain.keys() and got[3, 0.05] == (0.0, 0.0)
+    assert all(math.isclose(got[k][0], plain[k], abs_tol=1e-12) and math.isclose(got[k][1], plain[k] - plain[k[0], 0.05], abs_tol=1e-12) for k in plain)
