@@ -73,7 +73,9 @@ def segmented(df: DataFrame, keys: list[str], order: list[str | Column], kernel:
             table = pa.Table.from_batches(held).combine_chunks()
             yield done(table, changes(*(table.column(k).to_numpy(zero_copy_only=False) for k in keys)))
 
-    return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # by an expression of the key: Spark drops a repartition of a union that it takes for dealt by the key already, although a join
+    # of one side may since have become a broadcast, whose rows are not dealt at all
+    return df.repartition(F.hash(keys[0])).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "smallint": pa.int16(), "float": pa.float32()}

@@ -316,3 +316,12 @@ def test_floors_are_swept_without_repeated_rows(spark, monkeypatch):
     plain = {(x.category_id, f): x.ap for f in floors for x in coco_eval.average_precision(rows.where(F.col("score") >= f), npos, ["category_id"]).collect()}
     assert got.keys() == plain.keys() and got[3, 0.05] == (0.0, 0.0)
     assert all(math.isclose(got[k][0], plain[k], abs_tol=1e-12) and math.isclose(got[k][1], plain[k] - plain[k[0], 0.05], abs_tol=1e-12) for k in plain)
+
+
+def test_unions_are_dealt_before_a_kernel(spark):
+    """Spark may drop a repartition by the key itself over a union whose sides seem dealt by it; images then fall apart."""
+    sides = [spark.range(100).selectExpr("id % 10 AS image_id", "id AS v").repartition(4, "image_id") for _ in range(2)]
+    out = S.segmented(sides[0].unionByName(sides[1]), ["image_id"], ["v"], lambda c, starts: {"image_id": c["image_id"][starts], "n": np.diff(np.append(starts, len(c["v"])))}, "image_id long, n long")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(hash(image_id" in plan[: plan.index("Union")]
+    assert sorted(map(tuple, out.collect())) == [(i, 20) for i in range(10)]
