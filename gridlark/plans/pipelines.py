@@ -83,7 +83,7 @@ def evaluated_attempts(references: DataFrame, candidates: DataFrame, attempts: D
     ask = numbered.select(_crop_id().alias("image_id"), "attempt")
     wanted = references.join(ask, "image_id").drop("image_id").withColumnRenamed("attempt", "image_id")
     got = candidates.join(numbered, [*CROP, "operation"]).drop(*CROP).withColumnRenamed("attempt", "image_id")
-    pairs = matching.assignment_match(joins.iou_join(wanted, got, match_iou, "det_id", "det_id"))
+    pairs = written(matching.assignment_match(joins.iou_join(wanted, got, match_iou, "det_id", "det_id")), "attempt-pairs")  # a kernel, read more than once
     utility = matching.candidate_utility(wanted, got, pairs, UTILITY, publish, 2.0, crop, full).withColumnRenamed("image_id", "attempt")
     cost = min(1.0, (crop / full) ** 2)
     parts = [c for c in utility.columns if c not in ("attempt", "compute", "q")]
@@ -132,7 +132,7 @@ def uncertainty_gate(
     base: DataFrame, local: DataFrame, candidates: DataFrame, traits: DataFrame, components: DataFrame, regions: DataFrame, images: DataFrame, weights: dict[str, float], gate: float, publish: float = 0.25
 ) -> DataFrame:
     """Region work only for images above the gate; the others publish their base boxes."""
-    active = select.activate_threshold(image_gate(local, regions, weights), gate)
+    active = written(select.activate_threshold(image_gate(local, regions, weights), gate), "gates")  # five tables are cut to it, some of them read many times
     on = active.where("active").select("image_id")
     picked = selective_regions(*[df.join(on, "image_id", "left_semi") for df in (base, local, candidates, traits, components)], regions, images, publish).final
     plain = publish_filter(base.join(active.where("not active").select("image_id"), "image_id", "left_semi"), publish)

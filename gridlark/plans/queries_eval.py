@@ -763,16 +763,18 @@ def _(v):
 
 
 def crop_tables(v):
-    """Boxes that operations on crops gave, and the parts of degradation of regions."""
-    found = v.sql("""SELECT det_id, image_id, category_id, region_id, q, x1, y1, x2, y2, op.operation, least(1e0, greatest(0e0, score + op.gain * ((det_id % 7) - 2))) AS score
-      FROM xy_local CROSS JOIN (SELECT 'gamma' AS operation, 0.05e0 AS gain UNION ALL SELECT 'clahe', 0.1e0 UNION ALL SELECT 'unsharp', -0.05e0) op WHERE (det_id + length(op.operation)) % 6 > 0""")
+    """Base boxes and boxes of crops, written once, as what follows reads them many times; boxes that operations on crops gave; the parts of degradation of regions."""
+    base, local = written(v.xy_dt, "base"), written(v.xy_local, "local")
+    gains = F.inline(F.array(*[F.struct(F.lit(name).alias("operation"), F.lit(gain).alias("gain")) for name, gain in (("gamma", 0.05), ("clahe", 0.1), ("unsharp", -0.05))]))
+    tried = local.select("*", gains).where("(det_id + length(operation)) % 6 > 0")
+    found = tried.withColumn("score", F.expr("least(1e0, greatest(0e0, score + gain * ((det_id % 7) - 2)))")).select("det_id", "image_id", "category_id", "region_id", "q", *SIDES, "operation", "score")
     parts = v.sql("SELECT image_id, region_id, d AS luminance, u AS contrast, edge AS haze, 1 - d AS blur, abs(d - u) AS entropy FROM traits")
-    return found, parts
+    return base, local, found, parts
 
 
 def selective(v):
-    found, parts = crop_tables(v)
-    return C.selective_regions(v.xy_dt, v.xy_local, found, v.traits, parts, v.regions, v.images)
+    base, local, found, parts = crop_tables(v)
+    return C.selective_regions(base, local, found, v.traits, parts, v.regions, v.images)
 
 
 @query("c3_selective_regions")
@@ -796,8 +798,8 @@ def _(v):
 
 @query("c4_uncertainty_gate")
 def _(v):
-    found, parts = crop_tables(v)
-    return out(C.uncertainty_gate(v.xy_dt, v.xy_local, found, v.traits, parts, v.regions, v.images, WEIGHTS_U, 0.7))
+    base, local, found, parts = crop_tables(v)
+    return out(C.uncertainty_gate(base, local, found, v.traits, parts, v.regions, v.images, WEIGHTS_U, 0.7))
 
 
 @query("c5_guarded_fusion")

@@ -146,3 +146,11 @@ def test_a_malformed_document_is_an_error(spark, tmp_path):
 
 def test_overlap_helper():
     assert iou((0, 0, 2, 2), (1, 1, 3, 3)) == pytest.approx(1 / 7)
+
+
+def test_gated_regions_read_written_tables(spark):
+    """The gate and the boxes are made once: what is published no longer computes them again from the tables for each of its inputs."""
+    from __spark_entry__ import queries
+
+    plan = queries()["c4_uncertainty_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "l_orderkey" not in plan
