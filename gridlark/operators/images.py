@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HAZE_WINDOW = 15
+#: Axes up to which a filter is one matrix, and bytes of views that leave a worker together.
+WHOLE_AXIS = 256
+PIECE_BYTES = 8 << 20
 
 
 def pixels(row) -> np.ndarray:
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, 3)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The images of a batch, where they lie."""
+    for height, width, data in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("data"), strict=True):
+        yield np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width, 3)
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     """Luminance of 0 to 1."""
     return (0.0722 * image[..., 0] + 0.7152 * image[..., 1] + 0.2126 * image[..., 2]) / 255
@@ -73,8 +84,14 @@ def region_quality(images: DataFrame, regions: DataFrame) -> DataFrame:
     return images.join(boxes, "image_id").mapInPandas(run, "image_id long, region_id int, " + ", ".join(f"{n} double" for n in names))
 
 
+@lru_cache(maxsize=16)
+def _gamma_table(value: float) -> np.ndarray:
+    return _whole(255 * (np.arange(256) / 255.0) ** value)
+
+
 def _whole(values: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(values), 0, 255).astype(np.uint8)
+    near = np.rint(values)
+    return np.clip(near, 0, 255, out=near).astype(np.uint8, order="C")
 
 
 def _cubic(n_in: int, n_out: int) -> np.ndarray:
@@ -89,26 +106,56 @@ def _cubic(n_in: int, n_out: int) -> np.ndarray:
     return w
 
 
-def smooth(values: np.ndarray, sigma: float, taps: int) -> np.ndarray:
-    """Gaussian of ``taps`` values along both axes; the border is mirrored without its last row."""
+def _gaussian(sigma: float, taps: int) -> np.ndarray:
     half = taps // 2
     k = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    out = np.pad(values.astype(float), [(half, half), (half, half)] + [(0, 0)] * (values.ndim - 2), mode="reflect")
-    for axis in (0, 1):
-        out = np.tensordot(np.lib.stride_tricks.sliding_window_view(out, len(k), axis=axis), k, axes=([-1], [0]))
+    return k / k.sum()
+
+
+def _filtered(rows: np.ndarray, sigma: float, taps: int) -> np.ndarray:
+    """Gaussian of ``taps`` values along the first axis; the border is mirrored without its last row."""
+    n, half = len(rows), taps // 2
+    p = np.pad(rows, [(half, half)] + [(0, 0)] * (rows.ndim - 1), mode="reflect")
+    out = np.zeros(rows.shape)
+    for j, weight in enumerate(_gaussian(sigma, taps)):
+        out += weight * p[j : j + n]
     return out
 
 
+@lru_cache(maxsize=64)
+def _filter_matrix(n: int, sigma: float, taps: int) -> np.ndarray:
+    return _filtered(np.eye(n), sigma, taps)
+
+
+@lru_cache(maxsize=64)
+def _smooth_cubic(n_in: int, n_out: int, sigma: float, taps: int) -> np.ndarray:
+    """Weights of the interpolation and the filter after it."""
+    return _filtered(_cubic(n_in, n_out), sigma, taps)
+
+
+def smooth(values: np.ndarray, sigma: float, taps: int) -> np.ndarray:
+    """Gaussian of ``taps`` values along both axes; the border is mirrored without its last row."""
+    out = np.moveaxis(values, (0, 1), (-2, -1)).astype(float, order="C")  # one plane a channel
+    height, width = out.shape[-2:]
+    out = _filter_matrix(height, sigma, taps) @ out if height <= WHOLE_AXIS else np.moveaxis(_filtered(np.moveaxis(out, -2, 0), sigma, taps), 0, -2)
+    out = out @ _filter_matrix(width, sigma, taps).T if width <= WHOLE_AXIS else np.moveaxis(_filtered(np.moveaxis(out, -1, 0), sigma, taps), 0, -1)
+    return np.moveaxis(out, (-2, -1), (0, 1))
+
+
 def fog(image: np.ndarray, beta: float, seed: int) -> np.ndarray:
     """Light of 0.92 scattered in over a smooth random depth of 0.35 to 1."""
     height, width = image.shape[:2]
     coarse = np.random.Generator(np.random.PCG64(seed)).random((max(2, -(-height // 32)), max(2, -(-width // 32))), dtype=np.float32)
     sigma = max(1.0, max(height, width) / 24)
-    depth = smooth(_cubic(len(coarse), height) @ coarse @ _cubic(coarse.shape[1], width).T, sigma, round(8 * sigma + 1) | 1)
+    taps = round(8 * sigma + 1) | 1
+    depth = _smooth_cubic(len(coarse), height, sigma, taps) @ coarse @ _smooth_cubic(coarse.shape[1], width, sigma, taps).T
     depth -= depth.min()
     through = np.exp(-beta * (0.35 + 0.65 * depth / max(depth.max(), 1e-6)))[..., None]
-    return _whole(255 * (image / 255.0 * through + 0.92 * (1 - through)))
+    mixed = image / 255.0
+    mixed *= through
+    mixed += 0.92 * (1 - through)
+    mixed *= 255
+    return _whole(mixed)
 
 
 def low_light(image: np.ndarray, value: float, seed: int) -> np.ndarray:
@@ -120,7 +167,7 @@ def gaussian_blur(image: np.ndarray, sigma: float, seed: int) -> np.ndarray:
 
 
 def gamma(image: np.ndarray, value: float, seed: int = 0) -> np.ndarray:
-    return _whole(255 * (image / 255.0) ** value)
+    return _gamma_table(value)[image]
 
 
 def unsharp(image: np.ndarray, amount: float, seed: int = 0, sigma: float = 1.2) -> np.ndarray:
@@ -135,31 +182,48 @@ CORRUPTIONS: dict[str, Callable] = {"fog": fog, "low_light": low_light, "gaussia
 ENHANCEMENTS: dict[str, Callable] = {"gamma": gamma, "unsharp": unsharp}
 
 VIEW = "image_id long, kind string, parameter double, seed decimal(20,0), height int, width int, data binary, output_sha256 string"
+VIEW_TYPES = [pa.int64(), pa.string(), pa.float64(), pa.decimal128(20, 0), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
 
-def apply_views(jobs: DataFrame, kernels: dict[str, Callable]) -> DataFrame:
-    """Run a kernel on every (image, kind, parameter, seed) row."""
+def apply_views(images: DataFrame, kernels: dict[str, Callable], keep_pixels: bool = True) -> DataFrame:
+    """Run a kernel for each of an image's ``jobs``, an array of (kind, parameter, seed); pixels go to the worker once an image.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            data = [kernels[row.kind](pixels(row), float(row.parameter), int(row.seed)).tobytes() for row in b.itertuples()]
-            yield b.assign(data=data, output_sha256=[hashlib.sha256(d).hexdigest() for d in data])[["image_id", "kind", "parameter", "seed", "height", "width", "data", "output_sha256"]]
+    Without ``keep_pixels`` the views' pixels are hashed where they are made, and ``data`` is left out."""
+    kept = [k for k, c in enumerate(VIEW.split(", ")) if keep_pixels or not c.startswith("data ")]
+    schema = ", ".join(VIEW.split(", ")[k] for k in kept)
 
-    return jobs.select("image_id", "kind", "parameter", "seed", "height", "width", "data").mapInPandas(run, VIEW)
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], VIEW_TYPES[k]) for k in kept], [c.split()[0] for c in schema.split(", ")])
 
-
-def degraded_views(images: DataFrame, seed: int, levels: dict[str, tuple[float, ...]] = LEVELS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for image_id, jobs, image in zip(b.column("image_id").to_pylist(), b.column("jobs").to_pylist(), _each(b), strict=True):
+                for job in jobs:
+                    data = kernels[job["kind"]](image, float(job["parameter"]), int(job["seed"])).tobytes()
+                    rows.append((image_id, job["kind"], job["parameter"], job["seed"], *image.shape[:2], data, hashlib.sha256(data).hexdigest()))
+                    held += len(data)
+                    if held >= PIECE_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    return images.select("image_id", "height", "width", "data", "jobs").mapInArrow(run, schema)
+
+
+def degraded_views(images: DataFrame, seed: int, levels: dict[str, tuple[float, ...]] = LEVELS, keep_pixels: bool = True) -> DataFrame:
     from ..functions.hashing import stable_seed
 
-    jobs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i + 1).alias("severity"), F.lit(p).alias("parameter")) for k, ps in levels.items() for i, p in enumerate(ps)])
-    df = images.select("*", F.inline(jobs))
-    return apply_views(df.withColumn("seed", stable_seed(F.lit(seed), F.col("image_id"), F.col("kind"), F.col("severity"))), CORRUPTIONS)
+    jobs = [F.struct(F.lit(k).alias("kind"), F.lit(float(p)).alias("parameter"), stable_seed(F.lit(seed), F.col("image_id"), F.lit(k), F.lit(i + 1)).alias("seed")) for k, ps in levels.items() for i, p in enumerate(ps)]
+    return apply_views(images.withColumn("jobs", F.array(*jobs)), CORRUPTIONS, keep_pixels)
 
 
-def enhanced_views(images: DataFrame, parameters: dict[str, float], kernels: dict[str, Callable] | None = None) -> DataFrame:
+def enhanced_views(images: DataFrame, parameters: dict[str, float], kernels: dict[str, Callable] | None = None, keep_pixels: bool = True) -> DataFrame:
     """User kernels may be added to the registry that is passed."""
-    jobs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(p)).alias("parameter")) for k, p in parameters.items()])
-    return apply_views(images.select("*", F.inline(jobs)).withColumn("seed", F.lit(0).cast("decimal(20,0)")), kernels or ENHANCEMENTS)
+    jobs = [F.struct(F.lit(k).alias("kind"), F.lit(float(p)).alias("parameter"), F.lit(0).cast("decimal(20,0)").alias("seed")) for k, p in parameters.items()]
+    return apply_views(images.withColumn("jobs", F.array(*jobs)), kernels or ENHANCEMENTS, keep_pixels)
 
 
 def border_stats(images: DataFrame, border: int, white: int = 250) -> DataFrame:

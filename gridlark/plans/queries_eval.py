@@ -698,12 +698,12 @@ def _(v):
 
 @query("i2_degraded_views")
 def _(v):
-    return I.degraded_views(pixel_table(v), 42).select("image_id", "kind", "parameter", F.col("seed").cast("string").alias("seed"), "output_sha256")
+    return I.degraded_views(pixel_table(v), 42, keep_pixels=False).select("image_id", "kind", "parameter", F.col("seed").cast("string").alias("seed"), "output_sha256")
 
 
 @query("i3_enhanced_views")
 def _(v):
-    return I.enhanced_views(pixel_table(v), {"gamma": 0.7, "unsharp": 1.0}).select("image_id", "kind", "parameter", "output_sha256")
+    return I.enhanced_views(pixel_table(v), {"gamma": 0.7, "unsharp": 1.0}, keep_pixels=False).select("image_id", "kind", "parameter", "output_sha256")
 
 
 @query("i4_border_stats")
