@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,17 +70,16 @@ def region_quality(images: DataFrame, regions: DataFrame) -> DataFrame:
     boxes = regions.groupBy("image_id").agg(F.collect_list(F.struct("region_id", "rx1", "ry1", "rx2", "ry2")).alias("boxes"))
     names = ["luminance", "contrast", "blur", "haze", "entropy"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.itertuples():
-                image = pixels(row)
-                for x in row.boxes:
+            for image_id, crops, image in zip(b.column("image_id").to_pylist(), b.column("boxes").to_pylist(), _each(b), strict=True):
+                for x in crops:
                     f = quality(image[int(x["ry1"]) : int(x["ry2"]), int(x["rx1"]) : int(x["rx2"])])
-                    out.append((row.image_id, x["region_id"], *(f[n] for n in names)))
-            yield pd.DataFrame(out, columns=["image_id", "region_id", *names])
+                    out.append({"image_id": image_id, "region_id": x["region_id"]} | f)
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("image_id", pa.int64()), ("region_id", pa.int32()), *((n, pa.float64()) for n in names)]))
 
-    return images.join(boxes, "image_id").mapInPandas(run, "image_id long, region_id int, " + ", ".join(f"{n} double" for n in names))
+    return images.join(boxes, "image_id").mapInArrow(run, "image_id long, region_id int, " + ", ".join(f"{n} double" for n in names))
 
 
 @lru_cache(maxsize=16)
@@ -227,14 +225,17 @@ def enhanced_views(images: DataFrame, parameters: dict[str, float], kernels: dic
 
 
 def border_stats(images: DataFrame, border: int, white: int = 250) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples():
-                image = pixels(row)
-                edge = np.ones(image.shape[:2], bool)
-                edge[border:-border, border:-border] = False
-                out.append((row.image_id, float(image[edge].mean()), float((image[edge] >= white).all(axis=1).mean())))
-            yield pd.DataFrame(out, columns=["image_id", "border_mean", "white_fraction"])
-
-    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, border_mean double, white_fraction double")
+    """image_id, border_mean, white_fraction.  Pixels are read where the batch lies; of an image only its border is copied."""
+
+    def told(b: pa.RecordBatch) -> pa.RecordBatch:
+        mean, white_share = [], []
+        for image in _each(b):
+            edge = np.ones(image.shape[:2], bool)
+            edge[border:-border, border:-border] = False
+            outer = image[edge]
+            mean.append(float(outer.mean()))
+            white_share.append(float((outer >= white).all(axis=1).mean()))
+        return pa.RecordBatch.from_arrays([b.column("image_id").cast(pa.int64()), pa.array(mean, pa.float64()), pa.array(white_share, pa.float64())], ["image_id", "border_mean", "white_fraction"])
+
+    # map() lets go of a batch before it asks for the next
+    return images.select("image_id", "height", "width", "data").mapInArrow(lambda batches: map(told, batches), "image_id long, border_mean double, white_fraction double")

@@ -43,3 +43,11 @@ def test_pixels_reach_the_worker_once_an_image(spark):
     digests = images.degraded_views(df, 1, keep_pixels=False)
     assert set(views.columns) - set(digests.columns) == {"data"}
     assert {(x.image_id, x.seed, x.output_sha256) for x in digests.collect()} == {(x.image_id, x.seed, x.output_sha256) for x in got}
+
+
+def test_border_stats_read_pixels_where_they_lie(spark):
+    """No copy of a batch as Python objects; figures as by hand."""
+    df = spark.range(40).select(F.col("id").alias("image_id"), F.lit(6).alias("height"), F.lit(5).alias("width"), F.encode(F.repeat(F.lit("abc"), 30), "utf-8").alias("data"))
+    stats = images.border_stats(df, 1, white=98)
+    assert "MapInArrow" in plan(stats) and "MapInPandas" not in plan(stats)
+    assert {(x.border_mean, x.white_fraction) for x in stats.collect()} == {(98.0, 0.0)} and stats.count() == 40
