@@ -5,17 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import batched, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..sources.shared import forget, written
-from .images import gray8, pixels
+from .images import each_image, gray8
 
 
 def dhash64(values: Column) -> Column:
@@ -40,46 +39,64 @@ def _lanczos(n_in: int, n_out: int) -> np.ndarray:
 
 
 def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Columns first, then rows, whole numbers of 0 to 255 after each pass."""
-    across = np.clip(np.floor(gray @ _lanczos(gray.shape[1], width).T + 0.5), 0, 255)
-    return np.clip(np.floor(_lanczos(gray.shape[0], height) @ across + 0.5), 0, 255)
+    """Columns first, then rows, whole numbers of 0 to 255 after each pass; of one image or of a stack of equal size."""
+    flat = gray.reshape(-1, gray.shape[-1]).astype(float)
+    across = _levels(flat @ _lanczos(gray.shape[-1], width).T).reshape(*gray.shape[:-1], width)
+    return _levels(_lanczos(gray.shape[-2], height) @ across)
 
 
-def _packed(bits: np.ndarray) -> int:
-    return int(np.packbits(bits.reshape(-1)).view(">i8")[0])
+def _levels(values: np.ndarray) -> np.ndarray:
+    values += 0.5
+    return np.clip(np.floor(values, out=values), 0, 255, out=values)
 
 
-def image_dhash(gray: np.ndarray) -> int:
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """The last two axes, 64 bits, as one number."""
+    return np.packbits(bits.reshape(*bits.shape[:-2], 64), axis=-1).view(">i8")[..., 0].astype(np.int64)
+
+
+def image_dhash(gray: np.ndarray) -> np.ndarray:
     v = resized(gray, 8, 9)
-    return _packed(v[:, 1:] > v[:, :-1])
+    return _packed(v[..., 1:] > v[..., :-1])
 
 
-def image_phash(gray: np.ndarray, side: int = 32, low: int = 8) -> int:
-    """The ``low`` x ``low`` slowest waves of the 32 x 32 image against their median, which leaves the constant one out."""
+@lru_cache(maxsize=8)
+def _waves(side: int, low: int) -> np.ndarray:
     k = np.arange(low)[:, None]
-    waves = np.cos(np.pi * (2 * np.arange(side)[None, :] + 1) * k / (2 * side)) * np.where(k == 0, np.sqrt(1 / side), np.sqrt(2 / side))
+    return np.cos(np.pi * (2 * np.arange(side)[None, :] + 1) * k / (2 * side)) * np.where(k == 0, np.sqrt(1 / side), np.sqrt(2 / side))
+
+
+def image_phash(gray: np.ndarray, side: int = 32, low: int = 8) -> np.ndarray:
+    """The ``low`` x ``low`` slowest waves of the 32 x 32 image against their median, which leaves the constant one out."""
+    waves = _waves(side, low)
     slow = waves @ resized(gray, side, side) @ waves.T
-    return _packed(slow > np.median(slow.reshape(-1)[1:]))
+    rest = slow.reshape(*slow.shape[:-2], -1)[..., 1:]
+    return _packed(slow > np.median(rest, axis=-1)[..., None, None])
 
 
 def orientations(gray: np.ndarray) -> list[np.ndarray]:
-    """The four quarter turns of an image and of its mirror image."""
-    return [np.rot90(g, k) for g in (gray, gray[:, ::-1]) for k in range(4)]
+    """The four quarter turns of an image (or of each of a stack) and of its mirror image."""
+    return [np.rot90(g, k, axes=(-2, -1)) for g in (gray, gray[..., ::-1]) for k in range(4)]
+
+
+#: Images that are hashed together, each in eight orientations of 32 KB.
+STACK = 32
 
 
 def image_hashes(images: DataFrame) -> DataFrame:
     """image_id, phashes, dhashes: 64-bit hashes of the 64 x 64 grey image in its eight orientations, the image as it is first."""
 
-    def run(batches):
-        for b in batches:
-            p, d = [], []
-            for row in b.itertuples():
-                views = orientations(resized(gray8(pixels(row)), 64, 64))
-                p.append([image_phash(x) for x in views])
-                d.append([image_dhash(x) for x in views])
-            yield pd.DataFrame({"image_id": b["image_id"], "phashes": pd.Series(p, dtype=object), "dhashes": pd.Series(d, dtype=object)})
+    def told(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = {"phashes": [], "dhashes": []}
+        for some in batched(each_image(b), STACK):
+            views = np.stack(orientations(np.stack([resized(gray8(x), 64, 64) for x in some])), axis=1)
+            found["phashes"].append(image_phash(views).reshape(-1))
+            found["dhashes"].append(image_dhash(views).reshape(-1))
+        ends = pa.array(np.arange(0, 8 * b.num_rows + 1, 8, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in found.values()]
+        return pa.RecordBatch.from_arrays([b.column("image_id").cast(pa.int64()), *lists], ["image_id", *found])
 
-    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, phashes array<long>, dhashes array<long>")
+    return images.select("image_id", "height", "width", "data").mapInArrow(lambda batches: map(told, batches), "image_id long, phashes array<long>, dhashes array<long>")
 
 
 def by_shuffle(df: DataFrame) -> DataFrame:
@@ -95,21 +112,25 @@ def near_edges(hashes: DataFrame, distance: int, key: str, kinds: list[str], who
     other; each link is a near pair itself, and rows that share a hash make no pairs among them.  Of ``distance + whole`` segments
     of a hash ``whole`` must agree, so near hashes meet by an equi-join on each choice of that many segments.  Rows without hashes
     and null hashes make no link."""
-    arrays = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in kinds])
-    each = hashes.select(key, F.inline(arrays)).select(key, "kind", F.explode("values").alias("h")).where("h is not null").distinct()
+    arrays = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_distinct(k).alias("values")) for i, k in enumerate(kinds)])
+    each = hashes.select(key, F.inline(arrays)).select(key, "kind", F.explode("values").alias("h")).where("h is not null")
     owned = written(each.groupBy("kind", "h").agg(F.min(key).alias("owner")), "owners")
     same = each.join(by_shuffle(owned), ["kind", "h"]).where(F.col(key) > F.col("owner")).select(F.col("owner").alias("a"), F.col(key).alias("b"), "kind", F.lit(0).alias("distance"))
     parts = distance + whole
     cuts = [64 * i // parts for i in range(parts + 1)]
     masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in some) for some in combinations(range(parts), whole)]
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits")) for i, m in enumerate(masks)])
-    rows = owned.select("kind", "h", "owner", F.inline(choices))
-    left = rows.select("kind", "choice", "bits", F.col("h").alias("ha"), F.col("owner").alias("oa"))
-    right = rows.select("kind", "choice", "bits", F.col("h").alias("hb"), F.col("owner").alias("ob"))
+    # one number to deal and sort by; rows that share it by chance are told apart by the kind and the bits themselves
+    choices = F.array(*[F.xxhash64("kind", F.lit(i), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for i, m in enumerate(masks)])
+    rows = owned.select("kind", "h", "owner", F.explode(choices).alias("meet"))
+    left = rows.select("meet", "kind", F.col("h").alias("ha"), F.col("owner").alias("oa"))
+    right = rows.select("meet", F.col("kind").alias("kb"), F.col("h").alias("hb"), F.col("owner").alias("ob"))
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    near = left.join(by_shuffle(right), ["kind", "choice", "bits"]).where((F.col("ha") < F.col("hb")) & (F.col("oa") != F.col("ob")) & (apart <= distance))
+    # the kind is compared as a difference: as an equality Spark would deal and sort by it too
+    alike = (F.col("kind") - F.col("kb") == 0) & (F.col("ha") < F.col("hb")) & (F.col("oa") != F.col("ob")) & (apart <= distance)
+    near = left.join(by_shuffle(right), "meet").where(alike)
     near = near.select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"), "kind", apart.alias("distance"))
-    return same.unionByName(near).groupBy("a", "b", "kind").agg(F.min("distance").alias("distance"))
+    named = F.array(*map(F.lit, kinds))
+    return same.unionByName(near).groupBy("a", "b", "kind").agg(F.min("distance").alias("distance")).withColumn("kind", F.get(named, F.col("kind")))
 
 
 def hamming_pairs(hashes: DataFrame, distance: int, key: str, value: str) -> DataFrame:

@@ -21,7 +21,7 @@ def pixels(row) -> np.ndarray:
     return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, 3)
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def each_image(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The images of a batch, where they lie."""
     for height, width, data in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("data"), strict=True):
         yield np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width, 3)
@@ -34,7 +34,7 @@ def gray(image: np.ndarray) -> np.ndarray:
 
 def gray8(image: np.ndarray) -> np.ndarray:
     """Luma of 0 to 255 in 16-bit fixed point, as image libraries convert to grey."""
-    b, g, r = (image[..., i].astype(np.int64) for i in range(3))
+    b, g, r = (image[..., i].astype(np.int32) for i in range(3))
     return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
 
 
@@ -73,7 +73,7 @@ def region_quality(images: DataFrame, regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for image_id, crops, image in zip(b.column("image_id").to_pylist(), b.column("boxes").to_pylist(), _each(b), strict=True):
+            for image_id, crops, image in zip(b.column("image_id").to_pylist(), b.column("boxes").to_pylist(), each_image(b), strict=True):
                 for x in crops:
                     f = quality(image[int(x["ry1"]) : int(x["ry2"]), int(x["rx1"]) : int(x["rx2"])])
                     out.append({"image_id": image_id, "region_id": x["region_id"]} | f)
@@ -197,7 +197,7 @@ def apply_views(images: DataFrame, kernels: dict[str, Callable], keep_pixels: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, held = [], 0
-            for image_id, jobs, image in zip(b.column("image_id").to_pylist(), b.column("jobs").to_pylist(), _each(b), strict=True):
+            for image_id, jobs, image in zip(b.column("image_id").to_pylist(), b.column("jobs").to_pylist(), each_image(b), strict=True):
                 for job in jobs:
                     data = kernels[job["kind"]](image, float(job["parameter"]), int(job["seed"])).tobytes()
                     rows.append((image_id, job["kind"], job["parameter"], job["seed"], *image.shape[:2], data, hashlib.sha256(data).hexdigest()))
@@ -229,7 +229,7 @@ def border_stats(images: DataFrame, border: int, white: int = 250) -> DataFrame:
 
     def told(b: pa.RecordBatch) -> pa.RecordBatch:
         mean, white_share = [], []
-        for image in _each(b):
+        for image in each_image(b):
             edge = np.ones(image.shape[:2], bool)
             edge[border:-border, border:-border] = False
             outer = image[edge]

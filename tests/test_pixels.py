@@ -51,3 +51,47 @@ def test_border_stats_read_pixels_where_they_lie(spark):
     stats = images.border_stats(df, 1, white=98)
     assert "MapInArrow" in plan(stats) and "MapInPandas" not in plan(stats)
     assert {(x.border_mean, x.white_fraction) for x in stats.collect()} == {(98.0, 0.0)} and stats.count() == 40
+
+
+def test_hashes_of_a_stack(spark):
+    """Images are hashed together, each as it is alone."""
+    from gridlark.operators import dedup
+
+    r = np.random.default_rng(3)
+    stack = r.integers(0, 256, (5, 64, 64)).astype(float)
+    for f in (dedup.image_phash, dedup.image_dhash):
+        assert f(stack).tolist() == [int(f(x)) for x in stack]
+    shapes = [(48, 64), (70, 64), (20, 33)] * 25  # more than one stack
+    rows = [(k, h, w, bytes(r.integers(0, 256, 3 * h * w).astype(np.uint8))) for k, (h, w) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, data binary").repartition(2)
+    got = {x.image_id: (x.phashes, x.dhashes) for x in dedup.image_hashes(df).collect()}
+    for k, h, w, data in rows[::10]:
+        views = dedup.orientations(dedup.resized(images.gray8(np.frombuffer(data, np.uint8).reshape(h, w, 3)), 64, 64))
+        assert got[k] == ([int(dedup.image_phash(x)) for x in views], [int(dedup.image_dhash(x)) for x in views])
+    assert len(got) == len(rows) and dedup.image_hashes(df.limit(0)).count() == 0
+
+
+def test_near_hashes_meet_by_one_number(spark):
+    """Rows of near hashes are dealt and sorted by a single number, whatever the kinds; links are those of all pairs."""
+    from gridlark.operators import dedup
+
+    r = np.random.default_rng(8)
+    base = r.integers(-(2**63), 2**63 - 1, 30)
+    rows = [(k, [int(base[k % 30]) ^ (1 << int(r.integers(0, 63))), int(base[(k * 7) % 30])], [int(base[k % 30])]) for k in range(60)]
+    edges = dedup.near_edges(spark.createDataFrame(rows, "id long, p array<long>, d array<long>"), 4, "id", ["p", "d"])
+    joins = [x for x in plan(edges).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines() if "Join" in x]
+    assert any("meet" in x for x in joins) and not any("bits" in x for x in joins)
+    got = {(x.a, x.b, x.kind) for x in edges.collect()}
+    assert {k for _, _, k in got} == {"p", "d"}
+    near = lambda i, j, c: min(bin((x ^ y) & (2**64 - 1)).count("1") for x in rows[i][c] for y in rows[j][c]) <= 4
+    assert all(near(a, b, 1 if k == "p" else 2) for a, b, k in got)
+    joined = {k: k for k in range(60)}
+
+    def root(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for a, b, _ in got:
+        joined[root(a)] = root(b)
+    assert all(root(i) == root(j) for i in range(60) for j in range(i) if near(i, j, 1) or near(i, j, 2))
