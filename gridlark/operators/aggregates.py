@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import written
 from .matching import greedy_match
-from .quantiles import exact_quantiles
+from .quantiles import counted_quantiles, exact_quantiles
 
 SCORE_LEVELS = (0.10, 0.15, 0.20, 0.25, 0.35, 0.50, 0.70)
 #: Degrees of freedom with a tabulated quantile; beyond, the expansion around the normal quantile is as good.
@@ -263,11 +264,12 @@ def run_rows(runs: DataFrame, timings: DataFrame, selections: DataFrame, candida
 
 
 def median_mad(df: DataFrame, features: list[str]) -> DataFrame:
-    """feature, median and median absolute deviation over all rows; values are ranked in passes, never held together."""
+    """feature, median and median absolute deviation over all rows.  Rows are read once and counted by value; all else is over distinct values."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
-    med = exact_quantiles(long, ["feature"], "v", [0.5]).select("feature", F.col("quantiles")[0].alias("median"))
-    apart = long.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("v") - F.col("median")).alias("v"))  # a row a feature
-    mad = exact_quantiles(apart, ["feature"], "v", [0.5]).select("feature", F.col("quantiles")[0].alias("mad"))
+    counted = written(long.groupBy("feature", "v").agg(F.count("*").alias("n")), "counted-values")
+    med = written(counted_quantiles(counted, ["feature"], [0.5]).select("feature", F.col("quantiles")[0].alias("median")), "medians")
+    apart = counted.join(F.broadcast(med), "feature").groupBy("feature", F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("n").alias("n"))  # a row a feature
+    mad = counted_quantiles(apart, ["feature"], [0.5]).select("feature", F.col("quantiles")[0].alias("mad"))
     return med.join(mad, "feature")
 
 

@@ -8,7 +8,7 @@ few rows its ranks are read off.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -63,3 +63,27 @@ def exact_quantiles(values: DataFrame, keys: list[str], value: str, shares: list
     between = F.when((F.col("_f") == F.col("_c")) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise((F.col("_c") - F.col("at")) * F.col("_a") + (F.col("at") - F.col("_f")) * F.col("_b"))
     listed = F.array_sort(F.collect_list(F.struct(F.col("i"), between.alias("v"))))
     return placed.groupBy(*[F.col(f"x.{k}") for k in keys]).agg(F.transform(listed, lambda s: s["v"]).alias("quantiles"))
+
+
+def counted_quantiles(counted: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys, ``quantiles`` like ``exact_quantiles``, from a row a distinct value: keys, ``v``, ``n`` (how often it occurs).
+
+    The values are dealt once, in ranges of their order; counts of ranges are carried over, so each rank is read off one row."""
+    parts = max(2, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(counted.where("v IS NOT NULL").select(*keys, "v", "n").repartitionByRange(parts, *keys, "v").withColumn("_b", F.spark_partition_id()), "quantile-ranges")
+    above = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = dealt.groupBy(*keys, "_b").agg(F.sum("n").alias("_t"))
+    start = ranges.select(*keys, "_b", F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_t0"), F.sum("_t").over(Window.partitionBy(*keys)).alias("_all"))
+    same = lambda a, b, *more: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in (*keys, *more)]
+    rows = dealt.alias("r").join(start.alias("s"), same("r", "s", "_b")).select(*[F.col(f"r.{k}") for k in keys], "r._b", "v", "n", "_t0", "_all")
+    inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("_to", F.col("_t0") + F.sum("n").over(inside))
+    held = lambda rank: (F.col("_to") - F.col("n") <= rank) & (rank < F.col("_to"))
+    places = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
+    read = [F.max(F.when(held(f(at)), F.col("v"))).alias(f"_{side}{i}") for i, at in enumerate(places) for side, f in (("a", F.floor), ("b", F.ceil))]
+    found = ends.groupBy(*keys, "_all").agg(*read)
+    between = [F.when((F.floor(at) == F.ceil(at)) | (F.col(f"_a{i}") == F.col(f"_b{i}")), F.col(f"_a{i}")).otherwise((F.ceil(at) - at) * F.col(f"_a{i}") + (at - F.floor(at)) * F.col(f"_b{i}")) for i, at in enumerate(places)]
+    groups = counted.select(*keys).distinct()
+    none = F.array(*[F.lit(None).cast("double") for _ in shares])
+    listed = found.select(*keys, F.array(*between).alias("quantiles")).alias("f")
+    return groups.alias("g").join(listed, same("g", "f"), "left").select(*[F.col(f"g.{k}") for k in keys], F.coalesce("quantiles", none).alias("quantiles"))

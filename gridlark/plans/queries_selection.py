@@ -8,6 +8,7 @@ from ..operators import select as S
 from ..operators import windows as W
 from ..operators.skyline import pareto
 from ..registry import query
+from ..sources.shared import written
 
 WEIGHTS_D = {"d": 0.6, "edge": 0.4}
 WEIGHTS_U = {"entropy": 0.4, "proximity": 0.3, "class_conflict": 0.2, "density": 0.1}
@@ -52,7 +53,8 @@ SELECT image_id, region_id, round(least(1e0, greatest(0e0, {robust_sql('d', 0.6)
 def _(v):
     from ..operators.aggregates import median_mad
 
-    return W.score_degradation(v.traits, median_mad(v.traits, list(WEIGHTS_D)), WEIGHTS_D, 0.5).select("image_id", "region_id", F.round("degradation", 6).alias("degradation"))
+    traits = written(v.traits.select("image_id", "region_id", *WEIGHTS_D), "traits")
+    return W.score_degradation(traits, median_mad(traits, list(WEIGHTS_D)), WEIGHTS_D, 0.5).select("image_id", "region_id", F.round("degradation", 6).alias("degradation"))
 
 
 CONFLICT = """SELECT a.image_id, a.region_id, sum(greatest(0e0, least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0e0, least(a.y2,b.y2)-greatest(a.y1,b.y1))

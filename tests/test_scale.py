@@ -108,3 +108,35 @@ def test_class_conflict_by_all_pairs(spark):
             want[key] = total / (len(pairs) + windows.EPSILON)
     got = {(x.image_id, x.region_id): x.class_conflict for x in windows.class_conflict(df, ["image_id", "region_id"], "det_id").collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+def test_median_mad_reads_rows_once(spark):
+    """Rows are counted by value in one pass; medians are those of ``percentile``, whatever repeats, is null or falls between two values."""
+    from gridlark.operators.aggregates import median_mad
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(float(i % 7), None if i % 5 == 0 else float(i * i % 1013) / 8) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3).mapInArrow(count, "a double, b double")
+    got = {x.feature: (x.median, x.mad) for x in median_mad(df, ["a", "b"]).collect()}
+    assert read.value == 1000
+    for i, f in enumerate("ab"):
+        values = np.array([x[i] for x in rows if x[i] is not None])
+        assert got[f] == (np.median(values), np.median(np.abs(values - np.median(values))))
+
+
+def test_counted_quantiles(spark):
+    from gridlark.operators.quantiles import counted_quantiles
+
+    r = np.random.default_rng(6)
+    rows = [(k, float(v)) for k, n in (("x", 500), ("y", 77), (None, 2), ("z", 1)) for v in r.integers(0, 60, n) / 4] + [("x", None), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    want = {x.g: x.quantiles for x in exact_quantiles(df, ["g"], "v", shares).collect()}
+    got = {x.g: x.quantiles for x in counted_quantiles(df.groupBy("g", "v").agg(F.count("*").alias("n")), ["g"], shares).collect()}
+    assert got == want
