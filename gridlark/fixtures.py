@@ -6,9 +6,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.shared import written
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -72,21 +75,21 @@ def _render(sql: str, spark: bool) -> str:
     return _MACRO.sub(put, sql)
 
 
-def _needed(sql: str) -> list[str]:
-    """Views that a text uses, directly or through others, in order of definition."""
+def _needed(sql: str, given: Collection[str] = ()) -> list[str]:
+    """Views that a text uses, directly or through others, in order of definition; not those that are ``given``, nor what only they use."""
     seen: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for v in VIEWS:
-            if v not in seen and re.search(rf"\b{v}\b", text):
+            if v not in seen and v not in given and re.search(rf"\b{v}\b", text):
                 seen.add(v)
                 todo.append(VIEWS[v])
     return [v for v in VIEWS if v in seen]
 
 
-def with_views(sql: str, spark: bool = False) -> str:
-    ctes = ",\n".join(f"{v} AS ({_render(VIEWS[v], spark)})" for v in _needed(sql))
+def with_views(sql: str, spark: bool = False, given: Collection[str] = ()) -> str:
+    ctes = ",\n".join(f"{v} AS ({_render(VIEWS[v], spark)})" for v in _needed(sql, given))
     sql = _render(sql.strip(), spark)
     if not ctes:
         return sql
@@ -96,10 +99,14 @@ def with_views(sql: str, spark: bool = False) -> str:
 
 
 class Views:
-    """``v.gt``, ``v.lineitem``, ... as DataFrames over one table folder."""
+    """``v.gt``, ``v.lineitem``, ... as DataFrames over one table folder; views that are ``given`` are read, not derived."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None):
+        self.spark, self.sf_dir, self.given = spark, sf_dir, given or {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def once(self, name: str) -> Views:
+        """The same views over a view that is derived and written once."""
+        return Views(self.spark, self.sf_dir, self.given | {name: written(getattr(self, name), name)})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -109,7 +116,9 @@ class Views:
         return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text, spark=True)
+        full = with_views(text, spark=True, given=self.given)
+        for name, df in self.given.items():
+            df.createOrReplaceTempView(name)
         for t in TABLES:
             if re.search(rf"\b{t}\b", full):
                 getattr(self, t).createOrReplaceTempView(t)

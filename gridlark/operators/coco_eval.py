@@ -122,12 +122,16 @@ def positives(truth: DataFrame, keys: list[str], areas: tuple[str, ...] = ("all"
     return real.withColumn("area", F.explode(named)).where("area is not null").groupBy(*keys, "area").agg(F.count("*").alias("npos"))
 
 
-def score_ranges(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """``df`` written once, with ``_b``: about equal ranges of its order by keys, score (best first), image_id and det_id, the
-    greatest number first.  Equal scores go to several ranges.  ``df`` is read three times, so it should be cheap to read."""
+def dealt_by_score(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """``df`` in partitions that are about equal ranges of its order by keys, score (best first), image_id and det_id, with ``_b``: the
+    number of the range, the greatest number first.  Equal scores go to several ranges.  ``df`` is read three times, so it should be cheap to read."""
     n = n or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
-    dealt = df.repartitionByRange(n, *keys, F.desc("score"), "image_id", "det_id")
-    return written(dealt.withColumn("_b", F.lit(n - 1) - F.spark_partition_id()), "score-ranges")
+    return df.repartitionByRange(n, *keys, F.desc("score"), "image_id", "det_id").withColumn("_b", F.lit(n - 1) - F.spark_partition_id())
+
+
+def score_ranges(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """``dealt_by_score`` written once."""
+    return written(dealt_by_score(df, keys, n), "score-ranges")
 
 
 def envelope(df: DataFrame, keys: list[str], floors: list[float] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .coco_eval import EPS, score_ranges
+from .coco_eval import EPS, dealt_by_score, score_ranges
 
 
 #: Units whose multiplicities travel together, and multiplicities that a task makes at a time.
@@ -79,15 +79,6 @@ def weighted_mean_delta(a: Column, b: Column) -> Column:
     return F.sum((b - a) * F.col("m")) / F.sum("m")
 
 
-def _pieces(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows of one key, at most ``most`` together."""
-    for b in batches:
-        keys = list(zip(b["run"], b["category_id"], b["_b"], strict=True))
-        cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or i % most == 0]
-        for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-            yield keys[i], b.iloc[i:j]
-
-
 def _vector(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.float64)
 
@@ -96,55 +87,113 @@ KEY = ["run", "category_id", "_b"]
 KEY_TYPES = "run string, category_id int, _b int"
 #: Bytes of a weight matrix up to which every task holds it whole; a larger one is joined to the rows.
 WHOLE_MATRIX = 64 << 20
+#: A head (totals down to a range, positives), or None, then true positives and weights of consecutive rows, of one key.
+Piece = tuple[tuple, tuple[np.ndarray, ...] | None, np.ndarray | None, np.ndarray | None]
+
+
+def _cuts(columns: list[np.ndarray], most: int) -> list[tuple[int, int]]:
+    """Ranges of rows that are equal in all columns, at most ``most`` rows together."""
+    n = len(columns[0])
+    new = np.arange(n) % most == 0
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], n], strict=True))
+
+
+def _blocks(rows: DataFrame, kinds: tuple, ranges: int | None) -> DataFrame:
+    """Ranges of scores (``dealt_by_score``), each sorted once, worst first: consecutive rows of a key are one row with the numbers ``tp`` and ``unit``
+    of them all; ``at`` tells their order.  What follows needs neither scores nor ids, and shuffles a few bytes for a row."""
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, batch in enumerate(batches):
+            codes = {k: batch.column(k).dictionary_encode().indices.to_numpy() for k in KEY}
+            places = [np.sort(x) for x in pd.DataFrame(codes).groupby(KEY, sort=False).indices.values()]  # few keys meet in a range
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False).astype(k) for c, k in zip(("tp", "unit"), kinds, strict=True)]
+            keys = batch.select(KEY).take(pa.array([x[0] for x in places], pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([at] * len(places), pa.int32()), *[pa.array([x[i].tobytes() for i in places], pa.binary()) for x in numbers]], [*KEY, "at", "tp", "unit"])
 
-def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame | None, ranges: int | None = None) -> DataFrame:
+    # by score first: keys that meet in a range are told apart above, and numbers sort faster than names
+    dealt = dealt_by_score(rows, KEY[:2], ranges).sortWithinPartitions("score", F.desc("image_id"), F.desc("det_id"))
+    return written(dealt.select(*KEY, "tp", "unit").mapInArrow(packed, f"{KEY_TYPES}, at int, tp binary, unit binary"), "blocks")
+
+
+def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame | Callable[[np.ndarray], np.ndarray] | None, ranges: int | None = None) -> DataFrame:
     """run, category_id, resample, ap, recall: average precision under ``n`` weightings at once.
 
     ``rows``: run, category_id, image_id, det_id, score, tp, unit; ``need``: resample, category_id, npos; ``weights``: how often each
-    unit counts, as a matrix (unit x resample) or a table (unit, m: 16-bit numbers).  Without ``weights`` rows have instead of a unit the bits ``counts``, which of at most
-    63 weightings count the row, and ``tp`` holds bits too.  Rows are not repeated: tasks walk through ranges
-    of about equal size (``score_ranges``), worst first, with one vector for all weightings, in pieces of bounded size; totals and
-    best precisions of a range are carried over in groups of at most ``ranges`` rows.  ``rows`` are read twice.  Categories without detections have AP 0, without positives no row."""
+    unit counts, as a matrix (unit x resample), a function from units to its rows, or a table (unit, m: 16-bit numbers).  Without ``weights`` rows have instead of a unit the bits ``counts``, which of at most
+    63 weightings count the row, and ``tp`` holds bits too.  Rows are not repeated: tasks walk once through ranges
+    of about equal size (``dealt_by_score``), worst first, with one vector for all weightings, in pieces of bounded size; only rows that answer for
+    recall points leave them.  Totals and best precisions of a range are carried over in groups of at most ``ranges`` rows.  ``rows`` are read
+    three times.  Categories without detections have AP 0, without positives no row."""
     spark = rows.sparkSession
     most = max(1, 500_000 // n)
     runs = rows.select("run").distinct()
-    rows = score_ranges(rows.select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), "tp", "unit" if weights is not None else "counts"), ["run", "category_id"], ranges)
+    by_bits, joined = weights is None, isinstance(weights, DataFrame)  # functions that go to the workers must not hold a table
+    rows = rows.where("category_id is not null").select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), F.col("tp").cast("long").alias("tp"), F.col("counts" if by_bits else "unit").alias("unit"))
+    bits = np.arange(n)
+    kinds = (np.int64, np.int64) if by_bits else (np.int8, np.int32)
+    if joined:
+        rows = score_ranges(rows, KEY[:2], ranges)
+        table, order = rows.join(weights, "unit").select(*KEY, "score", "image_id", "det_id", "tp", "m"), ["score", F.desc("image_id"), F.desc("det_id")]
+    else:
+        rows = _blocks(rows, kinds, ranges)
+        table, order = rows, ["at"]
     n_ranges = rows.agg(F.max("_b")).first()[0]
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * ((n_ranges or 0) + 1))  # keys meet by chance in a task
-    columns = ["run", "category_id", "_b", F.lit(1).alias("head"), "score", "image_id", "det_id", F.col("tp").cast("long").alias("tp"), F.col("unit" if weights is not None else "counts").cast("long").alias("unit")]
-    bits = np.arange(n)
-    by_bits = weights is None  # functions that go to the workers must not hold a table
-    if isinstance(weights, DataFrame):
-        table = rows.join(weights, "unit").select(*columns, "m")
+    if by_bits:
 
-        def matrix(g: pd.DataFrame) -> np.ndarray:
-            return np.frombuffer(b"".join(g["m"]), np.uint16).reshape(-1, n).astype(np.int64)
-    elif by_bits:
-        table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
+        def matrix(unit: np.ndarray) -> np.ndarray:
+            return (unit[:, None] >> bits) & 1
+    elif callable(weights):
 
-        def matrix(g: pd.DataFrame) -> np.ndarray:
-            return (np.array(g["unit"].tolist(), np.int64)[:, None] >> bits) & 1
-    else:
+        def matrix(unit: np.ndarray) -> np.ndarray:
+            return weights(unit).astype(np.int64)
+    elif not joined:
         held = spark.sparkContext.broadcast(weights.astype(np.uint16))
-        table = rows.select(*columns, F.lit(None).cast("binary").alias("m"))
-
-        def matrix(g: pd.DataFrame) -> np.ndarray:
-            return held.value[g["unit"].to_numpy().astype(np.int64)].astype(np.int64)
 
-    def hits(g: pd.DataFrame, m: np.ndarray) -> np.ndarray:
-        tp = np.array(g["tp"].tolist(), np.int64)[:, None]
-        return m * ((tp >> bits) & 1 if by_bits else tp)
+        def matrix(unit: np.ndarray) -> np.ndarray:
+            return held.value[unit].astype(np.int64)
+
+    def head(g: pd.DataFrame, i: int) -> tuple[np.ndarray, ...] | None:
+        return tuple(_vector(g[c].iloc[i]) for c in ("t", "w", "npos")) if "head" in g and g["head"].iloc[i] == 0 else None
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[Piece]:
+        for g in batches:
+            keys = [g[k].to_numpy() for k in KEY]
+            for i, j in _cuts(keys, most):
+                key, first = tuple(k[i] for k in keys), head(g, i)
+                if first:
+                    yield key, first, None, None
+                    i += 1
+                if i < j:
+                    yield key, None, g["tp"].to_numpy()[i:j].astype(np.int64), np.frombuffer(b"".join(g["m"].iloc[i:j]), np.uint16).reshape(-1, n).astype(np.int64)
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[Piece]:
+        for g in batches:
+            for i, key in enumerate(zip(*[g[k] for k in KEY], strict=True)):
+                first = head(g, i)
+                if first:
+                    yield key, first, None, None
+                    continue
+                tp, unit = (np.frombuffer(g[c].iloc[i], k).astype(np.int64) for c, k in zip(("tp", "unit"), kinds, strict=True))
+                for low in range(0, len(tp), most):
+                    yield key, None, tp[low : low + most], matrix(unit[low : low + most])
+
+    pieces = listed if joined else unpacked
+
+    def hits(tp: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return m * ((tp[:, None] >> bits) & 1 if by_bits else tp[:, None])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, t, w = None, np.zeros(n), np.zeros(n)
-        for key, g in _pieces(batches, most):
+        for key, _, tp, m in pieces(batches):
             if key != now:
                 if now:
                     yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
                 now, t, w = key, np.zeros(n), np.zeros(n)
-            m = matrix(g)
-            t += hits(g, m).sum(axis=0)
+            t += hits(tp, m).sum(axis=0)
             w += m.sum(axis=0)
         if now:
             yield pd.DataFrame([(*now, t.tobytes(), w.tobytes())], columns=[*KEY, "t", "w"])
@@ -153,37 +202,46 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
         g = g.sort_values("_b", ascending=False)
         for c in ("t", "w"):
             g[c] = [x.tobytes() for x in np.cumsum(np.stack([_vector(x) for x in g[c]]), axis=0)]
-        return g[[*KEY, "t", "w"]]
+        return g.drop_duplicates("_b", keep="last")[[*KEY, "t", "w"]]  # a range may come in several parts
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*KEY, "best", "area", "top"]
-        now, t, w, best, npos, area, top = (None,) * 7
-        for key, g in _pieces(batches, most):
+        def done() -> pd.DataFrame:
+            at, points, value = (np.concatenate(x).tobytes() for x in zip((np.zeros(0, np.int32), np.zeros(0), np.zeros(0)), *found, strict=True))
+            return pd.DataFrame([(*now, best.tobytes(), top.tobytes(), at, points, value)], columns=[*KEY, "best", "top", "at", "points", "value"])
+
+        now, best, top, found = None, None, None, []
+        for key, first, tp, m in pieces(batches):
             if key != now:
                 if now:
-                    yield pd.DataFrame([(*now, best.tobytes(), area, top)], columns=names)
-                first = g.iloc[0]  # the head: totals down to this range, best precision below it
-                now, t, w, best, npos, area, top = key, _vector(first["t"]).copy(), _vector(first["w"]).copy(), _vector(first["best"]), _vector(first["npos"]), np.zeros(n), _vector(first["t"])
-                g = g.iloc[1:]
-            if not len(g):
+                    yield done()
+                now, best, found = None, np.zeros(n), []
+                if not first:  # the category has no positives
+                    continue
+                now, top = key, first[0]
+                t, w, npos = first[0].copy(), first[1].copy(), first[2]  # totals down to this range
                 continue
-            m = matrix(g)
-            hit = hits(g, m)
+            hit = hits(tp, m)
             true = t - (np.cumsum(hit, axis=0) - hit)
             precision = true / (w - (np.cumsum(m, axis=0) - m) + EPS)
             envelope = np.maximum.accumulate(np.vstack([best[None], precision]), axis=0)[1:]
             points = np.floor(100 * true / npos) - np.floor(100 * (true - hit) / npos) + ((true == hit) & (hit > 0))
-            area += (envelope * points).sum(axis=0)
+            row, at = np.nonzero(points)
+            found.append((at.astype(np.int32), points[row, at], envelope[row, at]))
             best = envelope[-1]
             t -= hit.sum(axis=0)
             w -= m.sum(axis=0)
         if now:
-            yield pd.DataFrame([(*now, best.tobytes(), area, top)], columns=names)
+            yield done()
 
-    def below(g: pd.DataFrame) -> pd.DataFrame:
+    def areas(g: pd.DataFrame) -> pd.DataFrame:
+        area, below = np.zeros(n), np.zeros(n)
         g = g.sort_values("_b")
-        tops = np.maximum.accumulate(np.stack([np.zeros(n), *[_vector(x) for x in g["best"]]]), axis=0)[:-1]
-        return g[KEY].assign(best=[x.tobytes() for x in tops])
+        for best, at, points, value in zip(g["best"], g["at"], g["points"], g["value"], strict=True):
+            at = np.frombuffer(at, np.int32)
+            area += np.bincount(at, _vector(points) * np.maximum(_vector(value), below[at]), n)
+            below = np.maximum(below, _vector(best))
+        top = np.max([_vector(x) for x in g["top"]], axis=0)
+        return pd.DataFrame([(g["run"].iloc[0], g["category_id"].iloc[0], area, top)], columns=["run", "category_id", "area", "top"])
 
     def vectors(g: pd.DataFrame) -> pd.DataFrame:
         npos = np.ones(n)  # weightings without positives are left out at the end
@@ -192,21 +250,17 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
 
     need = need.select("resample", F.col("category_id").cast("int").alias("category_id"), F.col("npos").cast("long").alias("npos")).where("npos > 0")
     npos = need.groupBy("category_id").applyInPandas(vectors, "category_id int, npos binary")
-
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.repartition(n_ranges, *KEY).sortWithinPartitions(*KEY, "head", "score", F.desc("image_id"), F.desc("det_id"))
-
-    def walked(heads: DataFrame) -> DataFrame:
-        # heads have numbers too: a null would make the column float, which holds 53 bits only
-        heads = heads.withColumns({"tp": F.lit(0).cast("long"), "unit": F.lit(0).cast("long")})
-        return ordered(table.unionByName(heads.withColumn("head", F.lit(0)), allowMissingColumns=True).join(npos.select("category_id"), "category_id", "left_semi")).mapInPandas(walk, f"{KEY_TYPES}, best binary, area array<double>, top array<double>")
-
-    totals = ordered(table).select(*KEY, "tp", "unit", "m").mapInPandas(sums, f"{KEY_TYPES}, t binary, w binary").groupBy("run", "category_id").applyInPandas(carried, f"{KEY_TYPES}, t binary, w binary")
-    totals = written(totals.join(npos, "category_id"), "ap-totals")
-    tops = walked(totals.withColumn("best", F.lit(bytes(8 * n)))).groupBy("run", "category_id").applyInPandas(below, f"{KEY_TYPES}, best binary")
-    parts = walked(totals.join(tops, KEY)).select("run", "category_id", F.posexplode(F.arrays_zip("area", "top")).alias("resample", "_v"))
-    area = parts.groupBy("run", "category_id", "resample").agg(F.sum("_v.area").alias("area"), F.max("_v.top").alias("top"))
+    by_range = table.repartition(n_ranges, *KEY).sortWithinPartitions(*KEY, *order) if joined else table
+    totals = by_range.mapInPandas(sums, f"{KEY_TYPES}, t binary, w binary").groupBy("run", "category_id").applyInPandas(carried, f"{KEY_TYPES}, t binary, w binary")
+    # heads have numbers too: a null would make the column float, which holds 53 bits only
+    heads = written(totals.join(npos, "category_id"), "ap-totals").withColumns({"head": F.lit(0), "at": F.lit(0)} | ({"tp": F.lit(0).cast("long")} if joined else {}))
+    both = table.withColumn("head", F.lit(1)).unionByName(heads.drop("at") if joined else heads, allowMissingColumns=True)
+    dealt = both.repartition(n_ranges, F.hash(*KEY)).sortWithinPartitions(*KEY, "head", *order)  # by an expression, see ``segmented``
+    walked = dealt.mapInPandas(walk, f"{KEY_TYPES}, best binary, top binary, at binary, points binary, value binary")
+    parts = walked.groupBy("run", "category_id").applyInPandas(areas, "run string, category_id int, area array<double>, top array<double>")
+    area = parts.select("run", "category_id", F.posexplode(F.arrays_zip("area", "top")).alias("resample", "_v"))
     wanted = need.crossJoin(F.broadcast(runs))  # a few runs
+    area = area.select("run", "category_id", "resample", "_v.area", "_v.top")
     return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"), (F.coalesce("top", F.lit(0.0)) / F.col("npos")).alias("recall"))
 
 
@@ -301,25 +355,9 @@ def factorial_2x2(deltas: DataFrame, first: str, second: str) -> DataFrame:
     return p.select("seed", "resample", F.inline(F.array(F.struct(F.lit("main").alias("effect"), ((a + b) / 2).alias("delta")), F.struct(F.lit("interaction").alias("effect"), (a - b).alias("delta")))))
 
 
-def _all_but_one(spark, n: int) -> np.ndarray | DataFrame:
-    """n + 1 weightings of n units: weighting k leaves unit k out, the last one none."""
-    if 2 * n * (n + 1) <= WHOLE_MATRIX:
-        return 1 - np.eye(n, n + 1, dtype=np.uint16)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k in b["unit"]:
-                row = np.ones(n + 1, np.uint16)
-                row[k] = 0
-                out.append(row.tobytes())
-            yield pd.DataFrame({"unit": b["unit"], "m": pd.Series(out, dtype=object)})
-
-    return spark.range(n).select(F.col("id").cast("int").alias("unit")).mapInPandas(rows, "unit int, m binary")
-
-
 def leave_one_group_out(matches: dict[str, DataFrame], npos: DataFrame, clusters: DataFrame, baseline: str, method: str) -> DataFrame:
-    """omitted, baseline_ap, method_ap, delta, shift (from the delta of all) for each cluster left out; all runs in one walk.
+    """omitted, baseline_ap, method_ap, delta, shift (from the delta of all) for each cluster left out; all runs in one walk, in
+    which weighting k leaves cluster k out, the last one none.
 
     Clusters are registered groups: their names are numbered on the driver."""
     spark = npos.sparkSession
@@ -332,7 +370,7 @@ def leave_one_group_out(matches: dict[str, DataFrame], npos: DataFrame, clusters
     ways = spark.range(n + 1).select(F.col("id").cast("int").alias("resample"))
     own = counts.select(F.col("unit").alias("resample"), "category_id", "npos")
     need = total.crossJoin(ways).join(own, ["resample", "category_id"], "left").select("resample", "category_id", (F.col("all") - F.coalesce("npos", F.lit(0))).alias("npos"))
-    ap = ap_under_weights(written(_of_runs(matches, numbered), "matches-of-runs"), need, n + 1, _all_but_one(spark, n)).groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
+    ap = ap_under_weights(written(_of_runs(matches, numbered), "matches-of-runs"), need, n + 1, lambda unit: unit[:, None] != np.arange(n + 1)).groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
     both = ap.groupBy("resample").pivot("run", [baseline, method]).agg(F.first("ap"))
     both = written(both.select("resample", F.col(f"`{baseline}`").alias("baseline_ap"), F.col(f"`{method}`").alias("method_ap")).withColumn("delta", F.col("method_ap") - F.col("baseline_ap")), "left-out")
     full = both.where(F.col("resample") == n).select(F.col("delta").alias("full_delta"))

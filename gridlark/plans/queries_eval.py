@@ -372,6 +372,7 @@ d_ AS (SELECT *, method_ap - baseline_ap AS delta, (SELECT method_ap - baseline_
 
 
 def left_out(v):
+    v = v.once("boxes")
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
     return B.leave_one_group_out(two_runs(v), n, v.images.select("image_id", F.col("cluster_id").alias("unit")), "base", "method")
 
