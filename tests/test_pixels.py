@@ -95,3 +95,14 @@ def test_near_hashes_meet_by_one_number(spark):
     for a, b, _ in got:
         joined[root(a)] = root(b)
     assert all(root(i) == root(j) for i in range(60) for j in range(i) if near(i, j, 1) or near(i, j, 2))
+
+
+@pytest.mark.parametrize("name", ["u2_user_detector", "u2_checked_detector"])
+def test_an_image_of_equal_pixels_has_a_box(spark, tmp_path, name):
+    """Two bytes and the space make one pixel, over and over; the mean of equal numbers can round above them, which left no pixel."""
+    import __spark_entry__
+
+    texts = [chr(c) + "." for c in range(ord("A"), ord("Z") + 1)] + ["ad", "as", "bb", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {x.image_id: (x.x1, x.y1, x.x2, x.y2) for x in __spark_entry__.queries()[name](spark, f"file://{tmp_path}").collect()}
+    assert len(got) == len(texts) and all(got[i] == (0.0, 0.0, 64.0, 48.0) for i, t in enumerate(texts) if len(t) == 2)
