@@ -85,8 +85,10 @@ def _vector(data: bytes) -> np.ndarray:
 
 KEY = ["run", "category_id", "_b"]
 KEY_TYPES = "run string, category_id int, _b int"
-#: Bytes of a weight matrix up to which every task holds it whole; a larger one is joined to the rows.
+#: Bytes of a weight matrix up to which every task holds it whole; of a larger one a task holds some resamples, so many bytes at most.
 WHOLE_MATRIX = 64 << 20
+HELD_DRAWS = 256 << 20
+POINTS = 101  # of recall
 #: A head (totals down to a range, positives), or None, then true positives and weights of consecutive rows, of one key.
 Piece = tuple[tuple, tuple[np.ndarray, ...] | None, np.ndarray | None, np.ndarray | None]
 
@@ -118,6 +120,24 @@ def _blocks(rows: DataFrame, kinds: tuple, ranges: int | None) -> DataFrame:
     return written(dealt.select(*KEY, "tp", "unit").mapInArrow(packed, f"{KEY_TYPES}, at int, tp binary, unit binary"), "blocks")
 
 
+def _scored(rows: DataFrame, unit: str) -> DataFrame:
+    return rows.where("category_id is not null").select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), F.col("tp").cast("long").alias("tp"), F.col(unit).alias("unit"))
+
+
+def _needed(need: DataFrame) -> DataFrame:
+    return need.select("resample", F.col("category_id").cast("int").alias("category_id"), F.col("npos").cast("long").alias("npos")).where("npos > 0")
+
+
+def _area(best: np.ndarray) -> np.ndarray:
+    """Sums of the envelope at the recall points, of the best precision (point, weighting) found from each point to the next."""
+    return np.cumsum(np.maximum.accumulate(best[::-1], axis=0)[::-1], axis=0)[-1]
+
+
+def _with_ap(need: DataFrame, runs: DataFrame, area: DataFrame) -> DataFrame:
+    wanted = need.crossJoin(F.broadcast(runs))  # a few runs
+    return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / POINTS).alias("ap"), (F.coalesce("top", F.lit(0.0)) / F.col("npos")).alias("recall"))
+
+
 def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarray | DataFrame | Callable[[np.ndarray], np.ndarray] | None, ranges: int | None = None) -> DataFrame:
     """run, category_id, resample, ap, recall: average precision under ``n`` weightings at once.
 
@@ -131,7 +151,7 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
     most = max(1, 500_000 // n)
     runs = rows.select("run").distinct()
     by_bits, joined = weights is None, isinstance(weights, DataFrame)  # functions that go to the workers must not hold a table
-    rows = rows.where("category_id is not null").select("run", F.col("category_id").cast("int").alias("category_id"), "image_id", "det_id", F.col("score").cast("double").alias("score"), F.col("tp").cast("long").alias("tp"), F.col("counts" if by_bits else "unit").alias("unit"))
+    rows = _scored(rows, "counts" if by_bits else "unit")
     bits = np.arange(n)
     kinds = (np.int64, np.int64) if by_bits else (np.int8, np.int32)
     if joined:
@@ -206,15 +226,16 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done() -> pd.DataFrame:
-            at, points, value = (np.concatenate(x).tobytes() for x in zip((np.zeros(0, np.int32), np.zeros(0), np.zeros(0)), *found, strict=True))
-            return pd.DataFrame([(*now, best.tobytes(), top.tobytes(), at, points, value)], columns=[*KEY, "best", "top", "at", "points", "value"])
+            found.append((np.arange(n, dtype=np.int32), place[-1], best))  # the best of the range, from its first row on
+            at, points, value = (np.concatenate(x).tobytes() for x in zip(*found, strict=True))
+            return pd.DataFrame([(*now, top.tobytes(), at, points, value)], columns=[*KEY, "top", "at", "point", "value"])
 
-        now, best, top, found = None, None, None, []
+        now, best, top, place, found = None, None, None, np.zeros((1, n)), []
         for key, first, tp, m in pieces(batches):
             if key != now:
                 if now:
                     yield done()
-                now, best, found = None, np.zeros(n), []
+                now, best, place, found = None, np.zeros(n), np.zeros((1, n)), []
                 if not first:  # the category has no positives
                     continue
                 now, top = key, first[0]
@@ -224,9 +245,9 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
             true = t - (np.cumsum(hit, axis=0) - hit)
             precision = true / (w - (np.cumsum(m, axis=0) - m) + EPS)
             envelope = np.maximum.accumulate(np.vstack([best[None], precision]), axis=0)[1:]
-            points = np.floor(100 * true / npos) - np.floor(100 * (true - hit) / npos) + ((true == hit) & (hit > 0))
-            row, at = np.nonzero(points)
-            found.append((at.astype(np.int32), points[row, at], envelope[row, at]))
+            place = np.floor(100 * true / npos)  # the last recall point that is reached
+            row, at = np.nonzero((place > np.floor(100 * (true - hit) / npos)) | ((true == hit) & (hit > 0)))
+            found.append((at.astype(np.int32), place[row, at], envelope[row, at]))
             best = envelope[-1]
             t -= hit.sum(axis=0)
             w -= m.sum(axis=0)
@@ -234,21 +255,18 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
             yield done()
 
     def areas(g: pd.DataFrame) -> pd.DataFrame:
-        area, below = np.zeros(n), np.zeros(n)
-        g = g.sort_values("_b")
-        for best, at, points, value in zip(g["best"], g["at"], g["points"], g["value"], strict=True):
-            at = np.frombuffer(at, np.int32)
-            area += np.bincount(at, _vector(points) * np.maximum(_vector(value), below[at]), n)
-            below = np.maximum(below, _vector(best))
+        best = np.zeros((POINTS, n))
+        for at, point, value in zip(g["at"], g["point"], g["value"], strict=True):
+            np.maximum.at(best, (np.minimum(_vector(point), POINTS - 1).astype(int), np.frombuffer(at, np.int32)), _vector(value))
         top = np.max([_vector(x) for x in g["top"]], axis=0)
-        return pd.DataFrame([(g["run"].iloc[0], g["category_id"].iloc[0], area, top)], columns=["run", "category_id", "area", "top"])
+        return pd.DataFrame([(g["run"].iloc[0], g["category_id"].iloc[0], _area(best), top)], columns=["run", "category_id", "area", "top"])
 
     def vectors(g: pd.DataFrame) -> pd.DataFrame:
         npos = np.ones(n)  # weightings without positives are left out at the end
         npos[g["resample"].to_numpy()] = g["npos"].to_numpy(float)
         return pd.DataFrame([(g["category_id"].iloc[0], npos.tobytes())], columns=["category_id", "npos"])
 
-    need = need.select("resample", F.col("category_id").cast("int").alias("category_id"), F.col("npos").cast("long").alias("npos")).where("npos > 0")
+    need = _needed(need)
     npos = need.groupBy("category_id").applyInPandas(vectors, "category_id int, npos binary")
     by_range = table.repartition(n_ranges, *KEY).sortWithinPartitions(*KEY, *order) if joined else table
     totals = by_range.mapInPandas(sums, f"{KEY_TYPES}, t binary, w binary").groupBy("run", "category_id").applyInPandas(carried, f"{KEY_TYPES}, t binary, w binary")
@@ -256,12 +274,100 @@ def ap_under_weights(rows: DataFrame, need: DataFrame, n: int, weights: np.ndarr
     heads = written(totals.join(npos, "category_id"), "ap-totals").withColumns({"head": F.lit(0), "at": F.lit(0)} | ({"tp": F.lit(0).cast("long")} if joined else {}))
     both = table.withColumn("head", F.lit(1)).unionByName(heads.drop("at") if joined else heads, allowMissingColumns=True)
     dealt = both.repartition(n_ranges, F.hash(*KEY)).sortWithinPartitions(*KEY, "head", *order)  # by an expression, see ``segmented``
-    walked = dealt.mapInPandas(walk, f"{KEY_TYPES}, best binary, top binary, at binary, points binary, value binary")
+    walked = dealt.mapInPandas(walk, f"{KEY_TYPES}, top binary, at binary, point binary, value binary")
     parts = walked.groupBy("run", "category_id").applyInPandas(areas, "run string, category_id int, area array<double>, top array<double>")
     area = parts.select("run", "category_id", F.posexplode(F.arrays_zip("area", "top")).alias("resample", "_v"))
-    wanted = need.crossJoin(F.broadcast(runs))  # a few runs
-    area = area.select("run", "category_id", "resample", "_v.area", "_v.top")
-    return wanted.join(area, ["run", "category_id", "resample"], "left").select("run", "category_id", "resample", (F.coalesce("area", F.lit(0.0)) / 101).alias("ap"), (F.coalesce("top", F.lit(0.0)) / F.col("npos")).alias("recall"))
+    return _with_ap(need, runs, area.select("run", "category_id", "resample", "_v.area", "_v.top"))
+
+
+def raise_best(best: np.ndarray, true: np.ndarray, seen: np.ndarray, npos: np.ndarray) -> None:
+    """Enter true positives, best first, into ``best`` (point, weighting); counts up to each of them are given by weighting."""
+    precision = true / (seen + EPS)
+    first, last = (np.minimum(np.floor(100 * true[i] / npos), POINTS - 1).astype(int) for i in (0, -1))
+    at = np.arange(len(npos))
+    best[first, at] = np.maximum(best[first, at], precision.max(axis=0))
+    moved = np.flatnonzero(first < last)  # few weightings pass a point in one piece
+    if len(moved):
+        place = np.minimum(np.floor(100 * true[1:, moved] / npos[moved]), POINTS - 1).astype(int)
+        envelope = np.maximum.accumulate(precision[:0:-1, moved], axis=0)[::-1]
+        row, k = np.nonzero(np.diff(place, axis=0, prepend=first[None, moved]))
+        np.maximum.at(best, (place[row, k], moved[k]), envelope[row, k])
+
+
+def ap_under_draws(rows: DataFrame, need: DataFrame, n: int, n_units: int, seed: int) -> DataFrame:
+    """``ap_under_weights`` of ``n`` draws whose matrix is too large to be held: the resamples are dealt to tasks.
+
+    A task keeps the multiplicities of its resamples, mostly a byte a unit for each, and walks once through the blocks of all rows, best
+    first: counts begin at 0, and of the precisions only the best from each recall point to the next is kept.  A row costs
+    five bytes a task and never meets its weights in a join.  ``rows`` are read three times, ``need`` twice."""
+    spark = rows.sparkSession
+    at_once = -(-n // min(n, max(-(-n * n_units // HELD_DRAWS), spark.sparkContext.defaultParallelism)))
+    tasks = -(-n // at_once)
+    kinds = (np.int8, np.int32)
+    runs, need = rows.select("run").distinct(), _needed(need)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ms = [x.values.to_numpy() for x in batch.column("ms")]
+            data = pa.array([x.astype(np.uint8 if x.max() < 256 else np.int32).tobytes() for x in ms], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("resample"), batch.column("block"), data], ["resample", "block", "data"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, 100_000 // at_once)  # what the caches of a core hold
+        task, now, held, npos, true, seen, best = None, None, None, {}, None, None, None
+
+        def done() -> pa.RecordBatch:
+            k = min(at_once, n - task * at_once)
+            numbers = np.arange(task * at_once, task * at_once + k, dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * k, pa.string()), pa.array(np.full(k, now[1], np.int32)), pa.array(numbers), pa.array(_area(best)[:k]), pa.array(true[:k])], ["run", "category_id", "resample", "area", "top"])
+
+        for batch in batches:
+            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("task", "kind", "run", "category_id", "at", "number")}
+            first, second = (batch.column(x) for x in ("tp", "unit"))
+            for i in range(batch.num_rows):
+                if c["task"][i] != task or (c["kind"][i] == 2 and (c["run"][i], c["category_id"][i]) != now):
+                    if now:
+                        yield done()
+                    now = None
+                if c["task"][i] != task:
+                    task, held, npos = c["task"][i], np.zeros((n_units, at_once), np.uint8), {}
+                if c["kind"][i] == 0:  # the draws of a resample and a block of units
+                    m = np.frombuffer(first[i].as_buffer(), np.uint8 if c["at"][i] == 1 else np.int32)
+                    held = held if m.dtype == held.dtype else held.astype(np.int32, copy=False)
+                    low = c["number"][i] * UNIT_BLOCK
+                    held[low : low + len(m), c["category_id"][i] - task * at_once] = m
+                elif c["kind"][i] == 1:  # a resample's positives of a category
+                    npos.setdefault(c["category_id"][i], np.ones(at_once))[c["number"][i] - task * at_once] = c["at"][i]
+                else:
+                    if now is None:
+                        now, true, seen, best = (c["run"][i], c["category_id"][i]), np.zeros(at_once), np.zeros(at_once), np.zeros((POINTS, at_once))
+                    if now[1] not in npos:
+                        continue
+                    tp, unit = (np.frombuffer(x[i].as_buffer(), k)[::-1] for x, k in zip((first, second), kinds, strict=True))
+                    for low in range(0, len(tp), most):
+                        m = held[unit[low : low + most]].astype(np.int32)
+                        hit = np.flatnonzero(tp[low : low + most])  # the best from any row on is at one of them
+                        t, so_far = np.cumsum(m[hit], axis=0), np.cumsum(m, axis=0)
+                        if len(hit):
+                            raise_best(best, true + t, seen + so_far[hit], npos[now[1]])
+                            true = true + t[-1]
+                        seen = seen + so_far[-1]
+        if now:
+            yield done()
+
+    drawn = drawn_blocks(spark, n, n_units, seed).mapInArrow(narrowed, "resample int, block int, data binary")
+    task = F.floor(F.col("resample") / at_once).cast("int").alias("task")
+    size = F.least(F.lit(UNIT_BLOCK), F.lit(n_units) - F.col("block") * UNIT_BLOCK)
+    none = F.lit(None).cast("binary")
+    # what a row is by its kind: draws, positives, block of rows
+    draws_ = drawn.select(task, F.lit(0).alias("kind"), F.lit("").alias("run"), F.col("resample").alias("category_id"), (F.length("data") / size).cast("long").alias("at"), F.col("block").alias("number"), F.col("data").alias("tp"), none.alias("unit"))
+    needs = need.select(task, F.lit(1).alias("kind"), F.lit("").alias("run"), "category_id", F.col("npos").alias("at"), F.col("resample").alias("number"), none.alias("tp"), none.alias("unit"))
+    blocks = _blocks(_scored(rows, "unit"), kinds, None)
+    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+    blocks = blocks.select(every, F.lit(2).alias("kind"), "run", "category_id", F.col("at").cast("long").alias("at"), F.col("_b").alias("number"), "tp", "unit")
+    dealt = draws_.unionByName(needs).unionByName(blocks).repartitionById(tasks, F.col("task"))
+    dealt = dealt.sortWithinPartitions("task", "kind", "run", "category_id", F.desc("number"), F.desc("at"))
+    return _with_ap(need, runs, dealt.mapInArrow(walk, "run string, category_id int, resample int, area double, top double"))
 
 
 def drawn_weights(spark, n_resamples: int, n_units: int, seed: int) -> np.ndarray | DataFrame:
@@ -300,7 +406,11 @@ def ap_cluster_bootstrap(matches: dict[str, DataFrame], npos: DataFrame, cluster
     by_unit = npos.join(clusters, "image_id").groupBy("unit", "category_id").agg(F.sum("npos").alias("npos"))
     need = resampled(by_unit, n_clusters, n_resamples, seed).groupBy("resample", "category_id").agg(F.sum(F.col("npos") * F.col("m")).alias("npos"))
     need = written(need, "positives")  # read several times, and each time all would be drawn again
-    ap = ap_under_weights(written(_of_runs(matches, clusters), "matches-of-runs"), need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
+    rows = written(_of_runs(matches, clusters), "matches-of-runs")
+    if 2 * n_clusters * n_resamples > WHOLE_MATRIX:
+        ap = ap_under_draws(rows, need, n_resamples, n_clusters, seed)
+    else:
+        ap = ap_under_weights(rows, need, n_resamples, drawn_weights(spark, n_resamples, n_clusters, seed))
     return ap.groupBy("run", "resample").agg(F.avg("ap").alias("ap"))
 
 

@@ -277,6 +277,7 @@ def _(v):
 @query("b2_ap_image_bootstrap")
 def _(v):
     """Both runs, 1,000 resamples of all images."""
+    v = v.once("boxes")
     matches = {run: E.match_coco(v.xy_gt, df, areas=("all",), thresholds=(0.5,)).where("not ignored") for run, df in (("base", v.xy_dt), ("method", v.xy_method))}
     n = v.gt.groupBy("image_id", "category_id").agg(F.count("*").alias("npos"))
     return B.ap_cluster_bootstrap(matches, n, image_units(v), v.images.count(), 1000, 13).select("run", "resample", *r("ap"))

@@ -67,3 +67,25 @@ def test_draws_beyond_a_small_matrix_give_the_same_precision(spark, monkeypatch)
     monkeypatch.setattr(stats, "WHOLE_MATRIX", 0)
     large = run()
     assert len(small) == 30 and large == small and len(made) == 4
+
+
+@pytest.mark.parametrize("held", [1, 1 << 28])
+def test_rows_never_meet_a_vector_of_weights(spark, monkeypatch, held):
+    """Beyond a small matrix every row used to be joined to a number a resample: two kilobytes a row in each shuffle."""
+    import re
+
+    monkeypatch.setattr(stats, "WHOLE_MATRIX", 0)
+    monkeypatch.setattr(stats, "HELD_DRAWS", held, raising=False)  # one resample a task, and one task a core
+    units = spark.range(5000).selectExpr("id AS image_id", "cast(id AS int) AS unit")  # more than a block of units
+    rows = spark.range(9000).selectExpr("id % 4990 AS image_id", "1 AS category_id", "id AS det_id", "cast((id * 37) % 1001 AS double) / 1001 AS score", "cast((id * 7) % 3 = 0 AS int) AS tp")
+    npos = rows.groupBy("image_id", "category_id").agg(F.sum("tp").alias("npos"))
+    df = stats.ap_cluster_bootstrap({"base": rows}, npos, units, 5000, 6, 5)
+    assert not re.search(r"\(unit#\d+L? = unit#\d+L?\)", plan(df))
+    got = {x.resample: x.ap for x in df.collect()}
+    local = sorted(((i * 37) % 1001 / 1001, -(i % 4990), -i, int((i * 7) % 3 == 0)) for i in range(9000))[::-1]
+    for k, c in enumerate(plain_draws(6, 5000, 5)):
+        m = np.array([c[-image] for _, image, _, _ in local])
+        hit = m * np.array([x[3] for x in local])
+        precision = np.maximum.accumulate((np.cumsum(hit) / np.maximum(np.cumsum(m), 1))[::-1])[::-1]
+        reached = np.searchsorted(100 * np.cumsum(hit), np.maximum(np.arange(101) * hit.sum(), 1))
+        assert abs(got[k] - precision[reached].sum() / 101) < 1e-9
