@@ -21,7 +21,7 @@ UNIT_BLOCK = 4096
 PART = 64  # units of a block that get their weights together
 DRAWN_AT_ONCE = 8_000_000
 #: Units up to which every task holds the rows of all blocks; beyond, blocks meet by a shuffle.
-WHOLE_UNITS = 2_000_000
+WHOLE_UNITS = 500_000
 
 
 def drawn_blocks(spark, n_resamples: int, n_units: int, seed: int, resamples: DataFrame | None = None) -> DataFrame:
@@ -63,9 +63,10 @@ def resampled(rows: DataFrame, n_units: int, n_resamples: int, seed: int, resamp
     """``rows`` (with ``unit``) of each resample, with ``resample`` and ``m`` in place of the unit.  Rows meet the draws by blocks of
     units, so a resample and a block are one row of the join."""
     others = [c for c in rows.columns if c != "unit"]
-    held = F.collect_list(F.struct((F.col("unit") % UNIT_BLOCK).cast("int").alias("_place"), *others))  # the rows of UNIT_BLOCK units
+    held = F.array_sort(F.collect_list(F.struct((F.col("unit") % UNIT_BLOCK).cast("int").alias("_place"), *others)))  # the rows of UNIT_BLOCK units; sums go in their order
     blocks = rows.where(F.col("unit").between(0, n_units - 1)).groupBy(F.floor(F.col("unit") / UNIT_BLOCK).cast("int").alias("block")).agg(held.alias("_rows"))
-    met = drawn_blocks(rows.sparkSession, n_resamples, n_units, seed, resamples).join(F.broadcast(blocks) if n_units <= WHOLE_UNITS else blocks, "block")
+    # without a hint Spark takes the draws for as small as the range they come from, and sends them all through the driver
+    met = drawn_blocks(rows.sparkSession, n_resamples, n_units, seed, resamples).join(F.broadcast(blocks) if n_units <= WHOLE_UNITS else blocks.hint("shuffle_hash"), "block")
     return met.select("resample", "ms", F.inline("_rows")).select("resample", *others, F.get("ms", F.col("_place")).alias("m")).where("m > 0")
 
 

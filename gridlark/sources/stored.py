@@ -99,8 +99,8 @@ def stored_deltas(path: str, pairs: DataFrame, n_units: int, n_resamples: int, s
         numbers = open_.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"))
         wanted = numbers.select((F.col("block") * block + F.col("i")).alias("resample")).where(F.col("resample") < n_resamples)
         asked = open_.select("contrast", "inputs", F.col("block").alias("_asked"))
-        drawn = resampled(pairs.join(inputs, "contrast"), n_units, n_resamples, seed, wanted).withColumn("block", F.floor(F.col("resample") / block).cast("int"))
-        drawn = drawn.groupBy("contrast", "inputs", "resample", "block").agg(statistic(F.col("baseline"), F.col("method")).alias("delta"))
+        drawn = resampled(pairs, n_units, n_resamples, seed, wanted).withColumn("block", F.floor(F.col("resample") / block).cast("int"))
+        drawn = drawn.groupBy("contrast", "resample", "block").agg(statistic(F.col("baseline"), F.col("method")).alias("delta")).join(inputs, "contrast")
         made = drawn.join(asked, (drawn["contrast"] == asked["contrast"]) & (drawn["inputs"] == asked["inputs"]) & (F.col("block") == F.col("_asked")), "left_semi")
         put_partitions(made.select("contrast", "inputs", "resample", "delta", "block"), path, ["contrast", "block"])
     whole = stored_table(spark, path, StructType.fromDDL(schema))

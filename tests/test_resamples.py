@@ -89,3 +89,13 @@ def test_rows_never_meet_a_vector_of_weights(spark, monkeypatch, held):
         precision = np.maximum.accumulate((np.cumsum(hit) / np.maximum(np.cumsum(m), 1))[::-1])[::-1]
         reached = np.searchsorted(100 * np.cumsum(hit), np.maximum(np.arange(101) * hit.sum(), 1))
         assert abs(got[k] - precision[reached].sum() / 101) < 1e-9
+
+
+def test_draws_of_many_units_are_never_sent_to_all(spark, monkeypatch):
+    """Spark's estimate of their size is that of a range of resamples, so that it broadcast all draws through the driver."""
+    monkeypatch.setattr(stats, "WHOLE_UNITS", 0)
+    pairs = spark.range(20_000).select(F.col("id").alias("unit"), F.lit(0.0).alias("baseline"), F.col("id").cast("double").alias("method"))
+    df = stats.paired_bootstrap(pairs, 20_000, 4, 7, stats.weighted_mean_delta)
+    got = {x.resample: x.delta for x in df.collect()}
+    assert "Broadcast" not in plan(df)
+    assert all(abs(got[k] - sum(u * m for u, m in c.items()) / 20_000) < 1e-6 for k, c in enumerate(plain_draws(4, 20_000, 7)))
