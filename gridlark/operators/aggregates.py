@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources.shared import written
-from .matching import greedy_match
+from .matching import greedy_match, greedy_matches
 from .quantiles import counted_quantiles, exact_quantiles
 
 SCORE_LEVELS = (0.10, 0.15, 0.20, 0.25, 0.35, 0.50, 0.70)
@@ -100,24 +100,30 @@ def view_features(detections: DataFrame, images: DataFrame, classes: list[int])
 CONFIDENCES = (0.25, 0.35, 0.50)
 
 
+def _hundredths(score: float) -> str:
+    return f"{score:.2f}".replace("0.", "")
+
+
 def unmatched_at(base: DataFrame, scout: DataFrame, pairs: DataFrame, level: float) -> DataFrame:
     """image_id, boxes of ``level`` or better that each view has and the other does not confirm: of the pairs of such boxes with
     IoU 0.5 or more, the best are matched first."""
     met = greedy_match(pairs.where((F.col("iou") >= 0.5) & (F.col("l_score") >= level) & (F.col("r_score") >= level))).groupBy("image_id").agg(F.count("*").alias("m"))
     sides = [df.where(F.col("score") >= level).groupBy("image_id").agg(F.count("*").alias(n)) for df, n in ((base, "b"), (scout, "s"))]
     both = sides[0].join(sides[1], "image_id", "full_outer").join(met, "image_id", "left").fillna(0)
-    name = f"{level:.2f}".replace("0.", "")
-    return both.select("image_id", *[(F.col(x) - F.col("m")).cast("double").alias(f"unmatched_{view}_ge_{name}") for x, view in (("b", "base"), ("s", "scout"))])
+    return both.select("image_id", *[(F.col(x) - F.col("m")).cast("double").alias(f"unmatched_{view}_ge_{_hundredths(level)}") for x, view in (("b", "base"), ("s", "scout"))])
 
 
-def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, images: DataFrame, classes: list[int], pairs: DataFrame | None = None) -> DataFrame:
-    """Per image: count and score differences of two views and statistics of their matched boxes at three IoUs; with ``pairs`` (all
-    overlapping pairs, l_score, r_score) also the boxes of three scores that the other view lacks.
+def cross_view_features(base: DataFrame, scout: DataFrame, pairs: DataFrame, images: DataFrame, classes: list[int], confident: bool = False) -> DataFrame:
+    """Per image: count and score differences of two views and statistics of their matched boxes at three IoUs; if ``confident``
+    also the boxes of three scores that the other view lacks (``unmatched_at``).
 
-    ``matches`` holds (image_id, threshold, iou, l_*, r_*) of matched pairs."""
+    ``pairs`` holds (image_id, left_id, right_id, iou, l_*, r_*) of overlapping boxes, IoU 0.3 or more; they are dealt once for all
+    matches.  Best pairs are matched first, so the matches at a greater IoU are those at the least that reach it."""
+    scores = CONFIDENCES if confident else ()
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.groupBy("image_id").agg(F.count("*").alias(f"{p}_n"), F.sum("score").alias(f"{p}_sum"), *[F.count_if(F.col("category_id") == k).alias(f"{p}_c{k}") for k in classes])
+        kinds = [F.count_if(F.col("category_id") == k).alias(f"{p}_c{k}") for k in classes]
+        return df.groupBy("image_id").agg(F.count("*").alias(f"{p}_n"), F.sum("score").alias(f"{p}_sum"), *kinds, *[F.count_if(F.col("score") >= s).alias(f"{p}_{i}") for i, s in enumerate(scores)])
 
     out = images.select("image_id", "width", "height").join(side(base, "b"), "image_id", "left").join(side(scout, "s"), "image_id", "left").fillna(0)
     cols = [
@@ -126,28 +132,33 @@ def cross_view_features(base: DataFrame, scout: DataFrame, matches: DataFrame, i
     ]
     for k in classes:
         cols += [(F.col(f"s_c{k}") - F.col(f"b_c{k}")).cast("double").alias(f"class_{k}_delta"), ((F.col(f"s_c{k}") + 1) / (F.col(f"b_c{k}") + 1)).alias(f"class_{k}_ratio")]
-    m = matches.join(images.select("image_id", "width", "height"), "image_id")
     a, b = G.Box.of("l_"), G.Box.of("r_")
     (ax, ay), (bx, by) = a.center, b.center
-    move = F.hypot((ax - bx) / F.col("width"), (ay - by) / F.col("height"))
-    ratio = F.log(F.greatest(F.lit(1e-12), b.area) / F.greatest(F.lit(1e-12), a.area))
-    delta = F.col("r_score") - F.col("l_score")
-    stats = [
-        F.count("iou").alias("matches"), F.avg("iou").alias("overlap_mean"), F.min("iou").alias("overlap_min"), F.avg(delta).alias("score_delta_mean"), F.avg(F.abs(delta)).alias("score_abs_delta_mean"),
-        F.avg(move).alias("shift_mean"), F.max(move).alias("shift_max"), F.avg(ratio).alias("log_area_ratio_mean"), F.avg(F.abs(ratio)).alias("log_area_ratio_abs_mean"),
-    ]
+    area_ratio = F.log(F.greatest(F.lit(1e-12), b.area) / F.greatest(F.lit(1e-12), a.area))
+    # what the statistics take of a pair, and no more, goes through the kernel
+    slim = pairs.select("image_id", "left_id", "right_id", "iou", "l_score", "r_score", (ax - bx).alias("dx"), (ay - by).alias("dy"), area_ratio.alias("ratio"))
+    sure = [(F.col("iou") >= 0.5) & (F.col("l_score") >= s) & (F.col("r_score") >= s) for s in scores]
+    m = greedy_matches(slim, [F.col("iou") >= 0.3, *sure]).select("image_id", "iou", (F.col("r_score") - F.col("l_score")).alias("delta"), "dx", "dy", "ratio", "taken")
+    m = m.join(images.select("image_id", "width", "height"), "image_id")
+    move = F.hypot(F.col("dx") / F.col("width"), F.col("dy") / F.col("height"))
+    bit = lambda k: F.col("taken").bitwiseAND(F.lit(1 << k)) > 0
     levels = (0.3, 0.5, 0.7)
-    wide = m.withColumn("level", (F.col("threshold") * 100).cast("int")).groupBy("image_id").pivot("level", [round(t * 100) for t in levels]).agg(*stats)
-    met = out.join(wide, "image_id", "left").fillna(0.0)
+    stats = [F.count_if(bit(i + 1)).alias(f"sure_{i}") for i in range(len(scores))]
+    for t in levels:
+        of, n = (lambda c, t=t: F.when(bit(0) & (F.col("iou") >= t), c)), round(t * 100)
+        stats += [
+            F.count(of(F.col("iou"))).alias(f"{n}_matches"), F.avg(of(F.col("iou"))).alias(f"{n}_overlap_mean"), F.min(of(F.col("iou"))).alias(f"{n}_overlap_min"),
+            F.avg(of(F.col("delta"))).alias(f"{n}_score_delta_mean"), F.avg(of(F.abs("delta"))).alias(f"{n}_score_abs_delta_mean"), F.avg(of(move)).alias(f"{n}_shift_mean"), F.max(of(move)).alias(f"{n}_shift_max"),
+            F.avg(of(F.col("ratio"))).alias(f"{n}_log_area_ratio_mean"), F.avg(of(F.abs("ratio"))).alias(f"{n}_log_area_ratio_abs_mean"),
+        ]
+    met = out.join(m.groupBy("image_id").agg(*stats), "image_id", "left").fillna(0.0)
     for t in (round(x * 100) for x in levels):
         cols += [F.col(f"{t}_{n}").cast("double").alias(f"iou_{t}_{n}") for n in ("matches", "overlap_mean", "overlap_min", "score_delta_mean", "score_abs_delta_mean", "shift_mean", "shift_max", "log_area_ratio_mean", "log_area_ratio_abs_mean")]
         cols += [(F.col("b_n") - F.col(f"{t}_matches")).cast("double").alias(f"iou_{t}_unmatched_base"), (F.col("s_n") - F.col(f"{t}_matches")).cast("double").alias(f"iou_{t}_unmatched_scout")]
         cols += [(F.col(f"{t}_matches") / F.greatest(F.lit(1), F.col("b_n"))).alias(f"iou_{t}_base_fraction"), (F.col(f"{t}_matches") / F.greatest(F.lit(1), F.col("s_n"))).alias(f"iou_{t}_scout_fraction")]
-    features = met.select("image_id", *cols)
-    for level in CONFIDENCES if pairs is not None else ():
-        more = unmatched_at(base, scout, pairs, level)
-        features = features.join(more, "image_id", "left").fillna(0.0, more.columns[1:])
-    return features
+    for i, s in enumerate(scores):
+        cols += [(F.col(f"{p}_{i}") - F.col(f"sure_{i}")).cast("double").alias(f"unmatched_{view}_ge_{_hundredths(s)}") for p, view in (("b", "base"), ("s", "scout"))]
+    return met.select("image_id", *cols)
 
 
 def timing_summary(timings: DataFrame, by: str, total: str = "total_ms", load: str | None = None, stages: list[str] | None = None, memory: str | None = None) -> DataFrame:

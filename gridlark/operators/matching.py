@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,22 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     return _taken(pairs, [F.desc("iou"), "left_id", "right_id"], _in_order)
 
 
+def greedy_matches(pairs: DataFrame, among: list[Column]) -> DataFrame:
+    """``greedy_match`` of several choices of pairs, dealt once: bit k of ``taken`` tells that a pair is matched among those that
+    ``among[k]`` lets in; pairs that are matched nowhere go."""
+    bits = reduce(Column.bitwiseOR, [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(among)])
+    marked, n = pairs.withColumn("taken", bits), len(among)  # the kernel must not hold columns
+
+    def kernel(c: S.Columns, starts: np.ndarray) -> dict:
+        group, taken = S.numbered(starts, len(c["left_id"])), np.zeros(len(c["left_id"]), np.int32)
+        for k in range(n):
+            rows = np.flatnonzero((c["taken"] >> k) & 1)
+            taken[rows[S.greedy_edges(group[rows], c["left_id"][rows], c["right_id"][rows])]] |= 1 << k
+        return {n: x[taken > 0] for n, x in (c | {"taken": taken}).items()}
+
+    return S.segmented(marked, ["image_id"], [F.desc("iou"), "left_id", "right_id"], kernel, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema))
+
+
 def least_cost(cost: np.ndarray) -> np.ndarray:
     """Column of each row in a cheapest complete assignment of rows (rows <= columns): shortest augmenting paths with potentials."""
     n, m = cost.shape

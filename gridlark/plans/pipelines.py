@@ -194,8 +194,7 @@ def escalation_features(base: DataFrame, scout: DataFrame, images: DataFrame, cl
         f = A.view_features(df, images, classes)
         views.append(f.select("image_id", *[F.col(c).alias(f"{prefix}_{c}") for c in f.columns if c != "image_id"]))
     pairs = joins.iou_join(base, scout, 0.3, "det_id", "det_id")
-    levels = reduce(DataFrame.unionByName, [matching.greedy_match(pairs.where(F.col("iou") >= t)).withColumn("threshold", F.lit(t)) for t in (0.3, 0.5, 0.7)])
-    return reduce(lambda a, b: a.join(b, "image_id"), [*views, A.cross_view_features(base, scout, levels, images, classes)], size)
+    return reduce(lambda a, b: a.join(b, "image_id"), [*views, A.cross_view_features(base, scout, pairs, images, classes)], size)
 
 
 def scout_escalation(base: DataFrame, scout: DataFrame, full_flip: DataFrame, scores: DataFrame, rate: float, publish: float = 0.25, max_det: int = 500) -> DataFrame:

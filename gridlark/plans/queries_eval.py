@@ -140,11 +140,9 @@ def _(v):
 def _(v):
     from ..operators.aggregates import cross_view_features
 
-    # read five to seven times each by what follows
-    base, flip = written(v.xy_dt, "base"), written(C.unflipped(v.xy_flip, v.images), "flip")
-    pairs = written(J.iou_join(base, flip, 0.3, "det_id", "det_id", same_class=True), "pairs")
-    levels = reduce(lambda a, b: a.unionByName(b), [K.greedy_match(pairs.where(F.col("iou") >= t)).withColumn("threshold", F.lit(t)) for t in (0.3, 0.5, 0.7)])
-    f = cross_view_features(base, flip, levels, v.images, CATEGORIES, pairs)
+    v = v.once("dt")  # both views come from it
+    base, flip = v.xy_dt, written(C.unflipped(v.xy_flip, v.images), "flip")
+    f = cross_view_features(base, flip, J.iou_join(base, flip, 0.3, "det_id", "det_id", same_class=True), v.images, CATEGORIES, confident=True)
     return f.select("image_id", *r(*[c for c in f.columns if c != "image_id"]))
 
 

@@ -51,3 +51,22 @@ def test_outcomes_stay_bits(spark):
         for x in E.evaluated(few[0], some, [], areas).collect():
             bit = list(E.AREAS).index(x.area) * n + E.THRESHOLDS.index(x.threshold)
             assert got[x.category_id, x.area, bit, most] == (round(x.ap, 9), round(x.recall, 9))
+
+
+def test_cross_view_pairs_are_dealt_once(spark):
+    """Six kernels over the pairs used to shuffle all their columns, one a level of overlap or score; the matches are those of each alone."""
+    from gridlark.operators import matching
+    from gridlark.plans import queries_eval  # noqa: F401
+    from gridlark.registry import QUERIES
+
+    df = QUERIES["a3_cross_view_features"](spark, "/root/testdata/sf0.001")
+    plain = df.queryExecution if hasattr(df, "queryExecution") else df._jdf.queryExecution()
+    assert plain.analyzed().toString().count("MapInArrow") == 1
+    pairs = spark.range(4000).selectExpr("id % 50 AS image_id", "(id * 7) % 13 AS left_id", "(id * 11) % 17 AS right_id", "cast((id * 37) % 101 AS double) / 101 AS iou", "cast((id * 53) % 97 AS double) / 97 AS l_score").dropDuplicates(["image_id", "left_id", "right_id"])
+    among = [F.col("iou") >= 0.3, (F.col("iou") >= 0.5) & (F.col("l_score") >= 0.4), F.col("l_score") < 0]
+    got = matching.greedy_matches(pairs, among).collect()
+    key = lambda x: (x.image_id, x.left_id, x.right_id)
+    for k, c in enumerate(among):
+        want = {key(x) for x in matching.greedy_match(pairs.where(c)).collect()}
+        assert {key(x) for x in got if x.taken >> k & 1} == want and bool(want) == (k < 2)
+    assert {key(x) for x in got if x.iou >= 0.6 and x.taken & 1} == {key(x) for x in matching.greedy_match(pairs.where("iou >= 0.6")).collect()}
