@@ -57,6 +57,8 @@ class Selective(NamedTuple):
     work: DataFrame  # regions and candidates of every image
 
 
+#: Numbers of images up to which all tasks hold them, so that boxes are cut to the images where they lie.
+WHOLE_IDS = 2_000_000
 #: What mends each component of degradation; ties between components go in this order.  Fixed values.
 OPERATIONS = {"luminance": "gamma", "contrast": "clahe", "haze": "clahe", "blur": "unsharp", "entropy": None}
 #: A crop and an attempt are single numbers in the kernels' image column: 4,096 regions an image, 8 rounds a region.
@@ -141,9 +143,11 @@ def uncertainty_gate(
 
 def guarded_fusion(base: DataFrame, flip: DataFrame, local: DataFrame, regions: DataFrame, images: DataFrame, weights: dict[str, float], rate: float, consensus: bool, publish: float = 0.25) -> DataFrame:
     """The most uncertain share of images gets the merged or the consensus output."""
-    on = select.activate_fraction(image_gate(local, regions, weights), rate).select("image_id")
-    back = unflipped(flip, images)
-    views = [fusion.with_source(df.join(on, "image_id", "left_semi"), n) for df, n in ((base, "base"), (back, "flip"), (local, "local"))]
+    gates = written(image_gate(local, regions, weights), "gates")  # counted, then ranked
+    on = written(select.activate_fraction(gates, rate).select("image_id"), "gated-images")
+    on = F.broadcast(on) if on.count() <= WHOLE_IDS else on  # four tables are cut to it
+    base_on, flip_on, local_on = (df.join(on, "image_id", "left_semi") for df in (base, flip, local))
+    views = [fusion.with_source(df, n) for df, n in ((base_on, "base"), (unflipped(flip_on, images), "flip"), (local_on, "local"))]
     if consensus:
         union = views[0].unionByName(views[1]).unionByName(views[2])
         active = fusion.consensus_anchor(union, publish, 0.5, 0.5, 300)

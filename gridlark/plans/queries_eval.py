@@ -804,6 +804,7 @@ def _(v):
 
 @query("c5_guarded_fusion")
 def _(v):
+    v = v.once("dt")  # all views come from it
     return out(C.guarded_fusion(v.xy_dt, v.xy_flip, v.xy_local, v.regions, v.images, WEIGHTS_U, 0.3, consensus=True))
 
 

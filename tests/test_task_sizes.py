@@ -70,3 +70,18 @@ def test_cross_view_pairs_are_dealt_once(spark):
         want = {key(x) for x in matching.greedy_match(pairs.where(c)).collect()}
         assert {key(x) for x in got if x.taken >> k & 1} == want and bool(want) == (k < 2)
     assert {key(x) for x in got if x.iou >= 0.6 and x.taken & 1} == {key(x) for x in matching.greedy_match(pairs.where("iou >= 0.6")).collect()}
+
+
+def test_gates_are_made_once(spark, monkeypatch):
+    """The gate, a kernel over all boxes of regions, was made again for the count and for each table that is cut to the gated images."""
+    from gridlark.plans import pipelines, queries_eval  # noqa: F401
+    from gridlark.registry import QUERIES
+
+    got = []
+    for whole in (0, 1 << 20):
+        monkeypatch.setattr(pipelines, "WHOLE_IDS", whole, raising=False)  # boxes are cut by a shuffle, and where they lie
+        df = QUERIES["c5_guarded_fusion"](spark, "/root/testdata/sf0.001")
+        plain = df.queryExecution if hasattr(df, "queryExecution") else df._jdf.queryExecution()
+        assert plain.analyzed().toString().count("MapInArrow") == 1
+        got.append(sorted(map(tuple, df.collect())))
+    assert got[0] == got[1] and got[0]
