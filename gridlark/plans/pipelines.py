@@ -36,7 +36,8 @@ def candidate_bank_fuse(base: DataFrame, banks: list[DataFrame], method: str, pu
 
 def mapped_local(local: DataFrame, regions: DataFrame, images: DataFrame, pad: float = 0.1) -> DataFrame:
     """Crop boxes, already in image coordinates, that belong to their region."""
-    d = local.join(regions.select("image_id", "region_id", "rx1", "ry1", "rx2", "ry2"), ["image_id", "region_id"]).join(images.select("image_id", "width", "height"), "image_id")
+    known = regions.select("image_id", "region_id", "rx1", "ry1", "rx2", "ry2").join(images.select("image_id", "width", "height"), "image_id")  # regions meet images, not every box
+    d = local.join(known, ["image_id", "region_id"])
     d = d.withColumns(dict(zip(SIDES, G.clip(G.Box.of(), F.col("width"), F.col("height")), strict=True)))
     core = G.Box.of("r")
     px, py = core.width * pad, core.height * pad
@@ -104,12 +105,13 @@ def selective_regions(
     least q, least stability, most unsupported) ends the region's rounds.  The best with q above 0 replaces the untouched
     crop; without one the untouched boxes stay with q 0, or go if ``conservative``."""
     chosen = written(selected_regions(traits, base.join(local.select("det_id", "region_id"), "det_id")), "chosen-regions")
-    cores = regions.join(chosen, CROP)
     # what follows reads each of these several times
-    identity = written(mapped_local(local.join(chosen, CROP, "left_semi"), regions, images), "untouched-crops")
-    found = written(mapped_local(candidates.join(chosen, CROP, "left_semi"), regions, images), "mended-crops")
+    cores = written(regions.join(chosen, CROP), "cores")
+    identity = written(mapped_local(local, cores, images), "untouched-crops")
+    found = written(mapped_local(candidates, cores, images), "mended-crops")
     routed = select.route_operations(OPERATIONS, list(available), most_operations)
     attempts = components.join(chosen, CROP).select(*CROP, F.posexplode(routed).alias("round", "operation")).withColumn("round", F.col("round") + 1)
+    attempts = written(attempts, "routed")
     references = written(crop_references(base, identity, cores, 0.55), "crop-references")
     scored = written(evaluated_attempts(references, found, attempts, publish, match_iou, crop, full), "attempts")
     run = written(select.early_stop(scored.withColumn("unsupported", F.col("unsupported_fp")), CROP, *stop, first=1).drop("unsupported"), "rounds")

@@ -763,8 +763,9 @@ def _(v):
 
 
 def crop_tables(v):
-    """Base boxes and boxes of crops, written once, as what follows reads them many times; boxes that operations on crops gave; the parts of degradation of regions."""
-    base, local = written(v.xy_dt, "base"), written(v.xy_local, "local")
+    """Base boxes and boxes of crops, both from one written table, as what follows reads them many times; boxes that operations on crops gave; the parts of degradation of regions."""
+    seen = v.once("dt")
+    base, local = seen.xy_dt, seen.xy_local
     gains = F.inline(F.array(*[F.struct(F.lit(name).alias("operation"), F.lit(gain).alias("gain")) for name, gain in (("gamma", 0.05), ("clahe", 0.1), ("unsharp", -0.05))]))
     tried = local.select("*", gains).where("(det_id + length(operation)) % 6 > 0")
     found = tried.withColumn("score", F.expr("least(1e0, greatest(0e0, score + gain * ((det_id % 7) - 2)))")).select("det_id", "image_id", "category_id", "region_id", "q", *SIDES, "operation", "score")

@@ -85,3 +85,20 @@ def test_gates_are_made_once(spark, monkeypatch):
         assert plain.analyzed().toString().count("MapInArrow") == 1
         got.append(sorted(map(tuple, df.collect())))
     assert got[0] == got[1] and got[0]
+
+
+def test_regions_are_not_derived_for_each_attempt(spark, monkeypatch):
+    """Components of all regions, derived from orders, were joined to the chosen regions in three places of one table."""
+    from gridlark.plans import pipelines, queries_eval  # noqa: F401
+    from gridlark.registry import QUERIES
+
+    plans, write = {}, pipelines.written
+
+    def seen(df, name):
+        plain = df.queryExecution if hasattr(df, "queryExecution") else df._jdf.queryExecution()
+        plans[name] = plain.analyzed().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(pipelines, "written", seen)
+    QUERIES["c3_selective_regions"](spark, "/root/testdata/sf0.001")
+    assert not any("o_orderkey" in plans[x] for x in ("attempt-pairs", "attempts", "untouched-crops", "mended-crops"))
